@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op2_toxicity as op2
 from . import op3_quality_gam as op3
 from . import op5_token_orc as op5
 from . import op9_quality_rules as op9
@@ -19,7 +20,7 @@ def _with_session(f):
     return query
 
 
-_ALL = [op3.op3_quality_gam, op5.op5_token_orc, op9.op9_quality_rules, op10.op10_bpe]
+_ALL = [op2.op2_toxicity, op3.op3_quality_gam, op5.op5_token_orc, op9.op9_quality_rules, op10.op10_bpe]
 
 QUERIES = {f.__name__: _with_session(f) for f in _ALL}
 ORACLE_SQL = {"op9_quality_rules": op9.oracle()}
