@@ -28,7 +28,7 @@ _TABLE = mix64(np.arange(1, 256 * 64 + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 _ODD = _U(0xD6E8FEB86659FD93)
 
 
-def chunks(col: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(col: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES, max_rows: int = 1000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yields (first row, end row, bytes, offsets of the rows in bytes); a null counts as an empty text."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
@@ -40,6 +40,7 @@ def chunks(col: pa.Array | pa.ChunkedArray, max_bytes: int = CHUNK_BYTES) -> Ite
     lo = 0
     while lo < len(col):
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + max_bytes, "right")) - 1)
+        hi = min(hi, lo + max_rows)
         yield lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
 
