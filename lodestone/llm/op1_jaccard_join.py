@@ -14,7 +14,7 @@ worst set of the band, and if all are too few, the band's single n-grams are ind
 Signatures shared by more than HOT sets make no pairs. A set has signatures to spare; only sets that lose more than
 those to hot ones need them, and for these each hot signature gives pairs with one hub, and then, for members that are
 not in one component by now, the pairs across components. So nothing is lost, and groups of copies cost a row for each
-member. Candidate pairs are verified on the whole sets: first each set's pair with its least partner, then only pairs
+member. The same count rules out chance pairs: links share more signatures than a set has to spare. Other candidate pairs are verified on the whole sets: first each set's pair with its least partner, then only pairs
 that would still join two components.
 
 Equal sets are collapsed first and expanded last. N-grams are 54-bit hashes within a document, sets 128-bit ones.
@@ -295,11 +295,11 @@ def _group(table: pa.Table) -> pa.Table:
             break
         x, y = who_s[same], who_s[same + step]
         fit = ((x & 1) + (y & 1) < 2) & (x >> 1 != y >> 1)
-        x, y = x[fit] >> 1, y[fit] >> 1
-        pairs.append(np.unique((np.minimum(x, y) << 24) | np.maximum(x, y)))
+        x, y = x[fit], y[fit]  # x < y
+        pairs.append((x >> 1 << 26) | (y >> 1 << 2) | (x & 1) | (y & 1) << 1)
     if pairs:
-        p = np.unique(np.concatenate(pairs))
-        out.append(_found(PAIR, a=names[p >> 24], b=names[p & ((1 << 24) - 1)]))
+        p, shared = np.unique(np.concatenate(pairs), return_counts=True)
+        out.append(_found(PAIR, a=names[p >> 26], b=names[p >> 2 & ((1 << 24) - 1)], n=p & 3, slack0=shared))
     hot = np.flatnonzero(many > HOT)
     if len(hot):
         mark = tv.mix64(key[hot] + _U(1)).view(np.int64)
@@ -352,6 +352,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("u", "v", "ga", "gb").mapInArrow(run, "u bigint, v bigint")
 
 
+def _plausible(pairs: DataFrame, spared: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that share as many signatures as links must.
+
+    Linked sets agree in all but H of a set's full segments, so in more of them than it has to spare, less those it
+    lost to hot signatures. Pairs found by deletions carry a count that passes.
+    """
+    counted = pairs.groupBy("a", "b", F.col("n").alias("upper")).agg(F.sum("slack0").alias("shared"))
+    a = spared.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("slack0").alias("a0"), F.col("slack1").alias("a1"))
+    b = spared.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("slack0").alias("b0"), F.col("slack1").alias("b1"))
+    enough = (F.col("shared") > F.when(F.col("upper") == 1, F.col("a1")).otherwise(F.col("a0"))) & (
+        F.col("shared") > F.when(F.col("upper") == 2, F.col("b1")).otherwise(F.col("b0"))
+    )
+    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    return counted.join(a, "a").join(b, "b").where(enough & sizes).select("a", "b")
+
+
 def _grouped(docs: DataFrame, parts: int, bands: Bands, n: int) -> DataFrame:
     return sign(docs, parts, bands, n).repartition(parts, "part").groupBy("part").applyInArrow(_group, FOUND)
 
@@ -369,28 +385,33 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = short.where("slack0 < 0").select("band", F.col("need0").alias("d")).unionByName(short.where("slack1 < 0").select(F.expr("band - 1").alias("band"), F.col("need1").alias("d")))
     worst = {r["band"]: (-1 if r["least"] < 0 else r["most"]) for r in each.groupBy("band").agg(F.max("d").alias("most"), F.min("d").alias("least")).collect()}  # a row a band
     if worst:
-        again = _grouped(docs, parts, Bands(num, den, worst), n)
-        found = found.unionByName(materialize(again.where(F.col("kind") != DOC), "deletions"))
+        again = _grouped(docs, parts, Bands(num, den, worst), n).where(F.col("kind") != DOC)
+        found = found.unionByName(materialize(again.withColumn("slack0", F.lit(1 << 40).cast("long")), "deletions"))
     classes = materialize(
         rows.where("n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("slack0").alias("slack0"), F.first("slack1").alias("slack1")),
         "classes",
     )
-    pairs = found.where(F.col("kind") == PAIR).select("a", "b")
     members = found.where(F.col("kind") == MEMBER).select("a", F.col("b").alias("key"), F.col("n").alias("role"))
     hot = None
+    spared = classes.select("sid", "n", "slack0", "slack1")
     if not members.isEmpty():
         lost = members.groupBy("a", "role").agg(F.count(F.lit(1)).alias("lost"))
+        lost = materialize(lost, "lost")
+        both = lost.groupBy(F.col("a").alias("sid")).agg(*[F.sum(F.when(F.col("role") == r, F.col("lost")).otherwise(0)).alias(f"lost{r}") for r in (0, 1)])
+        spared = spared.join(both, "sid", "left").select("sid", "n", *[(F.col(f"slack{r}") - F.coalesce(f"lost{r}", F.lit(0))).alias(f"slack{r}") for r in (0, 1)])
         spare = F.when(F.col("role") == 0, F.col("slack0")).otherwise(F.col("slack1"))
         without = lost.join(classes.select(F.col("sid").alias("a"), "slack0", "slack1"), "a").where(F.col("lost") > spare).select("a", "role")
         hot = materialize(members.join(without, ["a", "role"]), "hot")
         hubs = hot.where("role = 0").groupBy("key").agg(F.min("a").alias("hub"))
         star = hot.join(hubs, "key").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
+    pairs = _plausible(found.where(F.col("kind") == PAIR), spared, num, den)
+    if hot is not None:
         pairs = pairs.unionByName(star)
     pairs = materialize(pairs.distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
     if hot is not None:
         nodes = nodes.unionByName(hot.select(F.col("a").alias("sid")))
-    wanted = nodes.distinct().join(classes.select("sid", F.col("rep").alias("doc_id")), "sid")
+    wanted = materialize(nodes.distinct().join(classes.select("sid", F.col("rep").alias("doc_id")), "sid"), "wanted")
     sets = materialize(_sets(docs, wanted, n), "sets")
     reps = sets.select("sid", "rep")
     least = pairs.groupBy("b").agg(F.min("a").alias("a"))
