@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import materialize, partitions_for
+from .runtime import materialize, partitions_for, release
 from .suffix import permuted_lcp, suffix_array
 
 WINDOW, GRAM = 200, 16
 #: Parquet bytes of documents whose anchors one task groups, and bytes of contexts in a shard, about.
-PART_BYTES, SHARD_BYTES = 16 << 20, 2 << 20
+PART_BYTES, SHARD_BYTES = 16 << 20, 1 << 20
 #: Bytes scanned at once.
 SCAN_BYTES, STRETCH = 1 << 18, 1 << 22
 _U = np.uint64
@@ -155,9 +155,10 @@ def _scan(docs: DataFrame, parts: int, window: int) -> DataFrame:
                 r = x.pop("row") + lo
                 held.append(x | {"k": k[r], "h": h[r]})
                 waiting += len(r)
-            if waiting > 400_000:
+            if waiting > 200_000:
                 yield flush()
                 held, waiting = [], 0
+                release()
         if waiting:
             yield flush()
 
@@ -241,8 +242,8 @@ _SPAN = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("s0", pa.int64()), ("n
 def repeated_windows(bodies: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
     """(body, place) of the windows that start at another place in the bodies too, by suffix array."""
     lens = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    text = np.frombuffer(b"\xff".join(bodies) + b"\xff", np.uint8).astype(np.int32) + 1  # 0xFF is in no UTF-8 text
-    t = np.append(text, np.int32(0))
+    t = np.frombuffer(b"\xff".join(bodies) + b"\xff\xff", np.uint8).astype(np.int16) + np.int16(1)  # 0xFF is in no UTF-8 text
+    t[-1] = 0
     sa = suffix_array(t, 257)
     lcp, phi = permuted_lcp(t, sa, 1024)
     long = np.flatnonzero(lcp >= window)
@@ -260,6 +261,7 @@ def repeated_windows(bodies: list[bytes], window: int) -> tuple[np.ndarray, np.n
 def _shard(window: int):
     def run(table: pa.Table) -> pa.Table:
         body, place = repeated_windows(table["body"].to_pylist(), window)
+        release()
         s0 = table["s0"].to_numpy()[body] + place if len(body) else place
         first = np.flatnonzero(np.concatenate([[True], (body[1:] != body[:-1]) | (place[1:] != place[:-1] + 1)])[: len(body)])
         n = np.diff(np.append(first, len(body)))

@@ -72,3 +72,12 @@ def partitions_for(df: DataFrame, bytes_each: int, factor: float = 1.0) -> int:
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = input_bytes(df) * factor / bytes_each
     return max(least, min(200_000, int(n) + 1))
+
+
+def release() -> None:
+    """Hands a worker's freed memory back to the system, where the C library can."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

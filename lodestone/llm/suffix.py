@@ -16,10 +16,10 @@ MOST_BUCKETS = 1024
 def _types(t: np.ndarray) -> np.ndarray:
     """True for suffixes smaller than the next (the last, a unique least symbol, is one)."""
     n = len(t)
-    step = np.sign(np.diff(t.astype(np.int64)))
-    at = np.where(step != 0, np.arange(n - 1), n - 1)
+    differ = t[1:] != t[:-1]
+    at = np.where(differ, np.arange(n - 1, dtype=np.int32), np.int32(n - 1))
     at = np.minimum.accumulate(at[::-1])[::-1]
-    return np.append(np.append(step, 1)[at] > 0, True)
+    return np.append(np.append(t[1:] > t[:-1], True)[at], True)
 
 
 def _deal(sa: np.ndarray, fill: np.ndarray, chars: np.ndarray, values: np.ndarray, down: bool) -> None:
@@ -156,32 +156,23 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray,
     the prefix of each place is one shorter than the last.
     """
     n = len(t)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[sa[1:]] = sa[:-1]
-    at = np.arange(n)
-    irreducible = (phi <= 0) | (at == 0)
-    rest = np.flatnonzero(~irreducible)
+    irreducible = phi <= 0
+    irreducible[0] = True
+    rest = np.flatnonzero(~irreducible).astype(np.int32)
     irreducible[rest] = t[rest - 1] != t[phi[rest] - 1]
-    who = np.flatnonzero(irreducible & (phi >= 0))
-    padded = np.concatenate([t.astype(np.uint64), np.zeros(4, np.uint64)])
-    four = padded[:-4] | padded[1:-3] << np.uint64(16) | padded[2:-2] << np.uint64(32) | padded[3:-1] << np.uint64(48)
-    lcp = np.zeros(n, np.int64)
-    x, y, got = who, phi[who], 0
+    del rest
+    lcp = np.zeros(n, np.int32)
+    x = np.flatnonzero(irreducible & (phi >= 0)).astype(np.int32)
+    y, got = phi[x], 0
     while len(x) and got < most:
-        inside = np.maximum(x, y) + got + 4 <= n
-        same = inside.copy()
-        same[inside] = four[x[inside] + got] == four[y[inside] + got]
-        done = ~same
-        if done.any():
-            p, q = x[done] + got, y[done] + got
-            extra, alive = np.zeros(len(p), np.int64), np.ones(len(p), bool)
-            for j in range(4):
-                alive &= np.maximum(p, q) + j < n
-                alive[alive] = t[p[alive] + j] == t[q[alive] + j]
-                extra += alive
-            lcp[x[done]] = got + extra
+        inside = np.maximum(x, y) + got < n
+        same = inside & (t[np.minimum(x + got, n - 1)] == t[np.minimum(y + got, n - 1)])
+        lcp[x[~same]] = got
         x, y = x[same], y[same]
-        got += 4
+        got += 1
     lcp[x] = got
+    at = np.arange(n, dtype=np.int32)
     last = np.maximum.accumulate(np.where(irreducible, at, 0))
     return np.where(phi >= 0, np.maximum(lcp[last] - (at - last), 0), 0), phi
