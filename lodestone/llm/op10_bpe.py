@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .op5_token_orc import _ALPHA, _LATIN, _PUNCT, PieceEncoder
+from .runtime import plus
 
 #: White_Space as the rank files' own library reads \s (fixed value).
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -232,7 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, lists], names=[*b.schema.names, out_col])
 
-    schema = docs.schema.add(out_col, "array<int>")
+    schema = plus(docs, out_col, "array<int>")
     return docs.mapInArrow(run, schema)
 
 
@@ -252,7 +253,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
             texts = pa.array([data[s:e] for s, e in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
 
-    return tokens.mapInArrow(run, tokens.schema.add(out_col, "binary"))
+    return tokens.mapInArrow(run, plus(tokens, out_col, "binary"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

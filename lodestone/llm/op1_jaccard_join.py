@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .runtime import materialize, partitions_for
+from .runtime import drop_ids, materialize, partitions_for
 
 N = 5
 NUM, DEN = 75, 100
@@ -447,5 +447,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return linked.select("doc_id", "n_shingles", own.alias("component_id"), F.col("sid").alias("set_id"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all columns, of each component the document of the least id; rows without an id or words stay."""
+    joined = jaccard_join(docs, id_col, text_col)
+    return drop_ids(docs, joined.where("component_id <> doc_id").select("doc_id"), id_col)
+
+
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .labelled import fold, sample_docs
+from .runtime import plus
 
 MAX_LABELLED = 8_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
@@ -230,7 +231,7 @@ def score(docs: DataFrame, model: Gam, text_col: str = "text", out_col: str = "s
             s = shared.value.score(features(b.column(place)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, out_col])
 
-    return docs.mapInArrow(run, docs.schema.add(out_col, "double"))
+    return docs.mapInArrow(run, plus(docs, out_col, "double"))
 
 
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

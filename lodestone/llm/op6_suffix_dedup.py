@@ -370,6 +370,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     return with_spans(base, repeats(base, window)).select("doc_id", "text", "spans").mapInArrow(run, out)
 
 
+def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all columns and rows, the text less its repeated bytes. What a cut leaves of a character goes too."""
+    spans = _pack(repeats(keyed(docs, id_col, text_col), window), "s0", "n")
+    spans = spans.select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("spans").alias("__spans"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    h = F.xxhash64(text, F.col(id_col).cast("long"))
+    rows = docs.withColumn("__h", h).withColumn("__k", F.coalesce(F.col(id_col).cast("long"), F.col("__h")))
+    rows = rows.join(spans, ["__k", "__h"], "left").select(*docs.columns, "__spans")
+    place, last = docs.columns.index(text_col), len(docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            old = b.column(place)
+            new = [t.as_py() if not s.is_valid else kept_bytes(t.as_py(), s.as_py(), window)[0].decode("utf-8", "ignore") for t, s in zip(old, b.column(last), strict=True)]
+            cols = [pa.array(new, old.type) if i == place else c for i, c in enumerate(b.columns[:last])]
+            yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:last])
+
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

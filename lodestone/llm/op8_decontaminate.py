@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
+from .runtime import drop_ids
 
 THRESHOLD, OVERLAP = 0.5, 0.6
 K1, B = 1.2, 0.75
@@ -202,8 +203,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns; a row with a null id stays."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == bad["_leaked"], "left_anti")
+    return drop_ids(docs, leaks(docs, benchmark).select("doc_id"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -57,6 +58,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plus(df: DataFrame, name: str, kind: str, without: str | None = None) -> StructType:
+    """df's schema and one more column."""
+    return StructType([f for f in df.schema.fields if f.name != without] + StructType.fromDDL(f"`{name}` {kind}").fields)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate, for choosing a number of partitions only; measured where it has none."""
     known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -81,3 +87,14 @@ def release() -> None:
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
+
+
+#: Ids up to which a list of documents to drop is broadcast (16 bytes each); beyond, the join shuffles.
+BROADCAST_IDS = 500_000
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not in ids (one column); null ids stay."""
+    ids = materialize(ids.select(F.col(ids.columns[0]).cast("long").alias("__gone")).where("__gone is not null").distinct(), "gone")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
