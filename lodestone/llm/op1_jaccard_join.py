@@ -12,9 +12,10 @@ segments are indexed again with their one-deletion neighbourhoods, which count t
 worst set of the band, and if all are too few, the band's single n-grams are indexed.
 
 Signatures shared by more than HOT sets make no pairs. A set has signatures to spare; only sets that lose more than
-those to hot ones need them, and for these each hot signature gives pairs with one hub, and then, for members that are
-not in one component by now, the pairs across components. So nothing is lost, and groups of copies cost a row for each
-member. The same count rules out chance pairs: links share more signatures than a set has to spare. Other candidate pairs are verified on the whole sets: first each set's pair with its least partner, then only pairs
+those to hot ones need them, and of these only the rarest. Such sets are compared within the components that the hot
+signatures make of them, block by block inside a task that counts all intersections at once and returns a forest, so a
+group of copies costs a row for each member. Counts also rule out chance pairs: links share more signatures than two
+sets can differ in. The other candidate pairs are verified on the whole sets: first each set's pair with its least partner, then only pairs
 that would still join two components.
 
 Equal sets are collapsed first and expanded last. N-grams are 54-bit hashes within a document, sets 128-bit ones.
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
@@ -131,7 +132,7 @@ def set_ids(rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def signatures(rows: np.ndarray, grams: np.ndarray, size: np.ndarray, bands: Bands) -> Iterator[tuple]:
-    """For the own band (role 0) and the one below (role 1): (role, rows, keys, slack by row, deletions needed by row)."""
+    """For the own band (role 0) and the one below (role 1): (role, rows, keys, slack by row, full segments or deletions needed)."""
     own = np.where(size > 0, bands.of(np.maximum(size, 1)), -1)
     start = np.cumsum(size) - size
     place = np.arange(len(rows)) - start[rows]
@@ -170,7 +171,7 @@ def signatures(rows: np.ndarray, grams: np.ndarray, size: np.ndarray, bands: Ban
             continue
         credit = np.bincount(row_of[full], minlength=len(size))
         slack = np.where(used, credit - h - 1, 1 << 30)
-        need = np.zeros(len(size), np.int64)
+        need = credit.astype(np.int64)  # of rows with slack: their full segments; of others: deletions needed
         for i in np.flatnonzero(slack < 0):
             double = np.cumsum(held[base[i] : base[i] + m[i]] > 1)
             d = int(np.searchsorted(double, -slack[i])) + 1
@@ -355,19 +356,118 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 def _plausible(pairs: DataFrame, spared: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that share as many signatures as links must.
 
-    Linked sets agree in all but H of a set's full segments, so in more of them than it has to spare, less those it
-    lost to hot signatures. Pairs found by deletions carry a count that passes.
+    Linked sets agree in all of a set's full segments but as many as they differ in n-grams; some of those that agree
+    may be hot. Sets short of segments, and pairs found by deletions, pass.
     """
     counted = pairs.groupBy("a", "b", F.col("n").alias("upper")).agg(F.sum("slack0").alias("shared"))
-    a = spared.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("slack0").alias("a0"), F.col("slack1").alias("a1"))
-    b = spared.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("slack0").alias("b0"), F.col("slack1").alias("b1"))
-    enough = (F.col("shared") > F.when(F.col("upper") == 1, F.col("a1")).otherwise(F.col("a0"))) & (
-        F.col("shared") > F.when(F.col("upper") == 2, F.col("b1")).otherwise(F.col("b0"))
-    )
-    sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+    cols = ("n", "full0", "full1", "lost0", "lost1")
+    a = spared.select(F.col("sid").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    b = spared.select(F.col("sid").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    differ = F.floor((F.col("a_n") + F.col("b_n")) * (den - num) / F.lit(den + num))
+    enough = F.lit(True)
+    for side, code in (("a", 1), ("b", 2)):
+        full, lost = (F.when(F.col("upper") == code, F.col(f"{side}_{c}1")).otherwise(F.col(f"{side}_{c}0")) for c in ("full", "lost"))
+        enough &= F.col("shared") + lost >= full - differ
+    sizes = F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num
     return counted.join(a, "a").join(b, "b").where(enough & sizes).select("a", "b")
 
 
+#: Sets of one hot component that one block holds.
+BLOCK_SETS = 2048
+
+
+def _links_between(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (i, j) of linked sets of x and y, or within x (i < j): all intersections at once, by n-gram."""
+    every = x if y is None else x + y
+    n = np.fromiter(map(len, every), np.int64, len(every))
+    grams, of = np.concatenate(every), np.repeat(np.arange(len(every)), n)
+    order = np.argsort(grams, kind="stable")
+    grams, of = grams[order], of[order]
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    count = np.diff(np.append(first, len(grams)))
+    rows, cols = len(x), len(every)
+    both = np.zeros(rows * cols, np.float32)
+    many = np.repeat(count, count)
+    rare, group = of[(many > 1) & (many <= 32)], np.repeat(np.arange(len(count)), count)[(many > 1) & (many <= 32)]
+    for step in range(1, 32):
+        same = np.flatnonzero(group[step:] == group[:-step])
+        if not len(same):
+            break
+        i, j = rare[same], rare[same + step]  # i < j
+        keep = i < rows
+        both += np.bincount(i[keep] * cols + j[keep], minlength=rows * cols).astype(np.float32)
+    both = both.reshape(rows, cols)
+    often = np.flatnonzero(count > 32)
+    for k in range(0, len(often), 1024):
+        m = np.zeros((cols, min(1024, len(often) - k)), np.float32)
+        for c, f in enumerate(often[k : k + 1024]):
+            m[of[first[f] : first[f] + count[f]], c] = 1
+        both += m[:rows] @ m.T
+    linked = den * both >= num * (n[:rows, None] + n[None, :] - both)
+    i, j = np.nonzero(linked & (np.arange(cols)[None, :] > (np.arange(rows)[:, None] if y is None else rows - 1)))
+    return i, j
+
+
+def _forest(i: np.ndarray, j: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each node to the least of its component, instead of all links."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    v = np.flatnonzero(label != np.arange(n))
+    return label[v], v
+
+
+def _block_links(num: int, den: int):
+    def run(table: pa.Table) -> pa.Table:
+        comp, side = table["component"].to_numpy(), table["side"].to_numpy()
+        rep = table["rep"].to_numpy()
+        sets = [np.frombuffer(g.as_buffer(), _U) for g in table["grams"]]
+        u, v = [], []
+        order = np.argsort(comp, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(comp[order])) + 1):
+            left, right = at[side[at] == 0], at[side[at] == 1]
+            if len(left):
+                i, j = _links_between([sets[k] for k in left], [sets[k] for k in right] if len(right) else None, num, den)
+                both = np.concatenate([left, right])
+                i, j = _forest(i, j, len(both))
+                u.append(rep[both[i]])
+                v.append(rep[both[j]])
+        cat = lambda c: pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64())
+        return pa.table({"u": cat(u), "v": cat(v)})
+
+    return run
+
+
+def _hot_links(hot: DataFrame, sizes: DataFrame, sets: DataFrame, parts: int, num: int, den: int) -> DataFrame:
+    """(u, v): links between sets that share a hot signature, as forests; hot: (key, a), sizes: (sid, n).
+
+    Sets that hot signatures connect make a component. It is cut into blocks by size, and each pair of blocks of like
+    sizes is compared in one task, which counts all intersections n-gram by n-gram and returns no more rows than sets.
+    """
+    hubs = hot.groupBy("key").agg(F.min("a").alias("hub"))
+    placed = components(hot.join(hubs, "key").select("a", "hub"), "a", "hub").select(F.col("node").alias("sid"), "component")
+    w = Window.partitionBy("component").orderBy("n", "sid")
+    placed = placed.join(sizes, "sid").select("sid", "component", "n", F.floor((F.row_number().over(w) - 1) / BLOCK_SETS).alias("block"))
+    placed = materialize(placed, "blocks")
+    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = (blocks.select("component", *[F.col(c).alias(f"{c}{k}") for c in ("block", "least", "most")]) for k in (0, 1))
+    near = x.join(y, "component").where((F.col("block0") <= F.col("block1")) & (F.col("most0") * den >= F.col("least1") * num)).select("component", "block0", "block1")
+    each = near.select("component", "block0", "block1", F.explode(F.expr("if(block0 = block1, array(0), array(0, 1))")).alias("side"))
+    each = each.withColumn("block", F.when(F.col("side") == 0, F.col("block0")).otherwise(F.col("block1")))
+    alone = F.col("block0") + F.col("block1") == 0  # small components share tasks
+    task = F.when(alone, F.pmod(F.xxhash64("component"), F.lit(parts))).otherwise(F.xxhash64("component", "block0", "block1"))
+    rows = placed.join(each, ["component", "block"]).join(sets, "sid")
+    rows = rows.select(task.alias("task"), F.when(alone, F.lit(0)).otherwise(F.col("block0")).alias("b0"), "component", "side", "rep", "grams")
+    return rows.groupBy("task", "b0").applyInArrow(_block_links(num, den), "u bigint, v bigint")
+
+
 def _grouped(docs: DataFrame, parts: int, bands: Bands, n: int) -> DataFrame:
     return sign(docs, parts, bands, n).repartition(parts, "part").groupBy("part").applyInArrow(_group, FOUND)
 
@@ -388,26 +488,27 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         again = _grouped(docs, parts, Bands(num, den, worst), n).where(F.col("kind") != DOC)
         found = found.unionByName(materialize(again.withColumn("slack0", F.lit(1 << 40).cast("long")), "deletions"))
     classes = materialize(
-        rows.where("n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("slack0").alias("slack0"), F.first("slack1").alias("slack1")),
+        rows.where("n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("slack0", "slack1", "need0", "need1")]),
         "classes",
     )
     members = found.where(F.col("kind") == MEMBER).select("a", F.col("b").alias("key"), F.col("n").alias("role"))
+    full = [F.when(F.col(f"slack{r}") >= 0, F.col(f"need{r}")).otherwise(F.lit(-(1 << 40))).alias(f"full{r}") for r in (0, 1)]
+    spared = classes.select("sid", "n", *full, "slack0", "slack1")
     hot = None
-    spared = classes.select("sid", "n", "slack0", "slack1")
     if not members.isEmpty():
-        lost = members.groupBy("a", "role").agg(F.count(F.lit(1)).alias("lost"))
-        lost = materialize(lost, "lost")
+        lost = materialize(members.groupBy("a", "role").agg(F.count(F.lit(1)).alias("lost")), "lost")
         both = lost.groupBy(F.col("a").alias("sid")).agg(*[F.sum(F.when(F.col("role") == r, F.col("lost")).otherwise(0)).alias(f"lost{r}") for r in (0, 1)])
-        spared = spared.join(both, "sid", "left").select("sid", "n", *[(F.col(f"slack{r}") - F.coalesce(f"lost{r}", F.lit(0))).alias(f"slack{r}") for r in (0, 1)])
+        spared = spared.join(both, "sid", "left").select("sid", "n", "full0", "full1", "slack0", "slack1", *[F.coalesce(f"lost{r}", F.lit(0)).alias(f"lost{r}") for r in (0, 1)])
         spare = F.when(F.col("role") == 0, F.col("slack0")).otherwise(F.col("slack1"))
-        without = lost.join(classes.select(F.col("sid").alias("a"), "slack0", "slack1"), "a").where(F.col("lost") > spare).select("a", "role")
-        hot = materialize(members.join(without, ["a", "role"]), "hot")
-        hubs = hot.where("role = 0").groupBy("key").agg(F.min("a").alias("hub"))
-        star = hot.join(hubs, "key").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
-    pairs = _plausible(found.where(F.col("kind") == PAIR), spared, num, den)
-    if hot is not None:
-        pairs = pairs.unionByName(star)
-    pairs = materialize(pairs.distinct(), "pairs")
+        short = lost.join(classes.select(F.col("sid").alias("a"), "slack0", "slack1"), "a").where(F.col("lost") > spare).select("a", "role", (F.col("lost") - spare).alias("keep"))
+        # Two such sets share more hot signatures than either has to spare; so among the rarest of each one is shared.
+        often = members.groupBy("key").agg(F.count(F.lit(1)).alias("often"))
+        w = Window.partitionBy("a", "role").orderBy("often", "key")
+        ranked = members.join(short, ["a", "role"]).join(often, "key").withColumn("r", F.row_number().over(w))
+        hot = materialize(ranked.where("r <= keep").select("key", "a"), "hot")
+    else:
+        spared = spared.withColumns({"lost0": F.lit(0), "lost1": F.lit(0)})
+    pairs = materialize(_plausible(found.where(F.col("kind") == PAIR), spared, num, den).distinct(), "pairs")
     nodes = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
     if hot is not None:
         nodes = nodes.unionByName(hot.select(F.col("a").alias("sid")))
@@ -415,7 +516,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = materialize(_sets(docs, wanted, n), "sets")
     reps = sets.select("sid", "rep")
     least = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    edges = materialize(_verify(least, sets, num, den), "links")
+    edges = _verify(least, sets, num, den)
+    if hot is not None:
+        edges = edges.unionByName(_hot_links(hot, classes.select("sid", "n"), sets, parts, num, den))
+    edges = materialize(edges, "links")
 
     def across(now: DataFrame, candidates: DataFrame) -> DataFrame:
         """Candidates whose ends are in different components."""
@@ -428,21 +532,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not rest.isEmpty():
         edges = edges.unionByName(materialize(_verify(rest, sets, num, den), "links"))
         now = components(edges)
-    if hot is not None:
-        at = reps.join(now.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("sid").alias("a"), F.coalesce("component", "rep").alias("c"))
-        placed = hot.join(at, "a")
-        mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        left = materialize(placed.join(mixed, "key"), "left")
-        if not left.isEmpty():
-            x, y = left.where("role = 0").select("key", "a", F.col("c").alias("ca")), left.select("key", F.col("a").alias("b"), F.col("c").alias("cb"))
-            cross = x.join(y, "key").where("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            more = materialize(_verify(cross.join(pairs, ["a", "b"], "left_anti"), sets, num, den), "links")
-            if not more.isEmpty():
-                edges = edges.unionByName(more)
-                now = components(edges)
     by_class = classes.select("sid", "sid2", "rep").join(now.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "sid2", F.coalesce("component", "rep").alias("component_id"))
     linked = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "sid2").join(by_class, ["sid", "sid2"], "left")
-    # Rows of one id are one document: where its texts lie in two components, the id itself is the node of both.
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return linked.select("doc_id", "n_shingles", own.alias("component_id"), F.col("sid").alias("set_id"))
 
