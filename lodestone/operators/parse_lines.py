@@ -43,32 +43,33 @@ def _symbols(rows: DataFrame, *found: tuple[Column, Column], signature: Column |
     )
 
 
-T = F.col("text")
+def _t() -> Column:
+    return F.col("text")
 
 
 def bash(files: DataFrame) -> DataFrame:
-    name = _found(T, r"^(?:function\s+)?(\w+)\s*\(\s*\)\s*\{?")
+    name = _found(_t(), r"^(?:function\s+)?(\w+)\s*\(\s*\)\s*\{?")
     return _symbols(exploded(files), (F.when(~name.isin("if", "for", "while"), name), F.lit("function")))
 
 
 def bash_imports(files: DataFrame) -> DataFrame:
     """path, source, identifiers, line of sourced files."""
-    rows = exploded(files).withColumn("source", _found(T, r"^(?:source|\.)\s+(.+)"))
+    rows = exploded(files).withColumn("source", _found(_t(), r"^(?:source|\.)\s+(.+)"))
     return rows.where("source is not null").select("path", trim(F.col("source")).alias("source"), F.array().cast("array<string>").alias("identifiers"), "line")
 
 
 def css(files: DataFrame) -> DataFrame:
-    name = _found(T, r"^([.#][\w-]+)\s*\{")
+    name = _found(_t(), r"^([.#][\w-]+)\s*\{")
     return _symbols(exploded(files), (name, F.lit("class")), signature=name)
 
 
 def json_keys(files: DataFrame) -> DataFrame:
-    return _symbols(exploded(files), (_found(T, r'^\s*"([\w$-]+)"\s*:'), F.lit("variable")))
+    return _symbols(exploded(files), (_found(_t(), r'^\s*"([\w$-]+)"\s*:'), F.lit("variable")))
 
 
 def _plain_key(sign: str) -> Column:
-    key = _found(T, rf"^\s*([\w$_-]+)\s*{sign}")
-    return F.when(~F.regexp_replace(T, r"^\s+", "").startswith("#"), key)
+    key = _found(_t(), rf"^\s*([\w$_-]+)\s*{sign}")
+    return F.when(~F.regexp_replace(_t(), r"^\s+", "").startswith("#"), key)
 
 
 def yaml(files: DataFrame) -> DataFrame:
@@ -76,34 +77,34 @@ def yaml(files: DataFrame) -> DataFrame:
 
 
 def graphql(files: DataFrame) -> DataFrame:
-    types = _found(T, r"^(?:type|input|enum|interface|union|scalar|directive)\s+(\w+)")
-    calls = _found(T, r"^(?:query|mutation|subscription)\s+(\w+)")
+    types = _found(_t(), r"^(?:type|input|enum|interface|union|scalar|directive)\s+(\w+)")
+    calls = _found(_t(), r"^(?:query|mutation|subscription)\s+(\w+)")
     return _symbols(exploded(files), (types, F.lit("class")), (calls, F.lit("function")))
 
 
 def markdown(files: DataFrame) -> DataFrame:
     head = r"^(#{1,2})\s+(.+)"
-    kind = F.when(F.length(F.regexp_extract(T, head, 1)) == 1, "class").otherwise("function")
-    return _symbols(exploded(files), (trim(_found(T, head, 2)), kind))
+    kind = F.when(F.length(F.regexp_extract(_t(), head, 1)) == 1, "class").otherwise("function")
+    return _symbols(exploded(files), (trim(_found(_t(), head, 2)), kind))
 
 
 def toml(files: DataFrame) -> DataFrame:
-    section = trim(_found(T, r"^\[+([^\]]+)\]+"))
+    section = trim(_found(_t(), r"^\[+([^\]]+)\]+"))
     return _symbols(exploded(files), (section, F.lit("class")), (F.when(section.isNull(), _plain_key("=")), F.lit("variable")))
 
 
 def markup(files: DataFrame) -> DataFrame:
-    return _symbols(exploded(files), (F.lower(_found(T, r"(?i)<(script|style)\b[^>]*>")), F.lit("class")))
+    return _symbols(exploded(files), (F.lower(_found(_t(), r"(?i)<(script|style)\b[^>]*>")), F.lit("class")))
 
 
 def components(files: DataFrame) -> DataFrame:
     """Functions in script sections; lines with a section's tag are left out, and the last tag before decides."""
-    tag = F.when(T.contains("<script"), 1).when(T.contains("</script>"), 0)
+    tag = F.when(_t().contains("<script"), 1).when(_t().contains("</script>"), 0)
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = exploded(files).withColumn("_tag", tag).withColumn("_in", F.last("_tag", ignorenulls=True).over(w)).where("_tag is null and _in = 1")
-    named = _found(T, r"(?:export\s+)?(?:async\s+)?function\s+(\w+)")
-    arrow = _found(T, r"(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\(")
-    return _symbols(rows, (named, F.lit("function")), (arrow, F.lit("function")), exported=T.contains("export"), asynchronous=T.contains("async"))
+    named = _found(_t(), r"(?:export\s+)?(?:async\s+)?function\s+(\w+)")
+    arrow = _found(_t(), r"(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\(")
+    return _symbols(rows, (named, F.lit("function")), (arrow, F.lit("function")), exported=_t().contains("export"), asynchronous=_t().contains("async"))
 
 
 def sql(files: DataFrame) -> DataFrame:
