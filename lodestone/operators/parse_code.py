@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import link_children, scan
 from ..functions.text import extension, language
+from ..sources.session import importable
 from . import parse_lines
 
 SCHEMA = (
@@ -33,6 +34,7 @@ def records(files: DataFrame) -> DataFrame:
                 rows += [(path, "import", k, *[None] * 9, *i) for k, i in enumerate(imports)]
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in ("ordinal", "start_line", "end_line", "exported", "async", "line")})
 
+    importable(files.sparkSession)
     lang = language(F.col("path"))
     return files.select("path", "content", lang.alias("lang")).where(F.col("lang").isin(SCANNED)).mapInPandas(run, SCHEMA)
 

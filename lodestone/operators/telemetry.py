@@ -10,8 +10,13 @@ PRICES = {"large": 15.0, "medium": 3.0, "small": 0.8}
 
 
 def cost(tokens: Column, price: float) -> Column:
-    """Dollars, to four places."""
-    return F.round(tokens / 1_000_000 * price, 4)
+    """Dollars, rounded half up to four places. In ten-thousandths it is a whole number, so sums are exact."""
+    return units(tokens, price) / 10_000
+
+
+def units(tokens: Column, price: float) -> Column:
+    """Ten-thousandths of a dollar; prices have one place at most."""
+    return F.floor((tokens * round(price * 10) + 500) / 1000)
 
 
 def saved(file_tokens: Column, response_tokens: Column) -> Column:
@@ -31,13 +36,17 @@ def savings(calls: DataFrame) -> DataFrame:
 
 
 def report(calls: DataFrame) -> DataFrame:
-    """One row: total_queries, total_tokens_saved, average, and each cost folded in order, rounded at every step."""
+    """One row: total_queries, total_tokens_saved, average_tokens_saved (half up) and a total cost for each price.
+
+    A total adds costs that are each rounded, so the order does not matter and partial sums meet on the way.
+    """
     s = savings(calls)
-    folds = F.array_sort(F.collect_list(F.struct("seq", *[f"cost_{k}" for k in PRICES])))
-    total = s.agg(F.count(F.lit(1)).alias("total_queries"), F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("total_tokens_saved"), folds.alias("f"))
+    total = s.agg(
+        F.count(F.lit(1)).alias("total_queries"), F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("total_tokens_saved"),
+        *[(F.coalesce(F.sum(units(F.col("tokens_saved"), p)), F.lit(0)) / 10_000).alias(f"total_cost_{k}") for k, p in PRICES.items()],
+    )
     average = F.when(F.col("total_queries") > 0, F.floor(F.col("total_tokens_saved") / F.col("total_queries") + 0.5)).otherwise(0)
-    sums = [F.aggregate(f"f.cost_{k}", F.lit(0.0), lambda a, x: F.round(a + x, 4)).alias(f"total_cost_{k}") for k in PRICES]
-    return total.select("total_queries", "total_tokens_saved", average.cast("long").alias("average_tokens_saved"), *sums)
+    return total.select("total_queries", "total_tokens_saved", average.cast("long").alias("average_tokens_saved"), *[f"total_cost_{k}" for k in PRICES])
 
 
 def by_tool(calls: DataFrame) -> DataFrame:

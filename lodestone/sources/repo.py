@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import language, lines, source_type
+from .session import importable
 
 #: Scanned extensions and ignored directories (fixed values).
 EXTENSIONS = [f".{e}" for e in "js jsx cjs mjs ts tsx json yaml yml graphql gql md toml xml html css scss less vue svelte".split()]
@@ -90,6 +91,7 @@ def read_files(spark: SparkSession, root: str, paths: list[str] | None = None, p
                     continue
             yield pd.DataFrame(rows, columns=["path", "content"])
 
+    importable(spark)
     frame = spark.createDataFrame([(p,) for p in paths], "path string")
     return frame.repartition(partitions or max(1, min(len(paths) // 200 + 1, 10_000))).mapInPandas(read, "path string, content string")
 
