@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..sources.session import importable
 
 #: Rows in one Arrow batch. Texts are long, so the batches handed to Python stay small.
 ARROW_ROWS = 512
@@ -19,7 +18,7 @@ ARROW_ROWS = 512
 
 def prepare(spark: SparkSession) -> None:
     """Let executors import this package and keep Arrow batches small."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
+    importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
