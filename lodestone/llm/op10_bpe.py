@@ -27,10 +27,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textvec as tv
 from .op5_token_orc import _ALPHA, _LATIN, _PUNCT, PieceEncoder
-from .runtime import plus
+from .runtime import plus, tidy
 
 #: White_Space as the rank files' own library reads \s (fixed value).
 _WHITE = r"\t-\r \x85\xa0  -     　"
@@ -158,7 +159,13 @@ class Codec:
         self.table, self.pattern = MergeTable(ranks), compile_pattern(pattern)
         self.pieces = PieceEncoder(self._encode, pieces)
 
+    #: Pieces merged at once.
+    TOGETHER = 20_000
+
     def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [ids for i in range(0, len(texts), self.TOGETHER) for ids in self._merged(texts[i : i + self.TOGETHER])]
+
+    def _merged(self, texts: list[str]) -> list[list[int]]:
         split = [self.pattern.findall(t) for t in texts]
         number: dict[str, int] = {}
         for s in split:
@@ -169,7 +176,7 @@ class Codec:
 
     def encode_column(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Yields (first row, end row, ids, offsets of the rows in them)."""
-        for lo, hi, buf, offs in tv.chunks(col, 4 << 20):
+        for lo, hi, buf, offs in tv.chunks(col):
             yield lo, hi, *self.pieces.texts(buf, offs)
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,10 +227,14 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """Adds the ids of each whole text; all other columns stay. out_col must be a new name."""
-    if out_col in docs.columns:
-        raise ValueError(f"column {out_col} exists")
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out_col: str = "ids", check_col: str | None = None) -> DataFrame:
+    """Adds the ids of each whole text; all other columns stay. out_col must be a new name.
+
+    With a check_col the ids are decoded at once, and that column says whether they give the text back.
+    """
+    for c in (out_col, check_col):
+        if c in docs.columns:
+            raise ValueError(f"column {c} exists")
     place = docs.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +242,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
         for b in batches:
             for lo, hi, ids, offs in c.encode_column(b.column(place)):
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, lists], names=[*b.schema.names, out_col])
+                rows, names = [*b.slice(lo, hi - lo).columns, lists], [*b.schema.names, out_col]
+                if check_col is not None:
+                    raw, upto = c.decode(ids, offs)
+                    data = raw.tobytes()
+                    same = [data[s:e] == (t.as_py() or "").encode() for s, e, t in zip(upto[:-1].tolist(), upto[1:].tolist(), b.column(place).slice(lo, hi - lo), strict=True)]
+                    rows, names = [*rows, pa.array(same, pa.bool_())], [*names, check_col]
+                yield pa.RecordBatch.from_arrays(rows, names=names)
 
     schema = plus(docs, out_col, "array<int>")
-    return docs.mapInArrow(run, schema)
+    if check_col is not None:
+        schema = StructType([*schema.fields, *StructType.fromDDL(f"`{check_col}` boolean").fields])
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -253,7 +272,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
             texts = pa.array([data[s:e] for s, e in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
 
-    return tokens.mapInArrow(run, plus(tokens, out_col, "binary"))
+    return tokens.mapInArrow(tidy(run), plus(tokens, out_col, "binary"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -277,7 +296,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     schema=schema,
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .components import components
-from .runtime import drop_ids, materialize, partitions_for
+from .runtime import drop_ids, materialize, partitions_for, tidy
 
 N = 5
 NUM, DEN = 75, 100
@@ -241,7 +241,7 @@ def sign(docs: DataFrame, parts: int, bands: Bands, n: int = N) -> DataFrame:
         if waiting and (out := _blocks(*map(np.concatenate, held), parts)) is not None:
             yield out
 
-    return docs.mapInArrow(run, BLOCK)
+    return docs.mapInArrow(tidy(run), BLOCK)
 
 
 FOUND = "kind int, doc_id bigint, n bigint, a bigint, b bigint, slack0 bigint, slack1 bigint, need0 bigint, need1 bigint"
@@ -327,7 +327,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     right = F.broadcast(wanted) if few else wanted
     picked = docs.join(right, "doc_id").select("doc_id", "sid", "text")
-    return picked.mapInArrow(run, "sid bigint, rep bigint, grams binary").dropDuplicates(["sid", "rep"])
+    return picked.mapInArrow(tidy(run), "sid bigint, rep bigint, grams binary").dropDuplicates(["sid", "rep"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -350,7 +350,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     a = sets.select(F.col("sid").alias("a"), F.col("rep").alias("u"), F.col("grams").alias("ga"))
     b = sets.select(F.col("sid").alias("b"), F.col("rep").alias("v"), F.col("grams").alias("gb"))
-    return pairs.join(a, "a").join(b, "b").select("u", "v", "ga", "gb").mapInArrow(run, "u bigint, v bigint")
+    return pairs.join(a, "a").join(b, "b").select("u", "v", "ga", "gb").mapInArrow(tidy(run), "u bigint, v bigint")
 
 
 def _plausible(pairs: DataFrame, spared: DataFrame, num: int, den: int) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .labelled import fold, sample_docs
-from .runtime import plus
+from .runtime import plus, tidy
 
 MAX_LABELLED = 3_000
 WINDOW, STRIDE = 32, 16
@@ -282,7 +282,7 @@ def score(docs: DataFrame, model: Net, text_col: str = "text", out_col: str = "s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.score(b.column(len(rest))))], names=[*rest, out_col])
 
     ordered = docs.select(*rest, text_col)
-    return ordered.mapInArrow(run, plus(ordered, out_col, "double", text_col))
+    return ordered.mapInArrow(tidy(run), plus(ordered, out_col, "double", text_col))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .labelled import fold, sample_docs
-from .runtime import plus
+from .runtime import plus, tidy
 
 MAX_LABELLED = 8_000
 BINS, PAIR_BINS, PAIRS = 32, 8, 8
@@ -213,7 +213,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
             x = features(b.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    rows = sample_docs(docs, labels, label, folds, held, most).select("text", "y").mapInArrow(run, "x array<double>, y int").toArrow()
+    rows = sample_docs(docs, labels, label, folds, held, most).select("text", "y").mapInArrow(tidy(run), "x array<double>, y int").toArrow()
     x = np.array(rows["x"].to_pylist()).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)
     return Gam(x[order], rows["y"].to_numpy()[order])
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Gam, text_col: str = "text", out_col: str = "s
             s = shared.value.score(features(b.column(place)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], names=[*b.schema.names, out_col])
 
-    return docs.mapInArrow(run, plus(docs, out_col, "double"))
+    return docs.mapInArrow(tidy(run), plus(docs, out_col, "double"))
 
 
 def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,5 +245,5 @@ def op3_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
             s = shared.value.score(features(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s)], names=["doc_id", "held_out", "score"])
 
-    out = place.mapInArrow(run, "doc_id bigint, held_out boolean, score double")
+    out = place.mapInArrow(tidy(run), "doc_id bigint, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

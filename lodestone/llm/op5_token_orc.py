@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import partitions_for, scratch_path
+from .runtime import partitions_for, scratch_path, tidy
 
 END_ID = 2
 #: Text bytes that one ORC file takes, about.
@@ -55,7 +55,7 @@ class PieceEncoder:
     """Encodes texts through ``encode`` (list of strings to list of id lists), once for each distinct piece."""
 
     #: Distinct pieces and ids kept before the memory is emptied.
-    MAX_PIECES, MAX_IDS = 1_200_000, 8_000_000
+    MAX_PIECES, MAX_IDS = 800_000, 5_000_000
 
     def __init__(self, encode, split=None):
         self.encode, self.split = encode, split
@@ -173,7 +173,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(np.full(k, shard, np.int32)), pa.array(start + offs[:-1]), pa.array(np.diff(offs)), lists], schema=out_type)
                 start += int(offs[-1])
 
-    ordered.mapInArrow(encode, SCHEMA).write.options(**ORC_OPTIONS).orc(path)
+    ordered.mapInArrow(tidy(encode), SCHEMA).write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -201,7 +201,7 @@ def checksums(tokens: DataFrame) -> DataFrame:
             crc = [zlib.crc32(raw[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offs) // 4), pa.array(crc, pa.int64())], schema=schema)
 
-    return tokens.select("doc_id", "start", "ids").mapInArrow(digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return tokens.select("doc_id", "start", "ids").mapInArrow(tidy(digest), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op5_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,14 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import materialize, partitions_for, release
+from .runtime import materialize, partitions_for, release, tidy
 from .suffix import permuted_lcp, suffix_array
 
 WINDOW, GRAM = 200, 16
 #: Parquet bytes of documents whose anchors one task groups, and bytes of contexts in a shard, about.
 PART_BYTES, SHARD_BYTES = 16 << 20, 1 << 20
 #: Bytes scanned at once.
-SCAN_BYTES, STRETCH = 1 << 18, 1 << 22
+SCAN_BYTES, STRETCH = 1 << 18, 1 << 20
 _U = np.uint64
 _R = _U(0x9E3779B97F4A7C15) | _U(1)
 _C = [_U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9), _U(0x27D4EB2F165667C5), _U(0x85EBCA77C2B2AE63)]
@@ -162,7 +162,7 @@ def _scan(docs: DataFrame, parts: int, window: int) -> DataFrame:
         if waiting:
             yield flush()
 
-    return docs.mapInArrow(run, BLOCK)
+    return docs.mapInArrow(tidy(run), BLOCK)
 
 
 FOUND = "kind int, k bigint, h bigint, s0 bigint, n int, gram bigint"
@@ -232,7 +232,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, shards: int, window: int) -> D
                 names=["shard", "k", "h", "s0", "n", "body"],
             )
 
-    return docs.join(_pack(wanted, "s0", "n", "gram"), ["k", "h"]).select("k", "h", "text", "spans").mapInArrow(run, CONTEXT)
+    return docs.join(_pack(wanted, "s0", "n", "gram"), ["k", "h"]).select("k", "h", "text", "spans").mapInArrow(tidy(run), CONTEXT)
 
 
 SPAN = "k bigint, h bigint, s0 bigint, n int"
@@ -291,7 +291,7 @@ def _counted(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 [k.take(take), h.take(take), pa.array(s0.take(take).to_numpy() + at), pa.array((np.concatenate(value) if value else np.zeros(0, _U)).view(np.int64))], names=["k", "h", "s0", "w"]
             )
 
-    windows = _contexts(docs, wanted, 1, window).mapInArrow(run, "k bigint, h bigint, s0 bigint, w bigint")
+    windows = _contexts(docs, wanted, 1, window).mapInArrow(tidy(run), "k bigint, h bigint, s0 bigint, w bigint")
     twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w")
     return windows.join(twice, "w").select("k", "h", "s0", F.lit(1).alias("n"))
 
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             )
 
     out = "doc_id bigint, kept binary, n_bytes bigint, removed array<struct<a: bigint, b: bigint>>"
-    return with_spans(base, repeats(base, window)).select("doc_id", "text", "spans").mapInArrow(run, out)
+    return with_spans(base, repeats(base, window)).select("doc_id", "text", "spans").mapInArrow(tidy(run), out)
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,7 +387,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
             cols = [pa.array(new, old.type) if i == place else c for i, c in enumerate(b.columns[:last])]
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:last])
 
-    return rows.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(tidy(run), docs.schema)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,4 +408,4 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
 
     rows = with_spans(base, repeats(base)).select("doc_id", "text", "spans")
-    return rows.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.mapInArrow(tidy(run), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

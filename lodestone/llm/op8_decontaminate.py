@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import drop_ids
+from .runtime import drop_ids, tidy
 
 THRESHOLD, OVERLAP = 0.5, 0.6
 K1, B = 1.2, 0.75
@@ -183,7 +183,7 @@ def _leaks(docs: DataFrame, index: Index) -> DataFrame:
                 names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"],
             )
 
-    return docs.mapInArrow(run, OUT)
+    return docs.mapInArrow(tidy(run), OUT)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:

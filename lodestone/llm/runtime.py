@@ -88,6 +88,18 @@ def release() -> None:
         trim(0)
 
 
+def tidy(run):
+    """A batch function that hands its memory back when its task ends; workers live on from task to task."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 #: Ids up to which a list of documents to drop is broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 500_000
 
