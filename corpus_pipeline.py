@@ -58,11 +58,9 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     prepare(spark)
-    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, pattern)
-    back = bpe.decode(ids, path, pattern)
-    same = F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")) == F.col("decoded")
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    docs = docs.select("doc_id", "lang", "source", "text")
+    ids = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, check_col="round_trip")
+    return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [
