@@ -86,7 +86,7 @@ class MergeTable:
         place, found = place[order], found[order]
         begin = np.flatnonzero(np.diff(found, prepend=-1))
         index: dict[int, list[int]] = {}  # from a merge's rank to the left places of its pair
-        for r, p in zip(found[begin].tolist(), np.split(place, begin[1:]), strict=True):
+        for r, p in zip(found[begin].tolist(), np.split(place, begin[1:])[: len(begin)], strict=True):
             index[r] = p.tolist()
         due = list(index)
         heapq.heapify(due)
