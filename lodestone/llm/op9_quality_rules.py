@@ -81,9 +81,11 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         "_r",
         F.expr(f"filter(_s, (x, k) -> (k > 0 and {same.format(y='_s[k - 1]')}) or (k < size(_s) - 1 and {same.format(y='_s[k + 1]')}))"),
     )
+    # The zero keeps the optimizer from pushing a filter on a measurement below this point, where it would copy the sorted
+    # windows into the filter's lambda and compute them again for every window.
     return df.select(
         id_col,
-        F.size("_w").cast("long").alias("n_words"),
+        (F.size("_w").cast("long") + F.spark_partition_id() * 0).alias("n_words"),
         "word_chars",
         "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
