@@ -7,6 +7,7 @@ exported, async, parent_class). A symbol spans its line.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,22 +32,36 @@ def _symbols(rows: DataFrame, *found: tuple[Column, Column], signature: Column |
     sig = trim(F.col("text")) if signature is None else signature
     options = F.filter(F.array(*[F.struct(F.lit(i).alias("k"), n.alias("name"), k.alias("kind")) for i, (n, k) in enumerate(found)]), lambda s: s["name"].isNotNull())
     out = rows.withColumn("_s", F.explode(options))
-    w = Window.partitionBy("path").orderBy("line", "k")
     zero = F.lit(0)
-    out = out.select(
-        "path", F.col("_s.k").alias("k"), "line", F.col("_s.name").alias("name"), F.col("_s.kind").alias("kind"), sig.alias("signature"),
-        (zero if exported is None else exported.cast("int")).alias("exported"), (zero if asynchronous is None else asynchronous.cast("int")).alias("async"),
-    )
     return out.select(
-        "path", (F.row_number().over(w) - 1).alias("ordinal"), "name", "kind", "signature", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
-        "exported", "async", F.lit(None).cast("string").alias("parent_class"),
+        "path", F.col("line").alias("_line"), F.col("_s.k").alias("_k"), F.col("_s.name").alias("name"), F.col("_s.kind").alias("kind"), sig.alias("signature"),
+        F.col("line").alias("start_line"), F.col("line").alias("end_line"), (zero if exported is None else exported.cast("int")).alias("exported"),
+        (zero if asynchronous is None else asynchronous.cast("int")).alias("async"), F.lit(None).cast("string").alias("parent_class"),
     )
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Numbers a file's symbols by _line and _k, which go."""
+    w = Window.partitionBy("path").orderBy("_line", "_k")
+    return rows.withColumn("ordinal", F.row_number().over(w) - 1).select(*SYMBOL_COLUMNS)
+
+
+def _numbered(parser: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A parser with numbers; its rows before that are in ``raw``, so that many parsers can share one numbering."""
+
+    @wraps(parser)
+    def run(files: DataFrame) -> DataFrame:
+        return _in_order(parser(files))
+
+    run.raw = parser
+    return run
+
+
 def _t() -> Column:
     return F.col("text")
 
 
+@_numbered
 def bash(files: DataFrame) -> DataFrame:
     name = _found(_t(), r"^(?:function\s+)?(\w+)\s*\(\s*\)\s*\{?")
     return _symbols(exploded(files), (F.when(~name.isin("if", "for", "while"), name), F.lit("function")))
@@ -58,11 +73,13 @@ def bash_imports(files: DataFrame) -> DataFrame:
     return rows.where("source is not null").select("path", trim(F.col("source")).alias("source"), F.array().cast("array<string>").alias("identifiers"), "line")
 
 
+@_numbered
 def css(files: DataFrame) -> DataFrame:
     name = _found(_t(), r"^([.#][\w-]+)\s*\{")
     return _symbols(exploded(files), (name, F.lit("class")), signature=name)
 
 
+@_numbered
 def json_keys(files: DataFrame) -> DataFrame:
     return _symbols(exploded(files), (_found(_t(), r'^\s*"([\w$-]+)"\s*:'), F.lit("variable")))
 
@@ -72,31 +89,37 @@ def _plain_key(sign: str) -> Column:
     return F.when(~F.regexp_replace(_t(), r"^\s+", "").startswith("#"), key)
 
 
+@_numbered
 def yaml(files: DataFrame) -> DataFrame:
     return _symbols(exploded(files), (_plain_key(":"), F.lit("variable")))
 
 
+@_numbered
 def graphql(files: DataFrame) -> DataFrame:
     types = _found(_t(), r"^(?:type|input|enum|interface|union|scalar|directive)\s+(\w+)")
     calls = _found(_t(), r"^(?:query|mutation|subscription)\s+(\w+)")
     return _symbols(exploded(files), (types, F.lit("class")), (calls, F.lit("function")))
 
 
+@_numbered
 def markdown(files: DataFrame) -> DataFrame:
     head = r"^(#{1,2})\s+(.+)"
     kind = F.when(F.length(F.regexp_extract(_t(), head, 1)) == 1, "class").otherwise("function")
     return _symbols(exploded(files), (trim(_found(_t(), head, 2)), kind))
 
 
+@_numbered
 def toml(files: DataFrame) -> DataFrame:
     section = trim(_found(_t(), r"^\[+([^\]]+)\]+"))
     return _symbols(exploded(files), (section, F.lit("class")), (F.when(section.isNull(), _plain_key("=")), F.lit("variable")))
 
 
+@_numbered
 def markup(files: DataFrame) -> DataFrame:
     return _symbols(exploded(files), (F.lower(_found(_t(), r"(?i)<(script|style)\b[^>]*>")), F.lit("class")))
 
 
+@_numbered
 def components(files: DataFrame) -> DataFrame:
     """Functions in script sections; lines with a section's tag are left out, and the last tag before decides."""
     tag = F.when(_t().contains("<script"), 1).when(_t().contains("</script>"), 0)
@@ -107,6 +130,7 @@ def components(files: DataFrame) -> DataFrame:
     return _symbols(rows, (named, F.lit("function")), (arrow, F.lit("function")), exported=_t().contains("export"), asynchronous=_t().contains("async"))
 
 
+@_numbered
 def sql(files: DataFrame) -> DataFrame:
     """Tables, then views; a statement may run over lines, so the text is cut at matches and the line counted before."""
     out = None
@@ -124,9 +148,8 @@ def sql(files: DataFrame) -> DataFrame:
         line = F.lit(1) + breaks(F.slice("g", 1, F.col("i") + 1)) + breaks(F.slice("m", 1, F.col("i")))
         part = rows.select("path", F.lit(k).alias("k"), "i", "name", F.lit(kind).alias("kind"), F.concat(F.lit(verb), "name").alias("signature"), line.alias("line"))
         out = part if out is None else out.unionByName(part)
-    w = Window.partitionBy("path").orderBy("k", "i")
     return out.select(
-        "path", (F.row_number().over(w) - 1).alias("ordinal"), "name", "kind", "signature", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
+        "path", F.col("k").alias("_line"), F.col("i").alias("_k"), "name", "kind", "signature", F.col("line").alias("start_line"), F.col("line").alias("end_line"),
         F.lit(0).alias("exported"), F.lit(0).alias("async"), F.lit(None).cast("string").alias("parent_class"),
     )
 
@@ -139,8 +162,5 @@ PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def parse(files: DataFrame) -> DataFrame:
     """Symbols of all files of these formats, each by its extension."""
-    out = None
-    for names, parser in PARSERS.items():
-        part = parser(files.where(F.lower(extension(F.col("path"))).isin(names.split()))).select(*SYMBOL_COLUMNS)
-        out = part if out is None else out.unionByName(part)
-    return out
+    ext = F.lower(extension(F.col("path")))
+    return _in_order(reduce(DataFrame.unionByName, [parser.raw(files.where(ext.isin(names.split()))) for names, parser in PARSERS.items()]))
