@@ -12,6 +12,11 @@ repeated word counts again, which only loosens them), so all that reach the thre
 A retrieved item counts as leaked if at least OVERLAP of the question's word n-grams and of the answer's are in the
 text. An item's first half is its question and the rest its answer; GRAM-grams, or the part itself where it is shorter.
 
+With edited=True, as the query and the pipeline have it, edited copies count too: words are compared without punctuation
+(one of nothing else stays as it is, and counts in an item only where the item has no other), windows are half as long
+again, so that one holds all of an item, and a half is there as well if at least ALIGNED of its words stand in their
+order in one passage near such a window. An overlap is then the larger share, of n-grams or of words.
+
 The index is built from items of at most INDEX_BYTES at a time; a larger benchmark takes several passes over the texts.
 
 Defined results: a null or empty text, and an item without words, leak nothing; repeated items are reported each, under
@@ -34,6 +39,8 @@ from .runtime import drop_ids, tidy
 THRESHOLD, OVERLAP = 0.5, 0.6
 K1, B = 1.2, 0.75
 GRAM = 5
+#: The share of a half's words that must stand in order: a half of seven words bears three edits.
+ALIGNED = 0.55
 BLOCK = 64
 LEAST_STRIDE = 24
 #: Text bytes of the items in one index.
@@ -42,6 +49,62 @@ _U = np.uint64
 _ODDS = tv.mix64(np.arange(101, 165, dtype=_U)) | _U(1)
 
 
+_PUNCT = np.zeros(256, bool)
+_PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+_LATIN = np.isin(np.arange(256), [0xA1, 0xAB, 0xB7, 0xBB, 0xBF])  # after C2: inverted marks, guillemets, middle dot
+
+
+def _plain_hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words without ASCII, Latin and general punctuation, or whole where nothing else is left; and which have more."""
+    drop = np.concatenate([_PUNCT[buf], [False, False]])
+    at = np.flatnonzero(buf[:-1] == 0xC2)
+    at = at[_LATIN[buf[at + 1]]]
+    drop[at] = drop[at + 1] = True
+    at = np.flatnonzero(buf[:-2] == 0xE2)
+    at = at[((buf[at + 1] == 0x80) & (buf[at + 2] >= 0x90)) | ((buf[at + 1] == 0x81) & (buf[at + 2] <= 0x9E))]
+    drop[at] = drop[at + 1] = drop[at + 2] = True
+    keep = ~drop[: len(buf)]
+    upto = np.concatenate([[0], np.cumsum(keep)])
+    first, last = upto[s], upto[e]
+    some = last > first
+    out = np.empty(len(s), _U)
+    out[some] = tv.word_hashes(buf[keep], first[some], last[some])
+    out[~some] = tv.word_hashes(buf, s[~some], e[~some])
+    return out, some
+
+
+def _item_words(text: str, edited: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of an item's words, as they are and as they are looked for."""
+    (_, _, buf, offs) = next(tv.chunks(pa.array([text or ""])))
+    buf = tv.lower(buf)
+    s, e, _ = tv.words(buf, offs)
+    h = tv.word_hashes(buf, s, e)
+    if not edited or not len(h):
+        return h, h
+    plain, some = _plain_hashes(buf, s, e)
+    return h, plain[some] if some.any() else plain
+
+
+def _in_order(part: np.ndarray, terms: np.ndarray, least: float, none: int) -> float:
+    """The largest share of part's words that stand in their order in one passage of terms; 0 if below least."""
+    m = len(part)
+    step = max(1, m // 8)
+    width = m + max(4, m // 2) + step
+    known = np.concatenate([[0], np.cumsum(np.isin(terms, part))])
+    first = np.arange(0, max(1, len(terms) - width + step), step)
+    first = first[known[np.minimum(first + width, len(terms))] - known[first] >= least * m]
+    padded = np.concatenate([terms, np.full(width, none, terms.dtype)])
+    best = 0
+    for i in range(0, len(first), 1024):
+        t = padded[first[i : i + 1024, None] + np.arange(width)]
+        run = np.zeros((len(t), width + 1), np.int32)
+        for w in part:
+            run[:, 1:] = np.maximum(run[:, 1:], run[:, :-1] + (t == w))
+            np.maximum.accumulate(run, axis=1, out=run)
+        best = max(best, int(run.max()))
+    return best / m if best >= least * m else 0.0
+
+
 def _grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words."""
     out = h[: len(h) - n + 1] * _ODDS[0]
@@ -53,20 +116,19 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
 class Index:
     """An inverted index of items with the maxima of terms and of blocks of items."""
 
-    def __init__(self, ids: list, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM):
-        self.threshold, self.overlap = threshold, overlap
-        keep, seqs = [], []
+    def __init__(self, ids: list, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM, edited: bool = False):
+        self.threshold, self.overlap, self.edited = threshold, overlap, edited
+        keep, whole, seqs = [], [], []
         for i, t in zip(ids, texts, strict=True):
-            (_, _, buf, offs) = next(tv.chunks(pa.array([t or ""])))
-            buf = tv.lower(buf)
-            s, e, _ = tv.words(buf, offs)
-            if len(s):
+            h, sought = _item_words(t, edited)
+            if len(h):
                 keep.append(i)
-                seqs.append(tv.word_hashes(buf, s, e))
+                whole.append(h)
+                seqs.append(sought)
         self.ids, n = keep, len(keep)
         self.terms = np.unique(np.concatenate(seqs)) if n else np.zeros(0, _U)
         lens = np.array([len(s) for s in seqs], float)
-        self.longest = int(lens.max()) if n else 0
+        self.longest = max((len(h) for h in whole), default=0)
         rows, items, counts = [], [], []
         for j, s in enumerate(seqs):
             u, c = np.unique(np.searchsorted(self.terms, s), return_counts=True)
@@ -97,10 +159,13 @@ class Index:
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.terms & _U(0xFFFF)).astype(np.int64)] = True
         self.stride = max(LEAST_STRIDE, -(-self.longest // 2))
-        self.parts = []
-        for s in seqs:
+        self.width = (3 if edited else 2) * self.stride
+        self.parts, self.halves = [], []
+        for h, s in zip(whole, seqs, strict=True):
+            half = -(-len(h) // 2)
+            self.parts.append([(min(gram, len(p)), np.unique(_grams(p, min(gram, len(p))))) if len(p) else None for p in (h[:half], h[half:])])
             half = -(-len(s) // 2)
-            self.parts.append([(min(gram, len(p)), np.unique(_grams(p, min(gram, len(p))))) if len(p) else None for p in (s[:half], s[half:])])
+            self.halves.append([self.number(p) for p in (s[:half], s[half:])])
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's term, or len(terms)."""
@@ -112,14 +177,14 @@ class Index:
             out[at[hit]] = p[hit]
         return out
 
-    def retrieve(self, terms: np.ndarray, rows: np.ndarray, n: int) -> dict[tuple[int, int], float]:
-        """(row, item) to the best passage's score, for all that reach the threshold."""
+    def retrieve(self, terms: np.ndarray, rows: np.ndarray, n: int) -> tuple[dict[tuple[int, int], float], dict[tuple[int, int], list[int]]]:
+        """(row, item) to the best passage's score and to the passages' first words, for all that reach the threshold."""
         count = tv.row_counts(rows, n)
-        many = np.where(count > 0, np.maximum(1, -(-(count - 2 * self.stride) // self.stride) + 1), 0)
+        many = np.where(count > 0, np.maximum(1, -(-(count - self.width) // self.stride) + 1), 0)
         row = np.repeat(np.arange(n), many)
         k = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
         first = (np.cumsum(count) - count)[row] + k * self.stride
-        last = np.minimum(first + 2 * self.stride, np.cumsum(count)[row])
+        last = np.minimum(first + self.width, np.cumsum(count)[row])
         bar = self.threshold - 1e-4
 
         def bound(weights: np.ndarray, live: np.ndarray) -> np.ndarray:
@@ -128,11 +193,12 @@ class Index:
 
         live = bound(self.term_max, np.arange(len(row)))
         best: dict[tuple[int, int], float] = {}
+        places: dict[tuple[int, int], list[int]] = {}
         for b in range(self.blocks if len(live) else 0):
             left = bound(self.block_max[b], live)
             for i in range(0, len(left), 512):
                 w = left[i : i + 512]
-                at = first[w][:, None] + np.arange(2 * self.stride)
+                at = first[w][:, None] + np.arange(self.width)
                 t = np.where(at < last[w][:, None], terms[np.minimum(at, len(terms) - 1)], len(self.terms))
                 t = np.sort(self.place[b][t], axis=1)
                 t[:, 1:][t[:, 1:] == t[:, :-1]] = len(self.tables[b]) - 1  # a term counts once; the last row is zero
@@ -140,7 +206,19 @@ class Index:
                 for x, j in zip(*np.nonzero(score >= self.threshold - 1e-6), strict=True):
                     key = (int(row[w[x]]), b * BLOCK + int(j))
                     best[key] = max(best.get(key, 0.0), float(score[x, j]))
-        return best
+                    places.setdefault(key, []).append(int(first[w[x]]))
+        return best, places
+
+    def aligned(self, item: int, terms: np.ndarray, places: list[int]) -> list[float]:
+        """The share of the question's words and of the answer's that stand in order in a passage at most a stride from these windows."""
+        near: list[list[int]] = []
+        for p in sorted(places):
+            lo, hi = max(0, p - self.stride), p + self.width + self.stride
+            if near and lo <= near[-1][1]:
+                near[-1][1] = hi
+            else:
+                near.append([lo, hi])
+        return [max(_in_order(part, terms[lo:hi], ALIGNED, len(self.terms)) for lo, hi in near) if len(part) else 1.0 for part in self.halves[item]]
 
     def overlaps(self, item: int, h: np.ndarray, cache: dict[int, np.ndarray]) -> list[float]:
         """The share of the question's and of the answer's n-grams that are in the text; an empty answer has all."""
@@ -169,13 +247,25 @@ def _leaks(docs: DataFrame, index: Index) -> DataFrame:
             for lo, hi, buf, offs in tv.chunks(b.column(1)):
                 buf = tv.lower(buf)
                 s, e, rows = tv.words(buf, offs)
-                h = tv.word_hashes(buf, s, e)
-                found = ix.retrieve(ix.number(h), rows, hi - lo)
+                if not len(s):
+                    continue
+                h = _plain_hashes(buf, s, e)[0] if ix.edited else tv.word_hashes(buf, s, e)
+                terms = ix.number(h)
+                found, places = ix.retrieve(terms, rows, hi - lo)
                 upto = np.searchsorted(rows, np.arange(hi - lo + 1))
                 caches: dict[int, dict] = {}
+                whole: dict[int, np.ndarray] = {}
                 for (r, j), score in sorted(found.items()):
-                    q, a = ix.overlaps(j, h[upto[r] : upto[r + 1]], caches.setdefault(r, {}))
-                    if q >= ix.overlap and a >= ix.overlap:
+                    mine = slice(upto[r], upto[r + 1])
+                    if r not in whole:
+                        whole[r] = tv.word_hashes(buf, s[mine], e[mine]) if ix.edited else h[mine]
+                    q, a = grams = ix.overlaps(j, whole[r], caches.setdefault(r, {}))
+                    there = [x >= ix.overlap for x in grams]
+                    if ix.edited and min(grams) < 1:
+                        words = ix.aligned(j, terms[mine], [p - upto[r] for p in places[r, j]])
+                        there = [x or y >= ALIGNED for x, y in zip(there, words, strict=True)]
+                        q, a = (max(x) for x in zip(grams, words, strict=True))
+                    if all(there):
                         for c, v in zip(cols, (b.column(0)[lo + r].as_py(), ix.ids[j], round(score, 5), q, a), strict=True):
                             c.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -186,7 +276,7 @@ def _leaks(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(tidy(run), OUT)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES, edited: bool = False) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each leaked item of a document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -196,15 +286,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     for turn in range(turns):
         mine = items if turns == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn)
         table = mine.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        found = _leaks(docs, Index(table["item_id"].to_pylist(), table["text"].to_pylist()))
+        found = _leaks(docs, Index(table["item_id"].to_pylist(), table["text"].to_pylist(), edited=edited))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, edited: bool = False) -> DataFrame:
     """The documents that leak no item, with all their columns; a row with a null id stays."""
-    return drop_ids(docs, leaks(docs, benchmark).select("doc_id"))
+    return drop_ids(docs, leaks(docs, benchmark, edited=edited).select("doc_id"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), edited=True)

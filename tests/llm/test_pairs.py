@@ -215,3 +215,38 @@ def test_decontaminate(llm, rng):
     assert op8.leaks(d.limit(0), b).count() == 0 and op8.leaks(d, b.limit(0)).count() == 0
     bad = {r[0] for r in leaks(docs, items)}
     assert {r["doc_id"] for r in op8.clean(d, b).collect()} == {i for i, _ in docs} - bad
+
+
+def test_decontaminate_edited_copies(llm, rng, tmp_path):
+    """The query and the pipeline's stage find copies with one to three words changed, lost or added, and without punctuation."""
+    import corpus_pipeline
+
+    vocab = ["the", "of", "to", *[f"v{i}" for i in range(900)]]
+    some = lambda k: [rng.choice(vocab) for _ in range(k)]
+    items = []
+    for i in range(120):
+        ws = some(rng.randint(15, 59))
+        items.append((i, " ".join(w + rng.choice(["", "", ",", ".", "?", "’"]) for w in ws)))
+    docs, planted = [], set()
+    for i in range(360):
+        ws, kind = items[i % 120][1].split(), i // 120
+        if kind == 0:
+            for at in rng.sample(range(len(ws)), rng.randint(1, 3)):
+                ws[at] = "edited"
+        elif kind == 1:
+            ws = re.sub(r"[^\w ]", "", " ".join(ws)).split()
+            ws[rng.randrange(len(ws))] = "edited"
+        else:
+            for _ in range(rng.randint(1, 3)):
+                del ws[rng.randrange(len(ws))]
+            ws.insert(rng.randrange(len(ws)), "- added")
+        docs.append((i, " ".join(some(rng.randint(0, 200)) + ws + some(rng.randint(0, 90)))))
+        planted.add((i, i % 120))
+    docs += [(1000 + i, " ".join(some(300))) for i in range(60)]
+    docs += [(2000 + i, " ".join(items[i][1].split()[: len(items[i][1].split()) // 2] + some(100))) for i in range(60)]  # no answer
+    llm.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    llm.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = op8.op8_decontaminate(llm, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == planted and len(rows) == len(planted)
+    kept = corpus_pipeline.decontaminated(llm, llm.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs if i >= 1000}
