@@ -18,6 +18,7 @@ again, so that one holds all of an item, and a half is there as well if at least
 order in one passage near such a window. An overlap is then the larger share, of n-grams or of words.
 
 The index is built from items of at most INDEX_BYTES at a time; a larger benchmark takes several passes over the texts.
+The number of items, their mean length, the longest and the terms' frequencies are then counted over all items first.
 
 Defined results: a null or empty text, and an item without words, leak nothing; repeated items are reported each, under
 their ids, and repeated rows of documents each give their rows; ties cannot occur, for all above the threshold are
@@ -26,7 +27,8 @@ reported; an empty table on either side gives no rows; other columns are not rea
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .runtime import drop_ids, tidy
+from .runtime import drop_ids, materialize, tidy
 
 THRESHOLD, OVERLAP = 0.5, 0.6
 K1, B = 1.2, 0.75
@@ -113,10 +115,20 @@ def _grams(h: np.ndarray, n: int) -> np.ndarray:
     return tv.mix64(out + _U(n))
 
 
+class Counts(NamedTuple):
+    """What the scores of an index take from all items of the benchmark: terms in order, and each one's number of items."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
     """An inverted index of items with the maxima of terms and of blocks of items."""
 
-    def __init__(self, ids: list, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM, edited: bool = False):
+    def __init__(self, ids: list, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM, edited: bool = False, of_all: Counts | None = None):
         self.threshold, self.overlap, self.edited = threshold, overlap, edited
         keep, whole, seqs = [], [], []
         for i, t in zip(ids, texts, strict=True):
@@ -128,7 +140,7 @@ class Index:
         self.ids, n = keep, len(keep)
         self.terms = np.unique(np.concatenate(seqs)) if n else np.zeros(0, _U)
         lens = np.array([len(s) for s in seqs], float)
-        self.longest = max((len(h) for h in whole), default=0)
+        self.longest = of_all.longest if of_all else max((len(h) for h in whole), default=0)
         rows, items, counts = [], [], []
         for j, s in enumerate(seqs):
             u, c = np.unique(np.searchsorted(self.terms, s), return_counts=True)
@@ -136,9 +148,9 @@ class Index:
             items.append(np.full(len(u), j))
             counts.append(c)
         row, item, tf = (np.concatenate(x) if n else np.zeros(0, np.int64) for x in (rows, items, counts))
-        df = np.bincount(row, minlength=len(self.terms))
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = lens.mean() if n else 1.0
+        df = of_all.df[np.searchsorted(of_all.terms, self.terms)] if of_all else np.bincount(row, minlength=len(self.terms))
+        idf = np.log1p(((of_all.items if of_all else n) - df + 0.5) / (df + 0.5))
+        mean = (of_all.words / of_all.items if of_all else lens.sum() / n) if n else 1.0
         impact = idf[row] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / mean)) if n else np.zeros(0)
         weight = impact / np.bincount(item, impact, n)[item] if n else impact
         # Postings by term and block: those of one block are scored by one small table, sparse in terms.
@@ -276,6 +288,32 @@ def _leaks(docs: DataFrame, index: Index) -> DataFrame:
     return docs.mapInArrow(tidy(run), OUT)
 
 
+def _counted(items: DataFrame, edited: bool) -> Callable[[int], Counts]:
+    """Counts over all items, with the frequencies of one turn's terms at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for turn, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h, sought = _item_words(text, edited)
+                if len(h):
+                    terms = np.unique(sought).view(np.int64)
+                    none = pa.nulls(len(terms), pa.int64())
+                    yield pa.RecordBatch.from_pydict({"turn": pa.array([turn], pa.int32()), "term": pa.nulls(1, pa.int64()), "words": pa.array([len(sought)]), "longest": pa.array([len(h)])})
+                    yield pa.RecordBatch.from_pydict({"turn": pa.array(np.full(len(terms), turn, np.int32)), "term": pa.array(terms), "words": none, "longest": none})
+
+    rows = materialize(items.select("turn", "text").mapInArrow(tidy(run), "turn int, term bigint, words bigint, longest bigint"), "terms")
+    n = rows.where("term is null").agg(F.count("words").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest")).first()
+    df = materialize(rows.where("term is not null").groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+
+    def of(turn: int) -> Counts:
+        table = rows.where((F.col("turn") == turn) & F.col("term").isNotNull()).select("term").distinct().join(df, "term").toArrow()
+        terms = table["term"].to_numpy().view(_U)
+        order = np.argsort(terms)
+        return Counts(n["items"], n["words"] or 0, n["longest"] or 0, terms[order], table["df"].to_numpy()[order])
+
+    return of
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", index_bytes: int = INDEX_BYTES, edited: bool = False) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each leaked item of a document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -283,10 +321,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     turns = int(total // index_bytes) + 1
     out = None
+    items = items.withColumn("turn", F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)).cast("int"))
+    counts = _counted(items, edited) if turns > 1 else None
     for turn in range(turns):
-        mine = items if turns == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(turns)) == turn)
+        mine = items if turns == 1 else items.where(F.col("turn") == turn)
         table = mine.toArrow().sort_by([("item_id", "ascending"), ("text", "ascending")])
-        found = _leaks(docs, Index(table["item_id"].to_pylist(), table["text"].to_pylist(), edited=edited))
+        found = _leaks(docs, Index(table["item_id"].to_pylist(), table["text"].to_pylist(), edited=edited, of_all=counts and counts(turn)))
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -250,3 +250,17 @@ def test_decontaminate_edited_copies(llm, rng, tmp_path):
     assert {(r["doc_id"], r["item_id"]) for r in rows} == planted and len(rows) == len(planted)
     kept = corpus_pipeline.decontaminated(llm, llm.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs if i >= 1000}
+
+
+@pytest.mark.parametrize("more", [{}, {"edited": True}])
+def test_decontaminate_in_slices(llm, rng, more):
+    """Slices of the benchmark give the scores, windows and leaks of the whole."""
+    vocab = ["the", "of", "to", *[f"v{i}" for i in range(300)]]
+    some = lambda k: " ".join(rng.choice(vocab[: rng.choice([9, 300])]) for _ in range(k))
+    items = [(i, some(rng.choice([3, 12, 30, 90]))) for i in range(100)] + [(500, ""), (501, None)]
+    docs = [(i, some(rng.randint(0, 200)) + " " + items[i % 100][1].replace(" v1", " edited v2", 2) + " " + some(60)) for i in range(150)]
+    d, b = llm.createDataFrame(docs, DOCS), llm.createDataFrame(items, "item_id long, text string")
+    shown = lambda df: {(r["doc_id"], r["item_id"]): r[2:] for r in df.collect()}
+    one, many = shown(op8.leaks(d, b, **more)), shown(op8.leaks(d, b, index_bytes=4000, **more))
+    assert one.keys() == many.keys() and len(one) > 100
+    assert all(many[k] == pytest.approx(v, abs=2e-5) for k, v in one.items())
