@@ -276,11 +276,16 @@ def _group(table: pa.Table) -> pa.Table:
     names, number = np.unique(sids, return_inverse=True)
     member = (number.astype(_U) << _U(1)) | (runs >> 15).astype(_U)
     wide = _U(max(1, int(2 * len(names) - 1).bit_length()))
-    if int(wide) > 24:
-        raise ValueError("a part holds more sets than 2^23; use smaller parts")
-    v = np.sort((keys << _U(24)) | np.repeat(member, (runs & 0x7FFF).astype(np.int64)))
-    v = v[np.concatenate([[True], v[1:] != v[:-1]])]
-    key, who = v >> _U(24), (v & _U((1 << 24) - 1)).astype(np.int64)
+    if int(wide) <= 24:
+        v = np.sort((keys << _U(24)) | np.repeat(member, (runs & 0x7FFF).astype(np.int64)))
+        v = v[np.concatenate([[True], v[1:] != v[:-1]])]
+        key, who = v >> _U(24), (v & _U((1 << 24) - 1)).astype(np.int64)
+    else:  # one word does not hold both: sorted by two columns
+        who = np.repeat(member, (runs & 0x7FFF).astype(np.int64))
+        order = np.lexsort((who, keys))
+        key, who = keys[order], who[order].astype(np.int64)
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])])
+        key, who = key[new], who[new]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     count = np.diff(np.append(first, len(key)))
     many = np.repeat(count, count)
@@ -297,10 +302,10 @@ def _group(table: pa.Table) -> pa.Table:
         x, y = who_s[same], who_s[same + step]
         fit = ((x & 1) + (y & 1) < 2) & (x >> 1 != y >> 1)
         x, y = x[fit], y[fit]  # x < y
-        pairs.append((x >> 1 << 26) | (y >> 1 << 2) | (x & 1) | (y & 1) << 1)
+        pairs.append((x >> 1 << 33) | (y >> 1 << 2) | (x & 1) | (y & 1) << 1)  # fewer than 2^30 sets, or their ids alone take 8 GB
     if pairs:
         p, shared = np.unique(np.concatenate(pairs), return_counts=True)
-        out.append(_found(PAIR, a=names[p >> 26], b=names[p >> 2 & ((1 << 24) - 1)], n=p & 3, slack0=shared))
+        out.append(_found(PAIR, a=names[p >> 33], b=names[p >> 2 & ((1 << 31) - 1)], n=p & 3, slack0=shared))
     hot = np.flatnonzero(many > HOT)
     if len(hot):
         mark = tv.mix64(key[hot] + _U(1)).view(np.int64)

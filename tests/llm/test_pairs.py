@@ -264,3 +264,17 @@ def test_decontaminate_in_slices(llm, rng, more):
     one, many = shown(op8.leaks(d, b, **more)), shown(op8.leaks(d, b, index_bytes=4000, **more))
     assert one.keys() == many.keys() and len(one) > 100
     assert all(many[k] == pytest.approx(v, abs=2e-5) for k, v in one.items())
+
+
+def test_jaccard_part_of_many_sets():
+    """A part of more than 2^23 sets gives its pairs and its hot members."""
+    n = (1 << 23) + 101
+    sid = np.arange(10, n + 10, dtype=np.int64)
+    keys = np.arange(n, dtype=np.uint64)
+    keys[-1] = keys[5]  # one pair
+    keys[-61:-1] = keys[7]  # 61 sets with one signature
+    block = op1._blocks(sid, np.zeros(n, np.int64), keys, 1)
+    found = op1._group(pa.Table.from_batches([block])).to_pylist()
+    assert [(r["a"], r["b"], r["slack0"]) for r in found if r["kind"] == op1.PAIR] == [(15, n + 9, 1)]
+    hot = [r for r in found if r["kind"] == op1.MEMBER]
+    assert sorted(r["a"] for r in hot) == [17, *range(n - 51, n + 9)] and len({r["b"] for r in hot}) == 1
