@@ -80,8 +80,8 @@ CORPORA: dict[str, str] = {
   chr(9), 'first', chr(10), md5(cast(s_suppkey as string)), '00000000 2 2', chr(10), chr(9), 'author x') as content from {supplier}""",
     "diffs": """select cast(s_suppkey as string) as id, concat('--- a/x.js', chr(10), '+++ b/x', cast(s_suppkey % 9 as string), '.js', chr(10), '@@ -1,2 +', cast(s_suppkey % 5 + 1 as string), ',3 @@ f', chr(10), '+a', chr(10),
   '@@ -9 +20 @@', chr(10), '@@ -30,2 +29,0 @@', chr(10)) as content from {supplier}""",
-    "disk": "select concat('d/', cast(doc_id as string)) as path, md5(case when doc_id % 5 = 0 then concat(text, '!') else text end) as hash from {documents} where doc_id % 7 <> 0",
-    "stored": "select concat('d/', cast(doc_id as string)) as path, md5(text) as hash from {documents} where doc_id % 11 <> 0",
+    "disk": "select concat(case when doc_id % 7 = 0 then 'new/' else 'd/' end, cast(doc_id as string)) as path, md5(case when doc_id % 5 = 0 then concat(text, '!') else text end) as hash from {documents}",
+    "stored": "select concat(case when doc_id % 11 = 0 then 'old/' else 'd/' end, cast(doc_id as string)) as path, md5(text) as hash from {documents}",
 }
 
 

@@ -221,3 +221,14 @@ def test_notes(spark, tmp_path):
 def test_empty_telemetry(spark):
     calls = spark.createDataFrame([], "seq long, tool string, file_tokens long, response_tokens long")
     assert telemetry.report(calls).first()["average_tokens_saved"] == 0
+
+
+def test_snapshots_hold_every_document(spark):
+    """Both sides of the change queries have all documents, under some path."""
+    from lodestone.plans.corpora import view
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    assert any(i % 77 == 0 for i in ids)
+    for side in ("disk", "stored"):
+        assert {int(r["path"].split("/")[1]) for r in view(spark, sf, side).select("path").collect()} == ids
