@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import discard, materialize
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
@@ -38,5 +38,6 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         if mark == before or mark[0] == 0:
             break
         before = mark
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

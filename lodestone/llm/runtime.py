@@ -23,10 +23,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all machines share: spark.checkpoint.dir. Only where all runs in one process may it be unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not sc._jsc.sc().getCheckpointDir().isDefined():
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         base = sc._jsc.sc().getCheckpointDir().get()
@@ -34,7 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, removed when the driver ends."""
+    """A new path below the shared folder, removed when the driver ends, or before by ``discard``."""
     path = f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
@@ -49,12 +51,31 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Bytes that a task gathers for a scratch file before it writes them.
+ROW_GROUP = 16 << 20
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read back with the same schema."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_scratch"] = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Removes what ``materialize`` wrote for this table, which nothing reads any more."""
+    path = table.__dict__.get("_scratch")
+    if path:
+        _remove(table.sparkSession, path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Executors hand the heap that an earlier step grew back to the system, so that steps in one session do not add up."""
+    n = 4 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def plus(df: DataFrame, name: str, kind: str, without: str | None = None) -> StructType:

@@ -1,15 +1,16 @@
 """Suffix arrays by induced sorting and permuted common prefixes, in numpy.
 
 The sequential scans of induced sorting run bucket by bucket: all suffixes that a bucket holds so far are taken at once,
-those that precede them are dealt stably to their buckets, and what falls into the same bucket is taken next. A string
-of names with a large alphabet is sorted by doubling ranks instead, where a loop over buckets would be one over names.
+those that precede them are dealt stably to their buckets, and what falls into the same bucket is taken next. Over a
+large alphabet (strings of names) the same scans run suffix by suffix. Leftmost-smaller substrings are sorted by
+induction at every level of the recursion.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to which the string of names is itself sorted by induction.
+#: Symbols up to which a scan takes a bucket at a time; the order that it gives is the same.
 MOST_BUCKETS = 1024
 
 
@@ -80,34 +81,30 @@ def _induce(t: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.nda
     return sa
 
 
-def _double(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names by doubling ranks; only ties are sorted again."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    rank = np.empty(n, np.int64)
-
-    def first_of_group(keys: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-
-    f = first_of_group(names[order])
-    rank[order] = np.repeat(f, np.diff(np.append(f, n)))
-    width = 1
-    while True:
-        sorted_rank = rank[order]
-        tied = np.concatenate([[False], sorted_rank[1:] == sorted_rank[:-1]])
-        tied[:-1] |= tied[1:]
-        at = np.flatnonzero(tied)
-        if not len(at):
-            return order
-        who = order[at]
-        nxt = np.where(who + width < n, rank[np.minimum(who + width, n - 1)] + 1, 0)
-        key = rank[who] * (n + 2) + nxt
-        by = np.argsort(key, kind="stable")
-        who, key = who[by], key[by]
-        order[at] = who
-        f = first_of_group(key)
-        rank[who] = np.repeat(at[f], np.diff(np.append(f, len(who))))
-        width *= 2
+def _induce_each(t: np.ndarray, small: np.ndarray, k: int, lms: np.ndarray) -> np.ndarray:
+    """What _induce gives, suffix by suffix: for strings of names, whose buckets hold a few suffixes each."""
+    tail = np.cumsum(np.bincount(t, minlength=k))
+    head, n = np.append(0, tail[:-1]).tolist(), len(t)
+    text, is_small, sa = t.tolist(), small.tolist(), [-1] * n
+    fill = tail.tolist()
+    for j in lms[::-1].tolist():
+        c = text[j]
+        fill[c] -= 1
+        sa[fill[c]] = j
+    for i in range(n):
+        j = sa[i] - 1
+        if j >= 0 and not is_small[j]:
+            c = text[j]
+            sa[head[c]] = j
+            head[c] += 1
+    fill = tail.tolist()
+    for i in range(n - 1, -1, -1):
+        j = sa[i] - 1
+        if j >= 0 and is_small[j]:
+            c = text[j]
+            fill[c] -= 1
+            sa[fill[c]] = j
+    return np.array(sa, np.int32)
 
 
 def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
@@ -120,9 +117,10 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     is_lms[0] = False
     is_lms[1:] &= ~small[:-1]
     lms = np.flatnonzero(is_lms).astype(np.int32)
+    induce = _induce if k <= MOST_BUCKETS else _induce_each
+    sa = induce(t, small, k, lms)
     if len(lms) == 1:
-        return _induce(t, small, k, lms)
-    sa = _induce(t, small, k, lms)
+        return sa
     order = sa[is_lms[sa]]
     # Names: equal neighbours in this order are equal substrings, up to and with the next leftmost-smaller suffix.
     end = np.full(n, n - 1, np.int32)
@@ -140,20 +138,15 @@ def suffix_array(t: np.ndarray, k: int) -> np.ndarray:
     names = np.empty(n, np.int32)
     names[order] = name_of
     reduced, m = names[lms], int(name_of[-1]) + 1
-    if m == len(lms):
-        sorted_lms = order
-    elif m <= MOST_BUCKETS:
-        sorted_lms = lms[suffix_array(reduced, m)]
-    else:
-        sorted_lms = lms[_double(reduced)]
-    return _induce(t, small, k, sorted_lms)
+    sorted_lms = order if m == len(lms) else lms[suffix_array(reduced, m)]
+    return induce(t, small, k, sorted_lms)
 
 
-def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+def permuted_lcp(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(common prefix of each suffix with the one before it in order, that suffix), by place in the text.
 
-    Only irreducible entries (another symbol before, or none) are compared, up to ``most`` symbols; from one to the next
-    the prefix of each place is one shorter than the last.
+    Only irreducible entries (another symbol before, or none) are compared; from one to the next the prefix of each place
+    is one shorter than the last.
     """
     n = len(t)
     phi = np.full(n, -1, np.int32)
@@ -166,13 +159,12 @@ def permuted_lcp(t: np.ndarray, sa: np.ndarray, most: int) -> tuple[np.ndarray,
     lcp = np.zeros(n, np.int32)
     x = np.flatnonzero(irreducible & (phi >= 0)).astype(np.int32)
     y, got = phi[x], 0
-    while len(x) and got < most:
+    while len(x):
         inside = np.maximum(x, y) + got < n
         same = inside & (t[np.minimum(x + got, n - 1)] == t[np.minimum(y + got, n - 1)])
         lcp[x[~same]] = got
         x, y = x[same], y[same]
         got += 1
-    lcp[x] = got
     at = np.arange(n, dtype=np.int32)
     last = np.maximum.accumulate(np.where(irreducible, at, 0))
     return np.where(phi >= 0, np.maximum(lcp[last] - (at - last), 0), 0), phi

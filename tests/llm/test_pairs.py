@@ -102,7 +102,7 @@ def test_suffix_array(rng, monkeypatch):
         sa = suffix.suffix_array(t, k + 1)
         order = sorted(range(len(t)), key=lambda i: t[i:].tolist())
         assert sa.tolist() == order
-        lcp, phi = suffix.permuted_lcp(t, sa, 10_000)
+        lcp, phi = suffix.permuted_lcp(t, sa)
         for a, b in zip(order, order[1:], strict=False):
             m = 0
             while t[a + m : a + m + 1].tolist() == t[b + m : b + m + 1].tolist() != []:
@@ -124,29 +124,54 @@ def removed(rows, window=200):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 1, 5000])
-def test_repeats(llm, rng, shard_bytes):
+def shown(df, window=200):
+    out = []
+    for r in df.collect():
+        n = sum(x["b"] - x["a"] for x in r["removed"])
+        assert len(r["kept"]) == r["n_bytes"] - n
+        out.append((r["doc_id"], r["n_bytes"], n, len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()))
+    return sorted(out, key=repr)
+
+
+#: Levels are forced by small shards, or by few hulls a core among those that a task holds.
+@pytest.mark.parametrize(("window", "shard_bytes", "local"), [(200, 1 << 20, 256), (200, 1, 256), (200, 5000, 256), (200, 1 << 20, 2), (50, 1 << 20, 256), (50, 1, 3), (300, 5000, 256), (600, 1 << 20, 256), (600, 3000, 2), (16, 1, 256)])
+def test_repeats(llm, rng, monkeypatch, window, shard_bytes, local):
+    monkeypatch.setattr(op6.repeats, "__defaults__", (window, shard_bytes, local, 3000))
     letters = "abcdefgh é"
     some = lambda n: "".join(rng.choice(letters) for _ in range(n))
-    passages = [some(rng.randint(150, 900)) for _ in range(6)]
+    passages = [some(rng.randint(150, 900)) for _ in range(6)] + [some(window + 90)]
     texts = []
     for _ in range(80):
         pieces = [rng.choice([some(rng.randint(0, 150)), rng.choice(passages), rng.choice(passages)[: rng.randint(1, 700)], rng.choice(passages)[rng.randint(1, 300) :]]) for _ in range(rng.randint(0, 5))]
         texts.append("".join(pieces))
+    texts += [some(rng.randint(0, 60)) + passages[-1] + some(rng.randint(0, 60)) for _ in range(60)]  # one passage in many documents
     texts += ["a" * 1000, "ab" * 300, "a" * 199, "a" * 200, "a" * 201, "", None, "x" * 50 + "a" * 230, texts[3]]
     rows = [*enumerate(texts), (5, texts[5]), (None, texts[7])]
-    base = op6.keyed(llm.createDataFrame(rows, DOCS))
-    got = []
-    for r in op6.with_spans(base, op6.repeats(base, 200, shard_bytes)).collect():
-        kept, n, gone = op6.kept_bytes(r["text"], [s.asDict() for s in r["spans"] or []], 200)
-        got.append((r["doc_id"], n, n - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-    assert sorted(got, key=repr) == removed(rows)
+    got = op6.remove_repeats(llm.createDataFrame(rows, DOCS), window)
+    assert shown(got) == removed(rows, window)
+
+
+def test_repeats_many_copies(llm, rng):
+    """Rows that are equal in every column, null ids too, take space in proportion to their number."""
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    base = op6.keyed(llm.createDataFrame([(None, text)] * 10_000 + [(7, text[:400]), (8, "other " * 9)], DOCS))
+    spans = op6.repeats(base)
+    assert op6._pack(spans, "s0", "n").count() == 2
+    assert op6.with_spans(base, spans).agg(__import__("pyspark").sql.functions.max("spans")).first()[0] is not None
+    assert spans.count() <= 10_001 * 20
+    got = op6.remove_repeats(llm.createDataFrame([(None, text)] * 500 + [(7, text[:400])], DOCS)).groupBy("n_bytes").agg({"kept": "max", "*": "count"}).collect()
+    assert {(r["n_bytes"], r["count(1)"], bytes(r["max(kept)"])) for r in got} == {(900, 500, b""), (400, 1, b"")}
+
+
+def test_window_bounds():
+    with pytest.raises(ValueError, match="window"):
+        op6.widths(op6.MAX_WINDOW + 1)
 
 
 def test_stretches(rng):
     text = "".join(rng.choice("abcdefghij") for _ in range(20_000))
-    flat = lambda parts: {(int(s) + j, int(g)) for _, _, x in parts for s, n, g in zip(x["s0"], x["n"], x["gram"], strict=True) for j in range(n)}
-    assert flat(op6.column_anchors(pa.array([text]))) == flat(op6.column_anchors(pa.array([text]), stretch=1500))
+    flat = lambda parts: {(int(s) + j, int(s + o)) for _, _, x in parts for s, n, o in zip(x["s0"], x["n"], x["o"], strict=True) for j in range(n)}
+    assert flat(op6.column_pieces(pa.array([text]))) == flat(op6.column_pieces(pa.array([text]), stretch=1500))
 
 
 def test_cut_keeps_columns(llm):
