@@ -5,9 +5,13 @@ windows overlap by half, and their length follows from the longest item, so that
 quarters of any item that a text contains. A term's weight for an item is its BM25 impact over the sum of the item's
 impacts, so an item scores 1 in a passage with all its terms; items of at least THRESHOLD are retrieved.
 
-As in block-max WAND, a passage whose terms' largest weights do not reach the threshold is passed over, then blocks of
-items whose block maxima do not; what is left is scored in full. Both bounds are running sums over a text's words (a
-repeated word counts again, which only loosens them), so all that reach the threshold are retrieved.
+Block-max WAND. Each term has a posting list by item, cut into blocks at every BLOCK items, each with its largest weight;
+a term's largest weight bounds them all. The bar is fixed, so all passages of a batch walk the lists together. Lists in
+more than HEAVY blocks stand before the pivot: where their largest weights alone do not reach the bar, an item must also
+stand in another list, so these are not walked. The others are walked block by block: a (passage, block) pair goes on
+if the block maxima in it, with the bound of the lists before the pivot, reach the bar; then if the block maxima of all
+its different terms do; then the block's postings are added up. Blocks in which no term of a passage stands are never
+looked at, and all items that reach the threshold are retrieved. The index takes space in proportion to its postings.
 
 A retrieved item counts as leaked if at least OVERLAP of the question's word n-grams and of the answer's are in the
 text. An item's first half is its question and the rest its answer; GRAM-grams, or the part itself where it is shorter.
@@ -18,7 +22,8 @@ again, so that one holds all of an item, and a half is there as well if at least
 order in one passage near such a window. An overlap is then the larger share, of n-grams or of words.
 
 The index is built from items of at most INDEX_BYTES at a time; a larger benchmark takes several passes over the texts.
-The number of items, their mean length, the longest and the terms' frequencies are then counted over all items first.
+The number of items, their mean length, the longest and the terms' frequencies are always counted over all items first,
+so scores and leaks do not depend on the number of passes.
 
 Defined results: a null or empty text, and an item without words, leak nothing; repeated items are reported each, under
 their ids, and repeated rows of documents each give their rows; ties cannot occur, for all above the threshold are
@@ -44,9 +49,13 @@ GRAM = 5
 #: The share of a half's words that must stand in order: a half of seven words bears three edits.
 ALIGNED = 0.55
 BLOCK = 64
+#: Blocks of a posting list above which it does not lead a walk.
+HEAVY = 16
 LEAST_STRIDE = 24
-#: Text bytes of the items in one index.
-INDEX_BYTES = 8 << 20
+#: Text bytes of the items in one index, and the most that such an index can take: a word has two bytes of text at
+#: least, and one posting, block, term, n-gram and place of a half at most.
+INDEX_BYTES = 4 << 20
+INDEX_LIMIT = 40 * INDEX_BYTES
 _U = np.uint64
 _ODDS = tv.mix64(np.arange(101, 165, dtype=_U)) | _U(1)
 
@@ -126,9 +135,9 @@ class Counts(NamedTuple):
 
 
 class Index:
-    """An inverted index of items with the maxima of terms and of blocks of items."""
+    """An inverted index of items: posting lists in blocks with their largest weights."""
 
-    def __init__(self, ids: list, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM, edited: bool = False, of_all: Counts | None = None):
+    def __init__(self, ids: list, texts: list[str], threshold: float = THRESHOLD, overlap: float = OVERLAP, gram: int = GRAM, edited: bool = False, of_all: Counts | None = None, heavy: int = HEAVY):
         self.threshold, self.overlap, self.edited = threshold, overlap, edited
         keep, whole, seqs = [], [], []
         for i, t in zip(ids, texts, strict=True):
@@ -153,31 +162,32 @@ class Index:
         mean = (of_all.words / of_all.items if of_all else lens.sum() / n) if n else 1.0
         impact = idf[row] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lens[item] / mean)) if n else np.zeros(0)
         weight = impact / np.bincount(item, impact, n)[item] if n else impact
-        # Postings by term and block: those of one block are scored by one small table, sparse in terms.
+        order = np.lexsort((item, row))
+        row, self.item, self.weight = row[order], item[order].astype(np.int32), weight[order].astype(np.float32)
         self.blocks = -(-n // BLOCK)
-        self.block_max = np.zeros((self.blocks, len(self.terms) + 1), np.float32)  # the last place: words of no item
-        self.tables, self.place = [], []
-        for b in range(self.blocks):
-            mine = item // BLOCK == b
-            used = np.unique(row[mine])
-            np.maximum.at(self.block_max[b], row[mine], weight[mine].astype(np.float32))
-            place = np.full(len(self.terms) + 1, len(used), np.int32)
-            place[used] = np.arange(len(used))
-            table = np.zeros((len(used) + 1, min(BLOCK, n - b * BLOCK)), np.float32)
-            table[place[row[mine]], item[mine] % BLOCK] = weight[mine]
-            self.tables.append(table)
-            self.place.append(place)
-        self.term_max = self.block_max.max(0) if self.blocks else np.zeros(1, np.float32)
+        self.block_key, at = np.unique(row * max(1, self.blocks) + self.item // BLOCK, return_index=True)  # term and block, in order
+        self.block_at = np.append(at, len(row))  # where a block's postings begin
+        self.block_max = np.maximum.reduceat(self.weight, at) if len(at) else np.zeros(0, np.float32)
+        self.term_at = np.searchsorted(self.block_key, np.arange(len(self.terms) + 2) * max(1, self.blocks))  # the last: words of no item
+        self.term_max = np.append(np.maximum.reduceat(self.block_max, self.term_at[:-2]), np.float32(0)) if n else np.zeros(1, np.float32)
+        self.heavy = np.diff(self.term_at) > heavy
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.terms & _U(0xFFFF)).astype(np.int64)] = True
         self.stride = max(LEAST_STRIDE, -(-self.longest // 2))
         self.width = (3 if edited else 2) * self.stride
-        self.parts, self.halves = [], []
+        self.gram, grams, halves = gram, [], []
         for h, s in zip(whole, seqs, strict=True):
             half = -(-len(h) // 2)
-            self.parts.append([(min(gram, len(p)), np.unique(_grams(p, min(gram, len(p))))) if len(p) else None for p in (h[:half], h[half:])])
+            grams += [np.unique(_grams(p, min(gram, len(p)))) if len(p) else np.zeros(0, _U) for p in (h[:half], h[half:])]
             half = -(-len(s) // 2)
-            self.halves.append([self.number(p) for p in (s[:half], s[half:])])
+            halves += [self.number(p) for p in (s[:half], s[half:])]
+        self.part_words = np.array([x for h in whole for x in (-(-len(h) // 2), len(h) // 2)], np.int32)
+        self.grams, self.gram_at = np.concatenate([np.zeros(0, _U), *grams]), np.cumsum([0, *map(len, grams)])
+        self.halves, self.half_at = np.concatenate([np.zeros(0, np.int32), *halves]), np.cumsum([0, *map(len, halves)])
+
+    @property
+    def nbytes(self) -> int:
+        return sum(v.nbytes for v in self.__dict__.values() if isinstance(v, np.ndarray)) + 8 * len(self.ids)
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
         """Each word's term, or len(terms)."""
@@ -189,8 +199,33 @@ class Index:
             out[at[hit]] = p[hit]
         return out
 
+    def _walk(self, terms: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, before: np.ndarray, bar: float) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) pairs whose block maxima, of the words at these places, reach the bar with what stands before the pivot."""
+        count = self.term_at[terms[place] + 1] - self.term_at[terms[place]]
+        entry = np.arange(count.sum()) + np.repeat(self.term_at[terms[place]] - (np.cumsum(count) - count), count)
+        block = (self.block_key[entry] % self.blocks).astype(np.int32 if self.blocks > 1 << 15 else np.int16)
+        order = np.argsort(block, kind="stable")
+        block, at, weight = block[order], np.repeat(place, count)[order], self.block_max[entry[order]].astype(float)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)]), len(block))
+        out_p, out_b = [], []
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            x, upto = at[lo:hi], np.concatenate([[0.0], np.cumsum(weight[lo:hi])])
+            if 8 * len(x) < len(first):  # passages that hold one of these words: first <= x < last, both in order
+                a, b = np.searchsorted(last, x, "right"), np.searchsorted(first, x, "right")
+                depth = np.bincount(a, minlength=len(first) + 1) - np.bincount(np.maximum(a, b), minlength=len(first) + 1)
+                p = np.flatnonzero(np.cumsum(depth[:-1]) > 0)
+            else:
+                p = np.arange(len(first))
+            p = p[upto[np.searchsorted(x, last[p])] - upto[np.searchsorted(x, first[p])] + before[p] >= bar]
+            out_p.append(p)
+            out_b.append(np.full(len(p), block[lo], np.int64))
+        cat = lambda c: np.concatenate([np.zeros(0, np.int64), *c])
+        return cat(out_p), cat(out_b)
+
     def retrieve(self, terms: np.ndarray, rows: np.ndarray, n: int) -> tuple[dict[tuple[int, int], float], dict[tuple[int, int], list[int]]]:
         """(row, item) to the best passage's score and to the passages' first words, for all that reach the threshold."""
+        best: dict[tuple[int, int], float] = {}
+        places: dict[tuple[int, int], list[int]] = {}
         count = tv.row_counts(rows, n)
         many = np.where(count > 0, np.maximum(1, -(-(count - self.width) // self.stride) + 1), 0)
         row = np.repeat(np.arange(n), many)
@@ -198,27 +233,46 @@ class Index:
         first = (np.cumsum(count) - count)[row] + k * self.stride
         last = np.minimum(first + self.width, np.cumsum(count)[row])
         bar = self.threshold - 1e-4
-
-        def bound(weights: np.ndarray, live: np.ndarray) -> np.ndarray:
-            upto = np.concatenate([[0.0], np.cumsum(weights[terms], dtype=np.float64)])
-            return live[upto[last[live]] - upto[first[live]] >= bar]
-
-        live = bound(self.term_max, np.arange(len(row)))
-        best: dict[tuple[int, int], float] = {}
-        places: dict[tuple[int, int], list[int]] = {}
-        for b in range(self.blocks if len(live) else 0):
-            left = bound(self.block_max[b], live)
-            for i in range(0, len(left), 512):
-                w = left[i : i + 512]
-                at = first[w][:, None] + np.arange(self.width)
-                t = np.where(at < last[w][:, None], terms[np.minimum(at, len(terms) - 1)], len(self.terms))
-                t = np.sort(self.place[b][t], axis=1)
-                t[:, 1:][t[:, 1:] == t[:, :-1]] = len(self.tables[b]) - 1  # a term counts once; the last row is zero
-                score = self.tables[b][t].sum(1)
-                for x, j in zip(*np.nonzero(score >= self.threshold - 1e-6), strict=True):
-                    key = (int(row[w[x]]), b * BLOCK + int(j))
-                    best[key] = max(best.get(key, 0.0), float(score[x, j]))
-                    places.setdefault(key, []).append(int(first[w[x]]))
+        if not self.blocks:
+            return best, places
+        upto = np.concatenate([[0.0], np.cumsum(self.term_max[terms], dtype=float)])
+        live = upto[last] - upto[first] >= bar
+        row, first, last = row[live], first[live], last[live]
+        known = np.flatnonzero(terms < len(self.terms))
+        heavy = self.heavy[terms[known]]
+        upto = np.concatenate([[0.0], np.cumsum(np.where(self.heavy, self.term_max, 0)[terms], dtype=float)])
+        before = upto[last] - upto[first]
+        pairs = []
+        for led, lead in ((before < bar, known[~heavy]), (before >= bar, known)):  # the pivot is the first list if the heavy ones reach the bar
+            some = np.flatnonzero(led)
+            if len(some) and len(lead):
+                p, b = self._walk(terms, lead, first[some], last[some], np.where(lead is known, 0.0, before[some]), bar)
+                pairs.append((some[p], b))
+        if not pairs:
+            return best, places
+        passage, block = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        for i in range(0, len(passage), 512):
+            w, b = passage[i : i + 512], block[i : i + 512]
+            at = first[w][:, None] + np.arange(self.width)
+            t = np.where(at < last[w][:, None], terms[np.minimum(at, len(terms) - 1)], len(self.terms))
+            t = np.sort(t, axis=1)
+            fresh = t < len(self.terms)
+            fresh[:, 1:] &= t[:, 1:] != t[:, :-1]  # a term counts once
+            x, y = np.nonzero(fresh)
+            key = t[x, y].astype(np.int64) * self.blocks + b[x]
+            e = np.minimum(np.searchsorted(self.block_key, key), len(self.block_key) - 1)
+            there = self.block_key[e] == key
+            x, e = x[there], e[there]
+            reach = np.bincount(x, self.block_max[e], len(w)) >= bar
+            x, e = x[reach[x]], e[reach[x]]
+            size = self.block_at[e + 1] - self.block_at[e]
+            post = np.arange(size.sum()) + np.repeat(self.block_at[e] - (np.cumsum(size) - size), size)
+            score = np.bincount(np.repeat(x, size) * BLOCK + self.item[post] % BLOCK, self.weight[post], len(w) * BLOCK)
+            for z in np.flatnonzero(score >= self.threshold - 1e-6).tolist():
+                q = w[z // BLOCK]
+                pair = (int(row[q]), int(b[z // BLOCK]) * BLOCK + z % BLOCK)
+                best[pair] = max(best.get(pair, 0.0), float(score[z]))
+                places.setdefault(pair, []).append(int(first[q]))
         return best, places
 
     def aligned(self, item: int, terms: np.ndarray, places: list[int]) -> list[float]:
@@ -230,16 +284,16 @@ class Index:
                 near[-1][1] = hi
             else:
                 near.append([lo, hi])
-        return [max(_in_order(part, terms[lo:hi], ALIGNED, len(self.terms)) for lo, hi in near) if len(part) else 1.0 for part in self.halves[item]]
+        return [max(_in_order(part, terms[lo:hi], ALIGNED, len(self.terms)) for lo, hi in near) if len(part) else 1.0 for part in (self.halves[self.half_at[j] : self.half_at[j + 1]] for j in (2 * item, 2 * item + 1))]
 
     def overlaps(self, item: int, h: np.ndarray, cache: dict[int, np.ndarray]) -> list[float]:
         """The share of the question's and of the answer's n-grams that are in the text; an empty answer has all."""
         out = []
-        for part in self.parts[item]:
-            if part is None:
+        for j in (2 * item, 2 * item + 1):
+            grams, n = self.grams[self.gram_at[j] : self.gram_at[j + 1]], min(self.gram, int(self.part_words[j]))
+            if not n:
                 out.append(1.0)
                 continue
-            n, grams = part
             if n not in cache:
                 cache[n] = np.unique(_grams(h, n)) if len(h) >= n else np.zeros(0, _U)
             out.append(float(np.isin(grams, cache[n]).mean()))
@@ -250,7 +304,9 @@ OUT = "doc_id bigint, item_id bigint, score double, question_overlap double, ans
 
 
 def _leaks(docs: DataFrame, index: Index) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # of INDEX_BYTES of text at most
+    if index.nbytes > INDEX_LIMIT:  # one item alone is larger than an index may be
+        raise ValueError(f"an index of {index.nbytes} bytes; items are to be of {INDEX_BYTES} bytes together at most")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
