@@ -5,8 +5,9 @@ merge (named by its rank), the places where its pair stands. Merges are applied
 its places at once (leftmost first within a pre-token), and only the pairs that the touched neighbours form are looked
 up again. Pre-tokens are independent, so this gives the ids that merging each pre-token alone by lowest rank gives.
 
-Texts are cut into pieces where the pattern's matches always end: at a single white-space character between two others,
-and where a letter meets ASCII punctuation other than an apostrophe. Distinct pieces are split by the pattern and merged
+Texts are cut into pieces where the matches of CUT_PATTERN always end: at a single white-space character between two
+others, and where a letter meets ASCII punctuation other than an apostrophe; with another pattern a text is one piece.
+Distinct pieces are split by the pattern and merged
 once in a worker; a text's ids are gathered from them.
 
 Defined results: a null text counts as an empty one (no ids); repeated rows give repeated rows; there are no ties: equal
@@ -33,6 +34,8 @@ from . import textvec as tv
 from .op5_token_orc import _ALPHA, _LATIN, _PUNCT, PieceEncoder
 from .runtime import plus, tidy
 
+#: The pattern for which ``pieces`` knows where matches always end (fixed value).
+CUT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White_Space as the rank files' own library reads \s (fixed value).
 _WHITE = r"\t-\r \x85\xa0  -     　"
 
@@ -157,7 +160,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.table, self.pattern = MergeTable(ranks), compile_pattern(pattern)
-        self.pieces = PieceEncoder(self._encode, pieces)
+        self.pieces = PieceEncoder(self._encode, pieces if pattern == CUT_PATTERN else whole_rows)
 
     #: Pieces merged at once.
     TOGETHER = 20_000
@@ -174,10 +177,10 @@ class Codec:
         ids = self.table.replay([w.encode() for w in number])
         return [ids[number[s[0]]] if len(s) == 1 else [x for w in s for x in ids[number[w]]] for s in split]
 
-    def encode_column(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Yields (first row, end row, ids, offsets of the rows in them)."""
+    def encode_column(self, col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Yields (first row, end row, ids, offsets of the rows in them, bytes of the texts, offsets of the rows in those)."""
         for lo, hi, buf, offs in tv.chunks(col):
-            yield lo, hi, *self.pieces.texts(buf, offs)
+            yield lo, hi, *self.pieces.texts(buf, offs), buf, offs
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all rows, offsets of the rows in them)."""
@@ -217,6 +220,23 @@ def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return at[:-1], at[1:], np.searchsorted(offs, at[:-1], "right") - 1
 
 
+def whole_rows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text as one piece, for patterns of which it is not known where matches always end."""
+    rows = np.flatnonzero(np.diff(offs))
+    return offs[rows], offs[rows + 1], rows
+
+
+def same_bytes(a: np.ndarray, a_offs: np.ndarray, b: np.ndarray, b_offs: np.ndarray) -> np.ndarray:
+    """Which rows of a are the rows of b."""
+    same = np.diff(a_offs) == np.diff(b_offs)
+    if same.all():
+        other = np.concatenate([[0], np.cumsum(a != b)])
+        return other[a_offs[1:]] == other[a_offs[:-1]]
+    for i in np.flatnonzero(same).tolist():
+        same[i] = np.array_equal(a[a_offs[i] : a_offs[i + 1]], b[b_offs[i] : b_offs[i + 1]])
+    return same
+
+
 _CODECS: dict[tuple[str, str], Codec] = {}
 
 
@@ -240,14 +260,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            for lo, hi, ids, offs in c.encode_column(b.column(place)):
+            for lo, hi, ids, offs, buf, text_offs in c.encode_column(b.column(place)):
                 lists = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids))
                 rows, names = [*b.slice(lo, hi - lo).columns, lists], [*b.schema.names, out_col]
                 if check_col is not None:
-                    raw, upto = c.decode(ids, offs)
-                    data = raw.tobytes()
-                    same = [data[s:e] == (t.as_py() or "").encode() for s, e, t in zip(upto[:-1].tolist(), upto[1:].tolist(), b.column(place).slice(lo, hi - lo), strict=True)]
-                    rows, names = [*rows, pa.array(same, pa.bool_())], [*names, check_col]
+                    rows, names = [*rows, pa.array(same_bytes(*c.decode(ids, offs), buf, text_offs))], [*names, check_col]
                 yield pa.RecordBatch.from_arrays(rows, names=names)
 
     schema = plus(docs, out_col, "array<int>")
@@ -268,8 +285,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids_col: str = "ids", out
             lists = b.column(place)
             sizes = np.array(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
             raw, upto = c.decode(lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(sizes)]))
-            data = raw.tobytes()
-            texts = pa.array([data[s:e] for s, e in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)], pa.binary())
+            texts = pa.Array.from_buffers(pa.binary(), len(b), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(raw)])
             yield pa.RecordBatch.from_arrays([*b.columns, texts], names=[*b.schema.names, out_col])
 
     return tokens.mapInArrow(tidy(run), plus(tokens, out_col, "binary"))
@@ -282,7 +298,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for b in batches:
-            for lo, hi, ids, offs in c.encode_column(b.column(1)):
+            for lo, hi, ids, offs, _, _ in c.encode_column(b.column(1)):
                 raw, upto = c.decode(ids, offs)
                 a, d = memoryview(ids.astype("<u4").tobytes()), memoryview(raw.tobytes())
                 o, u = (offs * 4).tolist(), upto.tolist()

@@ -12,11 +12,13 @@ text are not carried, so no name can clash; a text of any length is one row and
 
 The library is called once for each distinct piece of text in a worker. Pieces end at ASCII white space, which the
 vocabulary's own pattern never crosses, and where a letter meets ASCII punctuation other than an apostrophe, a bracket
-or a bar, where that pattern always ends a match; so the ids are those of the whole text.
+or a bar, where that pattern always ends a match; so the ids are those of the whole text. With a vocabulary of other rules than
+CUT_RULES a text is one piece.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -123,6 +125,24 @@ def pieces(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+def whole_rows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text as one piece, for vocabularies of other rules."""
+    rows = np.flatnonzero(np.diff(offs))
+    return offs[rows], offs[rows + 1], rows
+
+
+#: The rules of a vocabulary file for which ``pieces`` and lower-casing hold (fixed values).
+CUT_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
@@ -133,6 +153,9 @@ def encoder(path: str) -> PieceEncoder:
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            rules = json.load(f)
+        cut = all(rules.get(k) == v for k, v in CUT_RULES.items()) and all(x["content"].startswith("<|") for x in rules["added_tokens"])
 
         def encode(texts: list[str]) -> list[list[int]]:
             out = []
@@ -140,7 +163,7 @@ def encoder(path: str) -> PieceEncoder:
                 out += [e.ids for e in lib.encode_batch_fast(texts[i : i + 4096], add_special_tokens=False)]
             return out
 
-        _ENCODERS[path] = PieceEncoder(encode, pieces)
+        _ENCODERS[path] = PieceEncoder(encode, pieces if cut else whole_rows)
     return _ENCODERS[path]
 
 
@@ -148,7 +171,7 @@ def encode_column(col: pa.Array, path: str, end_id: int | None) -> Iterator[tupl
     """Yields (first row, end row, ids, offsets)."""
     enc = encoder(path)
     for lo, hi, buf, offs in tv.chunks(col):
-        if b"<|" not in buf.tobytes():  # else capitals could turn into a special token's string
+        if enc.split is pieces and b"<|" not in buf.tobytes():  # else capitals could turn into a special token's string
             buf = tv.lower(buf)
         yield lo, hi, *enc.texts(buf, offs, end_id)
 

@@ -41,6 +41,15 @@ def test_pieces_give_the_library_ids(rng):
     assert got == [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_other_vocabulary(rng):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib, texts = Tokenizer.from_file(path), [t.replace("<|endoftext|>", "") for t in fuzz(rng, 500)]
+    got = [ids[offs[i] : offs[i + 1]].tolist() for lo, hi, ids, offs in op5.encode_column(pa.array(texts), path, None) for i in range(hi - lo)]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_orc_round_trip(llm, tmp_path):
     from tokenizers import Tokenizer
 
@@ -77,12 +86,28 @@ def test_replay_gives_the_library_ids(rng, library):
     tokens = [t for t in library._mergeable_ranks if len(t) <= 4]
     texts = fuzz(rng, 3000) + [b"".join(rng.choices(tokens, k=rng.randint(1, 8))).decode("utf-8", "ignore") for _ in range(20_000)] + ["ab" * 5000, "a" * 3000]
     got = []
-    for lo, hi, ids, offs in c.encode_column(pa.array(texts)):
+    for lo, hi, ids, offs, _, _ in c.encode_column(pa.array(texts)):
         raw, upto = c.decode(ids, offs)
         got += [(ids[offs[i] : offs[i + 1]].tolist(), raw[upto[i] : upto[i + 1]].tobytes()) for i in range(hi - lo)]
     assert got == [(library.encode_ordinary(t), t.encode()) for t in texts]
 
 
+def test_other_pattern(rng):
+    import tiktoken
+
+    pattern = r"[^\r\n]+|[\r\n]"
+    lib = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=op10.load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    c, texts = op10.codec(P.path("byte_bpe_50k.tiktoken"), pattern), fuzz(rng, 500)
+    got = [ids[offs[i] : offs[i + 1]].tolist() for lo, hi, ids, offs, _, _ in c.encode_column(pa.array(texts)) for i in range(hi - lo)]
+    assert got == [lib.encode_ordinary(t) for t in texts]
+
+
+def test_same_bytes():
+    a, b = (np.frombuffer(x, np.uint8) for x in (b"aabbcc", b"aabxcc"))
+    assert op10.same_bytes(a, np.array([0, 2, 4, 6]), b, np.array([0, 2, 4, 6])).tolist() == [True, False, True]
+    assert op10.same_bytes(a, np.array([0, 2, 4, 6]), b, np.array([0, 2, 3, 6])).tolist() == [True, False, False]
+
+
 def test_bpe_frames(llm, library):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     docs = llm.createDataFrame([(*r, "x") for r in ODD], DOCS + ", decoded0 string")
