@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as fx
 from .operators import history, notes, parse_code, parse_lines, search, tagging, telemetry
-from .plans import store
+from .plans import languages, store
 from .plans.corpora import view, with_views
 from .sources import repo as src
 
@@ -191,6 +191,24 @@ def parse_html(spark, d):
     return parse_lines.markup(view(spark, d, "pages_files"))
 
 
+def _language_queries(lang: str) -> None:
+    """Symbols and imports of files in one language, in several shapes."""
+
+    def symbols(spark, d):
+        return parse_code.parse(view(spark, d, f"{lang}_files"))[0]
+
+    def imports(spark, d):
+        return parse_code.parse(view(spark, d, f"{lang}_files"))[1]
+
+    for f, what in ((symbols, "symbols"), (imports, "imports")):
+        f.__name__ = f"parse_{lang}_{what}"
+        query(languages.expected_sql(lang, what))(f)
+
+
+for _lang in languages.SHAPES:
+    _language_queries(_lang)
+
+
 # --- tags ---
 
 TAG_LISTS = """[['async', 'db_read', 'tenant_scoped', 'no_error_handling'], ['async', 'db_read', 'unscoped_query', 'no_error_handling'], ['async', 'db_write', 'unscoped_query', 'error_handler'],

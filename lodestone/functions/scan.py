@@ -25,8 +25,14 @@ class Source:
         for m in re.finditer(r"[(){}\[\]]", self.mask):
             if m[0] in "({[":
                 stack.append(m.start())
-            elif stack:
-                self.close[stack.pop()] = m.start()
+                continue
+            opener = {")": "(", "]": "[", "}": "{"}[m[0]]
+            kept = len(stack) - 1
+            while kept >= 0 and self.mask[stack[kept]] != opener:  # what stands open inside has no closer
+                kept -= 1
+            if kept >= 0:
+                self.close[stack[kept]] = m.start()
+                del stack[kept:]
 
     def line(self, pos: int) -> int:
         return bisect_right(self.starts, pos)
@@ -63,21 +69,88 @@ class Source:
         return -1
 
 
+_COMMENT = r"/\*[\s\S]*?\*/|//[^\n]*"
+#: Comments and strings by language; the first that matches counts.
+_MASKED = {
+    "python": r"'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*",
+    "go": _COMMENT + r"|\"(?:\\.|[^\"\\\n])*\"|`[^`]*`|'(?:\\.[^']*|[^'\\\n])'",
+    "rust": _COMMENT + r"|\br(?P<hashes>#*)\"[\s\S]*?\"(?P=hashes)|\"(?:\\.|[^\"\\])*\"|'(?:\\.[^']*|[^'\\\n])'",
+    "java": _COMMENT + r"|\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
+    "csharp": _COMMENT + r"|\"\"\"[\s\S]*?\"\"\"|\$?@\$?\"(?:[^\"]|\"\")*\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'",
+}
+
+
+def _blank(s: str) -> str:
+    return re.sub(r"[^\n]", " ", s)
+
+
 def mask(text: str, lang: str) -> str:
     """Comments and the insides of strings as spaces."""
-    if lang == "python":
-        pattern = r"'''[\s\S]*?'''|\"\"\"[\s\S]*?\"\"\"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*"
-    elif lang in ("rust", "go"):
-        pattern = r"/\*[\s\S]*?\*/|//[^\n]*|\"(?:\\.|[^\"\\])*\"|`[^`]*`|'(?:\\.[^']*|[^'\\\n])'"
-    else:
-        pattern = r"/\*[\s\S]*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"
+    if lang not in _MASKED:
+        return _mask_script(text)
 
     def blank(m: re.Match) -> str:
-        s = m[0]
-        inner = re.sub(r"[^\n]", " ", s)
+        s, inner = m[0], _blank(m[0])
         return s[0] + inner[1:-1] + s[-1] if s[0] in "\"'`" and len(s) > 1 else inner
 
-    return re.sub(pattern, blank, text)
+    return re.sub(_MASKED[lang], blank, text)
+
+
+#: Words after which a slash begins a pattern, as it does where no value stands before it.
+_BEFORE_PATTERN = {"return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do", "instanceof", "yield", "await"}
+_SCRIPT = re.compile(_COMMENT + r"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[`/{}]")
+_PATTERN = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*")
+_TEMPLATE = re.compile(r"(?:\\[\s\S]|\$(?!\{)|[^`\\$])*")
+
+
+def _mask_script(text: str) -> str:
+    """JavaScript and TypeScript: patterns too; what stands in ${ } of a template is code, between round brackets."""
+    out, i, depth, inside = [], 0, 0, []  # inside: depths of braces at which templates go on
+
+    def template(at: int) -> int:
+        """After the template's text from ``at``; its end, or the place after ${."""
+        end = _TEMPLATE.match(text, at).end()
+        out.append(_blank(text[at:end]))
+        if text.startswith("${", end):
+            out.append(" (")
+            inside.append(depth)
+            return end + 2
+        out.append(text[end : end + 1])
+        return end + 1
+
+    while m := _SCRIPT.search(text, i):
+        out.append(text[i : m.start()])
+        i, s = m.end(), m[0]
+        if s == "`":
+            out.append(s)
+            i = template(i)
+        elif s == "{":
+            depth += 1
+            out.append(s)
+        elif s == "}":
+            if inside and inside[-1] == depth:
+                inside.pop()
+                out.append(")")
+                i = template(i)
+            else:
+                depth -= 1
+                out.append(s)
+        elif s == "/":
+            before = re.search(r"([\w$]+|[^\s])\s*$", "".join(out[-3:])[-80:])
+            word = before[1] if before else ""
+            value = bool(word) and (word in (")", "]", "}", '"', "'", "`") or re.match(r"[\w$]", word) and word not in _BEFORE_PATTERN)
+            p = None if value else _PATTERN.match(text, m.start())
+            if p:
+                i = p.end()
+                out.append(s + _blank(p[0][1:-1]) + "/")
+            else:
+                out.append(s)
+        elif s[0] in "\"'":
+            out.append(s[0] + _blank(s[1:-1]) + s[-1])
+        else:
+            out.append(_blank(s))
+    out.append(text[i:])
+    return "".join(out)
 
 
 def _strip(q: str) -> str:
@@ -361,40 +434,71 @@ def _python(out: Out) -> None:
 
 
 def _go(out: Out) -> None:
+    """Symbols in the order of the text; an interface's methods stand before it. What stands in a function names it as parent."""
     src, n = out.src, len(out.src.mask)
+    found: list[tuple] = []
+    bodies: list[tuple[int, int, str]] = []
     for m in re.finditer(r"^func\s+(?P<recv>\([^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?\(", src.mask, re.M):
         params, after = _params(src, m.end() - 1, n)
-        o = src.brace(after, n)
-        end = src.close.get(o, n - 1) + 1 if o >= 0 else src.mask.find("\n", after)
+        o = src.brace(after, min(n, _line_end(src, after)))
+        end = src.close.get(o, n - 1) + 1 if o >= 0 else _line_end(src, after)
+        if o >= 0:
+            bodies.append((o, end, m["name"]))
         if m["recv"]:
             recv = m["recv"].strip()
             result = src.text[after:o].strip() if o >= 0 else ""
             owner = recv.strip("()").split()[-1].lstrip("*") if recv.strip("() ") else None
             sig = f"func {recv} {m['name']}({params})" + (f" {result}" if result else "")
-            out.add(m["name"], "method", sig, m.start(), end, owner)
+            found.append((m.start(), (m["name"], "method", sig, m.start(), end, owner)))
         else:
-            out.add(m["name"], "function", src.first_line(m.start(), end), m.start(), end)
-    for m in re.finditer(r"^type\s+(?P<name>\w+)\s+(?P<what>struct|interface)?", src.mask, re.M):
-        end = src.end_of(m.end(), n) if m["what"] else src.mask.find("\n", m.end()) % (n + 1)
-        start = m.start("name")
-        if m["what"] == "interface":
-            o = src.brace(m.end(), n)
-            for k in re.finditer(r"^[ \t]*(\w+)\(", src.mask[o + 1 : end - 1], re.M):
-                p = o + 1 + k.start(1)
-                e = src.mask.find("\n", p)
-                out.add(k[1], "method", src.text[p:e].strip(), p, e, m["name"])
-        kind = {"struct": "class", "interface": "interface"}.get(m["what"], "type")
-        out.add(m["name"], kind, f"type {m['name']} {m['what']}" if m["what"] else f"type {m['name']}", start, end)
-    for m in re.finditer(r"^(?P<what>const|var)\s+(?P<group>\()?", src.mask, re.M):
-        kind = "constant" if m["what"] == "const" else "variable"
-        a, b = (m.end(), src.close.get(m.end() - 1, n)) if m["group"] else (m.end(), src.mask.find("\n", m.end()) % (n + 1))
-        for k in re.finditer(r"^[ \t]*(\w+)[^\n]*", src.mask[a:b], re.M):
-            text = src.text[a + k.start(1) : a + k.end()].strip()
-            out.add(k[1], kind, f"{m['what']} {k[1]}", a + k.start(1), a + k.start(1) + len(text))
-    for m in re.finditer(r"^import\s+(\()?", src.mask, re.M):
-        a, b = (m.end(), src.close.get(m.end() - 1, n)) if m[1] else (m.end(), src.mask.find("\n", m.end()) % (n + 1))
-        for k in re.finditer(r'"([^"\n]*)"', src.text[a:b]):
-            out.use(k[1], [], a + k.start())
+            found.append((m.start(), (m["name"], "function", src.first_line(m.start(), end), m.start(), end)))
+
+    def parent(pos: int) -> str | None:
+        return next((name for a, b, name in bodies if a < pos < b), None)
+
+    def specs(m: re.Match):
+        """Spans of what stands in the brackets, or on the line."""
+        a, b = (m.end(), src.close.get(m.end() - 1, n)) if m["group"] else (m.end(), _line_end(src, m.end()))
+        i = a
+        while i < b:
+            k = re.compile(r"\s*(\w+)").match(src.mask, i, b)
+            if not k:
+                nxt = src.mask.find("\n", i, b)
+                i = b if nxt < 0 else nxt + 1
+                continue
+            e = k.end()
+            while e < b and src.mask[e] not in "\n;":
+                e = src.close.get(e, e) + 1 if src.mask[e] in "([{" else e + 1
+            yield k.start(1), e, k[1]
+            i = e + 1
+
+    for m in re.finditer(r"^[ \t]*type\s+(?P<group>\()?", src.mask, re.M):
+        for a, e, name in specs(m):
+            what = re.compile(r"\s*(?:\[[^\]]*\]\s*)?(struct|interface)\b").match(src.mask, a + len(name), e)
+            e = a + len(src.text[a:e].rstrip())
+            if what and what[1] == "interface":
+                o = src.mask.find("{", a, e)
+                for k in re.finditer(r"^[ \t]*(\w+)\(", src.mask[o + 1 : e - 1], re.M) if o >= 0 else []:
+                    p = o + 1 + k.start(1)
+                    stop = min(_line_end(src, p), e - 1)
+                    text = src.text[p:stop].strip()
+                    found.append((a, (k[1], "method", text, p, p + len(text), name)))
+            kind = {"struct": "class", "interface": "interface"}.get(what[1] if what else "", "type")
+            found.append((a, (name, kind, f"type {name} {what[1]}" if what else f"type {name}", a, e, parent(a))))
+    for m in re.finditer(r"^[ \t]*(?P<what>const|var)\s+(?P<group>\()?", src.mask, re.M):
+        for a, e, name in specs(m):
+            found.append((a, (name, "constant" if m["what"] == "const" else "variable", f"{m['what']} {name}", a, a + len(src.text[a:e].rstrip()), parent(a))))
+    for _, args in sorted(found, key=lambda f: f[0]):
+        out.add(*args)
+    for m in re.finditer(r"^import\s+(?P<group>\()?", src.mask, re.M):
+        a, b = (m.end(), src.close.get(m.end() - 1, n)) if m["group"] else (m.end(), _line_end(src, m.end()))
+        for k in re.finditer(r'"[^"\n]*"', src.mask[a:b]):
+            out.use(src.text[a + k.start() + 1 : a + k.end() - 1], [], a + k.start())
+
+
+def _line_end(src: Source, pos: int) -> int:
+    e = src.mask.find("\n", pos)
+    return len(src.mask) if e < 0 else e
 
 
 def _rust(out: Out, a: int, b: int, scope: str | None) -> None:

@@ -9,6 +9,8 @@ import string
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import languages
+
 BODY = """case p_size % 6
   when 0 then 'return pool.query(''SELECT 1 WHERE tenant_id = 1'');' when 1 then 'return pool.query(''SELECT 2'');'
   when 2 then 'try {{ db.insert(id); }} catch (e) {{ }}' when 3 then 'await fetch(id);' when 4 then 'return validate(id);'
@@ -85,6 +87,9 @@ CORPORA: dict[str, str] = {
 }
 
 
+CORPORA |= {f"{lang}_files": languages.files_sql(lang) for lang in languages.SHAPES}
+
+
 def tables_of(sql: str) -> list[str]:
     return sorted({name for _, name, _, _ in string.Formatter().parse(sql) if name})
 

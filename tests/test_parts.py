@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scan, text
 from lodestone.operators import history, notes, search, tagging, telemetry
-from lodestone.plans import store
+from lodestone.plans import languages, store
 from lodestone.sources import git, repo
 from lodestone.sources import notes as note_files
 from lodestone.streaming import watch
@@ -103,13 +103,31 @@ def test_javascript():
 def test_other_languages():
     names = lambda t, lang: [(s[0], s[1], s[3], s[4], s[7]) for s in scan.scan(t, lang)[0]]
     assert names("@d\nclass K:\n    def m(self):\n        return 1\n\nasync def f(a,\n  b):\n    pass\n", "python") == [("K", "class", 2, 4, None), ("m", "method", 3, 4, "K"), ("f", "function", 6, 8, None)]
-    assert names("type S struct {\n  x int\n}\nfunc (s *S) Get() int {\n  return 1\n}\n", "go") == [("Get", "method", 4, 6, "S"), ("S", "class", 1, 3, None)]
+    assert names("type S struct {\n  x int\n}\nfunc (s *S) Get() int {\n  return 1\n}\n", "go") == [("S", "class", 1, 3, None), ("Get", "method", 4, 6, "S")]
     assert names("pub enum C { A, B(u8) }\nimpl T for P {\n  fn a(&self) {}\n}\n", "rust") == [("C", "enum", 1, 1, None), ("A", "enum_member", 1, 1, "C"), ("B", "enum_member", 1, 1, "C"), ("P", "impl", 2, 4, None), ("a", "method", 3, 3, "P")]
     assert names("public class A {\n  int x = 1, y;\n  A(int q) { }\n  void go() { }\n}\n", "java") == [("A", "class", 1, 5, None), ("x", "property", 2, 2, "A"), ("y", "property", 2, 2, "A"), ("A", "constructor", 3, 3, "A"), ("go", "method", 4, 4, "A")]
     assert names("namespace N {\n  public class A {\n    public int P { get; set; }\n  }\n}\n", "csharp") == [("N", "namespace", 1, 5, None), ("A", "class", 2, 4, "N"), ("P", "property", 3, 3, "A")]
     assert scan.scan("", "python") == ([], []) and scan.scan("}}}((", "javascript") == ([], [])
 
 
+@pytest.mark.parametrize("lang", sorted(languages.SHAPES))
+def test_shapes(lang):
+    fill = lambda x: x.replace("§", "7") if isinstance(x, str) else [fill(y) for y in x] if isinstance(x, list) else x
+    for text, symbols, imports in languages.SHAPES[lang][1]:
+        assert len(scan.mask(text, lang)) == len(text)
+        got = scan.scan(fill(text), lang)
+        assert got[0] == [tuple(map(fill, r)) for r in symbols]
+        assert got[1] == [tuple(map(fill, r)) for r in imports]
+
+
+def test_script_mask():
+    """Patterns, templates in templates, divisions: brackets in them open nothing."""
+    text = "function a(x) {\n  return x.replace(/[{(]/g, '') / 2 / 3;\n}\nfunction b() { return `x ${f(`y {`)} z } ${ {a: 1}.a }`; }\nclass C {\n  m() { return /}/.test(q) }\n}\n"
+    assert [(s[0], s[3], s[4], s[7]) for s in scan.scan(text, "javascript")[0]] == [("a", 1, 3, None), ("b", 4, 4, None), ("C", 5, 7, None), ("m", 6, 6, "C")]
+    assert [s[:1] + s[3:5] for s in scan.scan("function f() { g(]; }\nfunction h() {}\n", "javascript")[0]] == [("f", 1, 1), ("h", 2, 2)]
+    assert scan.scan("function f() { `${", "javascript")[0][0][0] == "f"
+
+
 def test_children():
     symbols, _ = scan.scan("class A {\n  m() {}\n}\n", "javascript")
     assert scan.link_children(symbols) == {0: [1]}
