@@ -12,6 +12,7 @@ from .functions import text as fx
 from .operators import history, notes, parse_code, parse_lines, search, tagging, telemetry
 from .plans import languages, store
 from .plans.corpora import view, with_views
+from .sources import config
 from .sources import repo as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,19 +132,20 @@ CODE_ROW = """select path, cast(ordinal as int) as ordinal,
   case when ordinal = 3 then concat('Box', k) end as parent_class from """
 
 
-def code(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+def code(spark, d, once: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, symbols and imports; scanned once for queries that use the tables more than once."""
     files = view(spark, d, "code_files")
-    return files, *parse_code.parse(files)
+    return files, *parse_code.parse(files, once)
 
 
 @query(CODE_ROW + CODE_SYMBOLS)
 def parse_js(spark, d):
-    return code(spark, d)[1]
+    return code(spark, d, once=False)[1]
 
 
 @query("select concat('src/mod_', p_partkey % 50, '/part_', p_partkey, '.js') as path, cast(0 as int) as ordinal, concat('./lib/brand_', p_partkey % 40) as source, ['db'] as identifiers, cast(1 as int) as line from part")
 def parse_js_imports(spark, d):
-    return code(spark, d)[2]
+    return code(spark, d, once=False)[2]
 
 
 def _line_query(name: str, corpus: str, parser, rows: str) -> None:
@@ -246,12 +248,31 @@ def find_by_tag(spark, d):
     return search.find_by_tag(tagging.tag_symbols(files, symbols), symbols, "db_write", 25)
 
 
-@query(f"select path, cast(ordinal as int) as ordinal, name, tag from (select path, min(ordinal) as ordinal, name, arg_max(kind, ordinal) as tag from v_symbols group by path, name) where tag = 'class'", "symbols")
+@query(
+    """select concat('twin/f', s_suppkey, '.js') as path, cast(0 as int) as symbol_ordinal, concat('twin', s_suppkey) as symbol_name, unnest(['async', 'db_write', 'unscoped_query', 'error_handler']) as tag from supplier"""
+)
 def tag_collision(spark, d):
-    """The last symbol of a name tags the first row of it; here the kind stands for the tag."""
-    s = view(spark, d, "symbols")
-    each = s.groupBy("path", "name").agg(F.min("ordinal").alias("ordinal"), F.max_by("kind", "ordinal").alias("tag"))
-    return each.where("tag = 'class'").select("path", "ordinal", "name", "tag")
+    """Two functions of one name in a file: the last one's tags, at the first one's place."""
+    files = view(spark, d, "twin_files")
+    return tagging.tag_symbols(files, parse_code.parse(files, once=True)[0])
+
+
+@query("""select concat('twin/f', s_suppkey, '.js') as path, 'exported' as tag, unnest([concat('twin', s_suppkey), 'other', 'one']) as name, cast(null as int) as line from supplier""")
+def exported_names(spark, d):
+    return tagging.source_tags(view(spark, d, "twin_files"))
+
+
+@query(
+    """select concat('lang/f', p_partkey, '.js') as path, cast(r.o as int) as ordinal, cast(r.c as int) as child from (select p_partkey, unnest(case p_partkey % 3 when 1 then [{'o': 0, 'c': 1}, {'o': 0, 'c': 3}, {'o': 1, 'c': 2}]
+    when 2 then [{'o': 0, 'c': 1}] else cast([] as struct(o int, c int)[]) end) as r from part)"""
+)
+def symbol_children(spark, d):
+    return parse_code.children(view(spark, d, "javascript_files"))
+
+
+@query("select path, ordinal, source, to_json(identifiers)::varchar as identifiers, line from (" + languages.expected_sql("javascript", "imports") + ")")
+def identifiers_json(spark, d):
+    return search.identifiers_json(parse_code.parse(view(spark, d, "javascript_files"))[1])
 
 
 # --- search ---
@@ -295,22 +316,22 @@ def find_symbol_limit(spark, d):
 
 @query("select distinct concat('src/mod_', p_partkey % 50, '/part_', p_partkey, '.js') as path from part where p_partkey % 40 = 3")
 def find_importers(spark, d):
-    return search.find_importers(code(spark, d)[2], "src/lib/brand_3.js")
+    return search.find_importers(code(spark, d, once=False)[2], "src/lib/brand_3.js")
 
 
 @query("select concat('src/mod_', p_partkey % 50, '/part_', p_partkey, '.js') as importer, concat('src/lib/brand_', p_partkey % 40, '.js') as target from part")
 def import_graph(spark, d):
-    return search.import_graph(code(spark, d)[2], view(spark, d, "lib_files"))
+    return search.import_graph(code(spark, d, once=False)[2], view(spark, d, "lib_files"))
 
 
 @query("select concat('src/lib/brand_', p_partkey % 40, '.js') as target, count(*) as n from part group by 1")
 def importer_fan_in(spark, d):
-    return search.import_graph(code(spark, d)[2], view(spark, d, "lib_files")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
+    return search.import_graph(code(spark, d, once=False)[2], view(spark, d, "lib_files")).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(CODE_ROW + CODE_SYMBOLS + " where path = 'src/mod_9/part_9.js'")
 def outline(spark, d):
-    return search.outline(code(spark, d)[1], "src/mod_9/part_9.js")
+    return search.outline(code(spark, d, once=False)[1], "src/mod_9/part_9.js")
 
 
 @query("select path, cast(ordinal as int) as ordinal, name, kind, case when kind = 'class' then ['area'] else cast([] as varchar[]) end as children from (" + CODE_ROW + CODE_SYMBOLS + ") where ordinal < 3")
@@ -358,15 +379,39 @@ def multirepo_search(spark, d):
     return search.find_symbols_by_repo(view(spark, d, "symbols"), "red_plate", 5).select("repo", "place", "path", "ordinal", "name", "score")
 
 
+def by_repo(df: DataFrame) -> DataFrame:
+    """Code files and what comes of them, dealt to four repositories by the number in their path."""
+    return df.withColumn("repo", F.concat(F.lit("repo"), (F.regexp_extract("path", r"part_(\d+)", 1).cast("int") % 4).cast("string")))
+
+
+REPO = "concat('repo', cast(regexp_extract(path, 'part_([0-9]+)', 1) as int) % 4)"
+
+
 @query(
-    """select repo, cast(place as int) as place, 'async' as tag, name as symbol_name, kind, path, cast(ordinal as int) as start_line from (select *, row_number() over (partition by repo order by path, ordinal, name) as place from v_symbols where kind = 'function')
-    where place <= 7 order by repo, place limit 7""",
-    "symbols",
+    f"""select repo, cast(place as int) as place, tag, symbol_name, 'function' as kind, path, cast(2 as int) as start_line from (select *, row_number() over (partition by repo order by path) as place from (select *, {REPO} as repo from {TAGS_SQL} where tag = 'db_write'))
+    where place <= 7 order by repo, place limit 7"""
 )
 def multirepo_tags(spark, d):
-    s = view(spark, d, "symbols").withColumn("start_line", F.col("ordinal"))
-    tags = s.where("kind = 'function'").select("repo", "path", F.col("ordinal").alias("symbol_ordinal"), F.col("name").alias("symbol_name"), F.lit("async").alias("tag"))
-    return search.find_by_tag_by_repo(tags, s, "async", 7)
+    files, symbols, _ = code(spark, d)
+    return search.find_by_tag_by_repo(by_repo(tagging.tag_symbols(files, symbols)), by_repo(symbols), "db_write", 7)
+
+
+@query(f"select {REPO} as repo, path, cast(line as int) as line, {TRIM.format('text')} as content from {lines_sql('v_code_files')} where contains(lower(text), 'db.insert')", "code_files")
+def multirepo_text(spark, d):
+    return search.find_text(by_repo(view(spark, d, "code_files")), "DB.insert")
+
+
+@query(f"select {REPO} as repo, list(path order by path) as paths from v_code_files where starts_with(path, 'src/mod_1') group by 1", "code_files")
+def multirepo_tree(spark, d):
+    return search.tree_by_repo(by_repo(view(spark, d, "code_files")), prefix="src/mod_1")
+
+
+@query(f"select * from ({CODE_ROW} {CODE_SYMBOLS}) where path = 'src/mod_9/part_9.js' and {REPO} = 'repo1'")
+def multirepo_outline(spark, d):
+    """A read that names a repository; the other three have no such file."""
+    symbols = by_repo(code(spark, d, once=False)[1])
+    found = [search.outline(search.of_repo(symbols, r), "src/mod_9/part_9.js") for r in ("repo1", "repo2", "unknown")]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("select repo, count(distinct path) as files, count(*) as symbols from v_symbols group by repo union all select null, cast(sum(f) as bigint), cast(sum(s) as bigint) from (select count(distinct path) as f, count(*) as s from v_symbols group by repo)", "symbols")
@@ -489,7 +534,7 @@ def change_diff(spark, d):
 
 @query("select path, hash from v_disk where not exists (select 1 from v_stored s where s.path = v_disk.path and s.hash = v_disk.hash)", "disk", "stored")
 def dedupe_by_hash(spark, d):
-    return view(spark, d, "disk").join(view(spark, d, "stored"), ["path", "hash"], "left_anti")
+    return store.fresh(view(spark, d, "disk"), view(spark, d, "stored"))
 
 
 @query("select path, hash from v_stored where path not in (select path from v_disk) union all select path, hash from v_disk", "disk", "stored")
@@ -502,3 +547,92 @@ def upsert_snapshot(spark, d):
 def cascade_delete(spark, d):
     s = view(spark, d, "symbols").select("path", "ordinal", "name")
     return store.replaced(s, s.limit(0), s.where(F.col("path").startswith("src/")).select("path").distinct())
+
+
+OLD_SYMBOLS = "path string, ordinal int, name string, kind string, exported int, source_type string"
+
+
+@query("select path, ordinal, name, kind, exported, 'code' as source_type from v_symbols", "symbols")
+def migrate_symbols(spark, d):
+    """Rows of a table that was written before source_type was there."""
+    return store.migrated(view(spark, d, "symbols").drop("source_type"), OLD_SYMBOLS, {"source_type": F.lit("code")})
+
+
+@query("select path, 'text' as language, 'docs' as source_type, md5(content) as hash from v_docs_files where path = (select min(path) from v_docs_files)", "docs_files")
+def file_lookup(spark, d):
+    files = view(spark, d, "docs_files")
+    return search.file_by_path(src.metadata(files), files.agg(F.min("path")).first()[0]).select("path", "language", "source_type", "hash")
+
+
+@query("select 'src/mod_9/part_9.js' as path, cast(0 as int) as ordinal, './lib/brand_9' as source, ['db'] as identifiers, cast(1 as int) as line")
+def imports_lookup(spark, d):
+    return search.imports_of(code(spark, d, once=False)[2], "src/mod_9/part_9.js")
+
+
+@query(f"select symbol_name, tag from {TAGS_SQL} where path = 'src/mod_9/part_9.js'")
+def tags_lookup(spark, d):
+    files, symbols, _ = code(spark, d)
+    return search.tags_of(tagging.tag_symbols(files, symbols), "src/mod_9/part_9.js")
+
+
+# --- what a result tells of its query ---
+
+_COSTS = {"large": "150", "medium": "30", "small": "8"}
+_UNITS = {k: f"((s * {p} + 500) // 1000)" for k, p in _COSTS.items()}
+
+
+@query(
+    "select seq, tool, timing_ms, file_tokens, response_tokens, s as tokens_saved, cast(count(*) over w as bigint) as total_queries, case when s is not null then cast(sum(coalesce(s, 0)) over w as bigint) end as total_tokens_saved, case when s is not null then 'byte_approx' end as estimate_method, "
+    + ", ".join(f"cast({u} as double) / 10000 as cost_{k}, case when s is not null then cast(sum(coalesce({u}, 0)) over w as double) / 10000 end as total_cost_{k}" for k, u in _UNITS.items())
+    + " from (select *, greatest(0, file_tokens - response_tokens) as s from (select seq, tool, seq % 97 / 10 as timing_ms, case when tool <> 'view' then file_tokens end as file_tokens, case when tool <> 'view' then response_tokens end as response_tokens from v_calls)"
+    " where true) window w as (order by seq rows unbounded preceding)".replace("greatest(0, file_tokens - response_tokens)", "case when file_tokens is not null then greatest(0, file_tokens - response_tokens) end"),
+    "calls",
+)
+def telemetry_meta(spark, d):
+    """Views are told their time only."""
+    calls = view(spark, d, "calls")
+    some = [F.when(F.col("tool") != "view", F.col(c)).alias(c) for c in ("file_tokens", "response_tokens")]
+    return telemetry.meta(calls.select("seq", "tool", (F.col("seq") % 97 / 10).alias("timing_ms"), *some))
+
+
+# --- notes, once more ---
+
+
+@query(f"select * from (select * from {NOTES} where list_contains(tags, 'lesson') order by seq desc limit 10) order by seq", "notes_csv")
+def recent_lessons(spark, d):
+    return notes.recent_lessons(noted(spark, d))
+
+
+@query(
+    f"""select target, concat('## ', target, chr(10), chr(10), string_agg(concat('### ', timestamp, ' - ', array_to_string(tags, ', '), chr(10), chr(10), note, chr(10)), chr(10) order by seq)) as page from {NOTES} where seq > 5 group by target""",
+    "notes_csv",
+)
+def vault_pages(spark, d):
+    return notes.vault_pages(noted(spark, d), 5)
+
+
+@query("select seq, regexp_replace(regexp_replace(target, '[/:.]', '-', 'g'), '-+', '-', 'g') as name from v_notes_csv", "notes_csv")
+def note_slugs(spark, d):
+    return noted(spark, d).select("seq", fx.slug(F.col("target")).alias("name"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') as at from orders")
+def iso_times(spark, d):
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", fx.iso(F.col("o_orderdate")).alias("at"))
+
+
+@query("select 'python' as command, ['-m', 'lodestone.tools', '/repo'] as args, '{}' as env")
+def worker_config(spark, d):
+    w = config.worker("/repo")
+    return spark.range(1).select(F.lit(w["command"]).alias("command"), F.array(*[F.lit(a) for a in w["args"]]).alias("args"), F.lit(str(w["env"])).alias("env"))
+
+
+@query(
+    """select distinct file, cast(s_suppkey as int) as ordinal, concat('n', s_suppkey) as name from (select concat('x', s_suppkey % 9, '.js') as file, unnest([s_suppkey % 5 + 1, s_suppkey % 5 + 2, s_suppkey % 5 + 3, 20]) as line from supplier)
+    join (select s_suppkey, concat('x', s_suppkey % 9, '.js') as path, s_suppkey % 20 as a from supplier) on path = file where a <= line and a + 2 >= line"""
+)
+def changed_symbols(spark, d):
+    s = spark.read.parquet(f"{d}/supplier.parquet")
+    first = (F.col("s_suppkey") % 20).cast("int")
+    symbols = s.select(F.concat(F.lit("x"), (F.col("s_suppkey") % 9).cast("string"), F.lit(".js")).alias("path"), F.col("s_suppkey").cast("int").alias("ordinal"), F.concat(F.lit("n"), F.col("s_suppkey").cast("string")).alias("name"), first.alias("start_line"), (first + 2).alias("end_line"))
+    return history.changed_symbols(history.diff_lines(view(spark, d, "diffs")), symbols)

@@ -130,5 +130,10 @@ def line_slice(content: Column, start: Column, end: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """A file name for a note's target."""
-    return F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9]+", "-"), r"^-+|-+\z", "")
+    """A file name for a note's target: path marks, colons and points as dashes, runs of them as one."""
+    return F.regexp_replace(F.regexp_replace(c, r"[/:.]", "-"), r"-+", "-")
+
+
+def iso(at: Column) -> Column:
+    """A time as an ISO string in UTC with milliseconds; the session's zone is to be UTC."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BOUNDARY, lines, trim
 
+#: What begins a commit's line in a log with names: a record separator, which stands in no path or subject.
+MARK = "\x1e"
+
 
 def hotspots(commits: DataFrame, commit_files: DataFrame, days: int = 30, limit: int = 20, as_of: dt.date | None = None) -> DataFrame:
     """file, edit_count, bug_fix_count, score = edits + 2 * fixes; the first ``limit`` by score, then by first mention.
@@ -74,15 +77,17 @@ def diff_lines(text: DataFrame) -> DataFrame:
 
 def changed_symbols(changed: DataFrame, symbols: DataFrame) -> DataFrame:
     """(file, ordinal, name) of symbols with a changed line."""
+    lines = changed.groupBy("file").agg(F.collect_set("line").alias("changed"))  # a file's lines, as numbers, meet its symbols once
     s = symbols.withColumnRenamed("path", "file")
-    return changed.join(s, "file").where("start_line <= line and end_line >= line").select("file", "ordinal", "name").distinct()
+    hit = F.exists("changed", lambda k: (F.col("start_line") <= k) & (F.col("end_line") >= k))
+    return s.join(lines, "file").where(hit).select("file", "ordinal", "name").distinct()
 
 
 def parse_log(raw: DataFrame) -> DataFrame:
-    """(id, seq, hash, message, file) from a log with names: lines of __COMMIT__hash subject, then files."""
+    """(id, seq, hash, message, file) from a log with names: lines of MARK, hash, a blank and the subject, then files."""
     rows = numbered(raw)
-    mark = F.when(F.col("line").startswith("__COMMIT__"), F.struct(F.col("n").alias("seq"), F.regexp_extract("line", r"^__COMMIT__(\S+)", 1).alias("hash"), F.regexp_extract("line", r"^__COMMIT__\S+ ?(.*)", 1).alias("message")))
+    mark = F.when(F.col("line").startswith(MARK), F.struct(F.col("n").alias("seq"), F.regexp_extract("line", rf"^{MARK}(\S+)", 1).alias("hash"), F.regexp_extract("line", rf"^{MARK}\S+ ?(.*)", 1).alias("message")))
     w = Window.partitionBy("id").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("c", F.last(mark, ignorenulls=True).over(w))
-    named = rows.where(~F.col("line").startswith("__COMMIT__") & (trim(F.col("line")) != "") & F.col("c").isNotNull())
+    named = rows.where(~F.col("line").startswith(MARK) & (trim(F.col("line")) != "") & F.col("c").isNotNull())
     return named.select("id", "c.seq", "c.hash", "c.message", trim(F.col("line")).alias("file"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scan import link_children, scan
 from ..functions.text import extension, language
-from ..sources.session import importable
+from ..sources.session import importable, stored
 from . import parse_lines
 
 SCHEMA = (
@@ -39,9 +39,12 @@ def records(files: DataFrame) -> DataFrame:
     return files.select("path", "content", lang.alias("lang")).where(F.col("lang").isin(SCANNED)).mapInPandas(run, SCHEMA)
 
 
-def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(symbols, imports) of all files: scanned languages and line-oriented formats together."""
-    rows = records(files)
+def parse(files: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(symbols, imports) of all files: scanned languages and line-oriented formats together.
+
+    With ``once`` the scanners run now, and only once; else each use of the tables runs them.
+    """
+    rows = stored(records(files), "records") if once else records(files)
     symbols = rows.where("rec = 'symbol'").select(*parse_lines.SYMBOL_COLUMNS)
     symbols = symbols.unionByName(parse_lines.parse(files))
     imports = rows.where("rec = 'import'").select("path", "ordinal", "source", "identifiers", "line")
@@ -49,3 +52,8 @@ def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = Window.partitionBy("path").orderBy("line")
     sourced = sourced.select("path", (F.row_number().over(place) - 1).alias("ordinal"), "source", "identifiers", "line")
     return symbols, imports.unionByName(sourced)
+
+
+def children(files: DataFrame) -> DataFrame:
+    """(path, ordinal, child): the ordinals of each symbol's children, of scanned languages."""
+    return records(files).where("rec = 'symbol'").select("path", "ordinal", F.explode("children").alias("child"))

@@ -18,8 +18,9 @@ SYMBOL_COLUMNS = ["path", "ordinal", "name", "kind", "signature", "start_line",
 
 
 def exploded(files: DataFrame) -> DataFrame:
-    """path, line (from 1), text."""
-    return files.select("path", F.posexplode(lines(F.col("content"))).alias("p", "text")).select("path", (F.col("p") + 1).alias("line"), "text")
+    """path, line (from 1), text; repo before them if files have it."""
+    keys = [c for c in ("repo", "path") if c in files.columns]
+    return files.select(*keys, F.posexplode(lines(F.col("content"))).alias("p", "text")).select(*keys, (F.col("p") + 1).alias("line"), "text")
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:

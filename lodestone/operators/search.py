@@ -8,9 +8,13 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, identifier_pattern, like, line_slice, literal_filter, query_words, split_words, trim
+from ..functions.text import fold, identifier_pattern, like, line_slice, lines, literal_filter, query_words, split_words, trim
 from .parse_lines import exploded
 
+def _keys(files: DataFrame) -> list[str]:
+    return [c for c in ("repo", "path") if c in files.columns]
+
+
 DEFAULT_TYPES = ("code", "query")
 CODE_EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 
@@ -51,12 +55,12 @@ def find_symbols(symbols: DataFrame, query: str, limit: int | None = None, **fil
 
 
 def find_text(files: DataFrame, pattern: str, case_sensitive: bool = False, use_regex: bool = False) -> DataFrame:
-    """(path, line, content): lines with a literal string. Files without it are left out before lines are cut."""
+    """(path, line, content), with repo if files have it: lines with a literal string. Files without it are left out before lines are cut."""
     literal_filter(F.col("content"), pattern, case_sensitive, use_regex)  # raises before the plan is made
     return (
         exploded(files.where(literal_filter(F.col("content"), pattern, case_sensitive)))
         .where(literal_filter(F.col("text"), pattern, case_sensitive))
-        .select("path", "line", trim(F.col("text")).alias("content"))
+        .select(*_keys(files), "line", trim(F.col("text")).alias("content"))
     )
 
 
@@ -151,11 +155,35 @@ def outline_nested(symbols: DataFrame) -> DataFrame:
 
 
 def read_symbols(files: DataFrame, symbols: DataFrame, specs: DataFrame) -> DataFrame:
-    """(ord, path, name, start_line, end_line, text) for specs (ord, path, name): the first symbol of the name, or nulls."""
+    """(ord, path, name, start_line, end_line, text) for specs (ord, path, name): the first symbol of the name, or nulls.
+
+    A file's specs are gathered first, so that its text meets them once and is cut into lines once.
+    """
     first = symbols.groupBy("path", "name").agg(F.min_by(F.struct("start_line", "end_line"), "ordinal").alias("s"))
-    out = specs.join(first, ["path", "name"], "left").join(files.select("path", "content"), "path", "left")
-    text = F.when(F.col("s").isNotNull(), line_slice(F.col("content"), F.col("s.start_line"), F.col("s.end_line")))
-    return out.select("ord", "path", "name", "s.start_line", "s.end_line", text.alias("text"))
+    asked = specs.join(first, ["path", "name"], "left").groupBy("path").agg(F.collect_list(F.struct("ord", "name", "s")).alias("asked"))
+    cut = asked.join(files.select("path", lines(F.col("content")).alias("ls")), "path", "left")
+    span = lambda x: F.when(x["s"].isNotNull(), F.array_join(F.slice(F.col("ls"), x["s"]["start_line"], F.greatest(x["s"]["end_line"] - x["s"]["start_line"] + 1, F.lit(0))), "\n"))
+    rows = cut.select("path", F.explode(F.transform("asked", lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["s"].alias("s"), span(x).alias("text")))).alias("r"))
+    return rows.select("r.ord", "path", "r.name", "r.s.start_line", "r.s.end_line", "r.text")
+
+
+def file_by_path(files: DataFrame, path: str) -> DataFrame:
+    """The file's row, or none."""
+    return files.where(F.col("path") == path)
+
+
+def imports_of(imports: DataFrame, path: str) -> DataFrame:
+    return imports.where(F.col("path") == path).orderBy("ordinal")
+
+
+def tags_of(tags: DataFrame, path: str) -> DataFrame:
+    """(symbol_name, tag) of a file."""
+    return tags.where(F.col("path") == path).select("symbol_name", "tag")
+
+
+def identifiers_json(imports: DataFrame) -> DataFrame:
+    """imports with their identifiers as a JSON list."""
+    return imports.withColumn("identifiers", F.to_json("identifiers"))
 
 
 def read_range(files: DataFrame, path: str, start: float | None, end: float | None) -> DataFrame:
@@ -224,3 +252,15 @@ def status_by_repo(files: DataFrame, symbols: DataFrame) -> DataFrame:
     s = symbols.groupBy("repo").agg(F.count(F.lit(1)).alias("symbols"))
     each = f.join(s, "repo", "full").select("repo", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("symbols", F.lit(0)).alias("symbols"))
     return each.unionByName(each.agg(F.lit(None).cast("string").alias("repo"), F.sum("files").alias("files"), F.sum("symbols").alias("symbols")))
+
+
+def of_repo(table: DataFrame, repo: str | None) -> DataFrame:
+    """One repository's rows, for the reads that name one; none for an unknown name, all without a name."""
+    return table if repo is None else table.where(F.col("repo") == repo).drop("repo")
+
+
+def tree_by_repo(files: DataFrame, repo: str | None = None, prefix: str | None = None) -> DataFrame:
+    """(repo, paths in order) of all repositories or of one."""
+    rows = files if repo is None else files.where(F.col("repo") == repo)
+    rows = rows.where(F.col("path").startswith(prefix)) if prefix else rows
+    return rows.groupBy("repo").agg(F.array_sort(F.collect_list("path")).alias("paths"))

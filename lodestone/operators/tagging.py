@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import line_slice, trim
+from ..functions.text import lines, trim
 from .parse_lines import exploded
 
 #: The patterns of the rules (fixed values).
@@ -39,13 +39,27 @@ def body_tags(source: Column, is_async: Column, custom: list[tuple[str, str]] =
     return F.array_compact(F.array(*rules))
 
 
+def _cut(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """path, ls (lines) and spans (a file's symbols): the text meets its symbols once and is cut once."""
+    spans = symbols.groupBy("path").agg(F.collect_list(F.struct("ordinal", "name", "start_line", "end_line", "async")).alias("spans"))
+    return files.select("path", lines(F.col("content")).alias("ls")).join(spans, "path")
+
+
+def _innermost(cut: DataFrame) -> DataFrame:
+    at = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(ROUTE), i + 1)), lambda i: i.isNotNull())
+    hits = cut.select("path", "spans", at.alias("at")).where(F.size("at") > 0)
+
+    def inner(line: Column) -> Column:
+        around = F.filter("spans", lambda s: (s["start_line"] <= line) & (s["end_line"] >= line))
+        return F.array_min(F.transform(around, lambda s: F.struct((s["end_line"] - s["start_line"]).alias("size"), s["ordinal"].alias("ordinal"), s["name"].alias("name"))))
+
+    rows = hits.select("path", F.explode(F.transform("at", lambda k: F.struct(k.alias("line"), inner(k).alias("s")))).alias("r"))
+    return rows.where("r.s is not null").select("path", "r.line", "r.s.ordinal", "r.s.name")
+
+
 def route_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, line, ordinal, name): each route line's innermost symbol; the first of equally long ones."""
-    hits = exploded(files).where(F.col("text").rlike(ROUTE)).select("path", "line")
-    spans = symbols.select("path", "ordinal", "name", "start_line", "end_line")
-    inside = hits.join(spans, "path").where("start_line <= line and end_line >= line")
-    w = Window.partitionBy("path", "line").orderBy(F.col("end_line") - F.col("start_line"), "ordinal")
-    return inside.withColumn("r", F.row_number().over(w)).where("r = 1").select("path", "line", "ordinal", "name")
+    return _innermost(_cut(files, symbols.withColumn("async", F.lit(0)) if "async" not in symbols.columns else symbols))
 
 
 def tag_symbols(files: DataFrame, symbols: DataFrame, custom: list[tuple[str, str]] = ()) -> DataFrame:
@@ -54,10 +68,12 @@ def tag_symbols(files: DataFrame, symbols: DataFrame, custom: list[tuple[str, st
     Tags belong to names: the last symbol of a name in a file gives them, its first row gets them, and routes found by
     line are added to the name of the innermost symbol.
     """
-    source = line_slice(F.col("content"), F.col("start_line"), F.col("end_line"))
-    each = symbols.join(files.select("path", "content"), "path").select("path", "ordinal", "name", body_tags(source, F.col("async"), custom).alias("tags"))
+    cut = _cut(files, symbols)
+    own = lambda s: F.array_join(F.slice(F.col("ls"), s["start_line"], F.greatest(s["end_line"] - s["start_line"] + 1, F.lit(0))), "\n")
+    texts = cut.select("path", F.explode(F.transform("spans", lambda s: F.struct(s["ordinal"].alias("ordinal"), s["name"].alias("name"), s["async"].alias("async"), own(s).alias("source")))).alias("s"))
+    each = texts.select("path", "s.ordinal", "s.name", body_tags(F.col("s.source"), F.col("s.async"), custom).alias("tags"))
     by_name = each.groupBy("path", "name").agg(F.min("ordinal").alias("symbol_ordinal"), F.max_by("tags", "ordinal").alias("tags"))
-    routes = route_lines(files, symbols).select("path", "name").distinct().withColumn("route", F.array(F.lit("route_handler")))
+    routes = _innermost(cut).select("path", "name").distinct().withColumn("route", F.array(F.lit("route_handler")))
     both = by_name.join(routes, ["path", "name"], "left")
     tags = F.when(F.col("route").isNotNull(), F.when(F.array_contains("tags", "route_handler"), F.col("tags")).otherwise(F.concat("tags", "route"))).otherwise(F.col("tags"))
     return both.select("path", "symbol_ordinal", F.col("name").alias("symbol_name"), F.explode(tags).alias("tag"))

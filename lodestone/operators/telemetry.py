@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Dollars for a million input tokens, dearest first (fixed values).
@@ -51,3 +53,41 @@ def report(calls: DataFrame) -> DataFrame:
 
 def by_tool(calls: DataFrame) -> DataFrame:
     return savings(calls).groupBy("tool").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens_saved").alias("tokens_saved"))
+
+
+#: Calls of one part of a log, whose running totals one task adds up.
+PART_CALLS = 100_000
+
+
+def meta(calls: DataFrame) -> DataFrame:
+    """calls (seq, timing_ms, file_tokens, response_tokens) with what a result tells of its query.
+
+    tokens_saved, a cost for each price, and totals up to and with this call in the order of seq: total_queries,
+    total_tokens_saved and total costs. Calls without tokens count as queries and save nothing (timing only: the other
+    columns are null). A log is added up in parts of PART_CALLS numbers; only a row for each part is gathered.
+    """
+    some = F.col("file_tokens").isNotNull() & F.col("response_tokens").isNotNull()
+    amount = F.when(some, saved(F.col("file_tokens"), F.col("response_tokens")))
+    rows = calls.withColumns({"tokens_saved": amount, "_part": F.floor(F.col("seq") / PART_CALLS)})
+    adds = {"queries": F.lit(1), "tokens_saved": F.coalesce("tokens_saved", F.lit(0)), **{f"cost_{k}": F.coalesce(units(F.col("tokens_saved"), p), F.lit(0)) for k, p in PRICES.items()}}
+    parts = rows.groupBy("_part").agg(*[F.sum(c).alias(f"_{k}") for k, c in adds.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    base = parts.select("_part", *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in adds])
+    inside = Window.partitionBy("_part").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(base, "_part").select("*", *[(F.col(f"_{k}") + F.sum(c).over(inside)).alias(f"t_{k}") for k, c in adds.items()])
+    told = lambda c: F.when(some, c)
+    return out.select(
+        *calls.columns, "tokens_saved", F.col("t_queries").alias("total_queries"), told(F.col("t_tokens_saved")).alias("total_tokens_saved"), told(F.lit("byte_approx")).alias("estimate_method"),
+        *[cost(F.col("tokens_saved"), p).alias(f"cost_{k}") for k, p in PRICES.items()], *[told(F.col(f"t_cost_{k}") / 10_000).alias(f"total_cost_{k}") for k in PRICES],
+    )
+
+
+def inject_meta(text: str, told: dict) -> str:
+    """A result's text with what is told of its query: in an object, beside a list, or after other text."""
+    try:
+        value = json.loads(text)
+    except ValueError:
+        return text + "\n" + json.dumps({"_meta": told}, indent=2, ensure_ascii=False)
+    if isinstance(value, dict):
+        return json.dumps(value | {"_meta": told}, indent=2, ensure_ascii=False)
+    return json.dumps({"data": value, "_meta": told} if isinstance(value, list) else value, indent=2, ensure_ascii=False)

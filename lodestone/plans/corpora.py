@@ -56,6 +56,18 @@ CORPORA: dict[str, str] = {
   case when p_partkey % 12 in (6, 7) then '' else cast(p_partkey as string) end,
   case p_size % 11 when 0 then '.js' when 1 then '.TS' when 2 then '.json' when 3 then '.JSON' when 4 then '.md' when 5 then '.vue' when 6 then '.sql' when 7 then '.py'
   when 8 then '' when 9 then '.scss' else '.rs' end) as path, p_partkey from {part}""",
+    "twin_files": f"select concat('twin/f', {_S}, '.js') as path, "
+    + _lines(
+        f"concat('function twin', {_S}, '(id) {{{{')",
+        "'  await fetch(id);'",
+        "'}}'",
+        f"concat('async function twin', {_S}, '(id) {{{{')",
+        "'  try {{ db.insert(id); }} catch (e) {{ }}'",
+        "'}}'",
+        f"concat('module.exports = {{{{ twin', {_S}, ', other }}}};')",
+        "'exports.one = 1;'",
+    )
+    + " as content from {supplier}",
     "yaml_files": f"select concat('conf/', {_S}, '.yaml') as path, " + _lines(f"concat('key_', {_S}, ': 1')", "'  nested-x: 2'", "'# no: 3'", "'plain text'") + " as content from {supplier}",
     "json_files": f"select concat('conf/', {_S}, '.json') as path, " + _lines("'{{'", f"concat('  \"a', {_S}, '\": 1, \"b\": 2')", "'}}'") + " as content from {supplier}",
     "toml_files": f"select concat('conf/', {_S}, '.toml') as path, " + _lines(f"concat('[sec', {_S}, ']')", "'k = 1'", "'# c = 2'", "'[[arr]]'") + " as content from {supplier}",

@@ -1,18 +1,25 @@
-"""An index as snapshots: every change writes new tables and then moves one pointer, so readers see all of it or none."""
+"""An index as snapshots: every change writes new parts and then moves one pointer, so readers see all of it or none.
+
+Tables are cut into BUCKETS by a hash of the path. A change rewrites the buckets of the paths that it touches; a version
+is a list of where its buckets stand, so the others stay where they are.
+"""
 
 from __future__ import annotations
 
-import os
-import shutil
+import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_type
 from ..operators import parse_code, tagging
-from ..sources.repo import metadata
+from ..sources.files import Folder
+from ..sources.repo import existing, metadata, read_files
 
+BUCKETS = 64
 TABLES = {
     "files": "path string, language string, source_type string, hash string, size_bytes bigint, line_count bigint, indexed_at timestamp, content string",
     "symbols": "path string, ordinal int, name string, kind string, signature string, start_line int, end_line int, exported int, async int, parent_class string, source_type string",
@@ -29,13 +36,27 @@ def changes(disk: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def stale(disk: DataFrame, stored: DataFrame, step: int = 1, slack: float = 2.0) -> DataFrame:
-    """(stale, sampled) of every step-th path on disk that is stored: changed more than slack seconds after its indexing."""
-    from pyspark.sql import Window
-
-    both = disk.join(stored, "path").withColumn("i", F.row_number().over(Window.orderBy("path")) - 1).where(F.col("i") % step == 0)
+    """(stale, sampled) of a sample of one path in ``step`` by its hash: changed more than slack seconds after its indexing."""
+    both = disk.join(stored, "path").where(F.pmod(F.xxhash64("path"), F.lit(step)) == 0)
     return both.agg(F.count_if(F.col("mtime") > F.unix_timestamp("indexed_at") + slack).alias("stale"), F.count(F.lit(1)).alias("sampled"))
 
 
+def migrated(table: DataFrame, schema: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """table in a schema: columns that an older one lacks get their default, or null; others are left out."""
+    have, out = set(table.columns), []
+    for column in schema.split(", "):
+        name, kind = column.split(" ", 1)
+        value = F.col(name) if name in have else (defaults or {}).get(name, F.lit(None))
+        out.append(value.cast(kind).alias(name))
+    return table.select(*out)
+
+
+def fresh(files: DataFrame, stored: DataFrame) -> DataFrame:
+    """The rows of files (path, content or hash) that are not stored with the same hash."""
+    hashed = files if "hash" in files.columns else files.withColumn("hash", F.md5("content"))
+    return hashed.join(stored.select("path", "hash"), ["path", "hash"], "left_anti").select(*files.columns)
+
+
 def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
     """A child table without the rows of paths in gone, and with the new ones."""
     return old.join(gone.select("path"), "path", "left_anti").unionByName(new)
@@ -43,7 +64,7 @@ def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
 
 def build(files: DataFrame, custom: list[tuple[str, str]] = (), indexed_at: str | None = None) -> dict[str, DataFrame]:
     """All tables of files (path, content)."""
-    symbols, imports = parse_code.parse(files)
+    symbols, imports = parse_code.parse(files, once=True)
     return {
         "files": metadata(files, indexed_at).join(files.select("path", "content"), "path"),
         "symbols": symbols.withColumn("source_type", source_type(F.col("path"))),
@@ -53,63 +74,102 @@ def build(files: DataFrame, custom: list[tuple[str, str]] = (), indexed_at: str
 
 
 class Snapshots:
-    """Versioned directories below root; CURRENT names the one to read."""
+    """Versions below root; CURRENT names the one to read, a list of its tables' buckets."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        os.makedirs(root, exist_ok=True)
+        self.spark, self.root, self.folder = spark, root, Folder(spark, root)
 
     def current(self) -> str | None:
-        mark = os.path.join(self.root, "CURRENT")
-        return open(mark).read().strip() or None if os.path.exists(mark) else None
+        return (self.folder.read("CURRENT").strip() or None) if self.folder.exists("CURRENT") else None
 
-    def table(self, name: str) -> DataFrame:
-        version = self.current()
-        if version is None:
+    def buckets(self, version: str | None = None) -> dict[str, dict[str, str]]:
+        """Of each table, where its buckets stand."""
+        version = version or self.current()
+        return {name: {} for name in TABLES} if version is None else json.loads(self.folder.read(f"{version}.json"))
+
+    def table(self, name: str, only: list[int] | None = None) -> DataFrame:
+        """A table, or some of its buckets. Columns that it was written without get their defaults."""
+        places = [f"{self.root}/{where}" for b, where in self.buckets()[name].items() if only is None or int(b) in only]
+        if not places:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(os.path.join(self.root, version, name))
+        old = {"source_type": source_type(F.col("path"))}
+        return migrated(self.spark.read.option("mergeSchema", "true").parquet(*places), TABLES[name], old)
 
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Writes all tables as a new version, then points to it. Earlier versions but the last are removed."""
+    def write(self, tables: dict[str, DataFrame], only: list[int] | None = None) -> str:
+        """Writes tables, or some of their buckets, as a new version, then points to it. What no version names goes."""
         before, version = self.current(), f"v{time.time_ns()}"
+        now = self.buckets(before)
         for name, schema in TABLES.items():
             cols = [c.split()[0] for c in schema.split(", ")]
-            tables[name].select(*cols).write.parquet(os.path.join(self.root, version, name))
-        tmp = os.path.join(self.root, ".CURRENT")
-        with open(tmp, "w") as f:
-            f.write(version)
-        os.replace(tmp, os.path.join(self.root, "CURRENT"))
-        for old in os.listdir(self.root):
-            if old.startswith("v") and old not in (before, version) and ".corrupt" not in old:
-                shutil.rmtree(os.path.join(self.root, old), ignore_errors=True)
+            rows = tables[name].select(*cols).withColumn("bucket", bucket())
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
+            kept = {} if only is None else {b: where for b, where in now[name].items() if int(b) not in only}
+            new = [x for x in self.folder.names(f"{version}/{name}") if x.startswith("bucket=")]
+            now[name] = kept | {x.split("=")[1]: f"{version}/{name}/{x}" for x in new}
+        self.folder.write(f"{version}.json", json.dumps(now))
+        self.folder.write("CURRENT", version)
+        named = {w for v in (before, version) if v for t in self.buckets(v).values() for w in t.values()}
+        for old in self.folder.names():
+            if old.startswith("v") and old.endswith(".json") and old[:-5] not in (before, version):
+                self.folder.remove(old)
+            elif old.startswith("v") and not any(w.startswith(f"{old}/") for w in named) and old != version and "." not in old:
+                self.folder.remove(old)
         return version
 
     def healthy(self) -> bool:
-        """Whether the current version can be read; one that cannot is set aside and the store is empty again."""
+        """Whether all of the current version can be read; one that cannot is set aside and the store is empty again.
+
+        Every column of every row is read, twice if the first try fails.
+        """
         version = self.current()
-        try:
-            for name in TABLES:
-                self.table(name).limit(1).count()
-            return True
-        except Exception:
-            if version is not None:
-                os.replace(os.path.join(self.root, version), os.path.join(self.root, f"{version}.corrupt-{time.time_ns()}"))
-                os.remove(os.path.join(self.root, "CURRENT"))
-            return False
+        for attempt in (0, 1):
+            try:
+                for name in TABLES:
+                    t = self.table(name)
+                    t.agg(F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)"))).collect()
+                return True
+            except (PySparkException, Py4JJavaError, ValueError, KeyError, OSError):
+                if attempt and version is not None:
+                    self.folder.rename(f"{version}.json", f"{version}.corrupt-{time.time_ns()}")
+                    self.folder.remove("CURRENT")
+        return False
 
     def upsert(self, files: DataFrame, deleted: DataFrame | None = None, force: bool = False, custom: list[tuple[str, str]] = ()) -> str | None:
         """Indexes files (path, content) whose hash is new and drops deleted paths (path); None if nothing changed."""
-        stored = self.table("files")
-        fresh = files if force else files.withColumn("hash", F.md5("content")).join(stored.select("path", "hash"), ["path", "hash"], "left_anti").drop("hash")
-        gone = fresh.select("path") if deleted is None else fresh.select("path").unionByName(deleted.select("path"))
+        new_files = files if force else fresh(files, self.table("files"))
+        gone = new_files.select("path") if deleted is None else new_files.select("path").unionByName(deleted.select("path"))
         gone = gone.distinct()
-        if gone.isEmpty():
+        touched = [r["b"] for r in gone.select(bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+        if not touched:
             return None
-        new = build(fresh, custom)
-        return self.write({name: replaced(self.table(name), new[name].select(*[c.split()[0] for c in s.split(", ")]), gone) for name, s in TABLES.items()})
+        new = build(new_files, custom)
+        return self.write({name: replaced(self.table(name, touched), new[name].select(*[c.split()[0] for c in s.split(", ")]), gone) for name, s in TABLES.items()}, touched)
+
+    def reindex(self, root: str, path: str | None = None) -> bool:
+        """Indexes one file of the tree at root again, or all that are stored; False for links, folders and what is outside.
+
+        One file with the same content changes nothing; without a path every stored file that is still there is read anew.
+        """
+        if path is not None:
+            rel = existing(root, path)
+            if rel is None:
+                return False
+            self.upsert(read_files(self.spark, root, [rel]))
+            return True
+        paths = [r["path"] for r in self.table("files").select("path").toLocalIterator()]
+        self.upsert(read_files(self.spark, root, paths), force=True)
+        return True
+
+    def rebuild(self, files: DataFrame, custom: list[tuple[str, str]] = ()) -> str:
+        """Forgets everything and indexes files (path, content)."""
+        return self.write(build(files, custom))
 
     def reconcile(self, disk: DataFrame) -> str | None:
         """Makes the store equal to disk (path, content): adds, changes and deletes."""
         now = disk.select("path", F.md5("content").alias("hash"))
         diff = changes(now, self.table("files"))
         return self.upsert(disk.join(diff.where("change <> 'unlink'"), "path", "left_semi"), diff.where("change = 'unlink'"))
+
+
+def bucket() -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")

@@ -19,7 +19,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if "://" not in path and not os.path.exists(path):
         return spark.createDataFrame([], "seq bigint, " + LINE)
     rows = spark.read.schema(LINE).option("mode", "DROPMALFORMED").json(path).where("target is not null or note is not null")
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("seq", F.row_number().over(Window.orderBy("_at")).cast("long")).select("seq", *[f.split()[0] for f in LINE.split(", ")])
+    # Places within the parts that the files are read in, and a row for each part to number them through.
+    rows = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    base = parts.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    seq = (F.col("base") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).cast("long")
+    return rows.join(base, "_part").select(seq.alias("seq"), *[f.split()[0] for f in LINE.split(", ")])
 
 
 def append(path: str, target: str, note: str, author: str | None = None, tags: list[str] | None = None, timestamp: str = "") -> dict:
@@ -38,6 +43,17 @@ def safe_relative(path: str) -> str:
     return "/".join(parts) or "global"
 
 
+def write_entry(vault: str, entry: dict, folder: str = "notes") -> str:
+    """One Markdown file for a note, named by its time and target, with its fields in front; returns its path."""
+    stamp = re.sub(r"[:.]", "-", entry["timestamp"])
+    name = re.sub(r"-+", "-", re.sub(r"[/:.\\]", "-", entry["target"]))
+    path = os.path.join(vault, folder, f"{stamp}-{name}.md")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"---\ntarget: {entry['target']}\nauthor: {entry.get('author') or 'unknown'}\ntags: [{', '.join(entry.get('tags') or [])}]\ndate: {entry['timestamp']}\n---\n\n{entry['note']}\n")
+    return path
+
+
 def sync_vault(notes: DataFrame, vault: str, folder: str = "notes") -> int:
     """Appends the notes after the vault's cursor to one page for each target; returns how many. The cursor is a file."""
     top = os.path.join(vault, folder)

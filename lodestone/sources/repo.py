@@ -78,12 +78,18 @@ def list_files(root: str, extensions: list[str] | None = None, ignore: list[str]
 
 def read_files(spark: SparkSession, root: str, paths: list[str] | None = None, partitions: int | None = None) -> DataFrame:
     """(path, content) of a tree that all executors can reach; invalid bytes become U+FFFD, unreadable files are left out."""
-    paths = [p for p, _, _ in list_files(root)] if paths is None else [p for p in (existing(root, x) for x in paths) if p]
+    paths = [p for p, _, _ in list_files(root)] if paths is None else paths
+    frame = spark.createDataFrame([(p,) for p in paths], "path string")
+    return read_paths(frame.repartition(partitions or max(1, min(len(paths) // 200 + 1, 10_000))), root)
+
+
+def read_paths(paths: DataFrame, root: str) -> DataFrame:
+    """(path, content) of paths (path) below root; links and what leads outside are left out, where the reading is done."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for p in b["path"]:
+            for p in filter(None, (existing(root, x) for x in b["path"])):
                 try:
                     with open(os.path.join(root, p), encoding="utf-8", errors="replace", newline="") as f:
                         rows.append((p, f.read()))
@@ -91,9 +97,8 @@ def read_files(spark: SparkSession, root: str, paths: list[str] | None = None, p
                     continue
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    importable(spark)
-    frame = spark.createDataFrame([(p,) for p in paths], "path string")
-    return frame.repartition(partitions or max(1, min(len(paths) // 200 + 1, 10_000))).mapInPandas(read, "path string, content string")
+    importable(paths.sparkSession)
+    return paths.select("path").mapInPandas(read, "path string, content string")
 
 
 def metadata(files: DataFrame, indexed_at: str | None = None) -> DataFrame:

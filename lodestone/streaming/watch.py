@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from ..plans.store import Snapshots
-from ..sources.repo import list_files, read_files
+from ..sources.repo import list_files, read_paths
 
 
 class TreeChanges(DataSource):
@@ -76,10 +76,8 @@ def difference(old: dict, new: dict) -> list[tuple[str, str]]:
 
 def apply_changes(store: Snapshots, root: str, batch: DataFrame) -> None:
     """Indexes added and changed files of one batch and drops deleted ones; a batch is as long as the tree changed."""
-    rows = batch.collect()
-    paths = [r["path"] for r in rows if r["change"] != "unlink"]
-    gone = store.spark.createDataFrame([(r["path"],) for r in rows if r["change"] == "unlink"], "path string")
-    store.upsert(read_files(store.spark, root, paths), gone)
+    changed = batch.where("change <> 'unlink'").select("path")
+    store.upsert(read_paths(changed, root), batch.where("change = 'unlink'").select("path"))
 
 
 def watch(spark: SparkSession, root: str, store: Snapshots, checkpoint: str, interval: str | None = None):

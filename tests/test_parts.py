@@ -1,14 +1,17 @@
 import datetime as dt
+import io
+import json
 import os
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import tools
 from lodestone.functions import scan, text
 from lodestone.operators import history, notes, search, tagging, telemetry
 from lodestone.plans import languages, store
-from lodestone.sources import git, repo
+from lodestone.sources import config, git, repo
 from lodestone.sources import notes as note_files
 from lodestone.streaming import watch
 
@@ -152,13 +155,106 @@ def test_snapshots(spark, tmp_path):
     s.reconcile(frame([("a.js", "function g() {\n}\n"), ("c.json", '{\n"k": 1}')]))
     assert {(r["path"], r["name"]) for r in s.table("symbols").collect()} == {("a.js", "g"), ("c.json", "k")}
     assert s.upsert(frame([("a.js", "function g() {\n}\n")]), force=True) is not None
-    version = s.current()
-    files = os.listdir(os.path.join(s.root, version, "files"))
-    with open(os.path.join(s.root, version, "files", next(f for f in files if f.endswith(".parquet"))), "wb") as f:
+    places = s.buckets()["files"]
+    assert len(places) == 2
+    s.upsert(frame([("a.js", "function h() {\n}\n")]))  # only the bucket of a.js is written anew
+    assert len(set(s.buckets()["files"].values()) & set(places.values())) == 1 and s.healthy()
+    top = os.path.join(s.root, sorted(s.buckets()["files"].values())[-1])
+    with open(os.path.join(top, next(f for f in os.listdir(top) if f.endswith(".parquet"))), "wb") as f:
         f.write(b"broken")
     assert not s.healthy() and s.current() is None and s.table("files").count() == 0
 
 
+def test_reindex_and_rebuild(spark, tmp_path):
+    """One path is indexed again only if it is a file of the tree: no links, no folders, nothing outside."""
+    root = tmp_path / "tree"
+    (root / "src").mkdir(parents=True)
+    (root / "src/a.js").write_text("function a() {\n}\n")
+    (root / "src/b.js").write_text("function b() {\n}\n")
+    (tmp_path / "outside.js").write_text("function out() {\n}\n")
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/o.js").write_text("function o() {\n}\n")
+    os.symlink(tmp_path / "outside.js", root / "src/link.js")
+    os.symlink(tmp_path / "other", root / "linked")
+    s = store.Snapshots(spark, str(tmp_path / "s"))
+    names = lambda: sorted(r["name"] for r in s.table("symbols").collect())
+    assert s.reindex(str(root), "src/a.js") and names() == ["a"]
+    for bad in ("src/link.js", "linked/o.js", "../outside.js", "src", "src/none.js", str(tmp_path / "outside.js")):
+        assert not s.reindex(str(root), bad)
+    version = s.current()
+    assert s.reindex(str(root), "src/a.js") and s.current() == version  # the same content
+    (root / "src/a.js").write_text("function a2() {\n}\n")
+    assert s.reindex(str(root)) and names() == ["a2"]
+    s.rebuild(repo.read_files(spark, str(root)))
+    assert names() == ["a2", "b"]
+
+
+def test_migrated(spark):
+    old = spark.createDataFrame([("a", 1)], "path string, gone int")
+    out = store.migrated(old, "path string, source_type string, n int", {"source_type": F.lit("code")})
+    assert [r.asDict() for r in out.collect()] == [{"path": "a", "source_type": "code", "n": None}]
+
+
+def test_config(tmp_path):
+    assert config.load(str(tmp_path)) == config.DEFAULTS
+    (tmp_path / "lodestone.json").write_text('{"store": "x", "ignore": ["a"]}')
+    assert config.load(str(tmp_path), {"polling": True, "store": "y"}) == {"store": "y", "ignore": ["a"], "polling": True}
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/lodestone.toml").write_text('store = "z"')
+    assert config.load(str(tmp_path / "t"))["store"] == "z"
+    env = {"PWD": "/p", "INIT_CWD": "/i"}
+    assert [config.project_root(*a) for a in (("/g", env, "/c"), (None, env, "/c"), (None, {"INIT_CWD": "/i"}, "/c"), (None, {}, "/c"))] == ["/g", "/p", "/i", "/c"]
+    path = str(tmp_path / "d" / "totals.json")
+    assert config.read_totals(path) == config.ZEROS
+    assert config.write_totals(path, {"total_queries": 3, "total_tokens_saved": 5, "total_cost_avoided": {"large": 0.1}})
+    assert config.read_totals(path) == {"total_queries": 3, "total_tokens_saved": 5, "total_cost_avoided": {"large": 0.1}}
+    with open(path, "w") as f:
+        f.write("{broken")
+    assert config.read_totals(path) == config.ZEROS
+
+
+def test_tools(spark, tmp_path):
+    """Named tools over two repositories, with routing, unknown names and the line protocol."""
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one/a.js").write_text("const u = require('./b');\nasync function load(id) {\n  db.insert(id);\n}\n")
+    r = tools.Repos(spark)
+    assert r.add_root(str(tmp_path / "none")) == {"error": f"Path does not exist: {tmp_path / 'none'}"}
+    assert r.add_root(str(tmp_path / "one")) | {"root": ""} == {"added": "one", "root": "", "files": 1, "symbols": 1}
+    t = tools.tools(r)
+    assert json.loads(tools.call(t, "outline", path="a.js"))["data"][0]["name"] == "load"  # the only one needs no name
+    assert r.add("two", spark.createDataFrame([("b.js", "function load() {\n}\n")], "path string, content string"))["symbols"] == 1
+    assert "error" in r.add("two", spark.createDataFrame([], "path string, content string"))
+    ask = lambda tool, /, **kw: json.loads(tools.call(t, tool, **kw))
+    assert [(x["repo"], x["name"]) for x in ask("find_symbol", query="load")["data"]] == [("one", "load"), ("two", "load")]
+    assert [x["path"] for x in ask("find_symbol", query="load", repo="two")["data"]] == ["b.js"]
+    assert ask("find_text", pattern="INSERT", repo="one")["data"] == [{"path": "a.js", "line": 3, "content": "db.insert(id);"}]
+    assert [x["repo"] for x in ask("find_text", pattern="function")["data"]] == ["one", "two"]
+    assert [x["path"] for x in ask("tree", repo="two")["data"]] == ["b.js"]
+    assert [x["tag"] for x in ask("tags", path="a.js", repo="one")["data"]] == ["async", "db_write", "unscoped_query", "no_error_handling"]
+    assert ask("read_symbol", path="b.js", name="load", repo="two")["data"][0]["text"] == "function load() {\n}"
+    assert [(x["repo"], x["files"], x["symbols"]) for x in ask("list_repos")["data"]] == [("one", 1, 1), ("two", 1, 1)]
+    assert ask("find_importers", path="b.js", repo="one")["data"] == [{"path": "a.js"}]
+    assert "Unknown repo" in ask("outline", path="a.js", repo="no")["error"] and "timing_ms" in ask("status")["_meta"]
+    assert "error" in ask("nothing")
+    out = io.StringIO()
+    tools.serve(t, ['{"tool": "tree", "arguments": {"repo": "two"}}\n', "\n", "broken\n"], out)
+    rows = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert rows[0]["data"] == [{"path": "b.js"}] and "error" in rows[1] and len(rows) == 2
+
+
+def test_inject_meta():
+    assert json.loads(telemetry.inject_meta('{"a": 1}', {"t": 2})) == {"a": 1, "_meta": {"t": 2}}
+    assert json.loads(telemetry.inject_meta("[1]", {"t": 2})) == {"data": [1], "_meta": {"t": 2}}
+    assert telemetry.inject_meta("plain", {"t": 2}) == 'plain\n{\n  "_meta": {\n    "t": 2\n  }\n}'
+
+
+def test_vault_entry(tmp_path):
+    entry = {"target": "../src/a.js:f", "note": "hello", "author": None, "tags": ["x", "y"], "timestamp": "2026-05-19T00:00:00.000Z"}
+    path = note_files.write_entry(str(tmp_path), entry)
+    assert os.path.relpath(path, tmp_path) == "notes/2026-05-19T00-00-00-000Z--src-a-js-f.md"
+    assert open(path).read() == "---\ntarget: ../src/a.js:f\nauthor: unknown\ntags: [x, y]\ndate: 2026-05-19T00:00:00.000Z\n---\n\nhello\n"
+
+
 def test_stream(spark, tmp_path):
     root = tmp_path / "tree"
     root.mkdir()
