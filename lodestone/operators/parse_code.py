@@ -20,6 +20,17 @@ SCHEMA = (
 SCANNED = ["javascript", "typescript", "tsx", "python", "go", "rust", "java", "csharp"]
 
 
+#: Bytes of files for each core up to which they are dealt anew; more come in enough parts by themselves.
+SMALL_BYTES = 8 << 20
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Few bytes dealt to all cores, for what follows takes time with every byte; many as they come, without a shuffle."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    known = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the optimizer's estimate
+    return files.repartition(cores) if known < cores * SMALL_BYTES else files
+
+
 def records(files: DataFrame) -> DataFrame:
     """One row for each symbol (rec = symbol) or import (rec = import) of files (path, content) in scanned languages."""
 
@@ -36,17 +47,19 @@ def records(files: DataFrame) -> DataFrame:
 
     importable(files.sparkSession)
     lang = language(F.col("path"))
-    return files.select("path", "content", lang.alias("lang")).where(F.col("lang").isin(SCANNED)).mapInPandas(run, SCHEMA)
+    wanted = files.select("path", "content", lang.alias("lang")).where(F.col("lang").isin(SCANNED))
+    return spread(wanted).mapInPandas(run, SCHEMA)
 
 
 def parse(files: DataFrame, once: bool = False) -> tuple[DataFrame, DataFrame]:
     """(symbols, imports) of all files: scanned languages and line-oriented formats together.
 
-    With ``once`` the scanners run now, and only once; else each use of the tables runs them.
+    With ``once`` the scanners and line parsers run now, and only once; else each use of the tables runs them.
     """
     rows = stored(records(files), "records") if once else records(files)
     symbols = rows.where("rec = 'symbol'").select(*parse_lines.SYMBOL_COLUMNS)
     symbols = symbols.unionByName(parse_lines.parse(files))
+    symbols = stored(symbols, "symbols") if once else symbols
     imports = rows.where("rec = 'import'").select("path", "ordinal", "source", "identifiers", "line")
     sourced = parse_lines.bash_imports(files.where(F.lower(extension(F.col("path"))).isin("sh", "bash")))
     place = Window.partitionBy("path").orderBy("line")
