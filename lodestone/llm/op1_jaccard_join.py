@@ -12,9 +12,11 @@ segments are indexed again with their one-deletion neighbourhoods, which count t
 worst set of the band, and if all are too few, the band's single n-grams are indexed.
 
 Signatures shared by more than HOT sets make no pairs. A set has signatures to spare; only sets that lose more than
-those to hot ones need them, and of these only the rarest. Such sets are compared within the components that the hot
-signatures make of them, block by block inside a task that counts all intersections at once and returns a forest, so a
-group of copies costs a row for each member. Counts also rule out chance pairs: links share more signatures than two
+those to hot ones need them, and of these only the rarest. Of each hot signature the sets are first compared with one of
+them, a hub, then in HUB_ROUNDS rounds with another that is not yet connected to the first: a row for each set and
+round. A group of near copies is one component after that, and none of its pairs is tried. Only where a signature's sets
+are still in several components, the sets of different ones are compared, block by block inside tasks that count all
+intersections at once and return forests. Counts also rule out chance pairs: links share more signatures than two
 sets can differ in. The other candidate pairs are verified on the whole sets: first each set's pair with its least partner, then only pairs
 that would still join two components.
 
@@ -254,8 +256,8 @@ def _found(kind: int, **cols: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.full(n, kind, np.int32)), *[pa.array(np.asarray(cols[f.name], np.int64)) if f.name in cols else pa.nulls(n, f.type) for f in _FOUND][1:]], schema=_FOUND)
 
 
-def _group(table: pa.Table) -> pa.Table:
-    """A part's documents as they are, the pairs of sets that share a signature, and the members of hot signatures."""
+def _group(table: pa.Table, limit: int = HOT) -> pa.Table:
+    """A part's documents as they are, the pairs of sets that share a signature, and the members of those shared by more than limit."""
     import pyarrow.compute as pc
 
     is_doc = pc.is_null(table["keys"])
@@ -290,10 +292,10 @@ def _group(table: pa.Table) -> pa.Table:
     count = np.diff(np.append(first, len(key)))
     many = np.repeat(count, count)
     out = [docs]
-    small = np.flatnonzero((many > 1) & (many <= HOT))
+    small = np.flatnonzero((many > 1) & (many <= limit))
     who_s, key_s = who[small], key[small]
     pairs = []
-    for step in range(1, HOT):
+    for step in range(1, limit):
         if len(key_s) <= step:
             break
         same = np.flatnonzero(key_s[step:] == key_s[:-step])
@@ -306,7 +308,7 @@ def _group(table: pa.Table) -> pa.Table:
     if pairs:
         p, shared = np.unique(np.concatenate(pairs), return_counts=True)
         out.append(_found(PAIR, a=names[p >> 33], b=names[p >> 2 & ((1 << 31) - 1)], n=p & 3, slack0=shared))
-    hot = np.flatnonzero(many > HOT)
+    hot = np.flatnonzero(many > limit)
     if len(hot):
         mark = tv.mix64(key[hot] + _U(1)).view(np.int64)
         out.append(_found(MEMBER, a=names[who[hot] >> 1], b=mark, n=who[hot] & 1))
@@ -335,8 +337,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return picked.mapInArrow(tidy(run), "sid bigint, rep bigint, grams binary").dropDuplicates(["sid", "rep"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(u, v): representatives of the pairs (a, b) of set ids that are linked."""
+def _linked(pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v) of the pairs (u, v, ga, gb) whose n-grams ga and gb are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -353,9 +355,14 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
                 keep.append(den * both >= num * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_())), b.column(1).filter(pa.array(keep, pa.bool_()))], names=["u", "v"])
 
+    return pairs.mapInArrow(tidy(run), "u bigint, v bigint")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): representatives of the pairs (a, b) of set ids that are linked."""
     a = sets.select(F.col("sid").alias("a"), F.col("rep").alias("u"), F.col("grams").alias("ga"))
     b = sets.select(F.col("sid").alias("b"), F.col("rep").alias("v"), F.col("grams").alias("gb"))
-    return pairs.join(a, "a").join(b, "b").select("u", "v", "ga", "gb").mapInArrow(tidy(run), "u bigint, v bigint")
+    return _linked(pairs.join(a, "a").join(b, "b").select("u", "v", "ga", "gb"), num, den)
 
 
 def _plausible(pairs: DataFrame, spared: DataFrame, num: int, den: int) -> DataFrame:
@@ -377,8 +384,10 @@ def _plausible(pairs: DataFrame, spared: DataFrame, num: int, den: int) -> DataF
     return counted.join(a, "a").join(b, "b").where(enough & sizes).select("a", "b")
 
 
-#: Sets of one hot component that one block holds.
-BLOCK_SETS = 2048
+#: Sets, and bytes of n-grams, that one block holds about; rounds of comparing with hubs.
+BLOCK_SETS, BLOCK_BYTES, HUB_ROUNDS = 2048, 16 << 20, 3
+#: Rows of a hub's sets are dealt to so many places, for a hub may meet a third of all sets.
+SALTS = 16
 
 
 def _links_between(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -450,38 +459,74 @@ def _block_links(num: int, den: int):
     return run
 
 
-def _hot_links(hot: DataFrame, sizes: DataFrame, sets: DataFrame, parts: int, num: int, den: int) -> DataFrame:
-    """(u, v): links between sets that share a hot signature, as forests; hot: (key, a), sizes: (sid, n).
+def _with_hubs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): representatives of the pairs (hub, a) of set ids that are linked."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    hubs = pairs.select(F.col("hub").alias("sid")).distinct().join(sets, "sid")
+    hubs = hubs.select(F.col("sid").alias("hub"), F.col("rep").alias("u"), F.col("grams").alias("ga"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    members = sets.select(F.col("sid").alias("a"), F.col("rep").alias("v"), F.col("grams").alias("gb"))
+    return _linked(salted.join(members, "a").join(hubs, ["hub", "salt"]).select("u", "v", "ga", "gb"), num, den)
+
+
+def _hot_links(hot: DataFrame, edges: DataFrame, sizes: DataFrame, sets: DataFrame, parts: int, num: int, den: int, block_sets: int, block_bytes: int, rounds: int) -> DataFrame:
+    """(u, v): links between sets that share a hot signature, as forests; hot: (key, a), edges: links so far, sizes: (sid, n).
 
-    Sets that hot signatures connect make a component. It is cut into blocks by size, and each pair of blocks of like
-    sizes is compared in one task, which counts all intersections n-gram by n-gram and returns no more rows than sets.
+    Rounds with hubs come first. The sets of signatures that then still span several components are cut into cells by
+    component of signatures, component of links (small ones together) and size, cells into blocks, and each pair of
+    blocks of like sizes, but those of one component of links, is compared in one task.
+    """
+    reps = sets.select(F.col("sid").alias("a"), "rep")
+    hot = hot.join(reps, "a")
+    found = edges
+    for turn in range(rounds + 1):
+        now = components(found).withColumnRenamed("node", "rep")
+        open_ = hot.join(now, "rep", "left").select("key", "a", "rep", F.coalesce("component", "rep").alias("cc"))
+        span = open_.groupBy("key").agg(F.min("cc").alias("low"), F.max("cc").alias("high"), F.min_by("a", "cc").alias("first"), F.max_by("a", "cc").alias("other"))
+        left = materialize(open_.join(span.where("low <> high"), "key"), "open")
+        if turn == rounds or left.isEmpty():
+            break
+        hub = F.when(F.lit(turn) % 2 == 0, F.col("first")).otherwise(F.col("other"))
+        hub_cc = F.when(F.lit(turn) % 2 == 0, F.col("low")).otherwise(F.col("high"))
+        pairs = left.select(hub.alias("hub"), "a", hub_cc.alias("h"), "cc").where("hub <> a and h <> cc").select("hub", "a").distinct()
+        found = found.unionByName(materialize(_with_hubs(pairs, sets, num, den), "hub-links"))
+    if left.isEmpty():
+        return found
+    keyed = left.select("key", F.col("a").alias("sid"), "cc")
+    anchors = keyed.groupBy("key").agg(F.min("sid").alias("hub"))
+    joint = components(keyed.join(anchors, "key").select("sid", "hub"), "sid", "hub").select(F.col("node").alias("sid"), "component")
+    placed = keyed.select("sid", "cc").distinct().join(joint, "sid").join(sizes, "sid")
+    many = placed.groupBy("component", "cc").agg(F.count(F.lit(1)).alias("of_cc"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("long")
+    group = F.when(F.col("of_cc") * 8 >= block_sets, F.col("cc"))  # small components of links share cells
+    placed = materialize(placed.join(many, ["component", "cc"]).select("sid", "component", group.alias("cell"), "n", band.alias("band")), "placed")
+    cells = placed.groupBy("component", "cell", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n"))
+    cells = materialize(cells.select("component", "cell", "band", F.greatest(F.ceil(F.col("c") / block_sets), F.ceil(F.col("n") * 8 / block_bytes)).cast("long").alias("blocks")), "cells")
+    blocks = cells.select("component", "cell", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    name = F.xxhash64("component", F.coalesce("cell", F.lit(-1)), F.col("cell").isNull(), "band", "block")
+    blocks = blocks.withColumn("id", name)
+    x, y = (blocks.select("component", *[F.col(c).alias(f"{c}{k}") for c in ("cell", "band", "id")]) for k in (0, 1))
+    apart = F.col("cell0").isNull() | F.col("cell1").isNull() | (F.col("cell0") != F.col("cell1"))
+    near = x.join(y, "component").where((F.col("id0") <= F.col("id1")) & (F.abs(F.col("band0") - F.col("band1")) <= 1) & apart)
+    task = F.xxhash64("id0", "id1")
+    each = near.select(task.alias("pair"), F.explode(F.when(F.col("id0") == F.col("id1"), F.array(F.struct(F.col("id0").alias("id"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("id0").alias("id"), F.lit(0).alias("side")), F.struct(F.col("id1").alias("id"), F.lit(1).alias("side"))))).alias("s"))
+    rows = placed.join(cells, (placed.component == cells.component) & placed.cell.eqNullSafe(cells.cell) & (placed.band == cells.band)).select("sid", placed.component, placed.cell, placed.band, F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block"))
+    rows = rows.select("sid", name.alias("id")).join(each.select("pair", "s.id", "s.side"), "id").join(sets, "sid")
+    links = rows.select(F.pmod("pair", F.lit(parts)).alias("task"), F.col("pair").alias("component"), "side", "rep", "grams")
+    return found.unionByName(links.groupBy("task", "component").applyInArrow(_block_links(num, den), "u bigint, v bigint"))
+
+
+def _grouped(docs: DataFrame, parts: int, bands: Bands, n: int, hot: int) -> DataFrame:
+    return sign(docs, parts, bands, n).repartition(parts, "part").groupBy("part").applyInArrow(lambda table: _group(table, hot), FOUND)
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, hot_sets: int = HOT, block_sets: int = BLOCK_SETS, block_bytes: int = BLOCK_BYTES, rounds: int = HUB_ROUNDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id, set_id): one row for each document; links are 100 * |both| >= 75 * |either|.
+
+    HOT, the blocks' sizes and the rounds with hubs change where the work is done, not the result.
     """
-    hubs = hot.groupBy("key").agg(F.min("a").alias("hub"))
-    placed = components(hot.join(hubs, "key").select("a", "hub"), "a", "hub").select(F.col("node").alias("sid"), "component")
-    w = Window.partitionBy("component").orderBy("n", "sid")
-    placed = placed.join(sizes, "sid").select("sid", "component", "n", F.floor((F.row_number().over(w) - 1) / BLOCK_SETS).alias("block"))
-    placed = materialize(placed, "blocks")
-    blocks = placed.groupBy("component", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (blocks.select("component", *[F.col(c).alias(f"{c}{k}") for c in ("block", "least", "most")]) for k in (0, 1))
-    near = x.join(y, "component").where((F.col("block0") <= F.col("block1")) & (F.col("most0") * den >= F.col("least1") * num)).select("component", "block0", "block1")
-    each = near.select("component", "block0", "block1", F.explode(F.expr("if(block0 = block1, array(0), array(0, 1))")).alias("side"))
-    each = each.withColumn("block", F.when(F.col("side") == 0, F.col("block0")).otherwise(F.col("block1")))
-    alone = F.col("block0") + F.col("block1") == 0  # small components share tasks
-    task = F.when(alone, F.pmod(F.xxhash64("component"), F.lit(parts))).otherwise(F.xxhash64("component", "block0", "block1"))
-    rows = placed.join(each, ["component", "block"]).join(sets, "sid")
-    rows = rows.select(task.alias("task"), F.when(alone, F.lit(0)).otherwise(F.col("block0")).alias("b0"), "component", "side", "rep", "grams")
-    return rows.groupBy("task", "b0").applyInArrow(_block_links(num, den), "u bigint, v bigint")
-
-
-def _grouped(docs: DataFrame, parts: int, bands: Bands, n: int) -> DataFrame:
-    return sign(docs, parts, bands, n).repartition(parts, "part").groupBy("part").applyInArrow(_group, FOUND)
-
-
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id): one row for each document; links are 100 * |both| >= 75 * |either|."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = partitions_for(docs, PART_BYTES)
-    found = materialize(_grouped(docs, parts, Bands(num, den), n), "signatures")
+    found = materialize(_grouped(docs, parts, Bands(num, den), n, hot_sets), "signatures")
     rows = found.where(F.col("kind") == DOC).select("doc_id", "n", F.col("a").alias("sid"), F.col("b").alias("sid2"), "slack0", "slack1", "need0", "need1")
     bands = Bands(num, den)
     lows = F.array(*[F.lit(int(x)) for x in bands.lows])
@@ -490,7 +535,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     each = short.where("slack0 < 0").select("band", F.col("need0").alias("d")).unionByName(short.where("slack1 < 0").select(F.expr("band - 1").alias("band"), F.col("need1").alias("d")))
     worst = {r["band"]: (-1 if r["least"] < 0 else r["most"]) for r in each.groupBy("band").agg(F.max("d").alias("most"), F.min("d").alias("least")).collect()}  # a row a band
     if worst:
-        again = _grouped(docs, parts, Bands(num, den, worst), n).where(F.col("kind") != DOC)
+        again = _grouped(docs, parts, Bands(num, den, worst), n, hot_sets).where(F.col("kind") != DOC)
         found = found.unionByName(materialize(again.withColumn("slack0", F.lit(1 << 40).cast("long")), "deletions"))
     classes = materialize(
         rows.where("n > 0 and doc_id is not null").groupBy("sid", "sid2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("slack0", "slack1", "need0", "need1")]),
@@ -521,10 +566,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sets = materialize(_sets(docs, wanted, n), "sets")
     reps = sets.select("sid", "rep")
     least = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    edges = _verify(least, sets, num, den)
+    edges = materialize(_verify(least, sets, num, den), "links")
     if hot is not None:
-        edges = edges.unionByName(_hot_links(hot, classes.select("sid", "n"), sets, parts, num, den))
-    edges = materialize(edges, "links")
+        edges = materialize(_hot_links(hot, edges, classes.select("sid", "n"), sets, parts, num, den, block_sets, block_bytes, rounds), "links")
 
     def across(now: DataFrame, candidates: DataFrame) -> DataFrame:
         """Candidates whose ends are in different components."""

@@ -77,6 +77,30 @@ def test_jaccard_join(llm, rng, monkeypatch, tight):
     assert sorted(tuple(r) for r in got) == jaccard(docs)
 
 
+#: Few sets make a signature hot, blocks are small, and with no or few rounds the blocks have to find the links.
+@pytest.mark.parametrize(("hot", "block", "size", "rounds"), [(2, 2048, 1 << 24, 3), (3, 8, 1 << 24, 0), (4, 16, 2000, 1), (32, 4, 1 << 24, 0)])
+def test_jaccard_hot(llm, rng, hot, block, size, rounds):
+    docs = corpus(rng)
+    got = op1.jaccard_join(llm.createDataFrame(docs, DOCS), hot_sets=hot, block_sets=block, block_bytes=size, rounds=rounds).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(tuple(r) for r in got) == jaccard(docs)
+
+
+def test_near_copies_need_no_blocks(llm, rng, monkeypatch):
+    """A group of near copies: as many rows as members meet the hub, and no pair of blocks is left."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    docs = []
+    for i in range(300):
+        x = list(base)
+        x[rng.randrange(400)] = f"x{i}"
+        docs.append((i, " ".join(x)))
+    met = []
+    real = op1._with_hubs
+    monkeypatch.setattr(op1, "_with_hubs", lambda pairs, *a: met.append(pairs.count()) or real(pairs, *a))
+    monkeypatch.setattr(op1, "_block_links", lambda *a: pytest.fail("blocks"))
+    got = op1.jaccard_join(llm.createDataFrame(docs, DOCS), hot_sets=8).collect()
+    assert {r["component_id"] for r in got} == {0} and len(met) == 1 and sum(met) < 300 * 10
+
+
 def test_jaccard_odd_rows(llm):
     rows = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in op1.jaccard_join(llm.createDataFrame(ODD, DOCS)).collect()}
     assert rows == {(1, 0): 1, (2, 0): 2, (3, 0): 3, (4, 1): 4, (5, 1): 4, (None, 1): None, (6, 1): 6, (7, 1): 7}
