@@ -12,11 +12,11 @@ segments are indexed again with their one-deletion neighbourhoods, which count t
 worst set of the band, and if all are too few, the band's single n-grams are indexed.
 
 Signatures shared by more than HOT sets make no pairs. A set has signatures to spare; only sets that lose more than
-those to hot ones need them, and of these only the rarest. Of each hot signature the sets are first compared with one of
-them, a hub, then in HUB_ROUNDS rounds with another that is not yet connected to the first: a row for each set and
-round. A group of near copies is one component after that, and none of its pairs is tried. Only where a signature's sets
-are still in several components, the sets of different ones are compared, block by block inside tasks that count all
-intersections at once and return forests. Counts also rule out chance pairs: links share more signatures than two
+those to hot ones need them, and of these only the rarest. The least set of each hot
+signature is its hub, and each set is first compared with the least of its hubs: a row for each set. A group of near
+copies is one component after that, and none of its pairs is tried. Only where a signature's sets are still in several
+components, the sets of different ones are compared, block by block inside tasks that count all intersections at once
+and return forests. Counts also rule out chance pairs: links share more signatures than two
 sets can differ in. The other candidate pairs are verified on the whole sets: first each set's pair with its least partner, then only pairs
 that would still join two components.
 
@@ -384,10 +384,10 @@ def _plausible(pairs: DataFrame, spared: DataFrame, num: int, den: int) -> DataF
     return counted.join(a, "a").join(b, "b").where(enough & sizes).select("a", "b")
 
 
-#: Sets, and bytes of n-grams, that one block holds about; rounds of comparing with hubs.
-BLOCK_SETS, BLOCK_BYTES, HUB_ROUNDS = 2048, 16 << 20, 3
-#: Rows of a hub's sets are dealt to so many places, for a hub may meet a third of all sets.
-SALTS = 16
+#: Sets, and bytes of n-grams, that one block holds about.
+BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
+#: A hub is dealt to so many places, for it may meet a third of all sets.
+SALTS = 8
 
 
 def _links_between(x: list[np.ndarray], y: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -468,29 +468,25 @@ def _with_hubs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return _linked(salted.join(members, "a").join(hubs, ["hub", "salt"]).select("u", "v", "ga", "gb"), num, den)
 
 
-def _hot_links(hot: DataFrame, edges: DataFrame, sizes: DataFrame, sets: DataFrame, parts: int, num: int, den: int, block_sets: int, block_bytes: int, rounds: int) -> DataFrame:
-    """(u, v): links between sets that share a hot signature, as forests; hot: (key, a), edges: links so far, sizes: (sid, n).
+def _hot_links(hot: DataFrame, edges: DataFrame, sizes: DataFrame, sets: DataFrame, parts: int, num: int, den: int, block_sets: int, block_bytes: int, hubs: bool) -> tuple[DataFrame, DataFrame]:
+    """(edges with the links between sets that share a hot signature, as forests; their components).
 
-    Rounds with hubs come first. The sets of signatures that then still span several components are cut into cells by
-    component of signatures, component of links (small ones together) and size, cells into blocks, and each pair of
-    blocks of like sizes, but those of one component of links, is compared in one task.
+    hot: (key, a), edges: links so far, sizes: (sid, n). Each set meets the least of its hubs. The sets of signatures
+    that then still span several components are cut into cells by component of signatures, component of links (small
+    ones together) and size, cells into blocks, and each pair of blocks of like sizes, but those of one component of
+    links, is compared in one task.
     """
-    reps = sets.select(F.col("sid").alias("a"), "rep")
-    hot = hot.join(reps, "a")
-    found = edges
-    for turn in range(rounds + 1):
-        now = components(found).withColumnRenamed("node", "rep")
-        open_ = hot.join(now, "rep", "left").select("key", "a", "rep", F.coalesce("component", "rep").alias("cc"))
-        span = open_.groupBy("key").agg(F.min("cc").alias("low"), F.max("cc").alias("high"), F.min_by("a", "cc").alias("first"), F.max_by("a", "cc").alias("other"))
-        left = materialize(open_.join(span.where("low <> high"), "key"), "open")
-        if turn == rounds or left.isEmpty():
-            break
-        hub = F.when(F.lit(turn) % 2 == 0, F.col("first")).otherwise(F.col("other"))
-        hub_cc = F.when(F.lit(turn) % 2 == 0, F.col("low")).otherwise(F.col("high"))
-        pairs = left.select(hub.alias("hub"), "a", hub_cc.alias("h"), "cc").where("hub <> a and h <> cc").select("hub", "a").distinct()
-        found = found.unionByName(materialize(_with_hubs(pairs, sets, num, den), "hub-links"))
+    if hubs:
+        least = hot.groupBy("key").agg(F.min("a").alias("hub"))
+        pairs = hot.join(least, "key").groupBy("a").agg(F.min("hub").alias("hub")).where("hub <> a")
+        edges = materialize(edges.unionByName(_with_hubs(pairs, sets, num, den)), "hub-links")
+    now = materialize(components(edges), "components")
+    at = sets.select(F.col("sid").alias("a"), "rep").join(now.withColumnRenamed("node", "rep"), "rep", "left").select("a", F.coalesce("component", "rep").alias("cc"))
+    open_ = hot.join(at, "a")
+    span = open_.groupBy("key").agg(F.min("cc").alias("low"), F.max("cc").alias("high")).where("low <> high")
+    left = materialize(open_.join(span.select("key"), "key"), "open")
     if left.isEmpty():
-        return found
+        return edges, now
     keyed = left.select("key", F.col("a").alias("sid"), "cc")
     anchors = keyed.groupBy("key").agg(F.min("sid").alias("hub"))
     joint = components(keyed.join(anchors, "key").select("sid", "hub"), "sid", "hub").select(F.col("node").alias("sid"), "component")
@@ -512,17 +508,21 @@ def _hot_links(hot: DataFrame, edges: DataFrame, sizes: DataFrame, sets: DataFra
     rows = placed.join(cells, (placed.component == cells.component) & placed.cell.eqNullSafe(cells.cell) & (placed.band == cells.band)).select("sid", placed.component, placed.cell, placed.band, F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block"))
     rows = rows.select("sid", name.alias("id")).join(each.select("pair", "s.id", "s.side"), "id").join(sets, "sid")
     links = rows.select(F.pmod("pair", F.lit(parts)).alias("task"), F.col("pair").alias("component"), "side", "rep", "grams")
-    return found.unionByName(links.groupBy("task", "component").applyInArrow(_block_links(num, den), "u bigint, v bigint"))
+    links = materialize(links.groupBy("task", "component").applyInArrow(_block_links(num, den), "u bigint, v bigint"), "block-links")
+    if links.isEmpty():
+        return edges, now
+    edges = edges.unionByName(links)
+    return edges, materialize(components(edges), "components")
 
 
 def _grouped(docs: DataFrame, parts: int, bands: Bands, n: int, hot: int) -> DataFrame:
     return sign(docs, parts, bands, n).repartition(parts, "part").groupBy("part").applyInArrow(lambda table: _group(table, hot), FOUND)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, hot_sets: int = HOT, block_sets: int = BLOCK_SETS, block_bytes: int = BLOCK_BYTES, rounds: int = HUB_ROUNDS) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, num: int = NUM, den: int = DEN, hot_sets: int = HOT, block_sets: int = BLOCK_SETS, block_bytes: int = BLOCK_BYTES, hubs: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, set_id): one row for each document; links are 100 * |both| >= 75 * |either|.
 
-    HOT, the blocks' sizes and the rounds with hubs change where the work is done, not the result.
+    HOT, the blocks' sizes and the use of hubs change where the work is done, not the result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = partitions_for(docs, PART_BYTES)
@@ -568,7 +568,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     least = pairs.groupBy("b").agg(F.min("a").alias("a"))
     edges = materialize(_verify(least, sets, num, den), "links")
     if hot is not None:
-        edges = materialize(_hot_links(hot, edges, classes.select("sid", "n"), sets, parts, num, den, block_sets, block_bytes, rounds), "links")
+        edges, now = _hot_links(hot, edges, classes.select("sid", "n"), sets, parts, num, den, block_sets, block_bytes, hubs)
+    else:
+        now = materialize(components(edges), "components")
 
     def across(now: DataFrame, candidates: DataFrame) -> DataFrame:
         """Candidates whose ends are in different components."""
@@ -576,11 +578,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         a, b = at.select(F.col("sid").alias("a"), F.col("c").alias("ca")), at.select(F.col("sid").alias("b"), F.col("c").alias("cb"))
         return candidates.join(a, "a").join(b, "b").where("ca <> cb").select("a", "b")
 
-    now = components(edges)
     rest = materialize(across(now, pairs).distinct(), "rest")
     if not rest.isEmpty():
-        edges = edges.unionByName(materialize(_verify(rest, sets, num, den), "links"))
-        now = components(edges)
+        more = materialize(_verify(rest, sets, num, den), "links")
+        now = now if more.isEmpty() else components(edges.unionByName(more))
     by_class = classes.select("sid", "sid2", "rep").join(now.withColumnRenamed("node", "rep"), "rep", "left").select("sid", "sid2", F.coalesce("component", "rep").alias("component_id"))
     linked = rows.select("doc_id", F.col("n").alias("n_shingles"), "sid", "sid2").join(by_class, ["sid", "sid2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
