@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,7 +26,20 @@ def sample_ids(labels: DataFrame, label: str, folds: int, held: int, most: int)
     return each[0].unionByName(each[1])
 
 
-def sample_docs(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
-    """(doc_id, text, y) of the sample. The ids broadcast are 2 * most at the very most."""
+#: Bytes of text of either class that one sample holds at most.
+MAX_BYTES = 32 << 20
+
+
+def sample_docs(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(doc_id, text, y) of the sample: one row for each id (of several the least text), whole texts.
+
+    Of either class those of the least hashes whose texts together have at most max_bytes; a text that no longer fits
+    is left out. The ids broadcast, and the rows that the running sum sorts, are 2 * most at the very most.
+    """
     ids = sample_ids(labels, label, folds, held, most)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    one = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    size = F.octet_length("text").cast("long")
+    upto = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = one.select("doc_id", "text", "y", F.sum(F.when(size <= max_bytes, size)).over(upto).alias("__upto"), size.alias("__size"))
+    return fits.where((F.col("__upto") <= max_bytes) & (F.col("__size") <= max_bytes)).select("doc_id", "text", "y")

@@ -5,7 +5,8 @@ endings of three, hashed). Two gated recurrent layers read each window of WINDOW
 pools their states, and a logistic unit gives the window's probability. Windows start every STRIDE words, so they
 overlap and cover every word; a document's score is that of its worst window.
 
-Training sees labels of at most MAX_LABELLED documents of each class outside the held-out fold, chosen by hash.
+Training sees labels of at most MAX_LABELLED documents of each class outside the held-out fold, chosen by hash, and of
+their texts at most ``labelled.MAX_BYTES`` for each class.
 Smoothed log-odds of words and character pieces start the first place of the embeddings, and choose the windows to learn
 from: in toxic documents those of most evidence, in others those of most evidence and evenly spread ones. Gradients are
 taken by hand (back-propagation through time) and applied by Adam. A last logistic fit on documents that were left out
@@ -265,8 +266,8 @@ def _calibrate(net: Net, z: np.ndarray, y: np.ndarray) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED, folds: int = FOLDS, held: int = HELD) -> Net:
-    rows = sample_docs(docs, labels, label, folds, held, most).select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = sample_docs(docs, labels, label, folds, held, most).toArrow()
+    rows = rows.sort_by("doc_id")
     return fit(rows["text"].combine_chunks(), rows["y"].to_numpy())
 
 

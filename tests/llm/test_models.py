@@ -9,6 +9,7 @@ from util import SF
 
 from lodestone.llm import op2_toxicity as op2
 from lodestone.llm import op3_quality_gam as op3
+from lodestone.llm.labelled import sample_docs
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -105,6 +106,20 @@ def test_without_labels(llm):
         assert len({r["score"] for r in score(docs, train(docs, one)).collect()}) == 1
 
 
+def test_sample_is_bounded(llm):
+    """One row for each id, whole texts, as many as fit; the held-out fold never takes part."""
+    docs = llm.createDataFrame([(i, "x" * 100) for i in range(200)] + [(0, "again " * 50)] * 40 + [(None, "z"), (1, None)], DOCS)
+    labels = llm.createDataFrame([(i, i % 2, 0) for i in range(200)], LABELS)
+    free = {i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2}
+    rows = sample_docs(docs, labels, "quality", 4, 2, 500).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(free)
+    assert all(r["text"] == ("" if r["doc_id"] == 1 else "x" * 100 if r["doc_id"] else "again " * 50) for r in rows)
+    few = sample_docs(docs, labels, "quality", 4, 2, 500, max_bytes=1000).collect()
+    assert 18 <= len(few) <= 22 and {r["doc_id"] for r in few} <= free
+    assert all(sum(len(r["text"]) for r in few if r["y"] == y) <= 1000 for y in (0, 1))
+    assert len(sample_docs(docs, labels, "quality", 4, 2, 5).collect()) == 10
+
+
 def test_features():
     x = op3.features(pa.array(["a a b\n\na a b\nZZ!! 12 #", None, "", "x" * 100_000]))
     assert x.shape == (4, len(op3.FEATURES)) and np.isfinite(x).all()
