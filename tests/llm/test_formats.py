@@ -1,8 +1,11 @@
 """Token files, BPE, rules, URLs and conversations: round trips, SQL and brute force."""
 
 import hashlib
+import itertools
 import json
+import math
 import os
+import random
 import re
 import zlib
 from collections import Counter
@@ -179,6 +182,45 @@ def test_mined_rules(llm):
     assert op7.url_filter(llm.createDataFrame([], PAGES), llm.createDataFrame(labels, LABELS)).count() == 0
 
 
+def _tokens(url):
+    scheme, rest = url.split("://")
+    host, *segments = rest.split("?")[0].split("/")
+    labels = host.split(".")
+    out = {"p:" + scheme} | {"d:" + ".".join(labels[k:]) for k in range(len(labels))} | {f"s{k}:{x}" for k, x in enumerate(segments)}
+    pairs = rest.split("?")[1].split("&") if "?" in rest else []
+    return out | {"k:" + q.split("=")[0] for q in pairs} | {"q:" + q for q in pairs}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_mined_rules_by_brute_force(llm, seed):
+    """Every set of a page's tokens counted: the same pages fire, with the same confidence, labelled or not."""
+    rng = random.Random(seed)
+    pages = [(i, f"{rng.choice(['http', 'https'])}://{rng.choice('abc')}.{rng.choice('uv')}.net/{rng.choice('xyz')}{rng.choice(['', '?k=1', '?k=2'])}") for i in range(500)]
+    pages += pages[:30]  # repeated rows count each time
+    words = sorted({t for _, u in pages for t in _tokens(u)})
+    sour = [set(rng.sample(sorted(_tokens(rng.choice(pages)[1])), 2)) for _ in range(4)]  # pairs that pages have
+    labels = [(i, 0 if any(s <= _tokens(u) for s in sour) and rng.random() < 0.9 else 1, 0) for i, u in pages[:400]]
+    bad = {i: not q for i, q, _ in labels}
+    known = [(_tokens(u), bad[i]) for i, u in pages if i in bad]
+    need = max(20, math.ceil(0.002 * len(known)))
+    on = {t: frozenset(k for k, (have, _) in enumerate(known) if t in have) for t in words}
+    chosen = {max((t for t in words if on[t] == p), key=lambda t: (len(t), t)) for p in on.values() if len(p) >= need}
+    n, hits = Counter(), Counter()
+    for have, b in known:
+        have = sorted(have & chosen)
+        for k in range(1, len(have) + 1):
+            for x in itertools.combinations(have, k):
+                n[x] += 1
+                hits[x] += b
+    rules = {frozenset(x): hits[x] / n[x] for x in n if hits[x] >= need and hits[x] / n[x] >= 0.7}
+    least = {x: c for x, c in rules.items() if not any(y < x for y in rules)}
+    assert least
+    out = op7.url_filter(llm.createDataFrame(pages, PAGES), llm.createDataFrame(labels, LABELS), [])
+    want = [(i, u, max((c for x, c in least.items() if x <= _tokens(u)), default=None)) for i, u in pages]
+    got = sorted((r["page_id"], r["verdict"], r["confidence"]) for r in out.fillna(-1.0, "confidence").collect())
+    assert got == sorted((i, "allow" if c is None else "block", -1.0 if c is None else c) for i, _, c in want)
+
+
 # --- conversations ---
 
 
