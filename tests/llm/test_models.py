@@ -1,5 +1,6 @@
 """Classifiers: held-out accuracy, gradients, and rows that are odd."""
 
+import re
 import zlib
 
 import numpy as np
@@ -9,6 +10,7 @@ from util import SF
 
 from lodestone.llm import op2_toxicity as op2
 from lodestone.llm import op3_quality_gam as op3
+from lodestone.llm import textvec as tv
 from lodestone.llm.labelled import sample_docs
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -125,3 +127,84 @@ def test_features():
     assert x.shape == (4, len(op3.FEATURES)) and np.isfinite(x).all()
     f = dict(zip(op3.FEATURES, x[0], strict=True))
     assert f["repeated_words"] == 2 / 9 and f["distinct_lines"] == 2 / 3 and f["distinct_words"] == 5 / 9
+
+
+def _logit(net, words):
+    """One window by a plain loop over words and units."""
+    w, h = {k: v.astype(float) for k, v in net.w.items()}, op2.HIDDEN
+    xs = []
+    for word in words:
+        buf = np.frombuffer(word, np.uint8)
+        at = np.array([0]), np.array([len(buf)])
+        p = op2.pieces_of(buf, *at, tv.word_hashes(buf, *at))[0]
+        xs.append(w["word"][p[0]] + sum(w["char"][k] for k in p[1:]))
+    states = np.zeros((len(xs), 2 * h))
+    for d in (0, 1):
+        s = np.zeros(h)
+        for t in range(len(xs)) if d == 0 else reversed(range(len(xs))):
+            x, u = xs[t] @ w[f"in{d}"] + w[f"b{d}"], s @ w[f"rec{d}"]
+            z, q = (1 / (1 + np.exp(-(x[k * h : k * h + h] + u[k * h : k * h + h]))) for k in (0, 1))
+            c = np.tanh(x[2 * h :] + q * u[2 * h :])
+            s = z * s + (1 - z) * c
+            states[t, d * h : d * h + h] = s
+    if not len(xs):
+        return w["bias"][0]
+    a = np.exp(states @ w["att"])
+    return a @ states / a.sum() @ w["out"] + w["bias"][0]
+
+
+def test_toxicity_scores_by_brute_force(rng):
+    """Every window of whole texts by itself; a document's score is that of its worst window."""
+    r, net = np.random.default_rng(5), op2.Net(5)
+    net.w = {k: (r.standard_normal(v.shape) * 0.5).astype(np.float32) for k, v in net.w.items()}
+    net.scale, net.shift = 0.7, -0.2
+    vocab = ["a", "Bad", "é", "中文字", "word", "x" * 90, "No!", "zorgling", "\xa0"]
+    texts = [" ".join(rng.choices(vocab, k=k)) for k in (1, 2, 31, 32, 33, 47, 48, 49, 64, 200, 1000)] + ["", " \n", None, "\ta\x0bb "]
+    want = []
+    for t in texts:
+        words = [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode())]  # of bytes, lower() takes A-Z only
+        starts = [0] + [k for k in range(op2.STRIDE, len(words), op2.STRIDE) if k + op2.WINDOW - op2.STRIDE < len(words)]
+        worst = max(_logit(net, words[k : k + op2.WINDOW]) for k in starts)
+        want.append(1 / (1 + np.exp(-(0.7 * worst - 0.2))))
+    assert np.allclose(net.score(pa.array(texts)), want, atol=2e-4)
+
+
+def test_quality_scores_by_brute_force():
+    """Each score is the sum of one bin of each table; splits are the best of all; a planted pair is chosen first."""
+    r = np.random.default_rng(3)
+    x = np.round(r.random((600, 5)), 1)  # with ties
+    y = ((x[:, 1] > 0.5) ^ (x[:, 3] > 0.5)).astype(int)
+    model = op3.Gam(x, y)
+    assert model.pairs[0][:2] == (3, 1)
+    seen = np.concatenate([x[:60], r.random((60, 5)) * 3 - 1])
+    for row, got in zip(seen, model.score(seen), strict=True):
+        z = model.base + sum(t[sum(c <= v for c in cuts)] for v, cuts, t in zip(row, model.cuts, model.tables, strict=True))
+        z += sum(t[sum(c <= row[i] for c in model.pair_cuts[i])][sum(c <= row[j] for c in model.pair_cuts[j])] for i, j, t in model.pairs)
+        assert abs(got - 1 / (1 + np.exp(-z))) < 1e-9
+    assert auc(model.score(x), y) > 0.97
+    for _ in range(50):
+        g, h = r.standard_normal(7), r.random(7)
+        part = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + op3.L2)  # noqa: B023, E731
+        gains = [part(0, k) + part(k, 7) - part(0, 7) for k in range(1, 7)]
+        gain, k = op3._split(g, h)
+        assert abs(gain - max(gains)) < 1e-9 and gains[k - 1] == max(gains)
+
+
+def test_features_by_brute_force(rng):
+    pick = ["a", "A", "bb", "é", "1", "#", "x=", "|", "!", "long" * 6, "\n", "\n", "\n\n", "\t"]
+    texts = [rng.choice([" ", "  "]).join(rng.choices(pick, k=rng.randint(0, 60))) for _ in range(300)]
+    for t, x in zip(texts, op3.features(pa.array(texts)), strict=True):
+        raw = t.encode()
+        lines = [w for w in (re.findall(rb"[^\x20\x09-\x0D]+", part.lower()) for part in raw.split(b"\n")) if w]
+        words = [w for line in lines for w in line]
+        n, k, size = max(1, len(words)), max(1, len(lines)), max(1, len(raw))
+        want = {
+            "log_words": np.log1p(len(words)), "word_bytes": sum(map(len, words)) / n, "capitals": sum(65 <= b <= 90 for b in raw) / size,
+            "digits": sum(48 <= b <= 57 for b in raw) / size, "exclamations": raw.count(b"!") / size, "bars": raw.count(b"|") / size,
+            "symbols": sum(b in b"#*$%&<>^~=" for b in raw) / size, "punctuation": sum(b in b".,;:!?'\"()" for b in raw) / size,
+            "repeated_words": sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, "distinct_words": len(set(words)) / n,
+            "distinct_lines": len({tuple(line) for line in lines}) / k, "short_lines": sum(len(line) < 4 for line in lines) / k,
+            "words_per_line": len(words) / k, "ends_in_symbol": sum(w[-1] in b"#*$%&<>^~=" for w in words) / n,
+            "non_ascii": sum(b >= 128 for b in raw) / size, "long_words": sum(len(w) > 20 for w in words) / n,
+        }
+        assert np.allclose(x, [want[f] for f in op3.FEATURES]), t
