@@ -202,7 +202,9 @@ def _language_queries(lang: str) -> None:
     def imports(spark, d):
         return parse_code.parse(view(spark, d, f"{lang}_files"))[1]
 
-    for f, what in ((symbols, "symbols"), (imports, "imports")):
+    for k, (f, what) in enumerate(((symbols, "symbols"), (imports, "imports")), 1):
+        if not any(shape[k] for shape in languages.SHAPES[lang][1]):
+            continue
         f.__name__ = f"parse_{lang}_{what}"
         query(languages.expected_sql(lang, what))(f)
 

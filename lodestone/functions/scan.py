@@ -11,6 +11,10 @@ from bisect import bisect_right
 
 COLUMNS = ["rec", "ordinal", "name", "kind", "signature", "start_line", "end_line", "exported", "async", "parent_class", "source", "identifiers", "line"]
 _ID = r"[A-Za-z_$][\w$]*"
+_WORD = re.compile(r"[A-Za-z_$][\w$]*|-?\d[\w.]*")
+#: Marks that may stand between < and > of type arguments, and words that a type follows.
+_IN_TYPES = ".,?:=|&@#'\"`-*+"
+_BEFORE_TYPES = {"typeof", "keyof", "readonly", "unique", "infer", "asserts", "new", "abstract"}
 
 
 class Source:
@@ -37,8 +41,113 @@ class Source:
     def line(self, pos: int) -> int:
         return bisect_right(self.starts, pos)
 
-    def first_line(self, a: int, b: int) -> str:
-        return self.text[a:b].split("\n", 1)[0].strip()
+    def whole_line(self, pos: int) -> str:
+        """The line on which pos lies, without white space around it."""
+        k = self.line(pos) - 1
+        return self.text[self.starts[k] : self.starts[k + 1] if k + 1 < len(self.starts) else len(self.text)].strip()
+
+    def blank(self, pos: int, limit: int) -> int:
+        """The next place from pos that is no white space."""
+        while pos < limit and self.mask[pos].isspace():
+            pos += 1
+        return pos
+
+    def angle(self, pos: int, limit: int) -> int:
+        """One past the > that closes the type arguments which < opens at pos, or -1 if it is an operator there.
+
+        What stands between has to read as types: names, marks of types, and brackets with their partners. Anything else
+        takes the reading back.
+        """
+        i, depth = pos, 0
+        while i < limit:
+            ch = self.mask[i]
+            if ch == "<":
+                depth += 1
+            elif ch == ">":
+                if self.mask[i - 1] not in "=-":  # else an arrow
+                    depth -= 1
+                    if not depth:
+                        return i + 1
+            elif ch in "([{":
+                i = self.close.get(i, limit)
+            elif ch not in _IN_TYPES and not (ch.isspace() or ch.isalnum() or ch in "_$") or self.mask[i : i + 2] in ("&&", "||", "==", "??"):
+                return -1
+            i += 1
+        return -1
+
+    def skip_angle(self, pos: int, limit: int) -> int:
+        """Past white space and type arguments, if there are any."""
+        i = self.blank(pos, limit)
+        if i < limit and self.mask[i] == "<":
+            e = self.angle(i, limit)
+            return self.blank(e, limit) if e > 0 else i
+        return i
+
+    def type_end(self, pos: int, limit: int) -> int:
+        """One past the type expression of a script that stands at pos: operands, what follows them, and what joins them."""
+        i, waiting = pos, 0  # waiting: conditional types whose : is still to come
+        while i < limit:
+            i = self.blank(i, limit)
+            while i < limit and self.mask[i] in "|&":
+                i = self.blank(i + 1, limit)
+            word = _WORD.match(self.mask, i, limit)
+            arrow = False
+            if word:
+                i = word.end()
+                if word[0] in _BEFORE_TYPES and re.compile(r"\s*[\w$({\['\"]").match(self.mask, i, limit):
+                    continue
+            elif i < limit and self.mask[i] in "([{" and i in self.close:
+                arrow = self.mask[i] == "("
+                i = self.close[i] + 1
+            elif i < limit and self.mask[i] in "'\"`":
+                e = self.mask.find(self.mask[i], i + 1, limit)
+                i = e + 1 if e > 0 else limit
+            elif i < limit and self.mask[i] == "<" and self.angle(i, limit) > 0:  # a generic function's type
+                i = self.angle(i, limit)
+                continue
+            else:
+                return i
+            while i < limit:  # what follows an operand
+                e = self.blank(i, limit)
+                if self.mask[e : e + 1] == "<" and self.angle(e, limit) > 0:
+                    i = self.angle(e, limit)
+                elif self.mask[i : i + 1] == "[" and i in self.close:
+                    i = self.close[i] + 1
+                elif self.mask[e : e + 1] == "." and _WORD.match(self.mask, e + 1, limit):
+                    i = _WORD.match(self.mask, e + 1, limit).end()
+                else:
+                    break
+            e = self.blank(i, limit)
+            joined = re.compile(r"(?:is|extends)\b").match(self.mask, e, limit)
+            if arrow and self.mask.startswith("=>", e):
+                i = e + 2
+            elif self.mask[e : e + 1] in ("|", "&") and self.mask[e : e + 2] not in ("||", "&&"):
+                i = e + 1
+            elif joined:
+                i = joined.end()
+            elif self.mask[e : e + 1] == "?" and self.mask[e + 1 : e + 2] not in ("?", "."):
+                i, waiting = e + 1, waiting + 1
+            elif self.mask[e : e + 1] == ":" and waiting:
+                i, waiting = e + 1, waiting - 1
+            else:
+                return i
+        return min(i, limit)
+
+    def body(self, pos: int, limit: int) -> int:
+        """The { that opens the body behind a head that may hold type arguments, or -1 if ; comes first."""
+        i = pos
+        while i < limit:
+            ch = self.mask[i]
+            if ch == "{":
+                return i
+            if ch == ";":
+                return -1
+            if ch in "([":
+                i = self.close.get(i, limit)
+            elif ch == "<" and self.angle(i, limit) > 0:
+                i = self.angle(i, limit) - 1
+            i += 1
+        return -1
 
     def end_of(self, pos: int, limit: int) -> int:
         """One past the statement's end: its block's closing brace, or ; or the line's end outside brackets."""
@@ -138,6 +247,8 @@ def _mask_script(text: str) -> str:
         elif s == "/":
             before = re.search(r"([\w$]+|[^\s])\s*$", "".join(out[-3:])[-80:])
             word = before[1] if before else ""
+            if word == ")" and _head_of("".join(out)) in ("if", "while", "for", "with"):
+                word = ""
             value = bool(word) and (word in (")", "]", "}", '"', "'", "`") or re.match(r"[\w$]", word) and word not in _BEFORE_PATTERN)
             p = None if value else _PATTERN.match(text, m.start())
             if p:
@@ -153,6 +264,17 @@ def _mask_script(text: str) -> str:
     return "".join(out)
 
 
+def _head_of(code: str) -> str:
+    """The word before the bracket whose partner ends code."""
+    depth = 0
+    for m in re.finditer(r"[()]", code[::-1]):
+        depth += 1 if m[0] == ")" else -1
+        if not depth:
+            word = re.search(r"([\w$]+)\s*$", code[: len(code) - m.end()])
+            return word[1] if word else ""
+    return ""
+
+
 def _strip(q: str) -> str:
     return re.sub(r"^['\"`]|['\"`]$", "", q)
 
@@ -198,39 +320,56 @@ def _params(src: Source, pos: int, limit: int) -> tuple[str, int]:
 
 # --- JavaScript and TypeScript ---
 
-_JS_DECL = re.compile(rf"(?:(?:export|default|declare|abstract)\s+)*(?:(?P<async>async)\s+)?(?:function\s+(?P<function>{_ID})|class\s+(?P<cls>{_ID})|interface\s+(?P<interface>{_ID})|(?:const\s+)?enum\s+(?P<enum>{_ID})|type\s+(?P<type>{_ID})\s*(?:<[^=]*>)?\s*=|(?:const|let|var)\s+(?P<var>{_ID}|\{{[^}}]*\}})\s*(?::[^=;]+)?=\s*(?P<value>))")
+_JS_DECL = re.compile(rf"(?:(?:export|default|declare|abstract)\s+)*(?:(?P<async>async)\s+)?(?:function\s+(?P<function>{_ID})|(?P<klass>class\b)(?:\s+(?!(?:extends|implements)\b)(?P<cls>{_ID}))?|interface\s+(?P<interface>{_ID})|(?:const\s+)?enum\s+(?P<enum>{_ID})|type\s+(?P<type>{_ID})\s*(?=[<=])|(?:const|let|var)\s+(?P<var>{_ID}|\{{[^}}]*\}})\s*(?=[!:=]))")
 _JS_IMPORT = re.compile(r"import\b(?P<what>[^;'\"`]*?)(?:\bfrom\s*)?(?P<q>['\"`])")
 _JS_ROUTE = re.compile(rf"(?P<obj>{_ID}(?:\s*\.\s*{_ID})*)\s*\.\s*(?P<verb>get|post|put|delete|patch)\s*\(")
-_JS_METHOD = re.compile(rf"(?:(?:public|private|protected|static|readonly|override|get|set)\s+)*(?P<async>async\s+)?\*?\s*(?P<name>#?{_ID})\s*(?:<[^(]*>)?\s*\(")
-_FN = re.compile(rf"(?P<async>async\b\s*)?(?:function\b\s*\*?\s*(?:{_ID})?\s*\(|\(|(?P<one>{_ID})\s*=>)")
+_JS_METHOD = re.compile(rf"(?:@{_ID}\s+)*(?:(?:public|private|protected|static|readonly|override|abstract|accessor|get|set)\s+)*(?P<async>async\s+)?\*?\s*(?P<name>#?{_ID}|\[[^\]\n]*\]|'[^'\n]*'|\"[^\"\n]*\")\s*\??\s*(?=[<(])")
+_FN = re.compile(rf"(?P<async>async\b\s*)?(?:(?P<fn>function\b\s*\*?\s*(?:{_ID})?\s*)|(?P<one>{_ID})\s*=>)?")
 
 
-def _js_function_value(src: Source, pos: int, limit: int) -> tuple[bool, str, int, int] | None:
-    """(async, parameters, start, end) if an arrow function or function expression stands at pos."""
-    m = _FN.match(src.mask, pos, limit)
-    if not m:
+def _js_value(src: Source, pos: int, limit: int) -> int:
+    """Where the value begins of a variable whose name ends at pos, past its type; -1 without a value."""
+    i = src.blank(pos, limit)
+    if src.mask[i : i + 1] == "!":
+        i = src.blank(i + 1, limit)
+    if src.mask[i : i + 1] == ":":
+        i = src.blank(src.type_end(i + 1, limit), limit)
+    return src.blank(i + 1, limit) if src.mask[i : i + 1] == "=" and src.mask[i + 1 : i + 2] not in ("=", ">") else -1
+
+
+def _js_head(src: Source, pos: int, limit: int) -> tuple[str, int] | None:
+    """(parameters, place after them and the type of the result) of a function whose type parameters or ( stand at pos."""
+    i = src.skip_angle(pos, limit)
+    if src.mask[i : i + 1] != "(" or i not in src.close:
         return None
-    if m["one"]:
-        params, after = "", m.end() - 2
+    after = src.blank(src.close[i] + 1, limit)
+    if src.mask[after : after + 1] == ":":
+        after = src.blank(src.type_end(after + 1, limit), limit)
+    return src.text[i + 1 : src.close[i]], after
+
+
+def _js_function_value(src: Source, pos: int, limit: int) -> tuple[bool, str, int, int, int] | None:
+    """(async, parameters, start, end, its body's { or -1) if an arrow function or function expression stands at pos."""
+    m = _FN.match(src.mask, pos, limit)
+    if m["one"] and m["one"] != "async":
+        params, body = "", src.blank(m.end(), limit)
     else:
-        params, after = _params(src, m.end() - 1, limit)
-    if "function" not in m[0]:
-        arrow = re.compile(r"\s*(?::[^=;{]+)?=>").match(src.mask, after, limit)
-        if not arrow:
+        head = _js_head(src, m.end() if m["fn"] or m["async"] else pos, limit)
+        if not head:
             return None
-        after = arrow.end()
-    body = re.compile(r"\s*").match(src.mask, after, limit).end()
-    if "function" in m[0]:
-        body = src.brace(after, limit)
-        if body < 0:
+        params, body = head
+        if not m["fn"]:
+            if not src.mask.startswith("=>", body):
+                return None
+            body = src.blank(body + 2, limit)
+        elif src.mask[body : body + 1] != "{":
             return None
     if body < limit and src.mask[body] == "{":
-        end = src.close.get(body, limit - 1) + 1
-    else:
-        end = body
-        while end < limit and src.mask[end] not in ",;)\n}":
-            end = src.close.get(end, end) + 1 if src.mask[end] in "([{" else end + 1
-    return bool(m["async"]), params, pos, end
+        return bool(m["async"]), params, pos, src.close.get(body, limit - 1) + 1, body
+    end = body
+    while end < limit and src.mask[end] not in ",;)\n}":
+        end = src.close.get(end, end) + 1 if src.mask[end] in "([{" else end + 1
+    return bool(m["async"]), params, pos, end, -1
 
 
 def _javascript(out: Out, a: int, b: int, scope: str | None, typed: bool) -> None:
@@ -258,34 +397,43 @@ def _javascript(out: Out, a: int, b: int, scope: str | None, typed: bool) -> Non
         if m:
             start = pos + len(re.match(r"(?:(?:export|default|declare)\s+)*", m[0])[0])
             if m["function"]:
-                o = src.brace(m.end(), b)
-                end = src.close.get(o, b - 1) + 1 if o >= 0 else src.end_of(m.end(), b)
-                out.add(m["function"], "function", src.first_line(start, end), start, end, scope, asynchronous=bool(m["async"]))
-                if o >= 0:
+                head = _js_head(src, m.end(), b)
+                if head and src.mask[head[1] : head[1] + 1] == "{":  # else a signature without a body
+                    o = head[1]
+                    end = src.close.get(o, b - 1) + 1
+                    out.add(m["function"], "function", src.whole_line(start), start, end, scope, asynchronous=bool(m["async"]))
                     _javascript(out, o + 1, end - 1, m["function"], typed)
-                skip = end
-            elif m["cls"]:
-                o = src.brace(m.end(), b)
+                    skip = end
+                elif head:
+                    skip = max(head[1], m.end())
+            elif m["klass"]:
+                o = src.body(m.end(), b)
                 if o >= 0:
                     end = src.close.get(o, b - 1) + 1
-                    if "abstract" not in m[0]:
+                    told = m["cls"] and "abstract" not in m[0].split("class")[0]
+                    if told:
                         out.add(m["cls"], "class", f"class {m['cls']}", start, end, scope)
-                        _js_members(out, o + 1, end - 1, m["cls"], typed)
+                    _js_members(out, o + 1, end - 1, m["cls"] if told else None, typed)
                     skip = end
             elif m["interface"] or m["enum"]:
                 name, kind = m["interface"] or m["enum"], "interface" if m["interface"] else "enum"
-                o = src.brace(m.end(), b)
+                o = src.body(m.end(), b)
                 if o >= 0:
                     end = src.close.get(o, b - 1) + 1
                     out.add(name, kind, f"{kind} {name}", start, end, scope)
                     _ts_members(out, o + 1, end - 1, name, kind)
                     skip = end
             elif m["type"]:
-                end = src.end_of(m.end(), b)
-                out.add(m["type"], "type", f"type {m['type']}", start, end, scope)
-                skip = end
+                i = src.skip_angle(m.end(), b)
+                if src.mask[i : i + 1] == "=":
+                    end = src.type_end(i + 1, b)
+                    end = end + 1 if src.mask[end : end + 1] == ";" else end
+                    out.add(m["type"], "type", src.whole_line(start), start, end, scope)
+                    skip = end
             else:
-                value = m.end()
+                value = _js_value(src, m.end(), b)
+                if value < 0:
+                    continue
                 require = re.compile(r"require\s*\(\s*(['\"])").match(src.mask, value, b)
                 fn = _js_function_value(src, value, b)
                 if require:
@@ -296,9 +444,8 @@ def _javascript(out: Out, a: int, b: int, scope: str | None, typed: bool) -> Non
                     out.use(src.text[q:e], names, pos)
                     skip = e + 1
                 elif fn and m["var"][0] != "{":
-                    asynchronous, params, _, end = fn
+                    asynchronous, params, _, end, o = fn
                     out.add(m["var"], "function", f"{m['var']}({params})", start, end, scope, asynchronous=asynchronous)
-                    o = src.mask.find("{", value, end)
                     if o >= 0:
                         _javascript(out, o + 1, end - 1, m["var"], typed)
                     skip = end
@@ -310,10 +457,9 @@ def _javascript(out: Out, a: int, b: int, scope: str | None, typed: bool) -> Non
             if args and src.mask[args[0][0]] in "'\"`":
                 handlers = [f for f in (_js_function_value(src, x, y) for x, y in args[1:]) if f]
                 if handlers:
-                    asynchronous, _, fa, fb = handlers[-1]
+                    asynchronous, _, fa, fb, inner = handlers[-1]
                     name = f"{m['verb'].upper()} {_strip(src.text[args[0][0] : args[0][1]].strip())}"
                     out.add(name, "route", name, fa, fb, scope, asynchronous=asynchronous)
-                    inner = src.mask.find("{", fa, fb)
                     if inner >= 0:
                         _javascript(out, inner + 1, fb - 1, scope, typed)
                     skip = end + 1
@@ -334,7 +480,8 @@ def _arguments(src: Source, a: int, b: int) -> list[tuple[int, int]]:
     return out
 
 
-def _js_members(out: Out, a: int, b: int, cls: str, typed: bool) -> None:
+def _js_members(out: Out, a: int, b: int, cls: str | None, typed: bool) -> None:
+    """A class's methods, and what stands in them; without a name the methods themselves are not told."""
     src = out.src
     walk, skip = _statements(src, a, b), None
     while True:
@@ -344,19 +491,23 @@ def _js_members(out: Out, a: int, b: int, cls: str, typed: bool) -> None:
             return
         skip = None
         m = _JS_METHOD.match(src.mask, pos, b)
-        if m and m["name"] not in ("if", "for", "while", "switch", "return"):
-            params, after = _params(src, m.end() - 1, b)
-            o = src.brace(after, b)
-            if o >= 0 and "=" not in src.mask[after:o]:
-                end = src.close.get(o, b - 1) + 1
-                out.add(m["name"], "method", f"{m['name']}({params})", pos, end, cls, asynchronous=bool(m["async"]))
-                _javascript(out, o + 1, end - 1, m["name"], typed)
-                skip = end
-                continue
+        head = _js_head(src, m.end(), b) if m and m["name"] not in ("if", "for", "while", "switch", "return") else None
+        if head and src.mask[head[1] : head[1] + 1] == "{":
+            params, o = head
+            end = src.close.get(o, b - 1) + 1
+            name = src.text[m.start("name") : m.end("name")]
+            if cls is not None:
+                out.add(name, "method", f"{name}({params})", pos, end, cls, asynchronous=bool(m["async"]))
+            _javascript(out, o + 1, end - 1, name, typed)
+            skip = end
+            continue
         end = src.end_of(pos, b)
         skip = end if end > pos and "\n" not in src.mask[pos:end] else None
 
 
+_TS_MEMBER = re.compile(rf"(?:readonly\s+)?(?P<name>{_ID}|'[^'\n]*'|\"[^\"\n]*\")\s*\??\s*(?=[<(:;,\n}}])")
+
+
 def _ts_members(out: Out, a: int, b: int, owner: str, kind: str) -> None:
     src = out.src
     if kind == "enum":
@@ -366,10 +517,21 @@ def _ts_members(out: Out, a: int, b: int, owner: str, kind: str) -> None:
                 text = src.text[x:y].rstrip()
                 out.add(m[1], "enum_member", text, x, x + len(text), owner)
         return
-    for m in re.finditer(rf"^[ \t]*(?P<sig>(?:readonly\s+)?(?P<name>{_ID})\??\s*(?P<call>(?:<[^(\n]*>)?\()?[^;,\n]*)[;,]?", src.mask[a:b], re.M):
-        text = src.text[a + m.start("sig") : a + m.end("sig")].strip()
-        if ":" in text or m["call"]:
-            out.add(m["name"], "method" if m["call"] else "property", text, a + m.start("sig"), a + m.end("sig"), owner)
+    i = a
+    while (i := src.blank(i, b)) < b:
+        m = _TS_MEMBER.match(src.mask, i, b)
+        if not m:  # a call or index signature, or a mark between members
+            i = src.close[i] + 1 if i in src.close else i + 1
+            if src.mask[i - 1] in ")]" and src.mask[src.blank(i, b) : src.blank(i, b) + 1] == ":":
+                i = src.type_end(src.blank(i, b) + 1, b)
+            continue
+        head = _js_head(src, m.end(), b) if src.mask[m.end() : m.end() + 1] in ("<", "(") else None
+        end = head[1] if head else m.end()
+        if not head and src.mask[end : end + 1] == ":":
+            end = src.type_end(end + 1, b)
+        text = src.text[i:end].rstrip()
+        out.add(src.text[m.start("name") : m.end("name")], "method" if head else "property", text, i, i + len(text), owner)
+        i = max(end, m.end())
 
 
 # --- Python ---
@@ -451,7 +613,7 @@ def _go(out: Out) -> None:
             sig = f"func {recv} {m['name']}({params})" + (f" {result}" if result else "")
             found.append((m.start(), (m["name"], "method", sig, m.start(), end, owner)))
         else:
-            found.append((m.start(), (m["name"], "function", src.first_line(m.start(), end), m.start(), end)))
+            found.append((m.start(), (m["name"], "function", src.whole_line(m.start()), m.start(), end)))
 
     def parent(pos: int) -> str | None:
         return next((name for a, b, name in bodies if a < pos < b), None)
@@ -474,6 +636,8 @@ def _go(out: Out) -> None:
 
     for m in re.finditer(r"^[ \t]*type\s+(?P<group>\()?", src.mask, re.M):
         for a, e, name in specs(m):
+            if src.mask[src.blank(a + len(name), e) : e][:1] == "=":  # an alias is no type of its own
+                continue
             what = re.compile(r"\s*(?:\[[^\]]*\]\s*)?(struct|interface)\b").match(src.mask, a + len(name), e)
             e = a + len(src.text[a:e].rstrip())
             if what and what[1] == "interface":
@@ -484,10 +648,11 @@ def _go(out: Out) -> None:
                     text = src.text[p:stop].strip()
                     found.append((a, (k[1], "method", text, p, p + len(text), name)))
             kind = {"struct": "class", "interface": "interface"}.get(what[1] if what else "", "type")
-            found.append((a, (name, kind, f"type {name} {what[1]}" if what else f"type {name}", a, e, parent(a))))
+            other = re.sub(r"^\s*\[[^\]]*\](?=\s)", "", src.text[a + len(name) : e])
+            found.append((a, (name, kind, f"type {name} {what[1] if what else other.strip()}", a, e, parent(a))))
     for m in re.finditer(r"^[ \t]*(?P<what>const|var)\s+(?P<group>\()?", src.mask, re.M):
         for a, e, name in specs(m):
-            found.append((a, (name, "constant" if m["what"] == "const" else "variable", f"{m['what']} {name}", a, a + len(src.text[a:e].rstrip()), parent(a))))
+            found.append((a, (name, "constant" if m["what"] == "const" else "variable", src.whole_line(a), a, a + len(src.text[a:e].rstrip()), parent(a))))
     for _, args in sorted(found, key=lambda f: f[0]):
         out.add(*args)
     for m in re.finditer(r"^import\s+(?P<group>\()?", src.mask, re.M):
@@ -552,9 +717,9 @@ def _rust(out: Out, a: int, b: int, scope: str | None) -> None:
             out.add(target, "impl", f"impl {trait.strip()} for {target}" if trait else f"impl {target}", pos, end)
             _rust(out, o + 1, end - 1, target)
         elif m["type"]:
-            out.add(m["type"], "type", f"type {m['type']}", pos, end, scope, pub)
+            out.add(m["type"], "type", src.whole_line(pos), pos, end, scope, pub)
         elif m["item"]:
-            out.add(m["item"], "constant" if m["cs"] == "const" else "variable", f"{m['cs']} {m['item']}", pos, src.end_of(m.end(), b), scope, pub)
+            out.add(m["item"], "constant" if m["cs"] == "const" else "variable", src.whole_line(pos), pos, src.end_of(m.end(), b), scope, pub)
         elif m["macro"]:
             out.add(m["macro"], "macro", f"macro_rules! {m['macro']}", pos, end, scope)
         elif m["mod"] and o >= 0:
@@ -562,14 +727,56 @@ def _rust(out: Out, a: int, b: int, scope: str | None) -> None:
         skip = end
 
 
-_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|readonly|async|synchronized|native|default|strictfp|unsafe|extern|new|const|volatile|transient)\s+)*"
-_TYPE = r"[A-Za-z_][\w.]*(?:\s*<[^;{}()]*>)?(?:\[\])*\??"
+_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|sealed|partial|virtual|override|readonly|async|synchronized|native|default|strictfp|unsafe|extern|new|const|volatile|transient|required|ref|file|non-sealed)\s+)*"
+_HEAD = re.compile(_MODS)
+_NAME = re.compile(r"[A-Za-z_]\w*(?:\s*(?:\.|::)\s*[A-Za-z_]\w*)*")
+_TYPE_WORDS = ("class", "struct", "interface", "enum", "record", "delegate", "event", "operator", "implicit", "explicit")
+
+
+def _notes_end(src: Source, pos: int, limit: int) -> int:
+    """Past the annotations of Java or the attributes of C# at pos."""
+    while pos < limit:
+        if src.mask[pos] == "[" and pos in src.close:
+            pos = src.blank(src.close[pos] + 1, limit)
+            continue
+        m = re.compile(r"@(?!interface\b)[\w.]+\s*").match(src.mask, pos, limit)
+        if not m:
+            break
+        pos = m.end()
+        if src.mask[pos : pos + 1] == "(" and pos in src.close:
+            pos = src.blank(src.close[pos] + 1, limit)
+    return pos
+
+
+def _type_at(src: Source, pos: int, limit: int) -> int:
+    """One past the type of Java or C# at pos, with its arguments and brackets, or -1."""
+    if src.mask[pos : pos + 1] == "(" and pos in src.close:  # a tuple
+        i = src.close[pos] + 1
+    else:
+        m = _NAME.match(src.mask, pos, limit)
+        if not m:
+            return -1
+        i = m.end()
+    while i < limit:
+        e = src.blank(i, limit)
+        ch = src.mask[e : e + 1]
+        if ch == "<" and src.angle(e, limit) > 0:
+            i = src.angle(e, limit)
+            more = re.compile(r"\.[A-Za-z_]\w*").match(src.mask, i, limit)
+            i = more.end() if more else i
+        elif ch == "[" and e in src.close and not src.mask[e + 1 : src.close[e]].strip(", "):
+            i = src.close[e] + 1
+        elif ch in ("?", "*"):
+            i = e + 1
+        else:
+            break
+    return i
 
 
 def _classy(out: Out, a: int, b: int, scope: str | None, lang: str) -> None:
     """Java and C#: types at this level, with their members."""
     src = out.src
-    decl = re.compile(rf"(?:@\w+(?:\([^)]*\))?\s+|\[[^\]]*\]\s*)*(?P<head>{_MODS}(?:(?P<what>class|interface|enum|struct|@interface|record|namespace)\s+(?P<name>[\w.]+)))")
+    decl = re.compile(rf"(?P<head>{_MODS}(?:(?P<what>class|interface|enum|struct|@interface|record|namespace)\s+(?P<name>[\w.]+)))")
     walk, skip = _statements(src, a, b), None
     while True:
         try:
@@ -577,16 +784,17 @@ def _classy(out: Out, a: int, b: int, scope: str | None, lang: str) -> None:
         except StopIteration:
             return
         skip = None
-        m = re.compile(r"(?:import|using)\s+(?:static\s+)?(?P<t>[\w.]+)(?P<star>\.\*)?\s*;").match(src.mask, pos, b)
-        if m and (lang == "java") == src.mask.startswith("import", pos):
+        m = re.compile(r"(?:global\s+)?(?:import|using)\s+(?:static\s+)?(?:unsafe\s+)?(?P<t>[\w.]+)(?P<star>\.\*)?\s*(?:;|(?P<alias>=)[^;]*;)").match(src.mask, pos, b)
+        if m and (lang == "java") == src.mask.startswith("import", pos) and not (lang == "java" and m["alias"]):
+            # Of ``using X = Y.Z;`` the first name is told, which is X.
             source = m["t"].rstrip(".")
             out.use(source, [source.split(".")[-1]], pos)
             skip = m.end()
             continue
-        m = decl.match(src.mask, pos, b)
+        m = decl.match(src.mask, _notes_end(src, pos, b), b)
         if not m:
             continue
-        o = src.brace(m.end(), b)
+        o = src.body(m.end(), b)
         what, name = m["what"], m["name"]
         if o < 0:
             if what == "namespace":
@@ -615,44 +823,72 @@ def _classy(out: Out, a: int, b: int, scope: str | None, lang: str) -> None:
 
 
 def _class_members(out: Out, a: int, b: int, cls: str, lang: str, what: str) -> None:
+    """Methods, constructors, properties (C#) and fields (Java) of a type; of an interface its methods only."""
     src = out.src
-    note = r"(?:@\w+(?:\([^)]*\))?\s+|\[[^\]]*\]\s*)*"
-    call = re.compile(rf"{note}{_MODS}(?:<[^>]*>\s+)?(?:(?P<ret>{_TYPE})\s+)?(?P<name>\w+)\s*\(")
-    prop = re.compile(rf"{note}{_MODS}(?P<type>{_TYPE})\s+(?P<name>\w+)\s*(?P<open>\{{|=>)")
-    field = re.compile(rf"{note}{_MODS}(?P<type>{_TYPE})\s+(?P<names>\w+(?:\s*=[^;,]*)?(?:\s*,\s*\w+(?:\s*=[^;,]*)?)*)\s*;")
     walk, skip = _statements(src, a, b), None
     while True:
         try:
             pos = walk.send(skip)
         except StopIteration:
             return
-        skip = None
-        m = call.match(src.mask, pos, b)
-        if m and m["ret"] not in ("new", "return", "throw"):
-            params, after = _params(src, m.end() - 1, b)
+        end = src.end_of(pos, b)
+        skip = end if end > pos + 1 else None
+        i = _HEAD.match(src.mask, _notes_end(src, pos, b), b).end()
+        i = src.skip_angle(i, b)  # type parameters that come first
+        i = _HEAD.match(src.mask, _notes_end(src, i, b), b).end()
+        first = _NAME.match(src.mask, i, b)
+        if first and first[0] in _TYPE_WORDS:
+            continue
+        if first and src.mask[src.blank(first.end(), b) : src.blank(first.end(), b) + 1] == "(":
+            params, after = _params(src, first.end(), b)
             end = src.end_of(after, b)
-            if m["ret"]:
-                out.add(m["name"], "method", f"{m['ret']} {m['name']}({params})", pos, end, cls)
-            elif m["name"] == cls and what != "struct":
-                out.add(m["name"], "constructor", f"{m['name']}({params})", pos, end, cls)
+            if first[0] == cls and what not in ("struct", "interface"):
+                out.add(cls, "constructor", f"{cls}({params})", pos, end, cls)
             skip = end
             continue
-        m = prop.match(src.mask, pos, b) if lang == "csharp" else None
-        if m and m["type"] not in ("class", "struct", "interface", "enum", "record"):
-            end = src.close.get(m.end() - 1, b - 1) + 1 if m["open"] == "{" else src.end_of(m.end(), b)
-            out.add(m["name"], "property", f"{m['type']} {m['name']}", pos, end, cls)
-            skip = end
+        j = _type_at(src, i, b)
+        name = _NAME.match(src.mask, src.blank(j, b), b) if j > 0 else None
+        if not name or name[0] in _TYPE_WORDS:
             continue
-        m = field.match(src.mask, pos, b)
+        kind, word = src.text[i:j].strip(), name[0].rsplit(".", 1)[-1].strip()
+        at = src.skip_angle(name.end(), b)
+        ch = src.mask[at : at + 1]
+        if ch == "(" and at in src.close:
+            params, after = _params(src, at, b)
+            end = src.end_of(after, b)
+            # Of an interface in C# no type of a result is told.
+            out.add(word, "method", f"{'void' if lang == 'csharp' and what == 'interface' else kind} {word}({params})", pos, end, cls)
+            skip = end
+        elif lang == "csharp" and (ch == "{" or src.mask.startswith("=>", at)):
+            end = src.close.get(at, b - 1) + 1 if ch == "{" else src.end_of(at, b)
+            rest = src.blank(end, b)
+            if ch == "{" and src.mask[rest : rest + 1] == "=":  # a first value
+                end = src.end_of(rest, b)
+            if what != "interface":
+                out.add(word, "property", f"{kind} {word}", pos, end, cls)
+            skip = end
+        elif ch in ("=", ";", ",") or ch == "[":
+            end = src.mask.find(";", at, b) + 1 or b
+            for word, stop in _declared(src, name.start(), b):
+                end = stop
+                if lang == "java" and what != "interface":
+                    out.add(word, "property", src.whole_line(pos), pos, end, cls)
+            skip = end
+
+
+def _declared(src: Source, pos: int, limit: int):
+    """(name, one past the statement's ;) of each variable in a list of them."""
+    names, i, begins = [], pos, True
+    while i < limit and src.mask[i] != ";":
+        m = _NAME.match(src.mask, i, limit)
         if m:
-            if lang == "java":
-                for n in re.split(r",", m["names"]):
-                    word = re.match(r"\s*(\w+)", n)[1]
-                    out.add(word, "property", f"{m['type']} {word}", pos, m.end(), cls)
-            skip = m.end()
+            if begins:
+                names.append(m[0])
+            begins, i = False, src.skip_angle(m.end(), limit) if src.mask[m.end() : m.end() + 1] == "<" else m.end()
             continue
-        end = src.end_of(pos, b)
-        skip = end if end > pos + 1 else None
+        begins = src.mask[i] == "," or begins and src.mask[i].isspace()
+        i = src.close.get(i, i) + 1
+    return [(n, min(i + 1, limit)) for n in names]
 
 
 def scan(content: str, lang: str) -> tuple[list[tuple], list[tuple]]:

@@ -41,7 +41,7 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
                 [
                     ("Shape§", "interface", "interface Shape§", 2, 5, 0, 0, None), ("id", "property", "readonly id: number", 3, 3, 0, 0, "Shape§"), ("area", "method", "area(x: number): string", 4, 4, 0, 0, "Shape§"),
                     ("Color", "enum", "enum Color", 6, 9, 0, 0, None), ("Red", "enum_member", "Red", 7, 7, 0, 0, "Color"), ("Green", "enum_member", "Green = 'g'", 8, 8, 0, 0, "Color"),
-                    ("Id", "type", "type Id", 10, 10, 0, 0, None), ("go", "function", "function go(a: Id): void {", 11, 13, 0, 0, None),
+                    ("Id", "type", "type Id = string | number;", 10, 10, 0, 0, None), ("go", "function", "export function go(a: Id): void {", 11, 13, 0, 0, None),
                 ],
                 [("./t", ["T§"], 1)],
             ),
@@ -76,17 +76,17 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
             (
                 "package p§\n\nimport (\n\t\"fmt\"\n\tx \"a/b§\"\n)\n\ntype Box§ struct {\n\tw int\n}\n\nfunc (b *Box§) Area(h int) int {\n\treturn b.w * h // }\n}\n\nconst Max§ = 10\n\nfunc main() {\n\tvar n = 1\n\tfmt.Println(\"{\", n)\n}\n",
                 [
-                    ("Box§", "class", "type Box§ struct", 8, 10, 0, 0, None), ("Area", "method", "func (b *Box§) Area(h int) int", 12, 14, 0, 0, "Box§"), ("Max§", "constant", "const Max§", 16, 16, 0, 0, None),
-                    ("main", "function", "func main() {", 18, 21, 0, 0, None), ("n", "variable", "var n", 19, 19, 0, 0, "main"),
+                    ("Box§", "class", "type Box§ struct", 8, 10, 0, 0, None), ("Area", "method", "func (b *Box§) Area(h int) int", 12, 14, 0, 0, "Box§"), ("Max§", "constant", "const Max§ = 10", 16, 16, 0, 0, None),
+                    ("main", "function", "func main() {", 18, 21, 0, 0, None), ("n", "variable", "var n = 1", 19, 19, 0, 0, "main"),
                 ],
                 [("fmt", [], 4), ("a/b§", [], 5)],
             ),
             (
                 "package q\n\nimport \"os§\"\n\nvar first, second = 1, 2\n\ntype Doer§ interface {\n\tDo(a string) error\n\tStop()\n}\n\ntype ID int\n\nfunc Run(d Doer§) {}\n\nconst (\n\tA = iota\n\tB\n)\n",
                 [
-                    ("first", "variable", "var first", 5, 5, 0, 0, None), ("Do", "method", "Do(a string) error", 8, 8, 0, 0, "Doer§"), ("Stop", "method", "Stop()", 9, 9, 0, 0, "Doer§"),
-                    ("Doer§", "interface", "type Doer§ interface", 7, 10, 0, 0, None), ("ID", "type", "type ID", 12, 12, 0, 0, None), ("Run", "function", "func Run(d Doer§) {}", 14, 14, 0, 0, None),
-                    ("A", "constant", "const A", 17, 17, 0, 0, None), ("B", "constant", "const B", 18, 18, 0, 0, None),
+                    ("first", "variable", "var first, second = 1, 2", 5, 5, 0, 0, None), ("Do", "method", "Do(a string) error", 8, 8, 0, 0, "Doer§"), ("Stop", "method", "Stop()", 9, 9, 0, 0, "Doer§"),
+                    ("Doer§", "interface", "type Doer§ interface", 7, 10, 0, 0, None), ("ID", "type", "type ID int", 12, 12, 0, 0, None), ("Run", "function", "func Run(d Doer§) {}", 14, 14, 0, 0, None),
+                    ("A", "constant", "A = iota", 17, 17, 0, 0, None), ("B", "constant", "B", 18, 18, 0, 0, None),
                 ],
                 [("os§", [], 3)],
             ),
@@ -100,7 +100,7 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
                 [
                     ("Box§", "class", "struct Box§", 4, 6, 1, 0, None), ("Box§", "impl", "impl fmt::Display for Box§", 8, 12, 0, 0, None), ("fmt", "method", "fn fmt(&self, f: &mut F) -> R", 9, 11, 0, 0, "Box§"),
                     ("Kind", "enum", "enum Kind", 14, 17, 1, 0, None), ("Plain", "enum_member", "Plain", 15, 15, 0, 0, "Kind"), ("Wide", "enum_member", "Wide(u8)", 16, 16, 0, 0, "Kind"),
-                    ("MAX", "constant", "const MAX", 19, 19, 1, 0, None), ("NAME", "variable", "static NAME", 20, 20, 0, 0, None),
+                    ("MAX", "constant", "pub const MAX: u32 = 3;", 19, 19, 1, 0, None), ("NAME", "variable", "static NAME: &str = \"{\";", 20, 20, 0, 0, None),
                 ],
                 [("std::fmt", [], 1), ("pub use crate::m§::{a, b}", [], 2)],
             ),
@@ -108,7 +108,7 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
                 "pub trait Run§ {\n    fn go(&self, n: i32) -> i32;\n    fn stop(&self);\n}\n\ntype Id = u64;\n\nmacro_rules! say {\n    () => { println!(\"x\") };\n}\n\nfn main§(a: &'static str) {\n    let s = r#\"{ \"#;\n}\n\nimpl Box {\n    pub fn new() -> Self { Box {} }\n}\n",
                 [
                     ("Run§", "trait", "trait Run§", 1, 4, 1, 0, None), ("go", "method", "fn go(&self, n: i32) -> i32", 2, 2, 0, 0, "Run§"), ("stop", "method", "fn stop(&self)", 3, 3, 0, 0, "Run§"),
-                    ("Id", "type", "type Id", 6, 6, 0, 0, None), ("say", "macro", "macro_rules! say", 8, 10, 0, 0, None), ("main§", "function", "fn main§(a: &'static str)", 12, 14, 0, 0, None),
+                    ("Id", "type", "type Id = u64;", 6, 6, 0, 0, None), ("say", "macro", "macro_rules! say", 8, 10, 0, 0, None), ("main§", "function", "fn main§(a: &'static str)", 12, 14, 0, 0, None),
                     ("Box", "impl", "impl Box", 16, 18, 0, 0, None), ("new", "method", "fn new() -> Self", 17, 17, 1, 0, "Box"),
                 ],
                 [],
@@ -121,7 +121,7 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
             (
                 "package p;\n\nimport java.util.List;\nimport java.io.*;\n\npublic class Box§ {\n    private int w = 1, h;\n\n    public Box§(int w) {\n        this.w = w; // }\n    }\n\n    public String name(List<String> xs) {\n        return \"{\" + '}';\n    }\n\n    void go() { }\n}\n",
                 [
-                    ("Box§", "class", "class Box§", 6, 18, 0, 0, None), ("w", "property", "int w", 7, 7, 0, 0, "Box§"), ("h", "property", "int h", 7, 7, 0, 0, "Box§"), ("Box§", "constructor", "Box§(int w)", 9, 11, 0, 0, "Box§"),
+                    ("Box§", "class", "class Box§", 6, 18, 0, 0, None), ("w", "property", "private int w = 1, h;", 7, 7, 0, 0, "Box§"), ("h", "property", "private int w = 1, h;", 7, 7, 0, 0, "Box§"), ("Box§", "constructor", "Box§(int w)", 9, 11, 0, 0, "Box§"),
                     ("name", "method", "String name(List<String> xs)", 13, 15, 0, 0, "Box§"), ("go", "method", "void go()", 17, 17, 0, 0, "Box§"),
                 ],
                 [("java.util.List", ["List"], 3), ("java.io", ["io"], 4)],
@@ -158,6 +158,110 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
             ),
         ],
     ),
+    "typescript_types": (
+        "ts",
+        [
+            (
+                "const id§ = <T>(x: T) => x;\nexport const load = async <T, K extends keyof T>(x: T): Promise<Map<K, T[]>> => {\n  const test = (y: { a: number }): y is Foo => y.a < 3 && y.b > 4;\n  return f(x);\n};\nconst k: (x: number) => string = (x) => `${x}`;\nlet n = a < b, m = c > (d);\n",
+                [
+                    ("id§", "function", "id§(x: T)", 1, 1, 0, 0, None), ("load", "function", "load(x: T)", 2, 5, 0, 1, None), ("test", "function", "test(y: { a: number })", 3, 3, 0, 0, "load"),
+                    ("k", "function", "k(x)", 6, 6, 0, 0, None),
+                ],
+                [],
+            ),
+            (
+                "export default class extends C§<{ q: 1 }> {\n  run<K extends keyof T>(k: K): T[K] {\n    function deep§() {}\n  }\n}\nabstract class Abs<T> {\n  abstract go(): void;\n}\nclass Map§<K extends string = 'a', V = { x: 1 }> extends Base<K, V> {\n  private cache: Map<K, V> = new Map<K, V>();\n  get<T>(key: K): T | undefined { return a < b ? c : d; }\n  async all<T>(): Promise<{ t: T }> {}\n}\n",
+                [
+                    ("deep§", "function", "function deep§() {}", 3, 3, 0, 0, "run"), ("Map§", "class", "class Map§", 9, 13, 0, 0, None), ("get", "method", "get(key: K)", 11, 11, 0, 0, "Map§"),
+                    ("all", "method", "all()", 12, 12, 0, 1, "Map§"),
+                ],
+                [],
+            ),
+            (
+                "function over(a: string): void;\nfunction over§<T extends { id: number }>(a: T): { x: number } {\n  function inner() {}\n}\ntype Cond§<T = {}> = T extends string ? '}' : { b: T };\ninterface Api§<T extends { a: 1 }> extends Base<T> {\n  get<K>(k: K, o?: { deep: boolean }): Promise<T>;\n  nested: { inner: number; other: string };\n  readonly opt?: string\n  [key: string]: any;\n}\n",
+                [
+                    ("over§", "function", "function over§<T extends { id: number }>(a: T): { x: number } {", 2, 4, 0, 0, None), ("inner", "function", "function inner() {}", 3, 3, 0, 0, "over§"),
+                    ("Cond§", "type", "type Cond§<T = {}> = T extends string ? '}' : { b: T };", 5, 5, 0, 0, None), ("Api§", "interface", "interface Api§", 6, 11, 0, 0, None),
+                    ("get", "method", "get<K>(k: K, o?: { deep: boolean }): Promise<T>", 7, 7, 0, 0, "Api§"), ("nested", "property", "nested: { inner: number; other: string }", 8, 8, 0, 0, "Api§"),
+                    ("opt", "property", "readonly opt?: string", 9, 9, 0, 0, "Api§"),
+                ],
+                [],
+            ),
+        ],
+    ),
+    "javascript_patterns": (
+        "js",
+        [
+            (
+                "class A§ {\n  m(s) { if (s) /}/.test(s); while (s) /{/.exec(s); return (s) / 2 / 3; } get n() { return 1; }\n  static k() {} #p() {}\n}\n",
+                [
+                    ("A§", "class", "class A§", 1, 4, 0, 0, None), ("m", "method", "m(s)", 2, 2, 0, 0, "A§"), ("n", "method", "n()", 2, 2, 0, 0, "A§"), ("k", "method", "k()", 3, 3, 0, 0, "A§"),
+                    ("#p", "method", "#p()", 3, 3, 0, 0, "A§"),
+                ],
+                [],
+            ),
+            (
+                "export default class extends K§ {\n  load() {\n    function inside§() {}\n  }\n}\nclass B { [Symbol.iterator]() { return a < b && c > (d); } }\nexport async function* gen() {}\n",
+                [
+                    ("inside§", "function", "function inside§() {}", 3, 3, 0, 0, "load"), ("B", "class", "class B", 6, 6, 0, 0, None), ("[Symbol.iterator]", "method", "[Symbol.iterator]()", 6, 6, 0, 0, "B"),
+                ],
+                [],
+            ),
+        ],
+    ),
+    "csharp_types": (
+        "cs",
+        [
+            (
+                "using System;\nusing X§ = Y.Z;\nusing static System.Math;\n\npublic class Box§<T> : Base<T>, IFoo<Dictionary<string, List<T>>> where T : class, new() {\n    private readonly Dictionary<string, List<T>> map = new Dictionary<string, List<T>>();\n    public List<T> Items { get; set; } = new List<T>();\n    public void Run<U>() { }\n    public U N<U>(U t) where U : class { return t; }\n    public Box§(int w) : base(w) { }\n    class Nested { void No() { } }\n}\n",
+                [
+                    ("Box§", "class", "class Box§", 5, 12, 0, 0, None), ("Items", "property", "List<T> Items", 7, 7, 0, 0, "Box§"), ("Run", "method", "void Run()", 8, 8, 0, 0, "Box§"), ("N", "method", "U N(U t)", 9, 9, 0, 0, "Box§"),
+                    ("Box§", "constructor", "Box§(int w)", 10, 10, 0, 0, "Box§"),
+                ],
+                [("System", ["System"], 1), ("X§", ["X§"], 2), ("System.Math", ["Math"], 3)],
+            ),
+            (
+                "public struct S§<A> {\n    public async Task<Dictionary<string, A>> Go<B, C>(B a, Func<B, C> f) where B : struct where C : new() => await f(a);\n    [Http(\"x\", Y = new[] { 1 })]\n    public (int a, string b) Pair(int[] x) { if (a < b && c > d) { } return (1, \"}\"); }\n    public string Name => \"x\";\n}\npublic interface IThing<T> {\n    int Count { get; }\n    T Get<U>(U u);\n}\n",
+                [
+                    ("S§", "class", "struct S§", 1, 6, 0, 0, None), ("Go", "method", "Task<Dictionary<string, A>> Go(B a, Func<B, C> f)", 2, 2, 0, 0, "S§"), ("Pair", "method", "(int a, string b) Pair(int[] x)", 3, 4, 0, 0, "S§"),
+                    ("Name", "property", "string Name", 5, 5, 0, 0, "S§"), ("IThing", "interface", "interface IThing", 7, 10, 0, 0, None), ("Get", "method", "void Get(U u)", 9, 9, 0, 0, "IThing"),
+                ],
+                [],
+            ),
+        ],
+    ),
+    "java_types": (
+        "java",
+        [
+            (
+                "import static a.b.C§.d;\n\npublic class Box§<T extends Comparable<? super T>> extends Base<Map<String, List<T>>> {\n    private final Map<String, List<T>> m = new HashMap<String, List<T>>(), n;\n    @Override\n    public <K, V extends List<K>> Map<K, V> conv(Map<? extends K, V[]> in, int... r) throws E {\n        return a < b ? null : in;\n    }\n    @Inject(value = \"}\", other = @A(1)) Box§(T t) { super(t); }\n    List<String>[] arr() { return null; }\n}\n",
+                [
+                    ("Box§", "class", "class Box§", 3, 11, 0, 0, None), ("m", "property", "private final Map<String, List<T>> m = new HashMap<String, List<T>>(), n;", 4, 4, 0, 0, "Box§"),
+                    ("n", "property", "private final Map<String, List<T>> m = new HashMap<String, List<T>>(), n;", 4, 4, 0, 0, "Box§"), ("conv", "method", "Map<K, V> conv(Map<? extends K, V[]> in, int... r)", 5, 8, 0, 0, "Box§"),
+                    ("Box§", "constructor", "Box§(T t)", 9, 9, 0, 0, "Box§"), ("arr", "method", "List<String>[] arr()", 10, 10, 0, 0, "Box§"),
+                ],
+                [("a.b.C§.d", ["d"], 1)],
+            ),
+            (
+                "interface I§<T> {\n    int X = 1;\n    T get();\n    default <U> U map(Function<T, U> f) { return null; }\n}\n",
+                [("I§", "interface", "interface I§", 1, 5, 0, 0, None), ("get", "method", "T get()", 3, 3, 0, 0, "I§"), ("map", "method", "U map(Function<T, U> f)", 4, 4, 0, 0, "I§")],
+                [],
+            ),
+        ],
+    ),
+    "go_types": (
+        "go",
+        [
+            (
+                "package p\n\ntype Pair§[K comparable, V any] struct {\n\ta K\n}\n\nfunc Map§[T, U any](xs []T, f func(T) U) []U {\n\treturn nil\n}\n\ntype F func(int) error\n\ntype (\n\tA = int\n\tB map[string]int\n)\n",
+                [
+                    ("Pair§", "class", "type Pair§ struct", 3, 5, 0, 0, None), ("Map§", "function", "func Map§[T, U any](xs []T, f func(T) U) []U {", 7, 9, 0, 0, None), ("F", "type", "type F func(int) error", 11, 11, 0, 0, None),
+                    ("B", "type", "type B map[string]int", 15, 15, 0, 0, None),
+                ],
+                [],
+            ),
+        ],
+    ),
 }
 
 
