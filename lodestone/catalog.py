@@ -416,6 +416,63 @@ def multirepo_outline(spark, d):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+def repos(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Files, symbols, imports and tags of two repositories that hold the same paths, each indexed by itself."""
+    out = []
+    for name in ("repo0", "repo1"):
+        files = view(spark, d, "repo_files").where(F.col("repo") == name).drop("repo")
+        symbols, imports = parse_code.parse(files, once=True)
+        out.append([t.withColumn("repo", F.lit(name)) for t in (files, symbols, imports, tagging.tag_symbols(files, symbols))])
+    return tuple(a.unionByName(b) for a, b in zip(*out, strict=True))
+
+
+_TWIN = "(select concat('repo', p_partkey % 2) as repo, p_partkey as k, concat('src/f', p_partkey // 2, '.js') as path, p_partkey % 2 as more from part)"
+_LOAD = "concat('async function load(id) {{ return pool.query(''SELECT ', k, '''); }}')".replace("{{", "{").replace("}}", "}")
+
+
+@query(f"select repo, 'db_read' as tag, 'load' as symbol_name, 'function' as kind, {_LOAD} as signature, cast(2 + more as int) as start_line, cast(2 + more as int) as end_line, path from {_TWIN}")
+def equal_paths_by_tag(spark, d):
+    """Equal paths and names in two repositories: each tag meets its own repository's symbol."""
+    _, symbols, _, tags = repos(spark, d)
+    return search.find_by_tag(tags, symbols, "db_read")
+
+
+@query(
+    f"""select ord, repo, path, name, cast(case when name = 'load' then 2 + more when name = 'none' then null else 3 + more end as int) as start_line, cast(case when name = 'load' then 2 + more when name = 'none' then null else 3 + more end as int) as end_line,
+    case when name = 'load' then {_LOAD} when name <> 'none' then concat('function own', k, '() {{ return 1; }}') end as text from (
+    select k as ord, repo, path, k, more, 'load' as name from {_TWIN} union all select ord, r.repo, r.path, k, more, 'load' from (select cast(k + 1000000 as bigint) as ord, path from {_TWIN} where more = 0) s join {_TWIN} r on r.path = s.path
+    union all select k + 2000000, repo, path, k, more, concat('own', k) from {_TWIN} union all select k + 3000000, repo, path, k, more, 'none' from {_TWIN})""".replace("{{", "{").replace("}}", "}")
+)
+def equal_paths_read(spark, d):
+    """Specs that name a repository get its symbol or nulls; those that name none get a row for each repository that has it."""
+    files, symbols, _, _ = repos(spark, d)
+    k = F.col("p_partkey")
+    part = spark.read.parquet(f"{d}/part.parquet").select(k, F.expr("concat('repo', p_partkey % 2)").alias("repo"), F.expr("concat('src/f', p_partkey div 2, '.js')").alias("path"))
+    own = F.concat(F.lit("own"), k.cast("string"))
+    named = [part.select((k + n).alias("ord"), "repo", "path", name.alias("name")) for n, name in ((0, F.lit("load")), (2_000_000, own), (3_000_000, F.lit("none")))]
+    named = search.read_symbols(files, symbols, named[0].unionByName(named[1]).unionByName(named[2]))
+    free = part.where(k % 2 == 0).select((k + 1_000_000).alias("ord"), "path", F.lit("load").alias("name"))
+    return named.unionByName(search.read_symbols(files, symbols, free))
+
+
+@query(f"select repo, path, 'load' as name, {_LOAD} as text, [concat('./f', k // 2 + 1)] as imports, ['load', concat('own', k)] as outline from {_TWIN} where path = 'src/f7.js'")
+def equal_paths_context(spark, d):
+    files, symbols, imports, _ = repos(spark, d)
+    return search.context(files, symbols, imports, "src/f7.js", "load")
+
+
+@query(f"select a.repo, a.path as importer, b.path as target from {_TWIN} a join {_TWIN} b on a.repo = b.repo and b.k // 2 = a.k // 2 + 1")
+def equal_paths_graph(spark, d):
+    """Imports within each repository."""
+    files, _, imports, _ = repos(spark, d)
+    return search.import_graph(imports, files)
+
+
+@query("select distinct concat('src/', string_split(path, '/')[2], '/') as path from v_code_files", "code_files")
+def tree_depth(spark, d):
+    return search.tree(view(spark, d, "code_files"), depth=2)
+
+
 @query("select repo, count(distinct path) as files, count(*) as symbols from v_symbols group by repo union all select null, cast(sum(f) as bigint), cast(sum(s) as bigint) from (select count(distinct path) as f, count(*) as s from v_symbols group by repo)", "symbols")
 def multirepo_status(spark, d):
     s = view(spark, d, "symbols")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions.text import fold, identifier_pattern, like, line_slice, lines, literal_filter, query_words, split_words, trim
 from .parse_lines import exploded
 
-def _keys(files: DataFrame) -> list[str]:
-    return [c for c in ("repo", "path") if c in files.columns]
+
+def _keys(*tables: DataFrame) -> list[str]:
+    """What names a file in all of these tables: repo, if they have it, and path."""
+    return [c for c in ("repo", "path") if all(c in t.columns for t in tables)]
 
 
 DEFAULT_TYPES = ("code", "query")
@@ -67,7 +69,7 @@ def find_text(files: DataFrame, pattern: str, case_sensitive: bool = False, use_
 def find_references(files: DataFrame, name: str) -> DataFrame:
     """(path, line, content): lines with a whole identifier, in its case."""
     pattern = identifier_pattern(name)
-    return exploded(files.where(F.col("content").contains(name))).where(F.col("text").rlike(pattern)).select("path", "line", trim(F.col("text")).alias("content"))
+    return exploded(files.where(F.col("content").contains(name))).where(F.col("text").rlike(pattern)).select(*_keys(files), "line", trim(F.col("text")).alias("content"))
 
 
 def import_suffixes(path: str) -> list[str]:
@@ -90,16 +92,17 @@ def import_suffixes(path: str) -> list[str]:
 
 
 def find_importers(imports: DataFrame, path: str) -> DataFrame:
-    """(path): files other than this one with an import that may mean it. imports: path, source."""
+    """(path), with repo if imports have it: files other than this one with an import that may mean it. imports: path, source."""
     if not path or not isinstance(path, str):
-        return imports.select("path").where(F.lit(False))
+        return imports.select(*_keys(imports)).where(F.lit(False))
     source = F.col("source")
     match = reduce(or_, [source.isin(s, "./" + s) | like(source, "%/" + s) for s in import_suffixes(path)])
-    return imports.where(match & (F.col("path") != path)).select("path").distinct()
+    return imports.where(match & (F.col("path") != path)).select(*_keys(imports)).distinct()
 
 
 def import_graph(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(importer, target) for all files at once, by equality of suffixes; case of paths after a slash is ignored.
+    """(importer, target), with repo if both tables have it: for all files at once, by equality of suffixes; case of paths
+    after a slash is ignored. Files of different repositories do not meet.
 
     An import's source yields itself, itself without ./, and what follows each of its slashes; a file yields the suffixes
     of import_suffixes. Both sides are exploded and joined on the suffix, so no pair is tried that does not match.
@@ -108,7 +111,8 @@ def import_graph(imports: DataFrame, files: DataFrame) -> DataFrame:
     tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, i, F.size(parts)), "/").alias("s"), F.lit(True).alias("tail")))
     tails = F.when(F.size(parts) > 1, tails).otherwise(F.array().cast("array<struct<s:string,tail:boolean>>"))
     whole = F.array(F.struct(F.col("source").alias("s"), F.lit(False).alias("tail")), F.struct(F.regexp_replace("source", r"^\./", "").alias("s"), F.lit(False).alias("tail")))
-    left = imports.select(F.col("path").alias("importer"), F.explode(F.concat(whole, tails)).alias("k")).select("importer", fold(F.col("k.s")).alias("key"), F.col("k.s").alias("s"), "k.tail")
+    repo = [c for c in _keys(imports, files) if c != "path"]
+    left = imports.select(*repo, F.col("path").alias("importer"), F.explode(F.concat(whole, tails)).alias("k")).select(*repo, "importer", fold(F.col("k.s")).alias("key"), F.col("k.s").alias("s"), "k.tail")
     base = F.regexp_replace("path", r"\.(ts|tsx|js|jsx|mjs|cjs)$", "")
 
     def ends(b: Column) -> Column:
@@ -122,21 +126,23 @@ def import_graph(imports: DataFrame, files: DataFrame) -> DataFrame:
     stems = F.array_distinct(F.concat(plain, some))
     every = F.flatten(F.transform(stems, lambda s: F.concat(F.array(s), F.array(*[F.concat(s, F.lit(e)) for e in CODE_EXTENSIONS]))))
     every = F.array_distinct(F.concat(every, F.transform(some, lambda s: F.concat(s, F.lit("/")))))
-    right = files.select(F.col("path").alias("target"), F.explode(every).alias("suffix")).withColumn("key", fold(F.col("suffix")))
-    hit = left.join(right, "key").where((F.col("tail") | (F.col("s") == F.col("suffix"))) & (F.col("importer") != F.col("target")))
-    return hit.select("importer", "target").distinct()
+    right = files.select(*repo, F.col("path").alias("target"), F.explode(every).alias("suffix")).withColumn("key", fold(F.col("suffix")))
+    hit = left.join(right, [*repo, "key"]).where((F.col("tail") | (F.col("s") == F.col("suffix"))) & (F.col("importer") != F.col("target")))
+    return hit.select(*repo, "importer", "target").distinct()
 
 
 def find_by_tag(tags: DataFrame, symbols: DataFrame, tag: str, limit: int | None = None) -> DataFrame:
-    """tag, symbol_name, kind, signature, start_line, end_line, path; by path and first line."""
-    out = tags.where(F.col("tag") == tag).join(symbols.withColumnRenamed("ordinal", "symbol_ordinal"), ["path", "symbol_ordinal"])
-    out = out.select("tag", "symbol_name", "kind", "signature", "start_line", "end_line", "path").orderBy("path", "start_line", "symbol_name")
+    """tag, symbol_name, kind, signature, start_line, end_line, path, and repo before them if there is one; by repo, path
+    and first line."""
+    keys = _keys(tags, symbols)
+    out = tags.where(F.col("tag") == tag).join(symbols.withColumnRenamed("ordinal", "symbol_ordinal"), [*keys, "symbol_ordinal"])
+    out = out.select(*keys[:-1], "tag", "symbol_name", "kind", "signature", "start_line", "end_line", "path").orderBy(*keys, "start_line", "symbol_name")
     return out.limit(limit) if limit else out
 
 
 def outline(symbols: DataFrame, path: str) -> DataFrame:
-    """A file's symbols in their order."""
-    return symbols.where(F.col("path") == path).orderBy("ordinal")
+    """A file's symbols in their order, one repository's after the other's."""
+    return symbols.where(F.col("path") == path).orderBy(*_keys(symbols), "ordinal")
 
 
 def outline_nested(symbols: DataFrame) -> DataFrame:
@@ -145,26 +151,29 @@ def outline_nested(symbols: DataFrame) -> DataFrame:
     A class holds the members that name it; of classes of one name each shows the last one's; members of unknown parents
     stay at the top.
     """
-    classes = symbols.where("kind = 'class'").groupBy("path", F.col("name").alias("parent_class")).agg(F.max("ordinal").alias("owner"))
-    members = symbols.where("parent_class is not null and kind <> 'class'").join(classes, ["path", "parent_class"])
-    held = members.groupBy("path", "parent_class").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("c"))
-    held = held.select("path", F.col("parent_class").alias("name"), F.col("c.name").alias("children"))
-    top = symbols.join(members.select("path", "ordinal"), ["path", "ordinal"], "left_anti")
+    keys = _keys(symbols)
+    classes = symbols.where("kind = 'class'").groupBy(*keys, F.col("name").alias("parent_class")).agg(F.max("ordinal").alias("owner"))
+    members = symbols.where("parent_class is not null and kind <> 'class'").join(classes, [*keys, "parent_class"])
+    held = members.groupBy(*keys, "parent_class").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("c"))
+    held = held.select(*keys, F.col("parent_class").alias("name"), F.col("c.name").alias("children"))
+    top = symbols.join(members.select(*keys, "ordinal"), [*keys, "ordinal"], "left_anti")
     of = F.when(F.col("kind") == "class", F.coalesce("children", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
-    return top.join(held, ["path", "name"], "left").select("path", "ordinal", "name", "kind", of.alias("children"))
+    return top.join(held, [*keys, "name"], "left").select(*keys, "ordinal", "name", "kind", of.alias("children"))
 
 
 def read_symbols(files: DataFrame, symbols: DataFrame, specs: DataFrame) -> DataFrame:
     """(ord, path, name, start_line, end_line, text) for specs (ord, path, name): the first symbol of the name, or nulls.
 
-    A file's specs are gathered first, so that its text meets them once and is cut into lines once.
+    With repo in files and symbols there is a row for each repository that has the symbol, or for the one that the spec
+    names in a column repo. A file's specs are gathered first, so that its text meets them once and is cut into lines once.
     """
-    first = symbols.groupBy("path", "name").agg(F.min_by(F.struct("start_line", "end_line"), "ordinal").alias("s"))
-    asked = specs.join(first, ["path", "name"], "left").groupBy("path").agg(F.collect_list(F.struct("ord", "name", "s")).alias("asked"))
-    cut = asked.join(files.select("path", lines(F.col("content")).alias("ls")), "path", "left")
+    keys = _keys(files, symbols)
+    first = symbols.groupBy(*keys, "name").agg(F.min_by(F.struct("start_line", "end_line"), "ordinal").alias("s"))
+    asked = specs.join(first, [*_keys(specs, first), "name"], "left").groupBy(*keys).agg(F.collect_list(F.struct("ord", "name", "s")).alias("asked"))
+    cut = asked.join(files.select(*keys, lines(F.col("content")).alias("ls")), keys, "left")
     span = lambda x: F.when(x["s"].isNotNull(), F.array_join(F.slice(F.col("ls"), x["s"]["start_line"], F.greatest(x["s"]["end_line"] - x["s"]["start_line"] + 1, F.lit(0))), "\n"))
-    rows = cut.select("path", F.explode(F.transform("asked", lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["s"].alias("s"), span(x).alias("text")))).alias("r"))
-    return rows.select("r.ord", "path", "r.name", "r.s.start_line", "r.s.end_line", "r.text")
+    rows = cut.select(*keys, F.explode(F.transform("asked", lambda x: F.struct(x["ord"].alias("ord"), x["name"].alias("name"), x["s"].alias("s"), span(x).alias("text")))).alias("r"))
+    return rows.select("r.ord", *keys, "r.name", "r.s.start_line", "r.s.end_line", "r.text")
 
 
 def file_by_path(files: DataFrame, path: str) -> DataFrame:
@@ -173,12 +182,12 @@ def file_by_path(files: DataFrame, path: str) -> DataFrame:
 
 
 def imports_of(imports: DataFrame, path: str) -> DataFrame:
-    return imports.where(F.col("path") == path).orderBy("ordinal")
+    return imports.where(F.col("path") == path).orderBy(*_keys(imports), "ordinal")
 
 
 def tags_of(tags: DataFrame, path: str) -> DataFrame:
-    """(symbol_name, tag) of a file."""
-    return tags.where(F.col("path") == path).select("symbol_name", "tag")
+    """(symbol_name, tag) of a file, after repo if there is one."""
+    return tags.where(F.col("path") == path).select(*_keys(tags)[:-1], "symbol_name", "tag")
 
 
 def identifiers_json(imports: DataFrame) -> DataFrame:
@@ -190,22 +199,28 @@ def read_range(files: DataFrame, path: str, start: float | None, end: float | No
     """(path, start_line, end_line, text): start at least 1, end at least start."""
     a = max(1, int(start or 1))
     b = max(a, int(end or a))
-    return files.where(F.col("path") == path).select("path", F.lit(a).alias("start_line"), F.lit(b).alias("end_line"), line_slice(F.col("content"), F.lit(a), F.lit(b)).alias("text"))
+    return files.where(F.col("path") == path).select(*_keys(files), F.lit(a).alias("start_line"), F.lit(b).alias("end_line"), line_slice(F.col("content"), F.lit(a), F.lit(b)).alias("text"))
 
 
 def context(files: DataFrame, symbols: DataFrame, imports: DataFrame, path: str, name: str) -> DataFrame:
-    """One row: the symbol's text, the file's import sources and its outline's names."""
+    """The symbol's text, the file's import sources and its outline's names: one row, or one for each repository that has it."""
+    keys = _keys(files, symbols, imports)
     spec = files.sparkSession.createDataFrame([(0, path, name)], "ord int, path string, name string")
-    one = read_symbols(files, symbols, spec).select("path", "name", "text")
-    sources = imports.where(F.col("path") == path).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "source"))).alias("i")).select("path", F.col("i.source").alias("imports"))
-    names = symbols.where(F.col("path") == path).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("o")).select("path", F.col("o.name").alias("outline"))
-    return one.join(sources, "path", "left").join(names, "path", "left")
-
-
-def tree(files: DataFrame, prefix: str | None = None) -> DataFrame:
-    """Paths in order, those with a prefix if one is given."""
-    out = files.select("path")
-    return (out.where(F.col("path").startswith(prefix)) if prefix else out).orderBy("path")
+    one = read_symbols(files, symbols, spec).select(*keys, "name", "text")
+    sources = imports.where(F.col("path") == path).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", "source"))).alias("i")).select(*keys, F.col("i.source").alias("imports"))
+    names = symbols.where(F.col("path") == path).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ordinal", "name"))).alias("o")).select(*keys, F.col("o.name").alias("outline"))
+    return one.join(sources, keys, "left").join(names, keys, "left")
+
+
+def tree(files: DataFrame, prefix: str | None = None, depth: int | None = None) -> DataFrame:
+    """Paths in order, those with a prefix if one is given; with a depth, folders of so many parts in the place of what is below."""
+    path = F.col("path")
+    out = files.where(path.startswith(prefix)) if prefix else files
+    if depth:
+        parts = F.split(path, "/")
+        out = out.withColumn("path", F.when(F.size(parts) > depth, F.concat(F.array_join(F.slice(parts, 1, depth), "/"), F.lit("/"))).otherwise(path))
+        out = out.select(*_keys(files)).distinct()
+    return out.select(*_keys(files)).orderBy(*_keys(files))
 
 
 def status(files: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:

@@ -68,6 +68,13 @@ CORPORA: dict[str, str] = {
         "'exports.one = 1;'",
     )
     + " as content from {supplier}",
+    "repo_files": "select concat('repo', cast(p_partkey % 2 as string)) as repo, concat('src/f', cast(cast(floor(p_partkey / 2) as bigint) as string), '.js') as path, concat(case when p_partkey % 2 = 1 then concat('// note', chr(10)) else '' end, "
+    + _lines(
+        "concat('const x = require(''./f', cast(cast(floor(p_partkey / 2) as bigint) + 1 as string), ''');')",
+        f"concat('async function load(id) {{{{ return pool.query(''SELECT ', {_K}, '''); }}}}')",
+        f"concat('function own', {_K}, '() {{{{ return 1; }}}}')",
+    )
+    + ") as content from {part}",
     "yaml_files": f"select concat('conf/', {_S}, '.yaml') as path, " + _lines(f"concat('key_', {_S}, ': 1')", "'  nested-x: 2'", "'# no: 3'", "'plain text'") + " as content from {supplier}",
     "json_files": f"select concat('conf/', {_S}, '.json') as path, " + _lines("'{{'", f"concat('  \"a', {_S}, '\": 1, \"b\": 2')", "'}}'") + " as content from {supplier}",
     "toml_files": f"select concat('conf/', {_S}, '.toml') as path, " + _lines(f"concat('[sec', {_S}, ']')", "'k = 1'", "'# c = 2'", "'[[arr]]'") + " as content from {supplier}",
