@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as fx
-from .operators import history, notes, parse_code, parse_lines, search, tagging, telemetry
+from .operators import history, nesting, notes, parse_code, parse_lines, search, tagging, telemetry
+from .operators.symbolindex import SymbolIndex
+from .operators.textindex import TextIndex
 from .plans import languages, store
 from .plans.corpora import view, with_views
 from .sources import config
@@ -223,8 +226,7 @@ TAGS_SQL = f"""(select path, cast(ordinal as int) as symbol_ordinal, case when o
 
 @query(f"select * from {TAGS_SQL}")
 def tag_symbols(spark, d):
-    files, symbols, _ = code(spark, d)
-    return tagging.tag_symbols(files, symbols)
+    return parse_code.parse_tagged(view(spark, d, "code_files"))[2]
 
 
 @query(f"select tag, count(*) as n from {TAGS_SQL} group by tag")
@@ -272,6 +274,26 @@ def symbol_children(spark, d):
     return parse_code.children(view(spark, d, "javascript_files"))
 
 
+_DEEP = "select path, p_partkey as k, p_size % 4 as deep from (select *, concat('deep/f', p_partkey, '.js') as path from part)"
+_DEEP_SYMBOLS = f"(select path, deep, unnest(range(0, deep + 2)) as o from ({_DEEP}))"
+
+
+@query(
+    f"""+s as (select path, cast(o as int) as ordinal, cast(case when o = deep + 1 then 1 + 2 * deep + 2 else o + 1 end as int) as a, cast(case when o = deep + 1 then 1 + 2 * deep + 2 else 2 * deep + 1 - o + 1 end as int) as b from {_DEEP_SYMBOLS}),
+    up as (select s.path, s.ordinal, max(p.ordinal) as parent from s join s p on s.path = p.path and p.a <= s.a and p.b >= s.b and p.ordinal < s.ordinal group by all),
+    tree as (select path, ordinal, parent as ancestor, 1 as depth from up union all select t.path, t.ordinal, u.parent, t.depth + 1 from tree t join up u on u.path = t.path and u.ordinal = t.ancestor)
+    select path, ordinal, ancestor, cast(depth as int) as depth from tree""".replace("+s as", "with recursive s as", 1)
+)
+def symbol_ancestors(spark, d):
+    """Functions in functions, up to five deep, and one beside them; the SQL climbs from parent to parent."""
+    return nesting.ancestors(parse_code.parse(view(spark, d, "deep_files"), once=True)[0])
+
+
+@query(f"select path, case when o = deep + 1 then 'last' else concat('f', o, '_', deep) end as name, cast(o as int) as depth, cast(o as int) as ordinal, cast(0 as int) as of from {_DEEP_SYMBOLS} where o between 1 and deep and deep = 3")
+def symbol_descendants(spark, d):
+    return nesting.descendants(parse_code.parse(view(spark, d, "deep_files"), once=True)[0], "f0_3")
+
+
 @query("select path, ordinal, source, to_json(identifiers)::varchar as identifiers, line from (" + languages.expected_sql("javascript", "imports") + ")")
 def identifiers_json(spark, d):
     return search.identifiers_json(parse_code.parse(view(spark, d, "javascript_files"))[1])
@@ -370,6 +392,28 @@ def diagnostic(spark, d):
     return search.diagnostic(src.metadata(files), symbols.withColumn("source_type", fx.source_type(F.col("path"))), imports, tags)
 
 
+# --- search over postings ---
+
+
+def _either(*sql: str) -> str:
+    return " union all ".join(f"select '{k}' as asked, * from ({s})" for k, s in enumerate(sql))
+
+
+@query(_either(_find_text("The Th", False), _find_text("The ", True), _find_text("é", False), rf"select path, cast(line as int) as line, {TRIM.format('text')} as content from {lines_sql('v_docs_files')} where regexp_matches(text, '\bment\b')"), "docs_files")
+def text_index_search(spark, d):
+    """The same lines as by a scan: a pattern in any case, one in its case, one too short for the index, an identifier."""
+    index = TextIndex.build(view(spark, d, "docs_files"))
+    found = [index.find_text("The Th"), index.find_text("The ", case_sensitive=True), index.find_text("é"), index.find_references("ment")]
+    return reduce(DataFrame.unionByName, [f.select(F.lit(str(k)).alias("asked"), "*") for k, f in enumerate(found)])
+
+
+@query(_either(f"select * from ({_find('hot_ring', ['hot', 'ring'], CODE_OR_QUERY, ['hot', 'ring'])}) order by score desc, name, path, ordinal limit 20", f"select * from ({_find('red_plate', ['red', 'plate'], CODE_OR_QUERY, ['red', 'plate'])})"), "symbols")
+def symbol_index_search(spark, d):
+    index = SymbolIndex.build(view(spark, d, "symbols"))
+    found = [index.find_symbols("hot_ring", limit=20), index.find_symbols("red_plate")]
+    return reduce(DataFrame.unionByName, [f.select(F.lit(str(k)).alias("asked"), *SHOWN) for k, f in enumerate(found)])
+
+
 # --- several repositories ---
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOUNDARY, lines, trim
+from .nesting import on_lines
 
 #: What begins a commit's line in a log with names: a record separator, which stands in no path or subject.
 MARK = "\x1e"
@@ -76,11 +77,9 @@ def diff_lines(text: DataFrame) -> DataFrame:
 
 
 def changed_symbols(changed: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file, ordinal, name) of symbols with a changed line."""
-    lines = changed.groupBy("file").agg(F.collect_set("line").alias("changed"))  # a file's lines, as numbers, meet its symbols once
-    s = symbols.withColumnRenamed("path", "file")
-    hit = F.exists("changed", lambda k: (F.col("start_line") <= k) & (F.col("end_line") >= k))
-    return s.join(lines, "file").where(hit).select("file", "ordinal", "name").distinct()
+    """(file, ordinal, name) of symbols with a changed line (file, line)."""
+    lines = changed.withColumnRenamed("file", "path").select("path", "line")
+    return on_lines(lines, symbols).withColumnRenamed("path", "file")
 
 
 def parse_log(raw: DataFrame) -> DataFrame:

@@ -1,82 +1,70 @@
-"""Semantic tags of symbols, from the text of their lines. Rules are patterns on built-in expressions."""
+"""Semantic tags of symbols, from the text of their lines, in Arrow batches: a file's text meets its symbols once."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lines, trim
+from ..functions.rules import ROUTE, Tagger, route_lines_of
+from ..functions.text import trim
+from ..sources.session import importable
 from .parse_lines import exploded
+from .search import _keys
 
-#: The patterns of the rules (fixed values).
-DB_READ = r"""(?i)(?:pool|client|db|connection)\.query\s*\(\s*['"`]SELECT|\bprisma\.\w+\.(?:findMany|findFirst|findUnique|findOne|count|aggregate|groupBy)\s*\(|\bdb\.(?:select|from)\s*\(|\b(?:knex|db)\s*\(\s*['"`]\w|\bknex\s*\.\s*select\s*\(|\.select\s*\("""
-DB_WRITE = r"""(?i)(?:pool|client|db|connection)\.query\s*\(\s*['"`](?:INSERT|UPDATE|DELETE)|\bprisma\.\w+\.(?:create|createMany|update|updateMany|upsert|delete|deleteMany)\s*\(|\.insert\s*\(|\.update\s*\(|\.delete\s*\(|\.upsert\s*\("""
-DB_CALL = r"""(?:pool|client|db|connection)\.query\s*\(|\bprisma\.\w+\.\w+\s*\(|\b(?:knex|db)\s*\(\s*['"`]\w|\bknex\s*\.\s*(?:select|insert|update|delete|from|where)\s*\(|\.(?:select|insert|update|delete|where)\s*\("""
-TENANT = "tenant_id"
-TRY = r"\btry\s*\{"
-FETCH = r"await\s+fetch"
-ROUTE = r"(?:router|app)\.(get|post|put|delete|patch)\s*\(|@(Get|Post|Put|Delete|Patch)\s*\("
-AUTH = r"@(?:Auth|Guard|UseGuards)\s*\(|authenticate\s*[,(]|requireAuth\s*[,(]"
-VALIDATED = r"@(?:Body|Param|Query)\s*\(|validate\s*\(|schema\.parse\s*\(|\.safeParse\s*\("
+#: Patterns of exported names (fixed values).
 EXPORTS_OBJECT = r"module\.exports\s*=\s*\{([^}]+)\}"
 EXPORTS_NAME = r"exports\.(\w+)"
 
 
-def body_tags(source: Column, is_async: Column, custom: list[tuple[str, str]] = ()) -> Column:
-    """The tags of a symbol's text, in the order of the rules; custom: (pattern, tag)."""
-    call = source.rlike(DB_CALL)
-    rules = [
-        F.when(is_async == 1, "async"),
-        F.when(source.rlike(DB_READ), "db_read"),
-        F.when(source.rlike(DB_WRITE), "db_write"),
-        F.when(call & source.contains(TENANT), "tenant_scoped").when(call, "unscoped_query"),
-        F.when(source.rlike(TRY), "error_handler").when(call | source.rlike(FETCH), "no_error_handling"),
-        F.when(source.rlike(AUTH), "auth"),
-        F.when(source.rlike(VALIDATED), "validated"),
-        F.when(source.rlike(ROUTE), "route_handler"),
-        *[F.when(source.rlike(p), t) for p, t in custom],
-    ]
-    return F.array_compact(F.array(*rules))
-
-
-def _cut(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """path, ls (lines) and spans (a file's symbols): the text meets its symbols once and is cut once."""
-    spans = symbols.groupBy("path").agg(F.collect_list(F.struct("ordinal", "name", "start_line", "end_line", "async")).alias("spans"))
-    return files.select("path", lines(F.col("content")).alias("ls")).join(spans, "path")
+def _met(files: DataFrame, symbols: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The files' keys, content and spans (their symbols)."""
+    keys = _keys(files, symbols)
+    span = F.struct("ordinal", "name", "start_line", "end_line", F.col("async") if "async" in symbols.columns else F.lit(0).alias("async"))
+    spans = symbols.groupBy(*keys).agg(F.collect_list(span).alias("spans"))
+    importable(files.sparkSession)
+    return files.select(*keys, "content").join(spans, keys).select(*keys, "content", "spans"), keys
 
 
-def _innermost(cut: DataFrame) -> DataFrame:
-    at = F.filter(F.transform("ls", lambda x, i: F.when(x.rlike(ROUTE), i + 1)), lambda i: i.isNotNull())
-    hits = cut.select("path", "spans", at.alias("at")).where(F.size("at") > 0)
+def _by_file(rows: DataFrame, keys: list[str], schema: str, each) -> DataFrame:
+    """A row (keys and what ``each`` gives) for each tuple of each(content, symbols)."""
+    kinds = [c.split()[1] for c in schema.split(", ")]
+    arrow = {"int": pa.int32(), "string": pa.string()}
 
-    def inner(line: Column) -> Column:
-        around = F.filter("spans", lambda s: (s["start_line"] <= line) & (s["end_line"] >= line))
-        return F.array_min(F.transform(around, lambda s: F.struct((s["end_line"] - s["start_line"]).alias("size"), s["ordinal"].alias("ordinal"), s["name"].alias("name"))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, out = [], [[] for _ in kinds]
+            spans = b.column(len(keys) + 1).to_pylist()
+            for k, text in enumerate(b.column(len(keys)).to_pylist()):
+                symbols = sorted((s["ordinal"], s["name"], s["start_line"], s["end_line"], s["async"]) for s in spans[k])
+                for row in each(text or "", symbols):
+                    at.append(k)
+                    for col, v in zip(out, row, strict=True):
+                        col.append(v)
+            take = pa.array(at, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(i).take(take) for i in range(len(keys))] + [pa.array(c, arrow[t]) for c, t in zip(out, kinds, strict=True)], names=[*keys, *[c.split()[0] for c in schema.split(", ")]])
 
-    rows = hits.select("path", F.explode(F.transform("at", lambda k: F.struct(k.alias("line"), inner(k).alias("s")))).alias("r"))
-    return rows.where("r.s is not null").select("path", "r.line", "r.s.ordinal", "r.s.name")
+    return rows.mapInArrow(run, ", ".join([f"{k} string" for k in keys] + [schema]))
 
 
 def route_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, line, ordinal, name): each route line's innermost symbol; the first of equally long ones."""
-    return _innermost(_cut(files, symbols.withColumn("async", F.lit(0)) if "async" not in symbols.columns else symbols))
+
+    def each(text: str, symbols: list[tuple]) -> list[tuple]:
+        return [(line, symbols[i][0], symbols[i][1]) for line, i in route_lines_of(text, symbols) if i >= 0]
+
+    return _by_file(*_met(files, symbols), "line int, ordinal int, name string", each)
 
 
 def tag_symbols(files: DataFrame, symbols: DataFrame, custom: list[tuple[str, str]] = ()) -> DataFrame:
-    """(path, symbol_ordinal, symbol_name, tag).
+    """(path, symbol_ordinal, symbol_name, tag), after repo if files and symbols have it; custom: (pattern, tag).
 
-    Tags belong to names: the last symbol of a name in a file gives them, its first row gets them, and routes found by
-    line are added to the name of the innermost symbol.
+    Where files are scanned anyway, ``parse_code.parse_tagged`` gives the same rows in one pass.
     """
-    cut = _cut(files, symbols)
-    own = lambda s: F.array_join(F.slice(F.col("ls"), s["start_line"], F.greatest(s["end_line"] - s["start_line"] + 1, F.lit(0))), "\n")
-    texts = cut.select("path", F.explode(F.transform("spans", lambda s: F.struct(s["ordinal"].alias("ordinal"), s["name"].alias("name"), s["async"].alias("async"), own(s).alias("source")))).alias("s"))
-    each = texts.select("path", "s.ordinal", "s.name", body_tags(F.col("s.source"), F.col("s.async"), custom).alias("tags"))
-    by_name = each.groupBy("path", "name").agg(F.min("ordinal").alias("symbol_ordinal"), F.max_by("tags", "ordinal").alias("tags"))
-    routes = _innermost(cut).select("path", "name").distinct().withColumn("route", F.array(F.lit("route_handler")))
-    both = by_name.join(routes, ["path", "name"], "left")
-    tags = F.when(F.col("route").isNotNull(), F.when(F.array_contains("tags", "route_handler"), F.col("tags")).otherwise(F.concat("tags", "route"))).otherwise(F.col("tags"))
-    return both.select("path", "symbol_ordinal", F.col("name").alias("symbol_name"), F.explode(tags).alias("tag"))
+    custom = list(custom)
+    return _by_file(*_met(files, symbols), "symbol_ordinal int, symbol_name string, tag string", lambda text, symbols: Tagger(custom).tags(text, symbols))
 
 
 def source_tags(files: DataFrame) -> DataFrame:

@@ -75,6 +75,7 @@ CORPORA: dict[str, str] = {
         f"concat('function own', {_K}, '() {{{{ return 1; }}}}')",
     )
     + ") as content from {part}",
+    "deep_files": """select concat('deep/f', cast(p_partkey as string), '.js') as path, case p_size % 4 when 0 then concat('function f0_0() {{', chr(10), '}}', chr(10), 'function last() {{}}') when 1 then concat('function f0_1() {{', chr(10), 'function f1_1() {{', chr(10), '}}', chr(10), '}}', chr(10), 'function last() {{}}') when 2 then concat('function f0_2() {{', chr(10), 'function f1_2() {{', chr(10), 'function f2_2() {{', chr(10), '}}', chr(10), '}}', chr(10), '}}', chr(10), 'function last() {{}}') when 3 then concat('function f0_3() {{', chr(10), 'function f1_3() {{', chr(10), 'function f2_3() {{', chr(10), 'function f3_3() {{', chr(10), '}}', chr(10), '}}', chr(10), '}}', chr(10), '}}', chr(10), 'function last() {{}}') end as content from {part}""",
     "yaml_files": f"select concat('conf/', {_S}, '.yaml') as path, " + _lines(f"concat('key_', {_S}, ': 1')", "'  nested-x: 2'", "'# no: 3'", "'plain text'") + " as content from {supplier}",
     "json_files": f"select concat('conf/', {_S}, '.json') as path, " + _lines("'{{'", f"concat('  \"a', {_S}, '\": 1, \"b\": 2')", "'}}'") + " as content from {supplier}",
     "toml_files": f"select concat('conf/', {_S}, '.toml') as path, " + _lines(f"concat('[sec', {_S}, ']')", "'k = 1'", "'# c = 2'", "'[[arr]]'") + " as content from {supplier}",

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_type
-from ..operators import parse_code, tagging
+from ..operators import parse_code
 from ..sources.files import Folder
 from ..sources.repo import existing, metadata, read_files
 
@@ -64,12 +64,12 @@ def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
 
 def build(files: DataFrame, custom: list[tuple[str, str]] = (), indexed_at: str | None = None) -> dict[str, DataFrame]:
     """All tables of files (path, content)."""
-    symbols, imports = parse_code.parse(files, once=True)
+    symbols, imports, tags = parse_code.parse_tagged(files, custom)
     return {
         "files": metadata(files, indexed_at).join(files.select("path", "content"), "path"),
         "symbols": symbols.withColumn("source_type", source_type(F.col("path"))),
         "imports": imports,
-        "tags": tagging.tag_symbols(files, symbols, custom),
+        "tags": tags,
     }
 
 

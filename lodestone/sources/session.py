@@ -19,12 +19,11 @@ def importable(spark: SparkSession) -> None:
     spark.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once, below the folder that all machines share (spark.checkpoint.dir), and read from there.
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all machines share (spark.checkpoint.dir). What is written there goes when the driver ends.
 
-    Only where all runs in one process may the folder be unset. What is written goes when the driver ends.
+    Only where all runs in one process may the folder be unset.
     """
-    spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local["):
@@ -32,5 +31,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         base = tempfile.gettempdir()
     path = f"{base.rstrip('/')}/lodestone-{name}-{uuid.uuid4().hex}"
     atexit.register(Folder(spark, path).remove)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once, to a shared path, and read from there."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import source_type
-from .operators import parse_code, search, tagging, telemetry
+from .operators import parse_code, search, telemetry
 from .sources import config, repo
 from .sources.repo import read_files
 from .sources.session import stored
@@ -41,12 +41,12 @@ class Repos:
         """Indexes files (path, content) under a name; an error if it is taken."""
         if name in self.roots:
             return {"error": f"Repo '{name}' already exists"}
-        symbols, imports = parse_code.parse(files, once=True)
+        symbols, imports, tags = parse_code.parse_tagged(files)
         new = {
             "files": repo.metadata(files).join(files.select("path", "content"), "path"),
             "symbols": symbols.withColumn("source_type", source_type(F.col("path"))),
             "imports": imports,
-            "tags": tagging.tag_symbols(files, symbols),
+            "tags": tags,
         }
         for key, table in new.items():
             table = stored(table.withColumn("repo", F.lit(name)), key)  # tools read it again and again
