@@ -616,6 +616,15 @@ def telemetry_report(spark, d):
     return telemetry.report(view(spark, d, "calls"))
 
 
+@query(ORACLE_SQL["telemetry_report"])
+def telemetry_advance(spark, d):
+    """Totals that are kept by part of the log while calls come in three lots, out of order."""
+    calls, parts = view(spark, d, "calls"), None
+    for lot in (2, 0, 1):
+        parts = telemetry.advance(parts, calls.where(F.col("seq") % 3 == lot), 1000)
+    return telemetry.report_of(parts)
+
+
 @query("select p_partkey as call, cast(ceil(strlen(content) / 4) as bigint) as file_tokens from (select p_partkey, (select any_value(content) from v_code_files where path = concat('src/mod_', p_partkey % 50, '/part_', p_partkey, '.js')) as content from part)", "code_files")
 def file_baseline(spark, d):
     files = view(spark, d, "code_files")

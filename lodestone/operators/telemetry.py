@@ -25,10 +25,19 @@ def saved(file_tokens: Column, response_tokens: Column) -> Column:
     return F.greatest(F.lit(0), file_tokens - response_tokens)
 
 
+def dollars(tokens: int, price: float) -> float:
+    """``cost`` of a plain number."""
+    return (tokens * round(price * 10) + 500) // 1000 / 10_000
+
+
 def baseline(results: DataFrame, files: DataFrame) -> DataFrame:
-    """(call, file_tokens): what reading the distinct files of each call's results would take; unknown files count 0."""
-    tokens = files.select("path", F.ceil(F.col("size_bytes") / 4).cast("long").alias("t"))
-    return results.select("call", "path").distinct().join(tokens, "path", "left").groupBy("call").agg(F.sum(F.coalesce("t", F.lit(0))).alias("file_tokens"))
+    """(call, file_tokens): what reading the distinct files of each call's results would take; unknown files count 0.
+
+    results: call, path; files: path, size_bytes; both with repo, if there are several repositories.
+    """
+    keys = [c for c in ("repo", "path") if c in results.columns and c in files.columns]
+    tokens = files.select(*keys, F.ceil(F.col("size_bytes") / 4).cast("long").alias("t"))
+    return results.select("call", *keys).distinct().join(tokens, keys, "left").groupBy("call").agg(F.sum(F.coalesce("t", F.lit(0))).alias("file_tokens"))
 
 
 def savings(calls: DataFrame) -> DataFrame:
@@ -82,6 +91,34 @@ def meta(calls: DataFrame) -> DataFrame:
     )
 
 
+PARTS = "part bigint, queries bigint, tokens_saved bigint, " + ", ".join(f"units_{k} bigint" for k in PRICES)
+
+
+def added(calls: DataFrame, part_calls: int = PART_CALLS) -> DataFrame:
+    """The totals of new calls by part of the log (PARTS): what ``advance`` merges."""
+    rows = savings(calls)
+    amount = F.coalesce("tokens_saved", F.lit(0))
+    return rows.groupBy(F.floor(F.col("seq") / part_calls).cast("long").alias("part")).agg(
+        F.count(F.lit(1)).alias("queries"), F.sum(amount).cast("long").alias("tokens_saved"), *[F.sum(units(amount, p)).cast("long").alias(f"units_{k}") for k, p in PRICES.items()]
+    )
+
+
+def advance(parts: DataFrame | None, calls: DataFrame, part_calls: int = PART_CALLS) -> DataFrame:
+    """Totals by part (PARTS) with new calls added: the calls that are in them already are not read again."""
+    new = added(calls, part_calls)
+    if parts is None:
+        return new
+    both = parts.unionByName(new)
+    return both.groupBy("part").agg(*[F.sum(c).cast("long").alias(c) for c in both.columns if c != "part"])
+
+
+def report_of(parts: DataFrame) -> DataFrame:
+    """As ``report``, from totals by part."""
+    total = parts.agg(F.coalesce(F.sum("queries"), F.lit(0)).alias("q"), F.coalesce(F.sum("tokens_saved"), F.lit(0)).alias("t"), *[(F.coalesce(F.sum(f"units_{k}"), F.lit(0)) / 10_000).alias(f"total_cost_{k}") for k in PRICES])
+    average = F.when(F.col("q") > 0, F.floor(F.col("t") / F.col("q") + 0.5)).otherwise(0)
+    return total.select(F.col("q").alias("total_queries"), F.col("t").alias("total_tokens_saved"), average.cast("long").alias("average_tokens_saved"), *[f"total_cost_{k}" for k in PRICES])
+
+
 def inject_meta(text: str, told: dict) -> str:
     """A result's text with what is told of its query: in an object, beside a list, or after other text."""
     try:

@@ -242,6 +242,71 @@ def test_tools(spark, tmp_path):
     assert rows[0]["data"] == [{"path": "b.js"}] and "error" in rows[1] and len(rows) == 2
 
 
+def test_tools_over_equal_paths(spark):
+    """Two repositories that hold the same path: each answer is of its own, and tells the repository."""
+    r = tools.Repos(spark)
+    r.add("one", spark.createDataFrame([("src/i.js", "const a = require('./x');\nfunction load() { return pool.query('SELECT 1'); }\n")], "path string, content string"))
+    r.add("two", spark.createDataFrame([("src/i.js", "function other() {}\nfunction load() { return pool.query('SELECT 2'); }\n")], "path string, content string"))
+    s = tools.Session(r, tools.tools(r))
+    ask = lambda tool, /, **kw: json.loads(s.call(tool, **kw))["data"]
+    assert [(x["repo"], x["symbol_name"]) for x in ask("find_by_tag", tag="db_read")] == [("one", "load"), ("two", "load")]
+    assert [(x["repo"], x["text"][-5:], x["outline"]) for x in sorted(ask("context", path="src/i.js", name="load"), key=lambda x: x["repo"])] == [("one", "'); }", ["load"]), ("two", "'); }", ["other", "load"])]
+    assert {(x["repo"], x["text"].split()[-2]) for x in ask("read_symbol", path="src/i.js", name="load")} == {("one", "1');"), ("two", "2');")}
+    assert [x.get("text") for x in ask("read_symbols", specs=[["src/i.js", "other"], ["src/i.js", "none"]], repo="two")] == ["function other() {}", None]
+    assert ask("tree", depth=1) == [{"repo": "one", "path": "src/"}, {"repo": "two", "path": "src/"}]
+    assert len(ask("find_text", pattern="function", limit=2)) == 2
+
+
+def test_session_totals(spark, tmp_path):
+    """What a call saved is told with it; totals go on in the next session."""
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/a.js").write_text("function load() {\n" + "  // " + "x" * 4000 + "\n}\n")
+    path = str(tmp_path / "p/.lodestone/telemetry.json")
+    for turn in (1, 2):
+        r = tools.Repos(spark)
+        r.add_root(str(tmp_path / "p"))
+        s = tools.Session(r, tools.tools(r), path)
+        m = json.loads(s.call("outline", path="a.js"))["_meta"]
+        assert m["tokens_saved"] > 900 and m["total_tokens_saved"] == turn * m["tokens_saved"] and m["estimate_method"] == "byte_approx"
+        assert m["total_cost_avoided"]["large"] == round(turn * m["cost_avoided"]["large"], 4) > 0
+        assert set(json.loads(s.call("status"))["_meta"]) == {"timing_ms"}
+        assert json.loads(s.call("telemetry"))["total_queries"] == 3 * turn - 1
+    assert json.loads(s.call("find_symbol", query="load"))["_meta"]["tokens_saved"] > 900
+    assert json.loads(s.call("find_text", pattern="nowhere"))["_meta"]["tokens_saved"] == 0
+
+
+def test_more_tools(spark, tmp_path, monkeypatch):
+    """Tools of git, notes and hand-overs, of reindexing, and the cut of long results."""
+    root = tmp_path / "r"
+    root.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=A", "-c", "user.email=a@example.org", *a], check=True, capture_output=True)
+    run("init", "-b", "main")
+    (root / "a.js").write_text("function one() {}\n")
+    run("add", ".")
+    run("commit", "-m", "fix start")
+    r = tools.Repos(spark)
+    r.add_root(str(root))
+    s = tools.Session(r, tools.tools(r, vault=str(tmp_path / "v")))
+    ask = lambda tool, /, **kw: json.loads(s.call(tool, **kw))
+    assert ask("git_status")["data"][0]["branch"] == "main" and s.call("git_diff").startswith("(no changes)")
+    assert [x["message"] for x in ask("git_log", max_count=0)["data"]] == ["fix start"]
+    assert ask("git_hotspots", days=0)["data"][0]["bug_fix_count"] == 1 and ask("git_blame", path="a.js")["data"][0]["author"] == "A"
+    assert "error" in ask("git_blame", path="none.js")
+    (root / "a.js").write_text("function two() {}\n")
+    (root / "b.js").write_text("function b() {}\n")
+    assert ask("reindex", path="a.js")["reindexed"] == "a.js" and "error" in ask("reindex", path="../x")
+    assert [x["name"] for x in ask("outline", path="a.js")["data"]] == ["two"] and ask("outline", path="b.js")["data"] == []
+    assert "reindexed" in ask("reindex") and [x["name"] for x in ask("outline", path="b.js")["data"]] == ["b"]
+    assert ask("annotate", target="a.js:two", note="slow", tags=["lesson"])["author"] == "unknown"
+    assert ask("ingest_handover", markdown="## Lessons Learned\n- keep src/a.js small\n- never mind it\n", worker="w")["ingested"] == 2
+    assert [x["note"] for x in ask("recall", target="a.js:two")["data"]] == ["slow"] and len(ask("lessons", tag="handover")["data"]) == 2 and ask("patterns", directory="a")["data"] == []
+    assert {x["key"]: x["n"] for x in ask("learning_report")["data"]}["lesson"] == 3
+    assert ask("sync_notes")["synced"] == 3 and ask("sync_notes")["synced"] == 0
+    assert ask("worker_config", root="/r")["command"] == "python"
+    monkeypatch.setattr(tools.rows_of, "__defaults__", (1,))
+    assert len((m := ask("tree"))["data"]) == 1 and m["_meta"]["cut_at"] == 1
+
+
 def test_inject_meta():
     assert json.loads(telemetry.inject_meta('{"a": 1}', {"t": 2})) == {"a": 1, "_meta": {"t": 2}}
     assert json.loads(telemetry.inject_meta("[1]", {"t": 2})) == {"data": [1], "_meta": {"t": 2}}
