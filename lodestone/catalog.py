@@ -644,6 +644,12 @@ def change_diff(spark, d):
     return store.changes(view(spark, d, "disk"), view(spark, d, "stored"))
 
 
+@query(ORACLE_SQL["change_diff"])
+def change_diff_digests(spark, d):
+    """The same changes, by digests of ranges of paths; only what lies in differing ranges is joined."""
+    return store.changes_by_digest(view(spark, d, "disk"), view(spark, d, "stored"))
+
+
 @query("select path, hash from v_disk where not exists (select 1 from v_stored s where s.path = v_disk.path and s.hash = v_disk.hash)", "disk", "stored")
 def dedupe_by_hash(spark, d):
     return store.fresh(view(spark, d, "disk"), view(spark, d, "stored"))

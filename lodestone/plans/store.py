@@ -1,6 +1,6 @@
 """An index as snapshots: every change writes new parts and then moves one pointer, so readers see all of it or none.
 
-Tables are cut into BUCKETS by a hash of the path. A change rewrites the buckets of the paths that it touches; a version
+Tables are cut into buckets by a hash of the path, as many as their bytes ask for (BUCKET_BYTES). A change rewrites the buckets of the paths that it touches; a version
 is a list of where its buckets stand, so the others stay where they are.
 """
 
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from ..functions.text import source_type
 from ..operators import parse_code
 from ..sources.files import Folder
-from ..sources.repo import existing, metadata, read_files
+from ..sources.repo import existing, metadata, read_files, read_paths
 
-BUCKETS = 64
+#: Bytes of files in a bucket, about; times that at which a store is cut anew; buckets of small stores, and of older ones.
+BUCKET_BYTES, GROWN, LEAST_BUCKETS = 64 << 20, 4, 64
+#: Ranges of paths below a bucket that are compared by themselves.
+SLICES = 256
 TABLES = {
     "files": "path string, language string, source_type string, hash string, size_bytes bigint, line_count bigint, indexed_at timestamp, content string",
     "symbols": "path string, ordinal int, name string, kind string, signature string, start_line int, end_line int, exported int, async int, parent_class string, source_type string",
@@ -35,6 +38,34 @@ def changes(disk: DataFrame, stored: DataFrame) -> DataFrame:
     return d.join(s, "path", "full").select("path", kind.alias("change")).where("change is not null")
 
 
+def digests(files: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, slice, n, x, s) of files (path, hash): for each range of paths, numbers that are equal if its rows are."""
+    at = F.xxhash64("path")
+    rows = files.select(F.pmod(at, F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.shiftright(at, 32), F.lit(SLICES)).cast("int").alias("slice"), F.xxhash64("path", "hash").alias("h"))
+    return rows.groupBy("bucket", "slice").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(bucket, slice) that two tables of digests do not agree on: buckets first, then the ranges of those."""
+
+    def unequal(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
+        y = y.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("n", "x", "s")])
+        both = x.join(y, keys, "full")
+        return both.where(~(F.col("n").eqNullSafe(F.col("_n")) & F.col("x").eqNullSafe(F.col("_x")) & F.col("s").eqNullSafe(F.col("_s")))).select(*keys)
+
+    whole = lambda t: t.groupBy("bucket").agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+    some = unequal(whole(a), whole(b), ["bucket"])
+    return unequal(a.join(some, "bucket", "left_semi"), b.join(some, "bucket", "left_semi"), ["bucket", "slice"])
+
+
+def changes_by_digest(disk: DataFrame, stored: DataFrame, buckets: int = LEAST_BUCKETS, known: DataFrame | None = None) -> DataFrame:
+    """As ``changes``, joining only rows in ranges of paths whose digests differ; known: the digests of stored, if kept."""
+    some = differing(digests(disk, buckets), digests(stored, buckets) if known is None else known)
+    at = F.xxhash64("path")
+    cut = lambda t: t.select("path", "hash", F.pmod(at, F.lit(buckets)).cast("int").alias("bucket"), F.pmod(F.shiftright(at, 32), F.lit(SLICES)).cast("int").alias("slice")).join(some, ["bucket", "slice"], "left_semi")
+    return changes(cut(disk), cut(stored))
+
+
 def stale(disk: DataFrame, stored: DataFrame, step: int = 1, slack: float = 2.0) -> DataFrame:
     """(stale, sampled) of a sample of one path in ``step`` by its hash: changed more than slack seconds after its indexing."""
     both = disk.join(stored, "path").where(F.pmod(F.xxhash64("path"), F.lit(step)) == 0)
@@ -82,10 +113,18 @@ class Snapshots:
     def current(self) -> str | None:
         return (self.folder.read("CURRENT").strip() or None) if self.folder.exists("CURRENT") else None
 
+    def _plan(self, version: str | None = None) -> dict:
+        version = version or self.current()
+        return {} if version is None else json.loads(self.folder.read(f"{version}.json"))
+
     def buckets(self, version: str | None = None) -> dict[str, dict[str, str]]:
         """Of each table, where its buckets stand."""
-        version = version or self.current()
-        return {name: {} for name in TABLES} if version is None else json.loads(self.folder.read(f"{version}.json"))
+        plan = self._plan(version)
+        return {name: plan.get(name, {}) for name in TABLES}
+
+    def count(self, version: str | None = None) -> int:
+        """Into how many buckets the tables are cut."""
+        return self._plan(version).get("buckets", LEAST_BUCKETS)
 
     def table(self, name: str, only: list[int] | None = None) -> DataFrame:
         """A table, or some of its buckets. Columns that it was written without get their defaults."""
@@ -95,20 +134,39 @@ class Snapshots:
         old = {"source_type": source_type(F.col("path"))}
         return migrated(self.spark.read.option("mergeSchema", "true").parquet(*places), TABLES[name], old)
 
+    def digests(self) -> DataFrame:
+        """The digests of the stored files, as they were written with them; computed for stores that have none."""
+        where = self._plan().get("digests")
+        return self.spark.read.parquet(f"{self.root}/{where}") if where else digests(self.table("files"), self.count())
+
     def write(self, tables: dict[str, DataFrame], only: list[int] | None = None) -> str:
         """Writes tables, or some of their buckets, as a new version, then points to it. What no version names goes."""
         before, version = self.current(), f"v{time.time_ns()}"
-        now = self.buckets(before)
+        count = self.count(before)
+        if only is None:
+            total = tables["files"].agg(F.sum("size_bytes").alias("n")).first()["n"] or 0
+            count = max(LEAST_BUCKETS, total // BUCKET_BYTES + 1)
+        now: dict = self.buckets(before) if before else {name: {} for name in TABLES}
         for name, schema in TABLES.items():
             cols = [c.split()[0] for c in schema.split(", ")]
-            rows = tables[name].select(*cols).withColumn("bucket", bucket())
-            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
+            rows = tables[name].select(*cols).withColumn("bucket", bucket(count))
+            n = len(only) if only else count
+            rows = rows.repartition(n, "bucket") if n > LEAST_BUCKETS else rows.repartition("bucket")
+            rows.write.partitionBy("bucket").parquet(f"{self.root}/{version}/{name}")
             kept = {} if only is None else {b: where for b, where in now[name].items() if int(b) not in only}
             new = [x for x in self.folder.names(f"{version}/{name}") if x.startswith("bucket=")]
             now[name] = kept | {x.split("=")[1]: f"{version}/{name}/{x}" for x in new}
+        files = [f"{self.root}/{where}" for where in now["files"].values() if where.startswith(f"{version}/")]
+        fresh_digests = digests(self.spark.read.parquet(*files), count) if files else None
+        if only is not None and before:
+            old = self.digests().where(~F.col("bucket").isin(list(only)))
+            fresh_digests = old if fresh_digests is None else old.unionByName(fresh_digests)
+        if fresh_digests is not None:
+            fresh_digests.write.parquet(f"{self.root}/{version}/digests")
+        now |= {"buckets": count, "digests": f"{version}/digests" if fresh_digests is not None else None}
         self.folder.write(f"{version}.json", json.dumps(now))
         self.folder.write("CURRENT", version)
-        named = {w for v in (before, version) if v for t in self.buckets(v).values() for w in t.values()}
+        named = {w for v in (before, version) if v for t in self.buckets(v).values() for w in t.values()} | {w for v in (before, version) if v and (w := self._plan(v).get("digests"))}
         for old in self.folder.names():
             if old.startswith("v") and old.endswith(".json") and old[:-5] not in (before, version):
                 self.folder.remove(old)
@@ -139,10 +197,13 @@ class Snapshots:
         new_files = files if force else fresh(files, self.table("files"))
         gone = new_files.select("path") if deleted is None else new_files.select("path").unionByName(deleted.select("path"))
         gone = gone.distinct()
-        touched = [r["b"] for r in gone.select(bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+        touched = [r["b"] for r in gone.select(bucket(self.count()).alias("b")).distinct().collect()]  # a number for each bucket at most
         if not touched:
             return None
         new = build(new_files, custom)
+        size = self.table("files").agg(F.sum("size_bytes").alias("n")).first()["n"] or 0
+        if self.current() is None or size > GROWN * BUCKET_BYTES * self.count():  # cut anew
+            return self.write({name: replaced(self.table(name), new[name].select(*[c.split()[0] for c in s.split(", ")]), gone) for name, s in TABLES.items()})
         return self.write({name: replaced(self.table(name, touched), new[name].select(*[c.split()[0] for c in s.split(", ")]), gone) for name, s in TABLES.items()}, touched)
 
     def reindex(self, root: str, path: str | None = None) -> bool:
@@ -156,8 +217,7 @@ class Snapshots:
                 return False
             self.upsert(read_files(self.spark, root, [rel]))
             return True
-        paths = [r["path"] for r in self.table("files").select("path").toLocalIterator()]
-        self.upsert(read_files(self.spark, root, paths), force=True)
+        self.upsert(read_paths(self.table("files").select("path"), root), force=True)
         return True
 
     def rebuild(self, files: DataFrame, custom: list[tuple[str, str]] = ()) -> str:
@@ -167,9 +227,9 @@ class Snapshots:
     def reconcile(self, disk: DataFrame) -> str | None:
         """Makes the store equal to disk (path, content): adds, changes and deletes."""
         now = disk.select("path", F.md5("content").alias("hash"))
-        diff = changes(now, self.table("files"))
+        diff = changes_by_digest(now, self.table("files"), self.count(), self.digests())
         return self.upsert(disk.join(diff.where("change <> 'unlink'"), "path", "left_semi"), diff.where("change = 'unlink'"))
 
 
-def bucket() -> Column:
-    return F.pmod(F.xxhash64("path"), F.lit(BUCKETS)).cast("int")
+def bucket(count: int) -> Column:
+    return F.pmod(F.xxhash64("path"), F.lit(count)).cast("int")

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.notes import vault_pages
+from .vault import sync_vault  # noqa: F401  notes go to a vault from here
 
 LINE = "target string, note string, author string, tags array<string>, timestamp string"
 
@@ -52,23 +52,3 @@ def write_entry(vault: str, entry: dict, folder: str = "notes") -> str:
     with open(path, "w", encoding="utf-8") as f:
         f.write(f"---\ntarget: {entry['target']}\nauthor: {entry.get('author') or 'unknown'}\ntags: [{', '.join(entry.get('tags') or [])}]\ndate: {entry['timestamp']}\n---\n\n{entry['note']}\n")
     return path
-
-
-def sync_vault(notes: DataFrame, vault: str, folder: str = "notes") -> int:
-    """Appends the notes after the vault's cursor to one page for each target; returns how many. The cursor is a file."""
-    top = os.path.join(vault, folder)
-    os.makedirs(top, exist_ok=True)
-    mark = os.path.join(top, ".cursor")
-    since = int(open(mark).read() or 0) if os.path.exists(mark) else 0
-    fresh = notes.where(F.col("seq") > since)
-    n, last = fresh.agg(F.count(F.lit(1)), F.max("seq")).first()
-    for row in vault_pages(notes, since).toLocalIterator():
-        page = os.path.join(top, safe_relative(row["target"]) + ".md")
-        os.makedirs(os.path.dirname(page), exist_ok=True)
-        old = os.path.exists(page)
-        with open(page, "a", encoding="utf-8") as f:
-            f.write(row["page"].split("\n\n", 1)[1] if old else row["page"])
-    if n:
-        with open(mark, "w") as f:
-            f.write(str(last))
-    return n

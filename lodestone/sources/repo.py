@@ -77,8 +77,12 @@ def list_files(root: str, extensions: list[str] | None = None, ignore: list[str]
 
 
 def read_files(spark: SparkSession, root: str, paths: list[str] | None = None, partitions: int | None = None) -> DataFrame:
-    """(path, content) of a tree that all executors can reach; invalid bytes become U+FFFD, unreadable files are left out."""
-    paths = [p for p, _, _ in list_files(root)] if paths is None else paths
+    """(path, content) of a tree that all executors can reach, or of some of its paths; invalid bytes become U+FFFD,
+    unreadable files are left out. A whole tree is listed by the tasks that read it (``tree``)."""
+    if paths is None:
+        from .tree import read_tree
+
+        return read_tree(spark, root).select("path", "content")
     frame = spark.createDataFrame([(p,) for p in paths], "path string")
     return read_paths(frame.repartition(partitions or max(1, min(len(paths) // 200 + 1, 10_000))), root)
 

@@ -6,12 +6,13 @@ import subprocess
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
 from lodestone import tools
 from lodestone.functions import scan, text
 from lodestone.operators import history, notes, search, tagging, telemetry
 from lodestone.plans import languages, store
-from lodestone.sources import config, git, repo
+from lodestone.sources import config, git, repo, tree, vault
 from lodestone.sources import notes as note_files
 from lodestone.streaming import watch
 
@@ -358,6 +359,86 @@ def test_stale(spark):
     assert store.stale(disk, stored).first().asDict() == {"stale": 1, "sampled": 2}
 
 
+def test_tree_source(spark, tmp_path):
+    """The tasks' listing gives the rows of the plain one; links and what is ignored stay out, filters reach the listing."""
+    root = tmp_path / "root"
+    for p, t in {"a.js": "1", "x/b.ts": "2", "x/y/c.md": "3\r\n", "x/y/z/w/d.json": "{}", "node_modules/e.js": "5", "x/dist/f.js": "6", "x/g.txt": "7", "x/y/h.js": "\xff"}.items():
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_bytes(t.encode("latin-1"))
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out/o.js").write_text("out")
+    os.symlink(tmp_path / "out", root / "x/linked")
+    os.symlink(tmp_path / "out/o.js", root / "x/l.js")
+    want = {(r["path"], r["content"]) for r in repo.read_files(spark, str(root), [p for p, _, _ in repo.list_files(str(root))]).collect()}
+    for depth in (0, 1, 2, 9):
+        got = tree.read_tree(spark, str(root), depth=depth)
+        assert {(r["path"], r["content"]) for r in got.collect()} == want and len(want) == 5
+    assert {r["path"] for r in tree.read_tree(spark, str(root), content=False).where("extension in ('.js', '.md') and path like 'x/%'").collect()} == {"x/y/c.md", "x/y/h.js"}
+    assert [r["path"] for r in got.where("path = 'x/b.ts'").collect()] == ["x/b.ts"] and got.where("path = '../out/o.js'").count() == 0
+    reader = tree.TreeReader({"root": str(root)})
+    left = list(reader.pushFilters([StringStartsWith(("path",), "x/y/"), EqualTo(("size",), 1), In(("extension",), (".md",))]))
+    assert left == [EqualTo(("size",), 1)] and [p.folder for p in reader.partitions()] == ["", "x", "x/y"] and reader.wanted == {".md"}
+    assert {r["path"] for r in tree.read_tree(spark, str(root), ignore=["y"]).collect()} == {"a.js", "x/b.ts"} and tree.read_tree(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_digests(spark):
+    disk = spark.createDataFrame([(f"p{i}", str(i % 7)) for i in range(500)], "path string, hash string")
+    old = disk.where("path not in ('p3', 'p4')").withColumn("hash", F.when(F.col("path") == "p9", "other").otherwise(F.col("hash"))).unionByName(spark.createDataFrame([("gone", "1")], "path string, hash string"))
+    got = {(r["path"], r["change"]) for r in store.changes_by_digest(disk, old, 8).collect()}
+    assert got == {("p3", "add"), ("p4", "add"), ("p9", "change"), ("gone", "unlink")}
+    assert store.differing(store.digests(disk, 8), store.digests(old, 8)).count() <= 4 and store.differing(store.digests(disk, 8), store.digests(disk, 8)).count() == 0
+    assert store.changes_by_digest(disk.limit(0), old.limit(0)).count() == 0 and store.changes_by_digest(disk, old.limit(0)).count() == 500
+
+
+def test_store_by_size(spark, tmp_path, monkeypatch):
+    """Buckets from bytes, more of them when the store has grown, and digests that are kept with it."""
+    monkeypatch.setattr(store, "BUCKET_BYTES", 200)
+    monkeypatch.setattr(store, "LEAST_BUCKETS", 1)
+    s = store.Snapshots(spark, str(tmp_path / "s"))
+    files = lambda n, text="function f() {}\n": spark.createDataFrame([(f"f{i}.js", text * 4) for i in range(n)], "path string, content string")
+    s.upsert(files(3))
+    assert s.count() == 1 and s.digests().agg(F.sum("n")).first()[0] == 3
+    s.upsert(files(40))
+    s.upsert(files(45))
+    assert s.count() > 5 and s.table("files").count() == 45 == s.table("symbols").select("path").distinct().count()
+    assert s.digests().agg(F.sum("n")).first()[0] == 45
+    now = files(45).where("path <> 'f7.js'").withColumn("content", F.when(F.col("path") == "f8.js", "new").otherwise(F.col("content")))
+    assert s.reconcile(now) and s.reconcile(now) is None and s.table("files").count() == 44
+    assert store.differing(s.digests(), store.digests(s.table("files"), s.count())).count() == 0
+
+
+def test_vault_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    """A commit that breaks off is finished by the next write; tasks that are not committed leave nothing."""
+    rows = [(i, f"src/f{i % 3}.js", f"note {i}", "a", ["x"], "t") for i in range(1, 10)]
+    n = spark.createDataFrame(rows, notes.SCHEMA)
+    top = tmp_path / "v/notes"
+    assert note_files.sync_vault(n.where("seq <= 4"), str(tmp_path / "v")) == 4
+    w = vault.VaultWriter(str(top), "w1")
+    page = {"target": "src/f1.js", "file": "src/f1.js.md", "page": "## src/f1.js\n\nhalf", "last": 9}
+    w.abort([w.write(iter([page]))])
+    assert "half" not in (top / "src/f1.js.md").read_text() and not os.path.exists(w.aside)
+    done, real = [], os.replace
+
+    def breaks(a, b):
+        if b.endswith(".md") and done:
+            raise OSError("lost")
+        done.extend([b] * b.endswith(".md"))
+        real(a, b)
+
+    monkeypatch.setattr(vault.os, "replace", breaks)
+    w = vault.VaultWriter(str(top), "w2")
+    told = w.write(iter([page | {"page": "## src/f1.js\n\nmore 1\n"}, page | {"file": "src/f2.js.md", "page": "## src/f2.js\n\nmore 2\n"}]))
+    with pytest.raises(OSError):
+        w.commit([told, None])
+    monkeypatch.setattr(vault.os, "replace", real)
+    assert vault.cursor(str(top)) == 4
+    assert note_files.sync_vault(n, str(tmp_path / "v")) == 0 and vault.cursor(str(top)) == 9  # the broken write counts, once
+    text = "".join((top / f"src/f{k}.js.md").read_text() for k in (1, 2))
+    assert text.count("more 1") == text.count("more 2") == 1 and not os.path.exists(top / vault.JOURNAL)
+    both = spark.createDataFrame([(10, "a b", "one", "a", [], "t"), (11, "a_b", "two", "a", [], "t")], notes.SCHEMA)
+    assert note_files.sync_vault(both, str(tmp_path / "v")) == 2 and "one" in (page := (top / "a_b.md").read_text()) and "two" in page
+
+
 # --- git, notes, telemetry ---
 
 
