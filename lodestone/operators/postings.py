@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..sources.files import Folder
 
@@ -40,25 +40,41 @@ def numbered(rows: DataFrame, shards: int, *order: str) -> DataFrame:
     return rows.withColumn("number", F.row_number().over(Window.partitionBy("shard").orderBy(*order)))
 
 
+def lists(rows: DataFrame, held: Column) -> DataFrame:
+    """(shard, gram, numbers): the postings of rows (with shard and number), whose grams are the array ``held``."""
+    each = rows.select("shard", "number", F.explode(held).alias("gram"))
+    return each.groupBy("shard", "gram").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
+
+
+def save(table: DataFrame, path: str, *order: str) -> None:
+    """Writes a folder for each shard, sorted, in row groups that a search can skip."""
+    table = table.withColumn("part", F.col("shard"))
+    table.repartition("part").sortWithinPartitions("part", *order).write.option("parquet.block.size", ROW_GROUP).partitionBy("part").parquet(path)
+
+
 def write(rows: DataFrame, held: Column, path: str) -> None:
     """Writes rows (with shard and number) and the postings of their grams (an array) below path."""
-    rows.repartition("shard").sortWithinPartitions("shard", "number").write.option("parquet.block.size", ROW_GROUP).partitionBy("shard").parquet(f"{path}/rows")
     spark = rows.sparkSession
     Folder(spark, path).write("schema.json", rows.schema.json())  # an empty table writes no file that tells it
-    kept = spark.read.schema(rows.schema).parquet(f"{path}/rows")
-    each = kept.select("shard", "number", F.explode(held).alias("gram"))
-    lists = each.groupBy("shard", "gram").agg(F.sort_array(F.collect_list("number")).alias("numbers"))
-    lists.repartition("shard").sortWithinPartitions("shard", "gram").write.option("parquet.block.size", ROW_GROUP).partitionBy("shard").parquet(f"{path}/postings")
+    save(rows, f"{path}/rows", "number")
+    save(lists(spark.read.schema(rows.schema).parquet(f"{path}/rows"), held), f"{path}/postings", "gram")
+
+
+LISTS = "shard int, gram string, numbers array<int>"
 
 
 class Postings:
-    """What ``write`` has written below path."""
+    """Rows (with shard and number) and the postings of their grams."""
+
+    def __init__(self, rows: DataFrame, lists: DataFrame):
+        self.rows, self.lists = rows, lists
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark = spark
+    @classmethod
+    def at(cls, spark: SparkSession, path: str) -> Postings:
+        """What ``write`` has written below path."""
         schema = StructType.fromJson(json.loads(Folder(spark, path).read("schema.json")))
-        self.rows = spark.read.schema(schema).parquet(f"{path}/rows")
-        self.lists = spark.read.schema("gram string, numbers array<int>, shard int").parquet(f"{path}/postings")
+        read = lambda kind, name: spark.read.schema(StructType([*kind.fields, StructField("part", IntegerType())])).parquet(f"{path}/{name}")
+        return cls(read(schema, "rows"), read(StructType.fromDDL(LISTS), "postings"))
 
     def holding(self, wanted: list[str]) -> DataFrame:
         """(shard, number) of the rows that hold all of these grams."""
@@ -77,4 +93,5 @@ class Postings:
         for r in few:
             by_shard.setdefault(r["shard"], []).append(r["number"])
         each = [(F.col("shard") == s) & F.col("number").isin(n) for s, n in by_shard.items()]
-        return self.rows.where(F.col("shard").isin(list(by_shard)) & F.col("number").isin(sorted({r["number"] for r in few}))).where(reduce(lambda a, b: a | b, each))
+        some = self.rows.where(F.col("part").isin(list(by_shard))) if "part" in self.rows.columns else self.rows  # folders that are not opened
+        return some.where(F.col("shard").isin(list(by_shard)) & F.col("number").isin(sorted({r["number"] for r in few}))).where(reduce(lambda a, b: a | b, each))

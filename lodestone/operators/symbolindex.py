@@ -30,7 +30,7 @@ class SymbolIndex:
     """An index below a path; ``build`` writes one."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.index = spark, postings.Postings(spark, path)
+        self.index = postings.Postings.at(spark, path)
 
     @classmethod
     def build(cls, symbols: DataFrame, path: str | None = None, shard_rows: int = SHARD_ROWS) -> SymbolIndex:
@@ -70,7 +70,7 @@ class SymbolIndex:
         ``limit`` symbols score more than those of the next class can."""
         bounds = self.bounds(query) if query and isinstance(query, str) else None
         if bounds is None:
-            return find_symbols(self.index.rows.drop("shard", "number"), query, limit, **filters)
+            return find_symbols(self.index.rows.drop("shard", "number", "part"), query, limit, **filters)
         if not limit:
             return find_symbols(self._open(bounds), query, **filters)
         self.opened, classes = 0, bounds.groupBy("bound").count().orderBy(F.desc("bound")).collect()  # a row for each possible sum
@@ -86,4 +86,4 @@ class SymbolIndex:
         return symbol_scores(rows, query, **filters).orderBy(*rank_order()).limit(limit)
 
     def _open(self, which: DataFrame) -> DataFrame:
-        return self.index.opened(which).drop("shard", "number")
+        return self.index.opened(which).drop("shard", "number", "part")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_pattern, lines, literal_filter, trim
@@ -27,11 +27,16 @@ def blocks(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
     return cut.select(*keys, F.explode(each).alias("b")).select(*keys, "b.first_line", "b.text")
 
 
+def block_grams() -> Column:
+    """The grams of a block's text."""
+    return postings.grams(F.lower("text"), GRAM)
+
+
 class TextIndex:
-    """An index below a path; ``build`` writes one."""
+    """Text search over blocks of lines and their postings; ``build`` writes them, a store can keep them with its versions."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.index = postings.Postings(spark, path)
+    def __init__(self, index: postings.Postings):
+        self.index = index
 
     @classmethod
     def build(cls, files: DataFrame, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> TextIndex:
@@ -41,8 +46,8 @@ class TextIndex:
         total = files.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
         keys = _keys(files)
         rows = postings.numbered(blocks(files), total // shard_bytes + 1, *reversed(keys), "first_line")
-        postings.write(rows, postings.grams(F.lower("text"), GRAM), path)
-        return cls(spark, path)
+        postings.write(rows, block_grams(), path)
+        return cls(postings.Postings.at(spark, path))
 
     def _wanted(self, pattern: str, case_sensitive: bool) -> list[str]:
         """Grams that every line with the pattern holds in lower case.

@@ -15,12 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_type
-from ..operators import parse_code
+from ..operators import parse_code, postings, textindex
 from ..sources.files import Folder
 from ..sources.repo import existing, metadata, read_files, read_paths
 
 #: Bytes of files in a bucket, about; times that at which a store is cut anew; buckets of small stores, and of older ones.
 BUCKET_BYTES, GROWN, LEAST_BUCKETS = 64 << 20, 4, 64
+#: The index's tables.
+BLOCKS = "path string, first_line int, text string, shard int, number int"
+INDEX = {"blocks": BLOCKS, "grams": postings.LISTS}
 #: Ranges of paths below a bucket that are compared by themselves.
 SLICES = 256
 TABLES = {
@@ -107,8 +110,9 @@ def build(files: DataFrame, custom: list[tuple[str, str]] = (), indexed_at: str
 class Snapshots:
     """Versions below root; CURRENT names the one to read, a list of its tables' buckets."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root, self.folder = spark, root, Folder(spark, root)
+    def __init__(self, spark: SparkSession, root: str, indexed: bool = False):
+        """indexed: blocks of lines and their gram postings are written with each version, of the buckets that change."""
+        self.spark, self.root, self.folder, self.indexed = spark, root, Folder(spark, root), indexed
 
     def current(self) -> str | None:
         return (self.folder.read("CURRENT").strip() or None) if self.folder.exists("CURRENT") else None
@@ -163,10 +167,13 @@ class Snapshots:
             fresh_digests = old if fresh_digests is None else old.unionByName(fresh_digests)
         if fresh_digests is not None:
             fresh_digests.write.parquet(f"{self.root}/{version}/digests")
+        if self.indexed:
+            old = self._plan(before) if before and only is not None else {}
+            now |= self._write_index(version, files, count, {k: {b: w for b, w in old.get(k, {}).items() if int(b) not in (only or [])} for k in INDEX})
         now |= {"buckets": count, "digests": f"{version}/digests" if fresh_digests is not None else None}
         self.folder.write(f"{version}.json", json.dumps(now))
         self.folder.write("CURRENT", version)
-        named = {w for v in (before, version) if v for t in self.buckets(v).values() for w in t.values()} | {w for v in (before, version) if v and (w := self._plan(v).get("digests"))}
+        named = {w for v in (before, version) if v for t in self._plan(v).values() if isinstance(t, dict) for w in t.values()} | {w for v in (before, version) if v and (w := self._plan(v).get("digests"))}
         for old in self.folder.names():
             if old.startswith("v") and old.endswith(".json") and old[:-5] not in (before, version):
                 self.folder.remove(old)
@@ -174,6 +181,23 @@ class Snapshots:
                 self.folder.remove(old)
         return version
 
+    def _write_index(self, version: str, files: list[str], count: int, kept: dict[str, dict[str, str]]) -> dict:
+        """Where the index of each bucket stands: that of the files just written, and what is kept."""
+        if files:
+            rows = postings.numbered(textindex.blocks(self.spark.read.parquet(*files).select("path", "content")), count, "path", "first_line")
+            postings.save(rows, f"{self.root}/{version}/blocks", "number")
+            written = self.spark.read.schema(BLOCKS).parquet(f"{self.root}/{version}/blocks")
+            postings.save(postings.lists(written, textindex.block_grams()), f"{self.root}/{version}/grams", "gram")
+        return {k: kept[k] | {x.split("=")[1]: f"{version}/{k}/{x}" for x in self.folder.names(f"{version}/{k}") if x.startswith("part=")} for k in INDEX}
+
+    def text_index(self) -> textindex.TextIndex:
+        """Search over the current version's lines, as it was indexed with; ValueError if it was not."""
+        plan = self._plan()
+        if not all(k in plan for k in INDEX):
+            raise ValueError("the store was written without an index")
+        tables = [self.spark.read.schema(kind).parquet(*[f"{self.root}/{w}" for w in plan[k].values()]) if plan[k] else self.spark.createDataFrame([], kind) for k, kind in INDEX.items()]
+        return textindex.TextIndex(postings.Postings(*tables))
+
     def healthy(self) -> bool:
         """Whether all of the current version can be read; one that cannot is set aside and the store is empty again.
 

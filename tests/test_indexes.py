@@ -12,6 +12,7 @@ from lodestone.functions import intervals, rules
 from lodestone.operators import nesting, parse_code, search, tagging
 from lodestone.operators.symbolindex import SymbolIndex
 from lodestone.operators.textindex import TextIndex
+from lodestone.plans import store
 
 
 def spans(rng, n, lines):
@@ -143,3 +144,19 @@ def test_symbol_index(spark):
             assert [tuple(r) for r in got] == [tuple(r) for r in want], (query, limit, more)
     index.find_symbols("get_user", 1)
     assert 0 < index.opened < 400
+
+
+def test_index_goes_with_the_store(spark, tmp_path):
+    """Each version has the index of its own lines; only buckets that change are indexed again."""
+    s = store.Snapshots(spark, str(tmp_path / "s"), indexed=True)
+    frame = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    same = lambda p: rows_of(s.text_index().find_text(p)) == rows_of(search.find_text(s.table("files"), p))
+    s.upsert(frame([(f"d/f{i}.md", f"# Title {i}\nalpha beta\n" * (i % 5)) for i in range(20)]))
+    assert same("title 1") and same("beta") and same("zz") and s.text_index().find_text("title").count() == 40
+    before = s._plan()["grams"]
+    s.upsert(frame([("d/f3.md", "gamma ray\n")]), frame([("d/f4.md", "")]).select("path"))
+    assert same("title") and same("gamma") and s.text_index().find_text("gamma").count() == 1
+    after = s._plan()["grams"]
+    assert 0 < len(set(after.values()) - set(before.values())) <= 2 < len(set(after.values()) & set(before.values()))
+    with pytest.raises(ValueError):
+        store.Snapshots(spark, str(tmp_path / "t")).text_index()

@@ -8,13 +8,15 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In, StringStartsWith
 
+from util import rows_of
+
 from lodestone import tools
 from lodestone.functions import scan, text
 from lodestone.operators import history, notes, search, tagging, telemetry
 from lodestone.plans import languages, store
 from lodestone.sources import config, git, repo, tree, vault
 from lodestone.sources import notes as note_files
-from lodestone.streaming import watch
+from lodestone.streaming import events, watch
 
 
 # --- paths and files ---
@@ -353,6 +355,49 @@ def test_watch_end_to_end(spark, tmp_path):
     assert [x["name"] for x in s.table("symbols").collect()] == ["a"]
 
 
+def test_event_log_in_any_order(spark, tmp_path):
+    """A log in order, and the same log shuffled and replayed, give the same store; bursts are told once, tombstones hold."""
+    root = tmp_path / "tree"
+    root.mkdir()
+    for name in ("a", "b", "d"):
+        (root / f"{name}.js").write_text(f"function {name}() {{}}\n")
+    at = lambda ms: dt.datetime.fromtimestamp(1_700_000_000 + ms / 1000, dt.UTC).isoformat()
+    log = [("a.js", "add", 0, 1), ("b.js", "add", 10, 2), ("c.js", "add", 20, 3), ("a.js", "change", 100, 4), ("c.js", "unlink", 150, 5), ("d.js", "add", 4000, 6), ("a.js", "change", 200, 7), ("b.js", "unlink", 250, 8), ("b.js", "add", 250, 9)]
+    late = ("c.js", "add", 30, 3)  # of a path that is gone, and older
+    tick = lambda ms: {"path": "", "change": "tick", "at": at(ms), "seq": 0}
+    row = lambda e: {"path": e[0], "change": e[1], "at": at(e[2]), "seq": e[3]}
+    orders = {"straight": [[*map(row, log)], [row(late), tick(20_000)], [tick(60_000)]], "mixed": [[row(e) for e in log[::-2] + log[::2][::-1]], [row(e) for e in (late, *log[3:], *log)] + [tick(20_000)], [tick(60_000)]]}
+    stores, told = {}, {}
+    for name, files in orders.items():
+        (tmp_path / name).mkdir()
+        s = stores[name] = store.Snapshots(spark, str(tmp_path / f"store-{name}"))
+        seen = []
+        for k, rows in enumerate(files):
+            (tmp_path / name / f"{k}.json").write_text("".join(json.dumps(r) + "\n" for r in rows))
+            q = events.follow(spark, str(tmp_path / name), str(root), s, str(tmp_path / f"check-{name}"))
+            q.awaitTermination(120)
+            seen.append(s.current())
+        told[name] = seen
+    for s in stores.values():
+        assert {x["name"] for x in s.table("symbols").collect()} == {"a", "b", "d"}
+    assert rows_of(stores["straight"].table("symbols")) == rows_of(stores["mixed"].table("symbols"))
+
+
+def test_last_event(spark, tmp_path):
+    """What is told: the last of a burst, once; older events of a deleted path are nothing; its next life is."""
+    events.prepare(spark)
+    at = lambda s: (dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)).isoformat()
+    lots = [[("p", "add", 0, 1), ("p", "change", 1, 2), ("q", "add", 0, 3)], [("p", "unlink", 1, 9), ("", "tick", 30, 0)], [("p", "add", 0, 4), ("", "tick", 31, 0)], [("p", "add", 40, 10), ("", "tick", 90, 0)], [("", "tick", 200, 0)]]
+    (tmp_path / "log").mkdir()
+    out = []
+    for k, lot in enumerate(lots):
+        (tmp_path / f"log/{k}.json").write_text("".join(json.dumps({"path": p, "change": c, "at": at(t), "seq": n}) + "\n" for p, c, t, n in lot))
+        frame = events.settled(spark.readStream.schema(events.EVENTS).json(str(tmp_path / "log")), "5 seconds", debounce=2000)
+        q = frame.writeStream.option("checkpointLocation", str(tmp_path / "c")).outputMode("append").foreachBatch(lambda b, _: out.extend(tuple(r)[:2] for r in b.collect())).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert sorted(out) == [("p", "add"), ("p", "unlink"), ("q", "add")]
+
+
 def test_stale(spark):
     disk = spark.createDataFrame([("a", 100.0), ("b", 103.0)], "path string, mtime double")
     stored = spark.createDataFrame([("a", dt.datetime(1970, 1, 1, 0, 1, 40)), ("b", dt.datetime(1970, 1, 1, 0, 1, 40))], "path string, indexed_at timestamp")
