@@ -15,26 +15,26 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Source types and languages by extension (fixed values).
 SOURCE_TYPES = {
-    "code": "ts tsx js jsx cjs mjs py sh bash",
-    "config": "json yaml yml toml",
-    "query": "sql graphql gql",
-    "docs": "md",
-    "markup": "html xml vue svelte",
-    "style": "css scss less",
+    "code": ["ts", "tsx", "js", "jsx", "cjs", "mjs", "py", "sh", "bash"],
+    "config": ["json", "yaml", "yml", "toml"],
+    "query": ["sql", "graphql", "gql"],
+    "docs": ["md"],
+    "markup": ["html", "xml", "vue", "svelte"],
+    "style": ["css", "scss", "less"],
 }
 LANGUAGES = {
-    "javascript": "js jsx cjs mjs",
-    "typescript": "ts",
-    "tsx": "tsx",
-    "python": "py",
-    "go": "go",
-    "rust": "rs",
-    "java": "java",
-    "csharp": "cs",
-    "bash": "sh bash",
-    "sql": "sql",
-    "css": "css scss less",
-    "text": "json yaml yml graphql gql md toml xml html vue svelte",
+    "javascript": ["js", "jsx", "cjs", "mjs"],
+    "typescript": ["ts"],
+    "tsx": ["tsx"],
+    "python": ["py"],
+    "go": ["go"],
+    "rust": ["rs"],
+    "java": ["java"],
+    "csharp": ["cs"],
+    "bash": ["sh", "bash"],
+    "sql": ["sql"],
+    "css": ["css", "scss", "less"],
+    "text": ["json", "yaml", "yml", "graphql", "gql", "md", "toml", "xml", "html", "vue", "svelte"],
 }
 MAX_IDENTIFIER = 256
 
@@ -93,10 +93,10 @@ def extension(path: Column) -> Column:
     return F.element_at(F.split(path, r"\."), -1)
 
 
-def _by_extension(ext: Column, table: dict[str, str], other: str) -> Column:
+def _by_extension(ext: Column, table: dict[str, list[str]], other: str) -> Column:
     out = F.lit(other)
     for value, names in table.items():
-        out = F.when(ext.isin(names.split()), F.lit(value)).otherwise(out)
+        out = F.when(ext.isin(*names), F.lit(value)).otherwise(out)
     return out
 
 
@@ -112,11 +112,6 @@ def language(path: Column) -> Column:
     return _by_extension(extension(path), LANGUAGES, "unknown")
 
 
-def token_estimate(c: Column) -> Column:
-    """ceil(UTF-8 bytes / 4); a null text has none."""
-    return F.coalesce(F.ceil(F.octet_length(c) / 4), F.lit(0)).cast("long")
-
-
 def safe_path(c: Column) -> Column:
     """A relative path without traversal or odd characters; ``global`` if nothing is left."""
     parts = F.transform(F.split(c, r"[\\/]+"), lambda p: F.regexp_replace(p, r"[^A-Za-z0-9._-]", "_"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import lines, trim
 
 SCHEMA = "seq bigint, target string, note string, author string, tags array<string>, timestamp string"
+#: The patterns of hand-over texts (fixed values): the heading of lessons, a bullet, a file named in it.
 SECTION = r"(?i)^##\s+(Lessons\s+Learned|What\s+We\s+Learned|Key\s+Learnings?)\s*$"
+BULLET = r"^[-*]\s+(.+)$"
+TARGET = r"(\w+/[\w./]+\.\w+)"
 
 
 def recall(notes: DataFrame, target: str) -> DataFrame:
@@ -35,19 +38,22 @@ def extract_lessons(texts: DataFrame) -> DataFrame:
     rows = rows.withColumn("first", first)
     after = F.min(F.when(F.col("line").rlike(r"^##\s+") & (F.col("n") > F.col("first")), F.col("n"))).over(Window.partitionBy("id"))
     rows = rows.withColumn("end", after).where("k > 0 and n > first and (end is null or n < end)")
-    text = trim(F.regexp_extract("line", r"^[-*]\s+(.+)$", 1))
-    rows = rows.where(F.col("line").rlike(r"^[-*]\s+.+$")).select("id", "n", text.alias("text")).where(F.length("text") >= 5)
-    target = F.regexp_extract("text", r"(\w+/[\w./]+\.\w+)", 1)
+    text = trim(F.regexp_extract("line", BULLET, 1))
+    rows = rows.where(F.col("line").rlike(BULLET)).select("id", "n", text.alias("text")).where(F.length("text") >= 5)
+    target = F.regexp_extract("text", TARGET, 1)
     return rows.select("id", "n", "text", F.when(target != "", target).otherwise("global").alias("target"))
 
 
 def ingest(texts: DataFrame, worker: str, notes: DataFrame, timestamp: str) -> DataFrame:
     """New notes from hand-over texts, tagged lesson and handover, numbered after the notes there are."""
-    last = notes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last"))
     found = extract_lessons(texts)
-    place = F.row_number().over(Window.orderBy("id", "n"))  # bullets of the texts handed over, a few lines each
-    return found.crossJoin(last).select(
-        (F.col("last") + place).alias("seq"), "target", F.col("text").alias("note"), F.lit(worker).alias("author"),
+    # Numbers within each text, after those of the texts before it and of the notes there are: a row for each text is summed over.
+    counts = found.groupBy("id").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("id", before.alias("base")).crossJoin(notes.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last")))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n"))
+    return found.withColumn("place", place).join(base, "id").select(
+        (F.col("last") + F.col("base") + F.col("place")).cast("long").alias("seq"), "target", F.col("text").alias("note"), F.lit(worker).alias("author"),
         F.array(F.lit("lesson"), F.lit("handover")).alias("tags"), F.lit(timestamp).alias("timestamp"),
     )
 

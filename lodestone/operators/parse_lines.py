@@ -14,6 +14,21 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension, lines, trim
 
+#: The patterns of the formats (fixed values).
+BASH_FUNCTION = r"^(?:function\s+)?(\w+)\s*\(\s*\)\s*\{?"
+BASH_SOURCE = r"^(?:source|\.)\s+(.+)"
+CSS_RULE = r"^([.#][\w-]+)\s*\{"
+JSON_KEY = r'^\s*"([\w$-]+)"\s*:'
+GRAPHQL_TYPE = r"^(?:type|input|enum|interface|union|scalar|directive)\s+(\w+)"
+GRAPHQL_CALL = r"^(?:query|mutation|subscription)\s+(\w+)"
+MARKDOWN_HEAD = r"^(#{1,2})\s+(.+)"
+TOML_SECTION = r"^\[+([^\]]+)\]+"
+MARKUP_TAG = r"(?i)<(script|style)\b[^>]*>"
+COMPONENT_FUNCTION = r"(?:export\s+)?(?:async\s+)?function\s+(\w+)"
+COMPONENT_ARROW = r"(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\("
+SQL_TABLE = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)"
+SQL_VIEW = r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+(\w+)"
+
 SYMBOL_COLUMNS = ["path", "ordinal", "name", "kind", "signature", "start_line", "end_line", "exported", "async", "parent_class"]
 
 
@@ -64,25 +79,25 @@ def _t() -> Column:
 
 @_numbered
 def bash(files: DataFrame) -> DataFrame:
-    name = _found(_t(), r"^(?:function\s+)?(\w+)\s*\(\s*\)\s*\{?")
+    name = _found(_t(), BASH_FUNCTION)
     return _symbols(exploded(files), (F.when(~name.isin("if", "for", "while"), name), F.lit("function")))
 
 
 def bash_imports(files: DataFrame) -> DataFrame:
     """path, source, identifiers, line of sourced files."""
-    rows = exploded(files).withColumn("source", _found(_t(), r"^(?:source|\.)\s+(.+)"))
+    rows = exploded(files).withColumn("source", _found(_t(), BASH_SOURCE))
     return rows.where("source is not null").select("path", trim(F.col("source")).alias("source"), F.array().cast("array<string>").alias("identifiers"), "line")
 
 
 @_numbered
 def css(files: DataFrame) -> DataFrame:
-    name = _found(_t(), r"^([.#][\w-]+)\s*\{")
+    name = _found(_t(), CSS_RULE)
     return _symbols(exploded(files), (name, F.lit("class")), signature=name)
 
 
 @_numbered
 def json_keys(files: DataFrame) -> DataFrame:
-    return _symbols(exploded(files), (_found(_t(), r'^\s*"([\w$-]+)"\s*:'), F.lit("variable")))
+    return _symbols(exploded(files), (_found(_t(), JSON_KEY), F.lit("variable")))
 
 
 def _plain_key(sign: str) -> Column:
@@ -97,27 +112,26 @@ def yaml(files: DataFrame) -> DataFrame:
 
 @_numbered
 def graphql(files: DataFrame) -> DataFrame:
-    types = _found(_t(), r"^(?:type|input|enum|interface|union|scalar|directive)\s+(\w+)")
-    calls = _found(_t(), r"^(?:query|mutation|subscription)\s+(\w+)")
+    types = _found(_t(), GRAPHQL_TYPE)
+    calls = _found(_t(), GRAPHQL_CALL)
     return _symbols(exploded(files), (types, F.lit("class")), (calls, F.lit("function")))
 
 
 @_numbered
 def markdown(files: DataFrame) -> DataFrame:
-    head = r"^(#{1,2})\s+(.+)"
-    kind = F.when(F.length(F.regexp_extract(_t(), head, 1)) == 1, "class").otherwise("function")
-    return _symbols(exploded(files), (trim(_found(_t(), head, 2)), kind))
+    kind = F.when(F.length(F.regexp_extract(_t(), MARKDOWN_HEAD, 1)) == 1, "class").otherwise("function")
+    return _symbols(exploded(files), (trim(_found(_t(), MARKDOWN_HEAD, 2)), kind))
 
 
 @_numbered
 def toml(files: DataFrame) -> DataFrame:
-    section = trim(_found(_t(), r"^\[+([^\]]+)\]+"))
+    section = trim(_found(_t(), TOML_SECTION))
     return _symbols(exploded(files), (section, F.lit("class")), (F.when(section.isNull(), _plain_key("=")), F.lit("variable")))
 
 
 @_numbered
 def markup(files: DataFrame) -> DataFrame:
-    return _symbols(exploded(files), (F.lower(_found(_t(), r"(?i)<(script|style)\b[^>]*>")), F.lit("class")))
+    return _symbols(exploded(files), (F.lower(_found(_t(), MARKUP_TAG)), F.lit("class")))
 
 
 @_numbered
@@ -126,8 +140,8 @@ def components(files: DataFrame) -> DataFrame:
     tag = F.when(_t().contains("<script"), 1).when(_t().contains("</script>"), 0)
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = exploded(files).withColumn("_tag", tag).withColumn("_in", F.last("_tag", ignorenulls=True).over(w)).where("_tag is null and _in = 1")
-    named = _found(_t(), r"(?:export\s+)?(?:async\s+)?function\s+(\w+)")
-    arrow = _found(_t(), r"(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s+)?\(")
+    named = _found(_t(), COMPONENT_FUNCTION)
+    arrow = _found(_t(), COMPONENT_ARROW)
     return _symbols(rows, (named, F.lit("function")), (arrow, F.lit("function")), exported=_t().contains("export"), asynchronous=_t().contains("async"))
 
 
@@ -137,8 +151,8 @@ def sql(files: DataFrame) -> DataFrame:
     out = None
     for k, (pattern, kind, verb) in enumerate(
         [
-            (r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(\w+)", "class", "CREATE TABLE "),
-            (r"(?i)CREATE\s+(?:OR\s+REPLACE\s+)?VIEW\s+(\w+)", "function", "CREATE VIEW "),
+            (SQL_TABLE, "class", "CREATE TABLE "),
+            (SQL_VIEW, "function", "CREATE VIEW "),
         ]
     ):
         names = F.regexp_extract_all("content", F.lit(pattern), F.lit(1))

@@ -18,8 +18,10 @@ from ..functions.text import language, lines, source_type
 from .session import importable
 
 #: Scanned extensions and ignored directories (fixed values).
-EXTENSIONS = [f".{e}" for e in "js jsx cjs mjs ts tsx json yaml yml graphql gql md toml xml html css scss less vue svelte".split()]
-IGNORED = "node_modules .git dist build coverage .worktrees .claude .codex .agents .runs .playwright-cli".split()
+EXTENSIONS = [
+    ".js", ".jsx", ".cjs", ".mjs", ".ts", ".tsx", ".json", ".yaml", ".yml", ".graphql", ".gql", ".md", ".toml", ".xml", ".html", ".css", ".scss", ".less", ".vue", ".svelte",
+]
+IGNORED = ["node_modules", ".git", "dist", "build", "coverage", ".worktrees", ".claude", ".codex", ".agents", ".runs", ".playwright-cli"]
 
 
 def inside(root: str, path: str) -> str | None:
