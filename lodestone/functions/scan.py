@@ -541,7 +541,16 @@ _PY_FROM = re.compile(r"[ \t]*from[ \t]+(?P<source>[.\w]+)[ \t]+import[ \t]+(?P<
 _PY_IMPORT = re.compile(r"[ \t]*import[ \t]+(?P<names>[^\n#;]+)", re.A)
 
 
+class _Block:
+    """A def or class whose lines are being read: its indent, its name and that of its body's lines, once one is seen."""
+
+    def __init__(self, indent: int, what: str, name: str, closed: bool):
+        self.indent, self.what, self.name, self.closed, self.body = indent, what, name, closed, None
+
+
 def _python(out: Out) -> None:
+    """Functions in functions are told, with the outer one as parent; of a class its methods only, and nothing of what stands
+    in them or in decorated functions."""
     src = out.src
     rows = src.mask.split("\n")
     depth = [len(r) - len(r.lstrip()) if r.strip() else None for r in rows]
@@ -549,17 +558,20 @@ def _python(out: Out) -> None:
     for o, c in src.close.items():
         for k in range(src.line(o), src.line(c)):
             inside[k] = True
-    scopes: list[tuple[int, str, str]] = []  # indent, what, name
+    blocks: list[_Block] = []
     decorators: list[str] = []
     for k, row in enumerate(rows):
         if depth[k] is None or inside[k]:
             continue
         pos = src.starts[k]
-        while scopes and depth[k] <= scopes[-1][0]:
-            scopes.pop()
+        while blocks and depth[k] <= blocks[-1].indent:
+            blocks.pop()
+        if blocks and blocks[-1].body is None:
+            blocks[-1].body = depth[k]
         if row.lstrip().startswith("@"):
             decorators.append(src.text[pos : pos + len(row)].strip())
             continue
+        closed = any(x.closed for x in blocks)
         m = _PY_DEF.match(src.mask, pos, pos + len(row))
         if m:
             last = k
@@ -571,24 +583,24 @@ def _python(out: Out) -> None:
                     break
                 last = j
             end = src.starts[last] + len(rows[last])
-            parent = scopes[-1][2] if scopes else None
+            parent = blocks[-1].name if blocks else None
             head = "".join(d + "\n" for d in decorators)
             start = src.starts[k] + depth[k]
-            if m["what"] == "class":
-                if not any(s[1] == "class" for s in scopes):
-                    out.add(m["name"], "class", head + f"class {m['name']}", start, end, parent)
-            else:
+            method = m["what"] == "def" and blocks and blocks[-1].what == "class" and depth[k] == blocks[-1].body and not any(x.closed for x in blocks[:-1])
+            if m["what"] == "class" and not closed:
+                out.add(m["name"], "class", head + f"class {m['name']}", start, end, parent)
+            elif m["what"] == "def" and (method or not closed):
                 params, _ = _params(src, m.end(), end)
                 out.add(m["name"], "method" if parent else "function", head + f"def {m['name']}({params})", start, end, parent, asynchronous=bool(m["async"]))
-            scopes.append((depth[k], m["what"], m["name"]))
-        else:
+            blocks.append(_Block(depth[k], m["what"], m["name"], m["what"] == "class" or bool(decorators)))
+        elif not closed:
             m = _PY_FROM.match(src.mask, pos)
             if m:
                 names = [x.split()[0] for x in m["names"].strip("()").split(",") if x.strip() and x.strip() != "*"]
                 out.use(m["source"], names, pos)
             elif m := _PY_IMPORT.match(src.mask, pos):
-                names = [x.split()[0] for x in m["names"].split(",") if x.strip()]
-                out.use(names[0], names[1:], pos)
+                names = [x.strip() for x in m["names"].split(",") if x.strip()]
+                out.use(names[0], [names[0], *(x for x in names[1:] if len(x.split()) == 1)], pos)
         decorators = []
 
 
@@ -609,7 +621,7 @@ def _go(out: Out) -> None:
         if m["recv"]:
             recv = m["recv"].strip()
             result = src.text[after:o].strip() if o >= 0 else ""
-            owner = recv.strip("()").split()[-1].lstrip("*") if recv.strip("() ") else None
+            owner = re.sub(r"^(?:\w+\s+)?\*?", "", recv[1:-1].strip()) or None
             sig = f"func {recv} {m['name']}({params})" + (f" {result}" if result else "")
             found.append((m.start(), (m["name"], "method", sig, m.start(), end, owner)))
         else:
@@ -666,7 +678,8 @@ def _line_end(src: Source, pos: int) -> int:
     return len(src.mask) if e < 0 else e
 
 
-def _rust(out: Out, a: int, b: int, scope: str | None) -> None:
+def _rust(out: Out, a: int, b: int, scope: str | None, members: bool = False) -> None:
+    """members: of an impl, whose functions are told and nothing else, nor what stands in them."""
     src = out.src
     decl = re.compile(r"(?P<pub>pub(?:\([^)]*\))?\s+)?(?:(?P<async>async\s+)|(?:unsafe|const(?=\s+fn)|extern)\s+)*(?:fn\s+(?P<fn>\w+)|struct\s+(?P<struct>\w+)|enum\s+(?P<enum>\w+)|trait\s+(?P<trait>\w+)|impl(?P<impl>\b[^{;]*)|type\s+(?P<type>\w+)|(?P<cs>const|static)\s+(?:mut\s+)?(?P<item>\w+)|mod\s+(?P<mod>\w+)|(?P<use>use\b))|macro_rules!\s*(?P<macro>\w+)")
     walk, skip = _statements(src, a, b), None
@@ -680,6 +693,9 @@ def _rust(out: Out, a: int, b: int, scope: str | None) -> None:
         if not m:
             continue
         pub = bool(m["pub"])
+        if members and not m["fn"]:
+            skip = src.end_of(m.end(), b)
+            continue
         if m["use"]:
             end = src.mask.find(";", pos, b)
             end = b if end < 0 else end
@@ -689,11 +705,11 @@ def _rust(out: Out, a: int, b: int, scope: str | None) -> None:
         o = src.brace(m.end(), b)
         end = src.close.get(o, b - 1) + 1 if o >= 0 else src.end_of(m.end(), b)
         if m["fn"]:
-            params, after = _params(src, m.end(), b)
+            params, after = _params(src, src.skip_angle(m.end(), b), b)
             ret = re.match(r"\s*->\s*([^{;]+?)\s*(?:where\b|$)", src.text[after : o if o >= 0 else end - 1])
             sig = f"fn {m['fn']}({params})" + (f" -> {ret[1]}" if ret else "")
             out.add(m["fn"], "method" if scope else "function", sig, pos, end, scope, pub, bool(m["async"]))
-            if o >= 0:
+            if o >= 0 and not members:
                 _rust(out, o + 1, end - 1, m["fn"])
         elif m["struct"]:
             out.add(m["struct"], "class", f"struct {m['struct']}", pos, end, scope, pub)
@@ -704,18 +720,27 @@ def _rust(out: Out, a: int, b: int, scope: str | None) -> None:
                 out.add(re.match(r"\w*", text)[0], "enum_member", text, x, x + len(text), m["enum"])
         elif m["trait"]:
             out.add(m["trait"], "trait", f"trait {m['trait']}", pos, end, scope, pub)
-            for k in re.finditer(r"\bfn\s+(\w+)", src.mask[o + 1 : end - 1]) if o >= 0 else []:
-                p = o + 1 + k.start()
-                params, after = _params(src, p, end)
+            p = o + 1
+            while o >= 0 and p < end - 1:
+                k = re.compile(r"\bfn\s+(\w+)").search(src.mask, p, end - 1)
+                block = src.mask.find("{", p, k.start() if k else end - 1)
+                if not k or block >= 0 and src.close.get(block, block) > block:  # what stands in a body is passed over
+                    if block < 0:
+                        break
+                    p = src.close.get(block, block) + 1
+                    continue
+                params, after = _params(src, src.skip_angle(k.end(), end), end)
                 stop = src.end_of(after, end - 1)
-                ret = re.match(r"\s*->\s*([^{;]+?)\s*[{;]", src.text[after:stop])
-                out.add(k[1], "method", f"fn {k[1]}({params})" + (f" -> {ret[1]}" if ret else ""), p, stop, m["trait"])
+                ret = re.match(r"\s*->\s*([^{;]+?)\s*(?:where\b|[{;])", src.text[after:stop])
+                out.add(k[1], "method", f"fn {k[1]}({params})" + (f" -> {ret[1]}" if ret else ""), k.start(), stop, m["trait"])
+                p = stop
         elif m["impl"] is not None and o >= 0:
-            head = re.sub(r"^\s*<[^>]*>", "", m["impl"]).strip()
+            i = src.skip_angle(m.start("impl"), o)
+            head = re.split(r"\bwhere\b", src.text[i:o])[0].strip()
             trait, _, target = head.rpartition(" for ")
             target = target.strip()
             out.add(target, "impl", f"impl {trait.strip()} for {target}" if trait else f"impl {target}", pos, end)
-            _rust(out, o + 1, end - 1, target)
+            _rust(out, o + 1, end - 1, target, True)
         elif m["type"]:
             out.add(m["type"], "type", src.whole_line(pos), pos, end, scope, pub)
         elif m["item"]:
@@ -796,9 +821,7 @@ def _classy(out: Out, a: int, b: int, scope: str | None, lang: str) -> None:
             continue
         o = src.body(m.end(), b)
         what, name = m["what"], m["name"]
-        if o < 0:
-            if what == "namespace":
-                out.add(name, "namespace", f"namespace {name}", pos, b, scope)
+        if o < 0:  # a namespace for the whole file is no symbol
             continue
         end = src.close.get(o, b - 1) + 1
         if what == "namespace":
@@ -815,14 +838,16 @@ def _classy(out: Out, a: int, b: int, scope: str | None, lang: str) -> None:
                     out.add(word[0], "enum_member", word[0], x, x + len(src.text[x:y].rstrip()), name)
         elif what == "@interface":
             out.add(name, "annotation", f"@interface {name}", pos, end, scope)
+        elif what == "record":  # no symbol, but its members are those of what it stands in
+            _class_members(out, o + 1, end - 1, name, lang, what, scope)
         else:
             kind = "interface" if what == "interface" else "class"
             out.add(name, kind, f"{what} {name}", pos, end, scope)
-            _class_members(out, o + 1, end - 1, name, lang, what)
+            _class_members(out, o + 1, end - 1, name, lang, what, name)
         skip = end
 
 
-def _class_members(out: Out, a: int, b: int, cls: str, lang: str, what: str) -> None:
+def _class_members(out: Out, a: int, b: int, cls: str, lang: str, what: str, parent: str | None) -> None:
     """Methods, constructors, properties (C#) and fields (Java) of a type; of an interface its methods only."""
     src = out.src
     walk, skip = _statements(src, a, b), None
@@ -843,7 +868,7 @@ def _class_members(out: Out, a: int, b: int, cls: str, lang: str, what: str) ->
             params, after = _params(src, first.end(), b)
             end = src.end_of(after, b)
             if first[0] == cls and what not in ("struct", "interface"):
-                out.add(cls, "constructor", f"{cls}({params})", pos, end, cls)
+                out.add(cls, "constructor", f"{cls}({params})", pos, end, parent)
             skip = end
             continue
         j = _type_at(src, i, b)
@@ -857,7 +882,7 @@ def _class_members(out: Out, a: int, b: int, cls: str, lang: str, what: str) ->
             params, after = _params(src, at, b)
             end = src.end_of(after, b)
             # Of an interface in C# no type of a result is told.
-            out.add(word, "method", f"{'void' if lang == 'csharp' and what == 'interface' else kind} {word}({params})", pos, end, cls)
+            out.add(word, "method", f"{'void' if lang == 'csharp' and what == 'interface' else kind} {word}({params})", pos, end, parent)
             skip = end
         elif lang == "csharp" and (ch == "{" or src.mask.startswith("=>", at)):
             end = src.close.get(at, b - 1) + 1 if ch == "{" else src.end_of(at, b)
@@ -865,14 +890,14 @@ def _class_members(out: Out, a: int, b: int, cls: str, lang: str, what: str) ->
             if ch == "{" and src.mask[rest : rest + 1] == "=":  # a first value
                 end = src.end_of(rest, b)
             if what != "interface":
-                out.add(word, "property", f"{kind} {word}", pos, end, cls)
+                out.add(word, "property", f"{kind} {word}", pos, end, parent)
             skip = end
         elif ch in ("=", ";", ",") or ch == "[":
             end = src.mask.find(";", at, b) + 1 or b
             for word, stop in _declared(src, name.start(), b):
                 end = stop
                 if lang == "java" and what != "interface":
-                    out.add(word, "property", src.whole_line(pos), pos, end, cls)
+                    out.add(word, "property", src.whole_line(pos), pos, end, parent)
             skip = end
 
 

@@ -61,7 +61,7 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
             (
                 "import os, sys as system\nfrom .pkg§ import a, b as c\nfrom x import *\n\n@wraps(f)\n@cache\ndef deco§(x, y=\"(\"):\n    # def no():\n    return 1\n\nasync def go():\n    def inner(z):\n        return z\n    return inner\n",
                 [("deco§", "function", "@wraps(f)\n@cache\ndef deco§(x, y=\"(\")", 7, 9, 0, 0, None), ("go", "function", "def go()", 11, 14, 0, 1, None), ("inner", "method", "def inner(z)", 12, 13, 0, 0, "go")],
-                [("os", ["sys"], 1), (".pkg§", ["a", "b"], 2), ("x", [], 3)],
+                [("os", ["os"], 1), (".pkg§", ["a", "b"], 2), ("x", [], 3)],
             ),
             (
                 "class Box§(Base):\n    \"\"\"def no(): {\"\"\"\n\n    def area(self, w,\n             h):\n        return w * h\n\n    async def load(self):\n        pass\n\n\ndef tail(): return '}'\n",
@@ -249,14 +249,41 @@ SHAPES: dict[str, tuple[str, list[Shape]]] = {
             ),
         ],
     ),
+    "python_scopes": (
+        "py",
+        [
+            (
+                "import os.path, sys, re as r§\nimport numpy as np\n\nclass A§(Base):\n    x = 1\n\n    @property\n    def name(self):\n        def hidden(): pass\n        import inner\n        return 1\n\n    class Nested:\n        def no(self): pass\n\n    if x:\n        def maybe(self): pass\n\ndef plain§():\n    from a import b\n    class Local:\n        def go(self): pass\n    def nested(): pass\n\n@deco\ndef wrapped():\n    import never\n    def nor(): pass\n",
+                [
+                    ("A§", "class", "class A§", 4, 17, 0, 0, None), ("name", "method", "@property\ndef name(self)", 8, 11, 0, 0, "A§"), ("plain§", "function", "def plain§()", 19, 23, 0, 0, None),
+                    ("Local", "class", "class Local", 21, 22, 0, 0, "plain§"), ("go", "method", "def go(self)", 22, 22, 0, 0, "Local"), ("nested", "method", "def nested()", 23, 23, 0, 0, "plain§"),
+                    ("wrapped", "function", "@deco\ndef wrapped()", 26, 28, 0, 0, None),
+                ],
+                [("os.path", ["os.path", "sys"], 1), ("numpy as np", ["numpy as np"], 2), ("a", ["b"], 20)],
+            ),
+        ],
+    ),
+    "rust_types": (
+        "rs",
+        [
+            (
+                "impl<T: Into<Vec<u8>>, U> Conv<U> for Box§<T> where U: Clone {\n    const N: u32 = 1;\n    pub fn go<F: Fn(T) -> U>(&self, f: F) -> Option<Vec<U>> where F: Copy {\n        fn hidden() {}\n        None\n    }\n}\n\npub trait Run§<T> {\n    fn one(&self) -> T;\n    fn two(&self) -> Vec<T> where T: Clone {\n        fn no() {}\n        vec![]\n    }\n    fn three();\n}\n",
+                [
+                    ("Box§<T>", "impl", "impl Conv<U> for Box§<T>", 1, 7, 0, 0, None), ("go", "method", "fn go(&self, f: F) -> Option<Vec<U>>", 3, 6, 1, 0, "Box§<T>"), ("Run§", "trait", "trait Run§", 9, 16, 1, 0, None),
+                    ("one", "method", "fn one(&self) -> T", 10, 10, 0, 0, "Run§"), ("two", "method", "fn two(&self) -> Vec<T>", 11, 14, 0, 0, "Run§"), ("three", "method", "fn three()", 15, 15, 0, 0, "Run§"),
+                ],
+                [],
+            ),
+        ],
+    ),
     "go_types": (
         "go",
         [
             (
-                "package p\n\ntype Pair§[K comparable, V any] struct {\n\ta K\n}\n\nfunc Map§[T, U any](xs []T, f func(T) U) []U {\n\treturn nil\n}\n\ntype F func(int) error\n\ntype (\n\tA = int\n\tB map[string]int\n)\n",
+                "package p\n\ntype Pair§[K comparable, V any] struct {\n\ta K\n}\n\nfunc (p *Pair§[K, V]) Key() K { return p.a }\nfunc Map§[T, U any](xs []T, f func(T) U) []U {\n\treturn nil\n}\n\ntype F func(int) error\n\ntype (\n\tA = int\n\tB map[string]int\n)\n",
                 [
-                    ("Pair§", "class", "type Pair§ struct", 3, 5, 0, 0, None), ("Map§", "function", "func Map§[T, U any](xs []T, f func(T) U) []U {", 7, 9, 0, 0, None), ("F", "type", "type F func(int) error", 11, 11, 0, 0, None),
-                    ("B", "type", "type B map[string]int", 15, 15, 0, 0, None),
+                    ("Pair§", "class", "type Pair§ struct", 3, 5, 0, 0, None), ("Key", "method", "func (p *Pair§[K, V]) Key() K", 7, 7, 0, 0, "Pair§[K, V]"), ("Map§", "function", "func Map§[T, U any](xs []T, f func(T) U) []U {", 8, 10, 0, 0, None), ("F", "type", "type F func(int) error", 12, 12, 0, 0, None),
+                    ("B", "type", "type B map[string]int", 16, 16, 0, 0, None),
                 ],
                 [],
             ),
