@@ -12,6 +12,7 @@ import json
 import os
 import subprocess
 import sys
+import threading
 import time
 from collections.abc import Callable
 from typing import Any
@@ -53,13 +54,14 @@ class Repos:
     def __init__(self, spark: SparkSession):
         self.spark, self.roots = spark, {}
         self.tables: dict[str, DataFrame] = {}
+        self.pending: dict[str, threading.Thread] = {}
 
     def add(self, name: str, files: DataFrame, root: str = "") -> dict:
         """Indexes files (path, content) under a name; an error if it is taken."""
         if name in self.roots:
             return {"error": f"Repo '{name}' already exists"}
-        for key, table in self._index(name, files).items():
-            self.tables[key] = self.tables[key].unionByName(table) if key in self.tables else table
+        new = self._index(name, files)
+        self.tables = {key: self.tables[key].unionByName(table) if key in self.tables else table for key, table in new.items()}
         self.roots[name] = root
         own = self.tables["files"].where(F.col("repo") == name).count(), self.tables["symbols"].where(F.col("repo") == name).count()
         return {"added": name, "root": root, "files": own[0], "symbols": own[1]}
@@ -80,6 +82,25 @@ class Repos:
             return {"error": f"Path does not exist: {root}"}
         return self.add(name or os.path.basename(os.path.abspath(root)), read_files(self.spark, root), root)
 
+    def begin(self, root: str, name: str | None = None) -> None:
+        """Indexes a folder while tools are served already: they answer from what is there, or tell that it is being indexed."""
+        name = name or os.path.basename(os.path.abspath(root))
+
+        def run() -> None:
+            try:
+                self.add_root(root, name)
+            finally:
+                self.pending.pop(name, None)
+
+        self.pending[name] = threading.Thread(target=run, daemon=True)
+        self.pending[name].start()
+
+    def ready(self, timeout: float | None = None) -> bool:
+        """Waits for what ``begin`` has begun; whether all of it is done."""
+        for thread in list(self.pending.values()):
+            thread.join(timeout)
+        return not self.pending
+
     def reindex(self, name: str, path: str | None = None) -> dict:
         """Reads a repository's tree again, or one file of it; an error for links, folders and what is outside."""
         root = self.roots[name]
@@ -261,6 +282,8 @@ class Session:
         """A tool's result as JSON, with what is told of its query."""
         if name not in self.registry:
             return to_json({"error": f"Unknown tool: '{name}'"})
+        if not self.repos.tables and self.repos.pending:
+            return to_json({"indexing": sorted(self.repos.pending)})
         start = time.perf_counter()
         value = self.registry[name](**arguments)
         value = rows_of(value) if isinstance(value, DataFrame) else value
@@ -310,5 +333,5 @@ def serve(ask: Callable[..., str] | dict[str, Callable[..., Any]], lines, out) -
 if __name__ == "__main__":
     root = config.project_root(sys.argv[1] if len(sys.argv) > 1 else None)
     here = Repos(SparkSession.builder.appName("lodestone").getOrCreate())
-    here.add_root(root)
+    here.begin(root)
     serve(Session(here, tools(here), os.path.join(root, ".lodestone", "telemetry.json")).call, sys.stdin, sys.stdout)

@@ -3,6 +3,7 @@ import io
 import json
 import os
 import subprocess
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -279,6 +280,18 @@ def test_session_totals(spark, tmp_path):
     assert json.loads(s.call("find_text", pattern="nowhere"))["_meta"]["tokens_saved"] == 0
 
 
+def test_served_before_indexed(spark, tmp_path, monkeypatch):
+    """Tools answer while a folder is indexed, and from the index when it is there."""
+    (tmp_path / "a.js").write_text("function a() {}\n")
+    r, go, real = tools.Repos(spark), threading.Event(), tools.read_files
+    monkeypatch.setattr(tools, "read_files", lambda *a: go.wait(60) and real(*a))
+    s = tools.Session(r, tools.tools(r))
+    r.begin(str(tmp_path), "one")
+    assert json.loads(s.call("outline", path="a.js")) == {"indexing": ["one"]} and not r.ready(0.01)
+    go.set()
+    assert r.ready(120) and [x["name"] for x in json.loads(s.call("outline", path="a.js"))["data"]] == ["a"]
+
+
 def test_more_tools(spark, tmp_path, monkeypatch):
     """Tools of git, notes and hand-overs, of reindexing, and the cut of long results."""
     root = tmp_path / "r"
