@@ -17,9 +17,9 @@ from .search import find_symbols, rank_order, symbol_scores
 SHARD_ROWS = 1_000_000
 
 
-def _grams(part: str) -> list[str]:
+def _grams(part: str) -> list[int]:
     """Grams that names with this part hold: of two characters where it has no more. % and _ stand for any characters."""
-    out: dict[str, None] = {}
+    out: dict[int, None] = {}
     for run in re.split(r"[%_]", part):
         run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
         out.update(dict.fromkeys(postings.grams_of(run, 3 if len(run) > 2 else 2)))
@@ -38,7 +38,7 @@ class SymbolIndex:
         spark = symbols.sparkSession
         path = path or shared_path(spark, "symbolindex")
         order = ["path", "ordinal", *(["repo"] if "repo" in symbols.columns else [])]
-        postings.write(postings.numbered(symbols, symbols.count() // shard_rows + 1, *order), postings.grams(fold(F.col("name")), 2, 3), path)
+        postings.write(postings.numbered(symbols, symbols.count() // shard_rows + 1, *order), path, fold(F.col("name")), 2, 3)
         return cls(spark, path)
 
     def bounds(self, query: str) -> DataFrame | None:

@@ -13,23 +13,26 @@ from . import postings
 from .search import _keys
 
 GRAM = 3
-#: Lines that are opened together.
-BLOCK_LINES = 128
-#: Bytes of text in a shard, about.
-SHARD_BYTES = 64 << 20
+#: Lines of a file in one row; bytes of a block, of one file's lines or of several small files; bytes of text in a shard, about.
+BLOCK_LINES, BLOCK_BYTES, SHARD_BYTES = 1024, 256 << 10, 64 << 20
 
 
-def blocks(files: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
-    """path (after repo, if files have it), first_line and text of each ``size`` lines of a file."""
-    keys = _keys(files)
+def blocks(files: DataFrame, size: int | None = None) -> DataFrame:
+    """path (after repo, if files have it), first_line and text of each ``size`` lines (BLOCK_LINES) of a file."""
+    keys, size = _keys(files), size or BLOCK_LINES
     cut = files.where("content is not null").select(*keys, lines(F.col("content")).alias("ls"))
     each = F.transform(F.sequence(F.lit(0), F.floor((F.size("ls") - 1) / size).cast("int")), lambda k: F.struct((k * size + 1).alias("first_line"), F.array_join(F.slice("ls", k * size + 1, size), "\n").alias("text")))
     return cut.select(*keys, F.explode(each).alias("b")).select(*keys, "b.first_line", "b.text")
 
 
-def block_grams() -> Column:
-    """The grams of a block's text."""
-    return postings.grams(F.lower("text"), GRAM)
+def numbered(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows of ``blocks`` in numbered blocks of about BLOCK_BYTES."""
+    return postings.numbered(rows, shards, *reversed(_keys(rows)), "first_line", block_bytes=F.octet_length("text") + 1, size=BLOCK_BYTES)
+
+
+def lowered() -> Column:
+    """What grams are taken from."""
+    return F.lower("text")
 
 
 class TextIndex:
@@ -44,12 +47,10 @@ class TextIndex:
         spark = files.sparkSession
         path = path or shared_path(spark, "textindex")
         total = files.agg(F.sum(F.octet_length("content")).alias("n")).first()["n"] or 0
-        keys = _keys(files)
-        rows = postings.numbered(blocks(files), total // shard_bytes + 1, *reversed(keys), "first_line")
-        postings.write(rows, block_grams(), path)
+        postings.write(numbered(blocks(files), total // shard_bytes + 1), path, lowered(), GRAM)
         return cls(postings.Postings.at(spark, path))
 
-    def _wanted(self, pattern: str, case_sensitive: bool) -> list[str]:
+    def _wanted(self, pattern: str, case_sensitive: bool) -> list[int]:
         """Grams that every line with the pattern holds in lower case.
 
         How letters other than ASCII's fall into lower case can depend on their neighbours, so where case matters only
@@ -59,7 +60,7 @@ class TextIndex:
         return list(dict.fromkeys(g for p in parts for g in postings.grams_of(p.lower(), GRAM)))[: postings.MOST_GRAMS]
 
     def candidates(self, pattern: str, case_sensitive: bool = False) -> DataFrame:
-        """The blocks that may hold the pattern; all of them for patterns without a gram."""
+        """The rows of blocks that may hold the pattern; all of them for patterns without a gram."""
         wanted = self._wanted(pattern, case_sensitive)
         return self.index.opened(self.index.holding(wanted)) if wanted else self.index.rows
 

@@ -184,10 +184,10 @@ class Snapshots:
     def _write_index(self, version: str, files: list[str], count: int, kept: dict[str, dict[str, str]]) -> dict:
         """Where the index of each bucket stands: that of the files just written, and what is kept."""
         if files:
-            rows = postings.numbered(textindex.blocks(self.spark.read.parquet(*files).select("path", "content")), count, "path", "first_line")
+            rows = textindex.numbered(textindex.blocks(self.spark.read.parquet(*files).select("path", "content")), count)
             postings.save(rows, f"{self.root}/{version}/blocks", "number")
             written = self.spark.read.schema(BLOCKS).parquet(f"{self.root}/{version}/blocks")
-            postings.save(postings.lists(written, textindex.block_grams()), f"{self.root}/{version}/grams", "gram")
+            postings.save(postings.lists(written, textindex.lowered(), textindex.GRAM), f"{self.root}/{version}/grams", "gram")
         return {k: kept[k] | {x.split("=")[1]: f"{version}/{k}/{x}" for x in self.folder.names(f"{version}/{k}") if x.startswith("part=")} for k in INDEX}
 
     def text_index(self) -> textindex.TextIndex:

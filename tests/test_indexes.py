@@ -108,6 +108,8 @@ def texts(spark):
 
 def test_text_index(spark, texts, monkeypatch):
     monkeypatch.setattr("lodestone.operators.textindex.BLOCK_LINES", 7)
+    monkeypatch.setattr("lodestone.operators.textindex.BLOCK_BYTES", 600)
+    monkeypatch.setattr("lodestone.operators.postings.AT_ONCE", 500)
     index = TextIndex.build(texts, shard_bytes=4000)
     total = index.index.rows.count()
     assert index.index.rows.select("shard").distinct().count() > 2
@@ -123,6 +125,7 @@ def test_text_index(spark, texts, monkeypatch):
 
 
 def test_text_index_joins_where_many_blocks_match(spark, texts, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.textindex.BLOCK_BYTES", 300)
     index = TextIndex.build(texts, shard_bytes=4000)
     monkeypatch.setattr("lodestone.operators.postings.FEW", 3)
     assert rows_of(index.find_text("alpha")) == rows_of(search.find_text(texts, "alpha"))
