@@ -21,8 +21,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..sources.files import Folder
 from ..sources.session import importable
 
-#: Blocks up to which those that a search opens are named to the scan, which then skips other row groups; beyond, a join.
-FEW = 2000
+#: Blocks up to which those that a search opens are named to the scan, which then skips other row groups; then blocks up to
+#: which a list of them is broadcast (12 bytes each); beyond, the join shuffles.
+FEW, BROADCAST_BLOCKS = 2000, 500_000
 #: Parquet bytes of a row group of rows and of postings: what a search reads at least.
 ROW_GROUP = 1 << 20
 #: Grams of a string that are looked up; more cannot add rows.
@@ -136,7 +137,10 @@ class Postings:
         """The rows of the blocks that (shard, number) name; few are named to the scan."""
         few = which.select("shard", "number").limit(FEW + 1).collect()
         if len(few) > FEW:
-            return self.rows.join(which, ["shard", "number"], "left_semi")
+            shard = "part" if "part" in self.rows.columns else "shard"  # folders without such a block are not opened
+            which = which.select(F.col("shard").alias(shard), "number").distinct()
+            small = which.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS
+            return self.rows.join(F.broadcast(which) if small else which, [shard, "number"], "left_semi")
         if not few:
             return self.rows.where(F.lit(False))
         by_shard: dict[int, list[int]] = {}

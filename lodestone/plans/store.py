@@ -201,7 +201,8 @@ class Snapshots:
     def healthy(self) -> bool:
         """Whether all of the current version can be read; one that cannot is set aside and the store is empty again.
 
-        Every column of every row is read, twice if the first try fails.
+        Every column of every row is read, twice if the first try fails, and files are held against the digests they were
+        written with, so rows that are lost without an error are found too.
         """
         version = self.current()
         for attempt in (0, 1):
@@ -209,6 +210,8 @@ class Snapshots:
                 for name in TABLES:
                     t = self.table(name)
                     t.agg(F.sum(F.xxhash64(*t.columns).cast("decimal(38,0)"))).collect()
+                if self._plan().get("digests") and differing(self.digests(), digests(self.table("files"), self.count())).limit(1).count():
+                    raise ValueError("rows of files are missing or changed")
                 return True
             except (PySparkException, Py4JJavaError, ValueError, KeyError, OSError):
                 if attempt and version is not None:

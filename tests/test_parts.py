@@ -466,6 +466,17 @@ def test_store_by_size(spark, tmp_path, monkeypatch):
     assert store.differing(s.digests(), store.digests(s.table("files"), s.count())).count() == 0
 
 
+def test_store_tells_lost_rows(spark, tmp_path):
+    """A part that is gone reads without an error; the digests tell it, and the store is set aside."""
+    s = store.Snapshots(spark, str(tmp_path / "s"))
+    s.upsert(spark.createDataFrame([(f"f{i}.md", f"# T{i}\n") for i in range(8)], "path string, content string"))
+    assert s.healthy()
+    place = tmp_path / "s" / next(iter(s.buckets()["files"].values()))
+    for f in place.iterdir():
+        f.unlink()
+    assert not s.healthy() and s.current() is None and s.table("files").count() == 0
+
+
 def test_vault_is_all_or_nothing(spark, tmp_path, monkeypatch):
     """A commit that breaks off is finished by the next write; tasks that are not committed leave nothing."""
     rows = [(i, f"src/f{i % 3}.js", f"note {i}", "a", ["x"], "t") for i in range(1, 10)]
