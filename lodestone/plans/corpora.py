@@ -7,8 +7,10 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..sources.session import stored
 from . import languages
 
 BODY = """case p_size % 6
@@ -114,10 +116,43 @@ def tables_of(sql: str) -> list[str]:
     return sorted({name for _, name, _, _ in string.Formatter().parse(sql) if name})
 
 
+#: Corpora whose rows are numbered in one order of all: the table and the order, nulls last as the other engine has them.
+NUMBERED = {"commits": ("orders", "o_orderdate desc, o_orderkey"), "notes_csv": ("conversations", "conv_id, turn")}
+
+#: Estimated bytes of the rows of one range; fewer, if that makes fewer ranges than the session has shuffle partitions.
+RANGE_BYTES = 16 << 20
+
+
+def numbered(rows: DataFrame, *order: Column, name: str = "seq") -> DataFrame:
+    """rows with their number in an order of all, from 1, as row_number() gives it, without one task for all rows.
+
+    Rows are dealt by ranges of the order, sorted within them and stored once, so that every use sees the same ranges. A row's
+    number is its place in its range after the count of the rows in ranges before it; only these counts, one a range, are summed
+    in one place.
+    """
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the optimizer's estimate
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(10_000, known // RANGE_BYTES + 1))
+    at = F.monotonically_increasing_id()  # the range in the upper bits, the place from 0 in the lower 33
+    placed = stored(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", at), "numbered")
+    placed = placed.withColumn("__range", F.shiftright("__at", 33))
+    counts = placed.groupBy("__range").count()
+    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__before"))
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(counts), "__range").select(*rows.columns, (F.col("__before") + place + 1).alias(name))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus as a DataFrame."""
     sql = CORPORA[name]
-    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)})
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables_of(sql)}
+    if name in NUMBERED:
+        table, order = NUMBERED[name]
+        keys = [F.col(k.split()[0]) for k in order.split(", ")]
+        keys = [k.desc_nulls_last() if " desc" in o else k.asc_nulls_last() for k, o in zip(keys, order.split(", "), strict=True)]
+        used = tables[table].select([c for c in tables[table].columns if c in sql])
+        sql, tables[table] = sql.replace(f"row_number() over (order by {order})", "__seq"), numbered(used, *keys, name="__seq")
+    return spark.sql(sql, **tables)
 
 
 def with_views(sql: str, *names: str) -> str:

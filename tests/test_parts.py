@@ -562,3 +562,18 @@ def test_snapshots_hold_every_document(spark):
     assert any(i % 77 == 0 for i in ids)
     for side in ("disk", "stored"):
         assert {int(r["path"].split("/")[1]) for r in view(spark, sf, side).select("path").collect()} == ids
+
+
+def test_numbers_of_an_order(spark):
+    """Rows are numbered by ranges of an order as row_number() numbers them, without one partition for all rows."""
+    from lodestone.plans import corpora
+
+    rows = [(None if i % 50 == 0 else (i * 37) % 11, i) for i in range(1000)]
+    t = spark.createDataFrame(rows, "a int, b int").repartition(7)
+    got = corpora.numbered(t, F.col("a").desc_nulls_last(), F.col("b").asc_nulls_last())
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [tuple(r) for r in got.orderBy("seq").collect()] == [(*r, n) for n, r in enumerate(want, 1)]
+    assert corpora.numbered(t.limit(0), F.col("a")).count() == 0
+    for name in corpora.NUMBERED:
+        each = corpora.view(spark, "/root/testdata/sf0.001", name).groupBy(F.spark_partition_id()).count().collect()
+        assert len(each) > 1 and max(r["count"] for r in each) < 0.9 * sum(r["count"] for r in each)
