@@ -17,3 +17,10 @@ def test_entry(spark):
     assert e.entry(spark).count() == 20
     assert set(catalog.QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["hotspots", "git_log", "recall", "note_slugs"])
+def test_no_window_over_all_rows(spark, name):
+    """What is numbered in one place are counts of ranges, never the rows of a table."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan
