@@ -98,6 +98,17 @@ def test_nesting(spark):
     assert nesting.ancestors(symbols.limit(0)).count() == 0
 
 
+def test_descendants_join_nothing(spark):
+    """Names go with the sweep: what stands in symbols of a name is told by file and repository, without a table to broadcast."""
+    rows = [("r1", "a", 0, "f", 1, 9), ("r1", "a", 1, "g", 2, 8), ("r1", "a", 2, "f", 3, 7), ("r1", "a", 3, None, 4, 4), ("r1", "a", 4, "f", None, None), ("r2", "a", 0, "g", 1, 9), ("r2", "a", 1, "f", 2, 2), ("r2", "b", 0, "f", 1, 2), ("r2", "b", 1, "x", 2, 2)]
+    symbols = spark.createDataFrame(rows, "repo string, path string, ordinal int, name string, start_line int, end_line int")
+    got = nesting.descendants(symbols, "f")
+    assert got.columns == ["repo", "path", "name", "depth", "ordinal", "of"]
+    assert {tuple(r) for r in got.collect()} == {("r1", "a", "g", 1, 1, 0), ("r1", "a", "f", 2, 2, 0), ("r1", "a", None, 3, 3, 0), ("r1", "a", None, 1, 3, 2), ("r2", "b", "x", 1, 1, 0)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert nesting.descendants(symbols, "none").count() == 0
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     rng = random.Random(5)
